@@ -8,14 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .language import identify_languages
+from .packing import pack_sequences
+from .pii import find_personal_data
+from .token_files import token_boundaries
+from .tokens import vocabulary_path
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_boundaries(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sequences(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id,)}
+    return {f.__name__: f for f in (op1_language_id, op2_pii_spans, op3_token_files, op4_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
