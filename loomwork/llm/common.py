@@ -101,15 +101,19 @@ def inverse_power(n: int) -> np.uint64:
     return np.uint64(pow(int(_MULT), -n, 1 << 64) if n else 1)
 
 
+def times_seed(n: int) -> np.uint64:
+    return np.uint64(int(SEED) * n & 0xFFFFFFFFFFFFFFFF)
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of ``k`` words; of the whole sequence if it has fewer, but not none."""
     n = len(words)
     if not n:
         return words
     width = min(k, n)
-    out = np.full(n - width + 1, SEED * np.uint64(width), np.uint64)
+    out = np.full(n - width + 1, times_seed(width), np.uint64)
     for j in range(width):
-        out = mixed(out ^ words[j : n - width + 1 + j]) + SEED * np.uint64(j + 1)
+        out = mixed(out ^ words[j : n - width + 1 + j]) + times_seed(j + 1)
     return out
 
 

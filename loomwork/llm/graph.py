@@ -1,0 +1,27 @@
+"""Connected components over a table of links, without collecting links or labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import persisted
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """v, comp: the smallest vertex reachable from each vertex of ``edges`` (a, b: long).
+
+    Labels move to the smallest label among neighbours, then jump to their label's label, until
+    none changes; each round is written to the shared folder, so lineage stays short.
+    """
+    both = persisted(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = persisted(both.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("comp")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("v").alias("b"), "comp"), "b").groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("near"))
+        moved = labels.join(near, "v").select("v", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        jumps = labels.select(F.col("v").alias("comp"), F.col("comp").alias("next"))
+        new = moved.join(jumps, "comp", "left").select("v", "old", F.least("comp", "next").alias("comp"))
+        new = persisted(new, "labels")
+        labels = new.select("v", "comp")
+        if new.where("comp <> old").isEmpty():
+            return labels
