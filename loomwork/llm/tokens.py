@@ -1,35 +1,39 @@
-"""Whole-text encoding with a public tokenizer, run once per distinct chunk of text.
+"""Whole-text encoding with a public tokenizer, run once per distinct piece of text.
 
-Both vocabularies cut a text into pre-tokens that never reach across the place where a
-visible character is followed by white space, so a text's ids are the ids of its chunks
-(white space followed by visible characters) put end to end.  A worker keeps the ids of the
-chunks it has met, in a table of bounded size, and asks the library for the others.
+A tokenizer cuts a text into pre-tokens and encodes each on its own, so a text's ids are those
+of its pieces put end to end, for every cutting that only cuts between pre-tokens.  A worker
+keeps the ids of the pieces it has met, in a table of bounded size, and asks the library for
+the others, many at a time.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
 
 import numpy as np
 
-#: Chunk tables stop growing here: about 120 MB in each Python worker.
-CACHE_ENTRIES = 600_000
+#: Piece tables stop growing here: about 100 MB in each Python worker.
+CACHE_ENTRIES = 500_000
 CACHED_CHARS = 40
-#: Texts are cut into chunks in blocks of about so many characters, so that a block's new
-#: chunks are asked for once.
-BLOCK_CHARS = 3_000_000
-
+#: Texts are cut in blocks of about so many characters: new pieces are asked for once a block.
+BLOCK_CHARS = 2_000_000
+
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Texts of these characters alone are cut at every pre-token: both vocabularies' patterns then
+#: have a plain reading (letters, digits, others; no apostrophe, so no contractions).
+_SIMPLE = re.compile(rf"[\t\n\r\x20-\x26\x28-\x7e{_LETTERS}]*\Z")
+_SPACED = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_UNSPACED = re.compile(rf"[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+#: Other texts are cut only where white space follows something else ...
 _CHUNK = re.compile(r"\s*\S+|\s+")
-#: Characters that Python and the tokenizers' regular expressions may class differently.
+#: ... unless they have characters that Python and the vocabularies may class differently.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
-#: What may stand between chunks when many are encoded as one text: it must be one id, which
-#: no chunk without that character can have.
-_BETWEEN = ("\n", " | ")
 
 
-class ChunkEncoder:
+class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, without special tokens."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
@@ -42,32 +46,45 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.entries = entries
         self.known: dict[str, bytes] = {}
-        self.between, self.mark, self.mark_id = "", "", -1
-        for text in _BETWEEN:
-            ids = self.tokenizer.encode(f" a{text} a", add_special_tokens=False).ids
-            if len(ids) == 3 and ids[0] == ids[2]:
-                self.between, self.mark, self.mark_id = text, text.strip(" "), ids[1]
-                break
+        rules = json.loads(self.tokenizer.to_str())
+        steps = json.dumps([rules["normalizer"], rules["pre_tokenizer"]])
+        if rules["normalizer"] is None and rules["pre_tokenizer"].get("use_regex"):
+            self.pieces, self.lower, self.between = _SPACED, False, "\n"
+        elif "Lowercase" in steps and '"Split"' in steps:
+            self.pieces, self.lower, self.between = _UNSPACED, True, " | "
+        else:
+            self.pieces, self.lower, self.between = None, False, ""
+        self.mark = self.between.strip(" ")
+        ids = self.tokenizer.encode(f"a{self.between}a", add_special_tokens=False).ids
+        if self.between and len(ids) != 3:
+            raise ValueError(f"{path}: {self.mark!r} is not one id")
+        self.mark_id = ids[1] if self.between else -1
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """The library's ids of each text, with nothing kept or shared."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in found]
 
-    def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that each begin with one space: hundreds go to the library as one text."""
+    def _joined(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of visible pieces without the mark: hundreds go to the library as one text, with
+        marks between them, and its ids are cut at the mark's."""
         out = {}
-        for k in range(0, len(chunks), 400):
-            part = chunks[k : k + 400]
+        for k in range(0, len(pieces), 400):
+            part = pieces[k : k + 400]
             ids = np.asarray(self.tokenizer.encode(self.between.join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark_id)
+            ends = (np.flatnonzero(ids == self.mark_id) * 4).tolist()
             if len(ends) != len(part) - 1:
                 out.update(zip(part, self.whole(part), strict=True))
                 continue
-            raw, ends = ids.tobytes(), (ends * 4).tolist()
-            out.update(zip(part, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)])]))
+            raw = ids.tobytes()
+            out.update(zip(part, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)], strict=True)], strict=True))
         return out
 
+    def _cut(self, text: str) -> list[str] | None:
+        if self.pieces and _SIMPLE.match(text):
+            return self.pieces.findall(text.lower() if self.lower else text)
+        return None if _ODD_SPACE.search(text) else _CHUNK.findall(text)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null is an empty text."""
         out, block, size = [], [], 0
@@ -80,12 +97,11 @@ class ChunkEncoder:
         return out + self._block(block) if block else out
 
     def _block(self, texts: list[str]) -> list[bytes]:
-        known, odd = self.known, _ODD_SPACE.search
-        cut = [None if odd(t) else _CHUNK.findall(t) for t in texts]
+        known = self.known
+        cut = [self._cut(t) for t in texts]
         wanted = set().union(*[c for c in cut if c]).difference(known)
         mark = self.mark
-        plain = [c for c in wanted if c[0] == " " and c[1:2] > " " and mark not in c] if mark else []
-        fresh = self._fresh(plain)
+        fresh = self._joined([c for c in wanted if mark not in c and not c.isspace()]) if mark else {}
         rest = [c for c in wanted if c not in fresh]
         fresh.update(zip(rest, self.whole(rest), strict=True))
         room = self.entries - len(known)
@@ -104,6 +120,6 @@ def vocabulary_path(name: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, entries: int = CACHE_ENTRIES) -> ChunkEncoder:
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> PieceEncoder:
     """One encoder for each vocabulary and worker process, kept between tasks."""
-    return ChunkEncoder(path, entries)
+    return PieceEncoder(path, entries)
