@@ -33,7 +33,7 @@ FIRST = 50
 #: Occurrences beyond which an anchor's group is split by its neighbours' bytes.
 HOT = 5000
 #: Bytes of surroundings that are refined together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _PLACE_BITS = 28
 
 
@@ -156,7 +156,7 @@ def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What a window with the anchor can reach.  Surroundings that a batch holds twice are
     settled at once (ranges a to b, salted); one of them goes on, counted."""
     reach = LENGTH - GRAM
-    for pdf in batches:
+    for pdf in (whole.iloc[k : k + 2000] for whole in batches for k in range(0, len(whole), 2000)):
         groups: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
         for text, w, t, spots in zip(pdf["text"], pdf["w"], pdf["t"], pdf["spots"], strict=True):
             data = utf8(text)
