@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 # Typographic ligatures, longest first.
@@ -17,13 +18,13 @@ TAG = r"</?[a-zA-Z][^>]*>"
 SPACE = r"(?U)\s+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode normal form C (no built-in has it)."""
     return s.map(lambda x: unicodedata.normalize("NFC", x) if isinstance(x, str) else None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(s: pd.Series) -> pd.Series:
     """Character references decoded (no built-in has the full table)."""
     return s.map(lambda x: html.unescape(x) if isinstance(x, str) else None)
