@@ -3,15 +3,19 @@
 Only the connected components are wanted, so a hot group of copies never becomes pairs:
 
 1. Documents with equal sets are one entity (a group-by on the set's fingerprint).
-2. Entities that share a min-hash are compared with their group's smallest, exactly.  That
-   joins most near copies to one component with a pair each.
+2. Entities that share a min-hash are compared with one of their group, exactly.  That joins
+   most near copies to one component with a pair each.
 3. The exact join finds every link between *different* components that step 2 missed.  In a
    global order of shingles (common ones last, else by hash), two sets that overlap enough
-   share a shingle among their first few.  Rows that share one are a tile; inside a tile sizes
-   must lie in neighbouring size bands (ratio 0.75), and the shared shingle's places must leave
-   room for the overlap.
-4. Candidates are bounded from above by hashed bitmaps of the two sets (bits that only one of
-   them has), and what passes is settled by intersecting the sorted hash arrays.
+   share shingles among their first few.  Rows that share one meet in a tile; tiles of one
+   component are dropped.
+4. Small tiles give pairs in neighbouring size bands (ratio 0.75).  The shingles that two
+   prefixes share are counted over all tiles: with too few, what follows the prefixes cannot
+   make up the overlap.  Hashed bitmaps of the sets (bits that only one of them has) then bound
+   the overlap from above, and what passes is settled by intersecting sorted hash arrays.
+5. Large tiles never become pairs.  Entities that they connect are cut into blocks by size
+   band, and two blocks of neighbouring bands are one task's work: bitmaps first, then exact
+   overlaps, and only the links that join components leave the task.
 
 Equality of shingles is that of 64-bit hashes.
 """
@@ -23,7 +27,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SEED, mixed, persisted, shingle_hashes, space_table, times_seed, utf8, word_hashes
@@ -33,10 +37,17 @@ SHINGLE_WORDS = 5
 MIN_HASHES = 4
 #: A set's bitmap has the least power of two over its size, within these bounds.
 BITMAP_BITS = (64, 4096)
-#: A shingle is common if it is in this share of the documents; at most so many are listed.
-#: Which ones are listed sets the order of shingles and so the work, never the result.
-COMMON_SHARE = 1 / 2000
+#: A shingle is common if a task's batch has it in so many documents, and all tasks together in
+#: this share of the corpus; at most so many are listed.  Which ones are listed sets the order of
+#: shingles and so the work, never the result.
+COMMON_IN_BATCH = 3
+COMMON_SHARE = 1 / 20_000
 COMMON_LISTED = 500_000
+#: Entities in a tile beyond which it is worked through in blocks, and the size of a block.
+LARGE_TILE = 128
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 400_000
+#: Ids up to this number (16 MB) are sent to the scan of the texts; more are joined by shuffle.
+SENT_IDS = 500_000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -85,27 +96,30 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingle_set(t) for t in pdf["text"]]
-            if len(sets) < 8:
+            if not sets:
                 continue
             values, counts = np.unique(np.concatenate(sets), return_counts=True)
-            often = counts >= max(8, int(len(sets) * COMMON_SHARE))
-            yield pd.DataFrame({"h": values[often].view(np.int64), "c": counts[often], "n": 0})
+            often = counts >= max(COMMON_IN_BATCH, int(len(sets) * COMMON_SHARE))
+            yield pd.DataFrame({"h": values[often].view(np.int64), "c": counts[often]})
 
     total = docs.count()
-    found = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "h long, c long, n long").groupBy("h").agg(F.sum("c").alias("c"))
-    found = found.where(F.col("c") >= max(16, int(total * COMMON_SHARE))).orderBy(F.desc("c"), "h").limit(COMMON_LISTED).toPandas()
+    found = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    found = found.where(F.col("c") >= max(8, int(total * COMMON_SHARE))).orderBy(F.desc("c"), "h").limit(COMMON_LISTED).toPandas()
     hashes = found["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], found["c"].to_numpy(np.int64)[order]
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """doc_id, n, e (the set's fingerprint), keys (min-hashes), bits (bitmap), prefix."""
+    """doc_id, r (names the row), n, e (the set's fingerprint), keys (min-hashes), bits, prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
     salts = mixed(np.arange(1, MIN_HASHES + 1, dtype=np.uint64) * SEED)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         common, often = shared.value
+        row = TaskContext.get().partitionId() << 40
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
@@ -126,11 +140,30 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
                 rows.append((len(s), fingerprint(s), keys, bitmap(s), first[:length].view(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "e", "keys", "bits", "prefix"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            out.insert(1, "r", np.arange(row, row + len(out)))
+            row += len(out)
             yield out
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(sketch, f"doc_id {kind}, n int, e long, keys array<long>, bits binary, prefix array<long>")
+    return rows.mapInPandas(sketch, f"doc_id {kind}, r long, n int, e long, keys array<long>, bits binary, prefix array<long>")
+
+
+def set_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        found = [shingle_set(t) for t in pdf["text"]]
+        yield pd.DataFrame({"e": [fingerprint(s) for s in found], "s": [s.tobytes() for s in found]})
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """e, s: the sets of the documents named in ``ids`` (id), as sorted 64-bit hashes.
+
+    A repeated id may have several texts; the fingerprint tells their sets apart.
+    """
+    wanted = ids.distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    return texts.mapInPandas(set_rows, "e long, s binary")
 
 
 def verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -148,44 +181,142 @@ def verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, id_col: str
             out.append(len(np.intersect1d(p, q, assume_unique=True)) >= needed(len(p), len(q), percent))
         return pd.Series(out, dtype=bool)
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [shingle_set(t) for t in pdf["text"]]
-            yield pd.DataFrame({"e": [fingerprint(s) for s in found], "s": [s.tobytes() for s in found]})
-
     side = lambda c: entities.select(F.col("e").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}"), F.col("doc_id").alias(f"doc_{c}"))
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("bits_a", "bits_b", "n_a", "n_b"))
     close = persisted(close.select("a", "b", "doc_a", "doc_b"), "candidates")
-    wanted = close.select(F.col("doc_a").alias("id")).union(close.select("doc_b")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    # A repeated id may have several texts; the fingerprint picks the right one.
-    sets_ = persisted(texts.mapInPandas(sets, "e long, s binary").dropDuplicates(["e"]), "sets")
-    both = close.join(sets_.select(F.col("e").alias("a"), F.col("s").alias("s_a")), "a").join(sets_.select(F.col("e").alias("b"), F.col("s").alias("s_b")), "b")
+    sets = sets_of(docs, close.select(F.col("doc_a").alias("id")).union(close.select("doc_b")), id_col, text_col)
+    sets = persisted(sets.dropDuplicates(["e"]), "sets")
+    both = close.join(sets.select(F.col("e").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("e").alias("b"), F.col("s").alias("s_b")), "b")
     return both.where(links("s_a", "s_b")).select("a", "b")
 
 
 def leader_pairs(entities: DataFrame, percent: int) -> DataFrame:
-    """Each entity with the smallest of those that share a min-hash with it."""
+    """Each entity with one (by hash) of those that share a min-hash with it."""
     rows = entities.select("e", "n", F.posexplode("keys").alias("i", "key"))
-    lead = rows.groupBy("i", "key").agg(F.min(F.struct("n", "e")).alias("lead"), F.count("*").alias("c")).where("c > 1")
+    lead = rows.groupBy("i", "key").agg(F.min(F.struct(F.xxhash64("e").alias("h"), "e", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
     pairs = rows.join(lead.select("i", "key", "lead"), ["i", "key"]).where("e <> lead.e")
-    pairs = pairs.where(F.col("lead.n") * 100 >= F.col("n") * percent)
-    return pairs.select(F.col("lead.e").alias("a"), F.col("e").alias("b")).distinct()
+    pairs = pairs.where(F.least("lead.n", "n") * 100 >= F.greatest("lead.n", "n") * percent)
+    return pairs.select(F.least("lead.e", "e").alias("a"), F.greatest("lead.e", "e").alias("b")).distinct()
 
 
-def tile_pairs(entities: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidates for links between different components, from tiles of a shared prefix shingle."""
+def tiles(entities: DataFrame, labels: DataFrame) -> DataFrame:
+    """h, e, comp, n, size: the tiles of prefix shingles that more than one component meets in."""
     named = entities.join(labels.select(F.col("v").alias("e"), "comp"), "e", "left").select("e", F.coalesce("comp", "e").alias("comp"), "n", "prefix")
-    rows = named.select("e", "comp", "n", F.posexplode("prefix").alias("at", "h"))
-    # Size and place in one number: a quarter less to shuffle.
-    rows = rows.select("h", "e", "comp", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("np"))
-    size: dict[str, Column] = {s: F.shiftright(F.col(f"{s}.np"), 32) for s in "xy"}
-    left = {s: size[s] - F.col(f"{s}.np").bitwiseAND(0xFFFFFFFF) for s in "xy"}
-    smaller = (size["y"] < size["x"]) | ((size["y"] == size["x"]) & (F.col("y.e") < F.col("x.e")))
-    band = size["y"] * 100 >= size["x"] * percent
-    room = F.least(left["x"], left["y"]) * (100 + percent) >= (size["x"] + size["y"]) * percent
-    joined = rows.alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & smaller & band & room)
-    return joined.select(F.col("y.e").alias("a"), F.col("x.e").alias("b")).distinct()
+    rows = named.select("e", "comp", "n", F.explode("prefix").alias("h"))
+    w = Window.partitionBy("h")
+    rows = rows.select("h", "e", "comp", "n", F.count("*").over(w).cast("int").alias("size"), F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"))
+    return rows.where("lo <> hi").drop("lo", "hi")
+
+
+def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates for links between different components, from small tiles."""
+    x, y = rows.alias("x"), rows.alias("y")
+    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.e") < F.col("x.e")))
+    band = F.col("y.n") * 100 >= F.col("x.n") * percent
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & smaller & band)
+    pairs = met.groupBy(F.col("y.e").alias("a"), F.col("x.e").alias("b")).agg(F.count("*").alias("c"), F.max("y.n").alias("m"), F.max("x.n").alias("n"))
+    # Shingles beyond the prefix whose last shingle comes first in the order are all that the
+    # count can miss; the larger set has more of them.  (Pairs that share a large tile too are
+    # counted short here, and settled there.)
+    beyond = F.ceil(F.col("n") * percent / 100) - 1
+    return pairs.where((F.col("c") + beyond) * (100 + percent) >= (F.col("m") + F.col("n")) * percent).select("a", "b")
+
+
+def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, comps: list[int], percent: int) -> list[tuple[int, int]]:
+    """Linked pairs between (or, with ``right`` None, among) sets that join their components.
+
+    Indices count ``left`` first, then ``right``; ``comps`` holds everyone's component.
+    """
+    every = left + (right or [])
+    n, k = np.array([len(s) for s in every]), len(left)
+    a, b = np.arange(k), np.arange(k, len(every)) if right is not None else np.arange(k)
+    comp = np.array(comps)
+    large, small = np.maximum(n[a][:, None], n[b][None, :]), np.minimum(n[a][:, None], n[b][None, :])
+    ok = (small * 100 >= large * percent) & (comp[a][:, None] != comp[b][None, :])
+    if right is None:
+        ok &= a[:, None] < b[None, :]
+    if not ok.any():
+        return []
+    need = -(-percent * (large + small) // (100 + percent))
+    # Bitmaps of one width: bits that only one side has bound the overlap.
+    width = min(max(64, 1 << int(n.max() - 1).bit_length()), BITMAP_BITS[1])
+    bits = np.zeros((len(every), width), np.uint8)
+    for i, s in enumerate(every):
+        bits[i, (s & np.uint64(width - 1)).astype(np.int64)] = 1
+    packed = np.packbits(bits, axis=1).view(np.uint64)
+    for x, y, size, axis in ((a, b, n[a][:, None], False), (b, a, n[b][None, :], True)):
+        lone = np.zeros((len(x), len(y)), np.int32)
+        for w in range(packed.shape[1]):
+            lone += np.bitwise_count(packed[x, w][:, None] & ~packed[y, w][None, :])
+        ok &= size - (lone.T if axis else lone) >= need
+    rows, cols = ok.any(1), ok.any(0)
+    if not rows.any():
+        return []
+    a, b, ok, need = a[rows], b[cols], ok[np.ix_(rows, cols)], need[np.ix_(rows, cols)]
+    # Exact overlaps: products of 0/1 rows over the shingles that two sets or more hold.
+    both = np.unique(np.concatenate([a, b]))
+    values, inverse, counts = np.unique(np.concatenate([every[i] for i in both]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(both)), n[both])
+    keep = counts[inverse] > 1
+    column = np.cumsum(counts > 1)[inverse[keep]] - 1
+    owner, total = owner[keep], int((counts > 1).sum())
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    ia, ib = np.searchsorted(both, a), np.searchsorted(both, b)
+    overlap = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, total, 4096):
+        s, e = np.searchsorted(column, [lo, lo + 4096])
+        m = np.zeros((len(both), min(4096, total - lo)), np.float32)
+        m[owner[s:e], column[s:e] - lo] = 1
+        overlap += m[ia] @ m[ib].T
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(ok & (overlap >= need)), strict=True):
+        p, q = find(int(comp[a[i]])), find(int(comp[b[j]]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((int(a[i]), int(b[j])))
+    return out
+
+
+def large_tile_links(rows: DataFrame, entities: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Links (a, b) among entities that meet in large tiles, block by block of size bands."""
+    stars = rows.join(rows.groupBy("h").agg(F.min("e").alias("a")), "h").where("a <> e").select("a", F.col("e").alias("b")).distinct()
+    groups = components(stars)
+    members = rows.select("e", "comp", "n").distinct().join(groups.select(F.col("v").alias("e"), F.col("comp").alias("g")), "e")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    members = members.withColumn("band", band)
+    cuts = members.groupBy("g", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    up = cuts.select("g", (F.col("band") - 1).alias("band"), F.col("k").alias("k_up"))
+    down = cuts.select("g", (F.col("band") + 1).alias("band"), F.col("k").alias("k_down"))
+    cuts = cuts.join(up, ["g", "band"], "left").join(down, ["g", "band"], "left")
+    placed = members.join(cuts, ["g", "band"]).withColumn("i", F.pmod(F.xxhash64("e"), F.col("k")).cast("int"))
+    # A task's work is named by its two blocks: (band, i) and (band or the next, j).
+    here = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.col("band").alias("b1"), F.least("i", j).alias("i1"), F.col("band").alias("b2"), F.greatest("i", j).alias("i2")))
+    above = F.when(F.col("k_up") > 0, F.transform(F.sequence(F.lit(0), F.col("k_up") - 1), lambda j: F.struct(F.col("band").alias("b1"), F.col("i").alias("i1"), (F.col("band") + 1).alias("b2"), j.alias("i2"))))
+    below = F.when(F.col("k_down") > 0, F.transform(F.sequence(F.lit(0), F.col("k_down") - 1), lambda j: F.struct((F.col("band") - 1).alias("b1"), j.alias("i1"), F.col("band").alias("b2"), F.col("i").alias("i2"))))
+    none = F.array().cast("array<struct<b1:int,i1:int,b2:int,i2:int>>")
+    ids = entities.select("e", F.col("doc_id").alias("id")).join(placed.select("e"), "e", "left_semi")
+    sets = sets_of(docs, ids.select("id"), id_col, text_col).dropDuplicates(["e"])
+    work = placed.join(sets, "e").select("g", "e", "comp", "band", "i", "s", F.explode(F.concat(here, F.coalesce(above, none), F.coalesce(below, none))).alias("w")).select("g", "e", "comp", "band", "i", "s", "w.*")
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = (pdf["band"] == pdf["b1"]) & (pdf["i"] == pdf["i1"])
+        pdf = pd.concat([pdf[first], pdf[~first]])
+        k = int(first.sum())
+        sets = [np.frombuffer(s, np.uint64) for s in pdf["s"]]
+        same = k == len(pdf) and bool(((pdf["b1"] == pdf["b2"]) & (pdf["i1"] == pdf["i2"])).all())
+        found = block_links(sets[:k], None if same else sets[k:], pdf["comp"].tolist(), percent) if k and (same or k < len(pdf)) else []
+        e = pdf["e"].to_numpy()
+        return pd.DataFrame({"a": [int(e[i]) for i, _ in found], "b": [int(e[j]) for _, j in found]}, dtype="int64")
+
+    return work.groupBy("g", "b1", "i1", "b2", "i2").applyInPandas(settle, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -197,12 +328,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     all_rows = persisted(sketches(docs, id_col, text_col, percent), "sketches")
     usable = all_rows.where("n > 0 AND doc_id IS NOT NULL")
-    names = usable.groupBy("e").agg(F.min("doc_id").alias("doc_id"))
-    entities = persisted(usable.join(names, ["e", "doc_id"], "left_semi").dropDuplicates(["e", "doc_id"]), "entities")
+    names = usable.groupBy("e").agg(F.min(F.struct("doc_id", "r")).alias("first")).select("e", "first.doc_id", "first.r")
+    names = persisted(names, "names")
+    entities = usable.join(names.select("r"), "r", "left_semi")
 
     near = persisted(verified(leader_pairs(entities, percent), entities, docs, id_col, text_col, percent), "links")
     first = components(near)
-    more = persisted(verified(tile_pairs(entities, first, percent), entities, docs, id_col, text_col, percent), "links")
+    met = persisted(tiles(entities, first), "tiles")
+    small, large = met.where(F.col("size") <= LARGE_TILE).drop("size"), met.where(F.col("size") > LARGE_TILE).drop("size")
+    more = verified(tile_pairs(small, percent), entities, docs, id_col, text_col, percent)
+    if not large.isEmpty():
+        more = more.union(large_tile_links(large, entities, docs, id_col, text_col, percent))
+    more = persisted(more, "links")
     if not more.isEmpty():
         first = components(near.union(more))
 
