@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,6 +185,18 @@ def find_contamination(
     return found.mapInPandas(digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
+def free_of(index: Broadcast):
+    """A function of texts: true where no window of the index occurs."""
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        keep = alnum_table()
+        lowered = [utf8(t if isinstance(t, str) else None).lower() for t in texts]
+        return pd.Series([not index.value.hits(d, word_hashes(d, keep))[0] for d in lowered], dtype=bool)
+
+    return clean
+
+
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10,
     block_chars: int = BLOCK_CHARS,
@@ -193,12 +206,5 @@ def drop_contaminated(
     for block in benchmark_blocks(benchmark, item_col, item_text_col, block_chars):
         rarity = word_counts(docs, text_col, sorted({w for _, words in block for w in words}))
         index = docs.sparkSession.sparkContext.broadcast(Index(block, rarity, window))
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, index=index) -> pd.Series:
-            keep = alnum_table()
-            lowered = [utf8(t if isinstance(t, str) else None).lower() for t in texts]
-            return pd.Series([not index.value.hits(d, word_hashes(d, keep))[0] for d in lowered], dtype=bool)
-
-        kept = kept.where(clean(F.col(text_col)))
+        kept = kept.where(free_of(index)(F.col(text_col)))
     return kept

@@ -73,9 +73,11 @@ def cut(data: bytes, window: int, taps: int) -> np.ndarray:
 
 def train(
     texts: list[str], labels: list[str], *, window: int = 128, widths: tuple[int, ...] = (2, 3, 4), per_width: int = 16,
-    embed: int = 8, epochs: int = 4, batch: int = 128, rate: float = 0.01, per_text: int = 4, seed: int = 7,
+    embed: int = 8, epochs: int = 4, steps: int = 300, batch: int = 128, rate: float = 0.01, per_text: int = 4, seed: int = 7,
 ) -> ByteConvNet:
-    """Fits the network on at most ``per_text`` evenly spaced windows of each sample text."""
+    """Fits the network on at most ``per_text`` evenly spaced windows of each sample text.
+
+    Small samples are gone through more often, to make ``steps`` steps."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     taps, f = max(widths), per_width * len(widths)
@@ -102,7 +104,7 @@ def train(
     share = np.bincount(y, minlength=len(names)).clip(1)
     weight = (len(y) / len(names) / share)[y].astype(np.float32)
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // len(y)))):
         order = rng.permutation(len(y))
         for k in range(0, len(order), batch):
             pick = order[k : k + batch]
@@ -132,17 +134,21 @@ def train(
 
 
 def training_sample(docs: DataFrame, *, id_col: str, text_col: str, label_col: str, held_out: int, per_label: int, max_labels: int, chars: int) -> list:
-    """At most ``per_label`` rows of each of the ``max_labels`` most frequent labels, by hash of id.
+    """At most ``per_label`` rows of each of the ``max_labels`` most frequent labels, by hash.
 
-    Spark ranks within each task first, so a task sends on at most ``per_label`` rows a label.
+    Rows are ranked by label and hash alone (first within each task, so a task sends on at most
+    ``per_label`` of a label); only the picked rows' texts, a bounded number, are fetched.
     """
     rows = docs.select(
-        F.col(label_col).alias("label"), F.substring(F.col(text_col), 1, chars).alias("text"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id")
-    ).where(F.col("label").isNotNull() & (fold(F.col(id_col), 3) != held_out) & F.col("text").rlike(r"\p{L}"))
+        F.col(label_col).alias("label"), F.substring(F.col(text_col), 1, chars).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), fold(F.col(id_col), 3).alias("k"),
+        F.col(text_col).rlike(r"\p{L}").alias("letters"),
+    ).where(F.col("label").isNotNull() & (F.col("k") != held_out) & F.col("letters"))
     names = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).select("label")
-    w = Window.partitionBy("label").orderBy("h", "id", "text")
-    picked = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_label)
-    return picked.join(F.broadcast(names), "label").orderBy("label", "r").select("label", "text").collect()
+    w = Window.partitionBy("label").orderBy("h")
+    ranked = rows.select("label", "h").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_label)
+    picked = ranked.join(F.broadcast(names), "label").select("label", "h").distinct()
+    found = rows.select("label", "h", "text").join(F.broadcast(picked), ["label", "h"]).dropDuplicates(["label", "h"])
+    return found.orderBy("label", "h").select("label", "text").collect()
 
 
 def identify_languages(
