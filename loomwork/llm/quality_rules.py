@@ -87,13 +87,18 @@ OWN = (
 RULES = (*BASE, *OWN)
 
 
-def with_signals(df: DataFrame, text_col: str, needed: set[str]) -> DataFrame:
-    """Adds the signals asked for, as long columns.
+def sealed(df: DataFrame) -> DataFrame:
+    """``df`` as it is, but filters on it stay above it.
 
-    They come out of a generator (of one row): a filter on them is then not pushed into the
-    steps that they come from, which would compute those steps again at each mention.
+    A filter pushed through the steps that a signal comes from would compute all of them again
+    at each mention; Spark does not push filters below a random column.
     """
-    text, own = F.col(text_col), df.columns
+    return df.withColumn("_r", F.rand(0)).where("_r >= 0").drop("_r")
+
+
+def with_signals(df: DataFrame, text_col: str, needed: set[str]) -> DataFrame:
+    """Adds the signals asked for, as long columns."""
+    text = F.col(text_col)
     if needed & {"n_words", "n_repeat_words"}:
         df = df.withColumn("_words", words(text)).withColumn("n_words", F.size("_words").cast("long"))
     if "n_repeat_words" in needed:
@@ -103,8 +108,7 @@ def with_signals(df: DataFrame, text_col: str, needed: set[str]) -> DataFrame:
         df = df.withColumn("n_dup_lines", F.col("n_lines") - F.size(F.array_distinct("_lines")))
     simple = {"word_chars": letters_in_words(text), "n_symbols": symbols(text), "n_shouts": marks(text, "!")}
     df = df.withColumns({k: v for k, v in simple.items() if k in needed})
-    added = [c for c in df.columns if c not in own and c[0] != "_"]
-    return df.select(*own, F.inline(F.array(F.struct(*added))))
+    return sealed(df.drop("_words", "_lines"))
 
 
 def measure(docs: DataFrame, text_col: str, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> list[dict]:
