@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -153,8 +154,9 @@ _NAMES = ["key", "salt", "text", "n", "w", "t", "lo", "a", "b"]
 
 
 def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What a window with the anchor can reach.  Surroundings that a batch holds twice are
-    settled at once (ranges a to b, salted); one of them goes on, counted."""
+    """What a window with the anchor can reach, in two groups (by the bytes to the left and to
+    the right) if the anchor is hot.  Surroundings that a batch holds twice are settled at once
+    (ranges a to b, salted); one of them goes on, counted."""
     reach = LENGTH - GRAM
     for pdf in (whole.iloc[k : k + 2000] for whole in batches for k in range(0, len(whole), 2000)):
         groups: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
@@ -164,7 +166,7 @@ def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 pos, key = s["pos"], s["key"]
                 lo, hi = max(0, pos - reach), min(len(data), pos + LENGTH)
                 around = data[lo:hi]
-                if s["total"] > HOT:
+                if s["hot"]:
                     left, right = data[max(0, pos - reach // 2) : pos], data[pos + GRAM : pos + GRAM + reach // 2]
                     for side, near in ((1, left), (2, right)):
                         if len(near) == reach // 2:
@@ -205,7 +207,7 @@ def stretches(parts: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int,
     return out
 
 
-def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _ranges(batches: Iterator[pd.DataFrame], batch_bytes: int) -> Iterator[pd.DataFrame]:
     """w, t, a, b from surroundings sorted by key and bytes.
 
     Equal surroundings of a key stand together and are settled as they pass; the different ones
@@ -233,7 +235,7 @@ def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     settled = True
                 out.append((w, t, lo, lo + len(text)))
                 continue
-            if key != last_key and held >= BATCH_BYTES:
+            if key != last_key and held >= batch_bytes:
                 flush()
             last_key, last, settled = key, (w, t, lo, text), n > 1
             parts.append(last)
@@ -262,37 +264,45 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.assign(w=pdf["w"].to_numpy(), t=pdf["t"].to_numpy())
 
 
-def repeated_ranges(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def repeated_ranges(rows: DataFrame, groups: DataFrame, hot: int, batch_bytes: int) -> DataFrame:
     """w, t, a, b: byte ranges of texts without a copy that repeated strings cover.
 
     ``rows``: w, t (two hashes that name a row's text), text.  ``groups``: t, sha, c, w (of one
-    row of each distinct text).
+    row of each distinct text).  Anchors met more than ``hot`` times are split, and
+    whole groups are refined together up to ``batch_bytes``.
     """
     long = rows.where(F.octet_length("text") >= LENGTH)
     found = long.mapInPandas(_anchor_rows, "key long, salt long, w long, t long, pos int, n int")
     # At most a row of each batch for a key: members of a batch's groups have salts of their own.
     total = F.sum("n").over(Window.partitionBy("key", "salt")).alias("total")
-    repeated = found.select("key", "w", "t", "pos", total).where("total > 1 AND pos >= 0")
+    counted = found.select("*", total)
+    # A salted row knows its batch's count only, the mark of that batch the whole corpus's.  At
+    # most one key in ``hot`` anchors is listed; all columns are named, so that both readers of
+    # ``counted`` share its shuffle.
+    split = counted.where(f"total > {hot} AND pos < 0 AND w = 0 AND t = 0").select("key", F.lit(True).alias("listed")).distinct()
+    repeated = counted.where("total > 1 AND pos >= 0").join(F.broadcast(split), "key", "left")
+    repeated = repeated.select("key", "w", "t", "pos", (F.col("listed").isNotNull() | (F.col("total") > hot)).alias("hot"))
     reps = groups.select("w", "t")
-    spots = repeated.join(reps, ["w", "t"], "left_semi").groupBy("w", "t").agg(F.collect_list(F.struct("pos", "key", "total")).alias("spots"))
+    spots = repeated.join(reps, ["w", "t"], "left_semi").groupBy("w", "t").agg(F.collect_list(F.struct("pos", "key", "hot")).alias("spots"))
     around = long.join(spots, ["w", "t"]).mapInPandas(_surroundings, _CONTEXT)
     ordered = around.repartition("key", "salt").sortWithinPartitions("key", "salt", "text")
-    return ordered.mapInPandas(_ranges, "w long, t long, a int, b int")
+    return ordered.mapInPandas(partial(_ranges, batch_bytes=batch_bytes), "w long, t long, a int, b int")
 
 
-def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``runs`` (start, end, start, ... of
     the removed bytes; null if all are removed) for each row of ``docs``.
 
     A null text is empty and a text of fewer than 200 bytes keeps all.  Repeated rows are copies
-    of each other.  Other columns are ignored.
+    of each other.  Other columns are ignored.  ``hot`` (``HOT`` if not given) and
+    ``batch_bytes`` change how the work is dealt, not the result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("w"), F.xxhash64("text").alias("t"), "text")
     facts = persisted(rows.select("doc_id", "w", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "facts")
     groups = persisted(facts.where(F.col("n_bytes") >= LENGTH).groupBy("sha", "t").agg(F.count("*").alias("c"), F.min("w").alias("w")), "texts")
-    ranges = persisted(repeated_ranges(rows.drop("doc_id"), groups), "ranges")
+    ranges = persisted(repeated_ranges(rows.drop("doc_id"), groups, HOT if hot is None else hot, batch_bytes), "ranges")
     single = ranges.join(groups.where("c = 1").select("w", "t"), ["w", "t"], "left_semi")
     listed = single.groupBy("w", "t").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     cut = rows.drop("doc_id").join(listed, ["w", "t"]).mapInPandas(_kept, "n_removed long, n_spans long, kept_sha256 string, runs array<int>, w long, t long")

@@ -131,6 +131,32 @@ def test_hot_anchors(spark, monkeypatch):
     test_repeated_substrings_equal_brute_force(spark)
 
 
+def test_hot_anchor_once_and_twice_in_a_part(spark):
+    rng = random.Random(8)
+    fill = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    line = fill(190)  # too short to be removed itself; holds the anchor of most of the passages around it
+    around = [fill(5) + line + fill(5) for _ in range(5)]
+    parts = [
+        # each passage stands once in a part with no other occurrence of the line, and once in a part with more
+        *([fill(300) + around[k] + fill(300)] for k in range(5)),
+        *([fill(250) + around[k] + fill(90), fill(280) + line + fill(280), *(fill(240) for _ in range(k * 200))] for k in range(5)),
+        *([fill(300) + line + fill(300)] for _ in range(4)),
+    ]
+    texts = [t for part in parts for t in part]
+    rows, k = [], 0
+    for part in parts:
+        rows.append([(k + i, t) for i, t in enumerate(part)])
+        k += len(part)
+    rdd = spark.sparkContext.parallelize(rows, len(rows)).flatMap(lambda x: x)
+    df = spark.createDataFrame(rdd, "doc_id bigint, text string")
+    want = [sum(f) for f in removed([t.encode() for t in texts])]
+    assert sum(x > 0 for x in want) == 10
+    for hot in (3, 18, 5000):
+        # a batch of one byte: no group is refined together with another
+        got = {r.doc_id: r.n_removed for r in remove_repeated(df, hot=hot, batch_bytes=1).collect()}
+        assert [got[k] for k in range(len(texts))] == want, hot
+
+
 def test_repeated_rows_and_null_ids(spark):
     t = "long text " * 30
     df = spark.createDataFrame([(1, t), (1, t), (None, None), (2, "x")], "doc_id bigint, text string")
