@@ -7,8 +7,8 @@ normalised text and keep, for each of its characters, the source span it came fr
 2. spelled digits ("four one five") become digits, and runs of them join,
 3. "at" and "dot" in brackets, or in words between host labels, become ``@`` and ``.``.
 
-Identifiers are found in the normalised text by the same rules and mapped back; those that a
-base span of any kind does not already cover are added.
+Identifiers are found in the normalised text by the same rules and mapped back; those that no
+single base span covers whole are added.
 """
 
 from __future__ import annotations
@@ -122,7 +122,14 @@ _DOT = r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.|punkt|punto|point)\s{0,3}[\])}>]\s{0,3}"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 _TOP = r"(?:com|org|net|edu|gov|mil|int|info|biz|io|dev|app|example|invalid|test|co\.uk)"
 _BRACKETED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{{1,64}}+)(?:({_AT})|(\s{{0,3}}@\s{{0,3}})|(\s{{1,3}}at\s{{1,3}}))({_LABEL}(?:(?:{_DOT}|\.|\s{{1,3}}dot\s{{1,3}}){_LABEL}){{1,5}})")
-_SPACED_END = re.compile(rf"(?i)(?:\s+dot\s+|{_DOT}|\.){_TOP}$")
+#: Country endings, which count after a spelled dot only.
+_COUNTRY = (
+    "a[cdefgilmoqrstuwxz]|b[abdefghijlmnoqrstvwyz]|c[acdfghiklmnoruvwxyz]|d[ejkmoz]|e[cegrstu]|f[ijkmor]|g[abdefghilmnpqrstuwy]|h[kmnrtu]|i[delmnoqrst]|j[emop]|k[eghimnprwyz]|"
+    "l[abcikrstuvy]|m[acdeghklmnopqrstuvwxyz]|n[acefgilopruz]|om|p[aefghklmnrstwy]|qa|r[eosuw]|s[abcdeghijklmnorstuvxyz]|t[cdfghjklmnortvwz]|u[agksyz]|v[aceginu]|w[fs]|y[et]|z[amw]"
+)
+_SPACED_END = re.compile(rf"(?i)(?:(?:\s+dot\s+|{_DOT}|\.){_TOP}|(?:\s+dot\s+|{_DOT})(?:{_COUNTRY}))$")
+#: "look at the dot in it": no host is named by an article.
+_NO_HOST = re.compile(r"(?i)(?:the|an?|this|that|each|every)\s+dot\s")
 _HOST_PART = re.compile(rf"(?i)({_LABEL})|({_DOT}|\s{{1,3}}dot\s{{1,3}}|\.)")
 _LOCAL_DOTS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}})+(?=(?:{_AT}|\s{{0,3}}@))")
 _AT_HINT = re.compile(r"(?i)[\[({<]\s{0,3}(?:at|@)|\s@|@\s|\bdot\b|[\[({<]\s{0,3}(?:dot|\.|punkt|punto|point)\s{0,3}[\])}>]")
@@ -171,7 +178,7 @@ def _spoken(m: re.Match) -> tuple[int, int, str]:
 
 def _address(m: re.Match) -> tuple[int, int, str] | None:
     local, bracket, sign, word, host = m.groups()
-    if word and not _SPACED_END.search(host):
+    if word and (not _SPACED_END.search(host) or _NO_HOST.match(host)):
         return None  # "at" as a word: only with a last label that no sentence ends in
     if sign and sign == "@" and not re.search(r"[\[({<]|\s", host):
         return None  # plain
@@ -182,7 +189,7 @@ def _address(m: re.Match) -> tuple[int, int, str] | None:
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans of disguised identifiers, in source positions, that no base span covers."""
+    """Spans of disguised identifiers, in source positions, that no base span covers whole."""
     disguised, spoken, at = _DISGUISED.search(text), _SPOKEN_HINT.search(text), _AT_HINT.search(text)
     if not (disguised or spoken or at):
         return []
@@ -202,7 +209,7 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     out = []
     for a, b, kind in base_spans(tape.text):
         lo, hi = tape.source(a, b)
-        if text[lo:hi] != tape.text[a:b] and not any(x < hi and lo < y for x, y in taken):
+        if text[lo:hi] != tape.text[a:b] and not any(x <= lo and hi <= y for x, y in taken):
             out.append((lo, hi, kind))
     return out
 

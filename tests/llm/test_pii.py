@@ -63,6 +63,19 @@ def test_disguises():
     assert len(base) == 1 and set(base) < set(spans) and redact(text) == "x [EMAIL] y [EMAIL]"
 
 
+def test_one_homoglyph_beside_a_base_match():
+    for text in ("jоhn.smith@example.com", "ivan@mail.example.cоm", "a.b@exаmple.mail.com"):  # noqa: RUF001
+        base, spans = find(text)
+        assert (0, len(text), "email") in spans and set(base) <= set(spans) and redact(f"x {text} y") == "x [EMAIL] y", text
+
+
+def test_country_endings_after_a_spelled_dot():
+    for text in ("jean [at] exemple dot fr", "hans at beispiel dot de", "ana (at) correo dot com dot es", "eva at posta dot it"):
+        assert find(text)[1] == [(0, len(text), "email")], text
+    for text in ("look at the dot in it", "look at a dot is one", "we met at noon.no one came"):
+        assert find(text)[1] == [], text
+
+
 def test_query(spark):
     df = spark.createDataFrame([(1, None, "z"), (2, "", "z"), (3, "a@b.com", "z"), (3, "a@b.com", "z"), (None, "1.2.3.4", "z")], "doc_id bigint, text string, spans string")
     got = find_personal_data(df).collect()
