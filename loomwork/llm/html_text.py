@@ -3,8 +3,8 @@
 Markup is stripped to one line per block element.  Text lengths are summed over a sliding
 window of lines; where the sums rise over a threshold is a surge point, where they fall below
 it again a dive point, and the text between the two is kept.  Elements that never hold article
-text (menus, forms, scripts, comment lists, ...) give no line at all, link text counts as no
-length, and on a page with an article element only its lines have length, so that the surge
+text (menus, forms, scripts, comment lists, ...) give no line at all unless they hold the article
+or the greater part of the page, link text counts as no length, and on a page with an article element only its lines have length, so that the surge
 and the dive fall on its edges.
 """
 
@@ -36,7 +36,12 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg math noscript".split())
 _NEVER = frozenset("nav footer aside form button select label fieldset dialog menu head object audio video canvas map datalist".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
-#: Words of a class or id that name something beside the article.
+#: Elements that a start tag of the same set closes (end tags that HTML lets out).
+_SIBLINGS = {
+    "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
+    **{n: {"thead", "tbody", "tfoot", "tr", "td", "th"} for n in ("thead", "tbody", "tfoot")},
+}
+#: Whole classes or ids that name something beside the article.
 _BESIDE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar "
     "navigation menu submenu breadcrumb breadcrumbs sidebar aside footer header masthead topbar comment comments commentlist reply replies respond disqus "
@@ -44,7 +49,6 @@ _BESIDE = frozenset(
     "legal disclaimer skip tags".split()
 )
 _ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
-_NAME_PART = re.compile(r"[a-z]+")
 
 
 def _beside(name: str, attributes: str, inside_article: bool) -> bool:
@@ -55,7 +59,7 @@ def _beside(name: str, attributes: str, inside_article: bool) -> bool:
         return False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and not _BESIDE.isdisjoint(_NAME_PART.findall(value)):
+        if key in ("class", "id") and not _BESIDE.isdisjoint(value.split()):
             return True
         if key == "role" and value in _ROLES or key == "aria-hidden" and value == "true":
             return True
@@ -64,16 +68,115 @@ def _beside(name: str, attributes: str, inside_article: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
 
 
+def _tokens(page: str) -> tuple[list[tuple[str, str, bool, str]], str]:
+    """(text before, name, whether an end tag, attributes) of each tag, and the text after the last.
+
+    Elements whose content is no markup are left out whole."""
+    out: list[tuple[str, str, bool, str]] = []
+    parts: list[str] = []
+    at, size = 0, len(page)
+    while at < size:
+        m = _TOKEN.search(page, at)
+        parts.append(page[at : m.start()] if m else page[at:])
+        if not m:
+            break
+        at = m.end()
+        name = (m.group(2) or m.group(5) or "").lower()
+        if not name:
+            continue
+        ending, attributes = bool(m.group(1) or m.group(4)), m.group(3) or m.group(6) or ""
+        if not ending and name in _RAW and not attributes.endswith("/"):
+            end = re.compile(rf"</{name}(?![A-Za-z0-9:-])[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = end.end() if end else size
+            continue
+        out.append(("".join(parts), name, ending, attributes))
+        parts = []
+    return out, "".join(parts)
+
+
+def _ends(tokens: list[tuple[str, str, bool, str]]) -> tuple[dict[int, int], set[int]]:
+    """For each start tag, the token where the page goes on after its element; those with an end tag.
+
+    An element ends with its end tag, with a sibling that closes it, or with its parent."""
+    ends: dict[int, int] = {}
+    owned: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    held: dict[str, int] = {}  # open elements by name
+
+    def pop(at: int) -> None:
+        name, k = stack.pop()
+        held[name] -= 1
+        ends[k] = at
+
+    for i, (_, name, ending, attributes) in enumerate(tokens):
+        if ending:
+            if not held.get(name):
+                continue
+            j = len(stack) - 1
+            while stack[j][0] != name and (name in _BLOCKS or name in _NEVER or stack[j][0] not in _BLOCKS):
+                j -= 1
+            if stack[j][0] == name:  # an inline end tag does not reach over a block
+                while len(stack) > j + 1:
+                    pop(i)
+                owned.add(stack[-1][1])
+                pop(i + 1)
+            continue
+        closed = _SIBLINGS.get(name, ())
+        if any(held.get(n) for n in closed) or name in _BLOCKS and held.get("p"):
+            # What is closed lies above the nearest other block.
+            j, low = len(stack) - 1, len(stack)
+            while j >= 0 and (stack[j][0] in closed or stack[j][0] == "p" or stack[j][0] not in _BLOCKS):
+                if stack[j][0] in closed or stack[j][0] == "p" and name in _BLOCKS:
+                    low = j
+                j -= 1
+            while len(stack) > low:
+                pop(i)
+        if name not in _VOID and not attributes.endswith("/"):
+            stack.append((name, i))
+            held[name] = held.get(name, 0) + 1
+    while stack:
+        pop(len(tokens))
+    return ends, owned
+
+
 def blocks(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """(text, length without link text, whether in an article) of each block; if any is.
 
     A block that is links for the most part has no length."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    linked = at = article = links = 0
+    linked = article = links = 0
     any_article = False
-    skip, depth = "", 0  # the element being left out, and how many of its name are open
-    size = len(page)
+    tokens, rest = _tokens(page)
+    ends, owned = _ends(tokens)
+    n = len(tokens)
+    before = [0]
+    for text, *_ in tokens:
+        before.append(before[-1] + len(text.strip()))
+    total = before[-1] + len(rest.strip())
+    before.append(total)
+
+    def held(k: int) -> int:
+        """Characters in an element; what stands before the tag that closes it without an end tag is in it."""
+        return before[ends[k] if k in owned else ends[k] + 1] - before[k + 1]
+
+    # The outermost article with the most text.
+    main, most, k = -1, -1, 0
+    while k < n:
+        if tokens[k][1] in ("article", "main") and k in ends:
+            if held(k) > most:
+                main, most = k, held(k)
+            k = ends[k]
+        else:
+            k += 1
+
+    def needed(k: int) -> bool:
+        """Whether an element outside the article holds it, or the greater part of the text."""
+        if 0 <= main < k < ends[main]:
+            return False
+        if held(k) >= SURGE_CHARS and 2 * held(k) > total:
+            return True
+        return k < main < ends[k] and (tokens[k][1] not in _NEVER or tokens[k][1] in ("form", "fieldset", "dialog"))
 
     def close() -> None:
         nonlocal parts, linked
@@ -83,30 +186,19 @@ def blocks(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             out.append((text, own if 2 * own > len(text) else 0, article > 0))
         parts, linked = [], 0
 
-    while at < size:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text and not skip:
+    def add(text: str) -> None:
+        nonlocal linked
+        if text:
             parts.append(text)
             if links:
                 linked += len(text.strip())
-        if not m:
-            break
-        at = m.end()
-        name = (m.group(2) or m.group(5) or "").lower()
-        if not name:
-            continue
-        ending, attributes = bool(m.group(1) or m.group(4)), m.group(3) or m.group(6) or ""
-        if not ending and name in _RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{name}(?![A-Za-z0-9:-])[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else size
-            continue
-        if skip:
-            if name == skip and not attributes.endswith("/"):
-                depth += -1 if ending else 1
-                if not depth:
-                    skip = ""
-            continue
+
+    k, skipped = 0, False
+    while k < n:
+        text, name, ending, attributes = tokens[k]
+        if not skipped:
+            add(text)
+        skipped = False
         if name in _BLOCKS or name in _NEVER:
             close()
             links = 0
@@ -117,9 +209,14 @@ def blocks(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if name in ("article", "main"):
             article = max(0, article + (-1 if ending else 1))
             any_article = True
-        elif not ending and name not in _VOID and not attributes.endswith("/") and _beside(name, attributes, article > 0):
+        elif k in ends and _beside(name, attributes, article > 0) and not needed(k):
             close()
-            skip, depth = name, 1
+            # The tag that closes an element without an end tag is still to be read, the text before it not.
+            skipped, k = k not in owned, ends[k]
+            continue
+        k += 1
+    if not skipped:
+        add(rest)
     close()
     return out, any_article and any(x[2] for x in out)
 

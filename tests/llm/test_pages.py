@@ -28,6 +28,25 @@ def test_without_article():
     assert main_text("<p>tiny</p>") == "tiny" and main_text("no tags at all") == "no tags at all"
 
 
+def test_class_names_do_not_drop_the_article():
+    body = "<p>" + "long text of the page " * 10 + "</p>"
+    for start in ("<div class='content has-sidebar'>", "<div class='layout no-sidebar'>", "<div id='post-1' class='post tag-social'>", "<section class='legal'>", "<div class='widget'>", "<form>"):
+        tag = start[1:].split()[0].strip(">")
+        assert main_text(f"<body>{start}{body}</{tag}><div class='comments'>nice</div></body>").count("long text") == 10, start
+        assert main_text(f"<body>{start}<article>{body}<div class='comments'>nice</div></article></{tag}></body>") == ("long text of the page " * 10).strip(), start
+
+
+def test_optional_end_tags_end_what_is_left_out():
+    art = "<article><h1>T</h1><p>The text.</p></article>"
+    for page in (
+        f"<p class='notice'>x{art}", f"<ul><li class='nav'>a<li class='nav'>b</ul>{art}", f"<dl><dt class='ad'>a<dd class='ad'>b</dl>{art}", f"<table><tr class='ad'><td>x<td>y<tr class='ad'><td>z</table>{art}",
+        f"<section><div class='ad'><div>x</div></section>{art}", f"<div><p class='notice'>x</div>{art}", f"<select><option class='ad'>x</select>{art}",
+    ):
+        assert main_text(page) == "T\n\nThe text.", page
+    assert main_text("<article><ul><li class='ad'>a<li>b<li class='ad'>c</ul><p>d</p></article>") == "b\n\nd"
+    assert main_text("<article><p>b</p></article><p class='notice'>x") == "b"
+
+
 def test_regions():
     assert regions([0, 50, 0, 90, 0, 0, 0, 5], 3, 120) == [(1, 4)]
     assert regions([], 3, 1) == [] and regions([0, 0], 3, 1) == []
