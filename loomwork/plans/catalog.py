@@ -662,3 +662,64 @@ def r4_guardrails(v):
     items = v.items()
     members = items.select((F.col("label") % 50).alias("cluster_id"), "item_id", (F.substring("item_id", -1, 1)).alias("framework_id"), "embedding")
     return proposals.guardrails(proposals.centroids(members), v.vector_hubs().select("hub_id", "embedding"), budget=5)
+
+
+# --- the same questions over whole tables ------------------------------------------------------------
+# Those above ask them over parts, as their SQL does; these have no SQL, and tests hold them against brute force.
+
+
+def _whole_scope(v: Views) -> DataFrame:
+    return compare.in_scope(v.assignments(), v.controls())
+
+
+@query()
+def e7_equivalences_whole(v):
+    return compare.equivalences(_whole_scope(v), v.hubs())
+
+
+@query()
+def d5_pair_overlap_whole(v):
+    return compare.pair_overlap(_whole_scope(v))
+
+
+@query()
+def d6_related_siblings_whole(v):
+    return compare.related_siblings(_whole_scope(v), v.hubs())
+
+
+@query()
+def d7_gap_controls_whole(v):
+    return compare.gap_controls(_whole_scope(v), v.hubs())
+
+
+@query()
+def f11_knn_vote_whole(v):
+    near = v.items().select(F.col("item_id").alias("hub_id"), "embedding")
+    top = similarity.top_hubs(v.items(), near, 11).where("item_id <> hub_id").withColumnRenamed("hub_id", "neighbour_id").drop("rank")
+    labels = v.items().select(F.col("item_id").alias("neighbour_id"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("hub_id"))
+    return similarity.knn_vote(top.join(labels, "neighbour_id"), 10, 3).select("item_id", "hub_id", F.round("vote", 6).alias("vote"), "rank")
+
+
+@query()
+def h1_hub_classes_whole(v):
+    return proposals.classify_hubs(_links(v).withColumn("is_ai", F.col("framework_id") == "Brand#1"), v.hubs())
+
+
+def _every(v: Views) -> DataFrame:
+    return v.assignments().withColumn("reviewer_notes", F.lit(None).cast("string"))
+
+
+@query()
+def o3_apply_decisions_whole(v):
+    return review.apply_decisions(_every(v), _decisions(v)[1]).select("id", "control_id", "hub_id", "confidence", "review_status", "original_hub_id", "reviewer_notes")
+
+
+@query()
+def o2_update_status_whole(v):
+    up = _decisions(v)[1].where("status = 'reassigned'").select("id", F.lit("corrected").alias("status"), F.col("reviewer_hub_id").alias("corrected_hub_id"))
+    return review.update_status(_every(v), up).select("id", "hub_id", "confidence", "provenance", "review_status")
+
+
+@query()
+def q3_secret_scan_whole(v):
+    return quality.scan_secrets(v.table("documents").withColumnRenamed("doc_id", "id"))
