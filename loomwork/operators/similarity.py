@@ -66,14 +66,44 @@ def top_hubs(items: DataFrame, hubs: DataFrame, k: int) -> DataFrame:
 def similar_pairs(items: DataFrame, threshold: float, duplicate: float) -> DataFrame:
     """Unordered pairs at or over ``threshold``, in two tiers.
 
-    Candidates come from random-hyperplane buckets for large inputs elsewhere; here every pair
-    of a stated set is compared, in the plain plan.
+    Every pair of a stated small set is compared, in the plain plan; ``similar_to`` compares a
+    part of a table with all of it.
     """
     a, b = items.select(F.col("item_id").alias("id_a"), F.col("embedding").alias("ea")), items.select(F.col("item_id").alias("id_b"), F.col("embedding").alias("eb"))
     pairs = a.join(b, F.col("id_a") < F.col("id_b")).withColumn("sim", dot(F.col("ea"), F.col("eb"))).where(F.col("sim") >= threshold)
     return pairs.select("id_a", "id_b", F.round("sim", 6).alias("sim"), F.when(F.col("sim") >= duplicate, "duplicate").otherwise("similar").alias("tier"))
 
 
+def similar_to(items: DataFrame, threshold: float, duplicate: float) -> DataFrame:
+    """As ``similar_pairs``, of the rows that are ``asked`` with all rows (item_id, embedding,
+    asked), block by block of asked rows."""
+    spark = items.sparkSession
+    asked = items.where("asked").select("item_id", "embedding")
+    blocks = max(1, -(-asked.count() // HUB_BLOCK))
+    kind = items.schema["item_id"].dataType.simpleString()
+    found = None
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).toPandas()
+        shared = spark.sparkContext.broadcast((part["item_id"].to_numpy(), np.stack(part["embedding"]).astype(np.float64) if len(part) else np.zeros((0, 0))))
+
+        def near(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, matrix = shared.value
+            for pdf in (whole.iloc[k : k + 500] for whole in batches for k in range(0, len(whole), 500)):
+                if not len(names):
+                    continue
+                sims = np.stack(pdf["embedding"]).astype(np.float64) @ matrix.T
+                row, col = np.nonzero(sims >= threshold)
+                mine, other = pdf["item_id"].to_numpy()[row], names[col]
+                # Two asked rows meet twice: the pair counts once.
+                keep = np.where(pdf["asked"].to_numpy()[row].astype(bool), other < mine, True)
+                yield pd.DataFrame({"x": other[keep], "y": mine[keep], "sim": sims[row, col][keep]})
+
+        out = items.select("item_id", "embedding", "asked").mapInPandas(near, f"x {kind}, y {kind}, sim double")
+        found = out if found is None else found.unionByName(out)
+    tier = F.when(F.col("sim") >= duplicate, "duplicate").otherwise("similar").alias("tier")
+    return found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.round("sim", 6).alias("sim"), tier)
+
+
 def knn_vote(sims: DataFrame, neighbours: int, keep: int) -> DataFrame:
     """Votes of an item's nearest labelled neighbours: sums of positive similarity by hub."""
     near = top_k(sims, neighbours, other="neighbour_id")

@@ -700,6 +700,12 @@ def f11_knn_vote_whole(v):
     return similarity.knn_vote(top.join(labels, "neighbour_id"), 10, 3).select("item_id", "hub_id", F.round("vote", 6).alias("vote"), "rank")
 
 
+@query()
+def d12_similar_pairs_whole(v):
+    rows = v.table("embeddings").select(F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("item_id"), "embedding", (F.col("vec_id") % 100 == 0).alias("asked"))
+    return similarity.similar_to(rows, 0.05, 0.15)
+
+
 @query()
 def h1_hub_classes_whole(v):
     return proposals.classify_hubs(_links(v).withColumn("is_ai", F.col("framework_id") == "Brand#1"), v.hubs())

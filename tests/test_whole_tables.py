@@ -63,6 +63,23 @@ def test_knn_vote(spark):
         assert abs(best[r.item_id, 1] - max(votes.values())) < 2e-6
 
 
+def test_similar_pairs(spark, monkeypatch):
+    from loomwork.operators import similarity
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in rows], float)
+    sims, ids = x @ x.T, [f"V{r.vec_id}" for r in rows]
+    want = {}
+    for i, r in enumerate(rows):
+        if r.vec_id % 100 == 0:
+            want |= {tuple(sorted((ids[i], ids[j]))): sims[i, j] for j in range(len(rows)) if j != i and sims[i, j] >= 0.05}
+    for block in (20_000, 2):
+        monkeypatch.setattr(similarity, "HUB_BLOCK", block)
+        got = run(spark, "d12_similar_pairs_whole")
+        assert len(got) == len(want) and {(r.id_a, r.id_b) for r in got} == set(want)
+        assert all(abs(r.sim - want[r.id_a, r.id_b]) < 2e-6 and (r.tier == "duplicate") == (want[r.id_a, r.id_b] >= 0.15) for r in got)
+
+
 def test_classes_and_review(spark, tables):
     kinds = defaultdict(set)
     for r in tables["a"]:
