@@ -19,6 +19,8 @@ from ..functions.vectors import dot
 
 #: Hubs in one broadcast matrix; more are worked through in blocks.
 HUB_BLOCK = 20_000
+#: Items multiplied with a block at once.
+ROWS = 256
 
 
 def similarities(items: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -50,8 +52,8 @@ def top_hubs(items: DataFrame, hubs: DataFrame, k: int) -> DataFrame:
 
         def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             names, matrix = shared.value
-            for pdf in batches:
-                if not len(pdf) or not len(names):
+            for pdf in (whole.iloc[k : k + ROWS] for whole in batches for k in range(0, len(whole), ROWS)):
+                if not len(names):
                     continue
                 sims = np.stack(pdf["embedding"]).astype(np.float64) @ matrix.T
                 order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
@@ -88,7 +90,7 @@ def similar_to(items: DataFrame, threshold: float, duplicate: float) -> DataFram
 
         def near(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             names, matrix = shared.value
-            for pdf in (whole.iloc[k : k + 500] for whole in batches for k in range(0, len(whole), 500)):
+            for pdf in (whole.iloc[k : k + ROWS] for whole in batches for k in range(0, len(whole), ROWS)):
                 if not len(names):
                     continue
                 sims = np.stack(pdf["embedding"]).astype(np.float64) @ matrix.T
