@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 SEED = np.uint64(0x9E3779B97F4A7C15)
 _MULT = np.uint64(0x100000001B3)
+#: Ids up to this number (16 MB) are sent to the scan of the texts; more are joined by shuffle.
+SENT_IDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,18 +27,33 @@ def fold(id_col: Column, k: int) -> Column:
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new folder that the driver and every executor can reach.
 
-    It lies in ``spark.checkpoint.dir`` when the cluster names one, else under the warehouse.
+    It lies in ``spark.checkpoint.dir``; in local mode, where that may be unset, in the warehouse.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/loomwork-{what}-{uuid.uuid4().hex}"
 
 
-def persisted(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to a shared folder and read back: lineage ends and nothing runs twice."""
+def kept(df: DataFrame, what: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` written to a shared folder and read back (lineage ends, nothing runs twice), and a
+    function that deletes the folder, to be called when all that reads it has been written."""
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+
+    def drop() -> None:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
+def persisted(df: DataFrame, what: str) -> DataFrame:
+    """As ``kept``, for what the returned rows themselves still read."""
+    return kept(df, what)[0]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

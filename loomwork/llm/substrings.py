@@ -3,16 +3,24 @@ of sampled suffixes.
 
 Sorting every suffix of a corpus would shuffle many times its size, so suffixes are sampled by
 content: of each 200-byte window the 64-byte gram with the least hash is its anchor.  Equal
-windows have equal anchors, so a window that occurs twice has an anchor that occurs twice, and
-only anchors that do (with the bytes around them that a window can reach) go on.  Around those,
-all suffixes are refined: buckets of 50-byte grams, then of pairs of bucket numbers 50 bytes
-apart, then of pairs of those 100 bytes apart.  Positions alone in their bucket drop out at
-each step; what remains starts twice.
-
-Hot groups: equal texts are one entity, and a text with a copy is removed whole without looking
-inside; equal anchors, and equal surroundings of an anchor, are counted inside each task before
-any shuffle, so a task sends on one of each; anchors beyond ``HOT`` are split by what stands
-next to them.  Grams are compared by 64-bit hashes.
+windows have equal anchors, so a window that occurs twice has an anchor that occurs twice.  All
+that a window around an anchor can reach (136 bytes before the gram, 136 after) is its context.
+
+Buckets are refined from coarse to fine, and only what a step leaves open goes on:
+
+1. Anchors are dealt by their gram.  Grams met once drop out.
+2. What is left is dealt by gram and context hash.  Equal contexts are settled at once: all of
+   the context repeats.  Of each context, one place stands for the others from here on.
+3. Grams with different contexts: the bytes of each context are fetched, and all their suffixes
+   are refined together: buckets of 50-byte grams, then of pairs of bucket numbers 50 bytes
+   apart, then of pairs of those 100 bytes apart.  Positions alone in their bucket drop out at
+   each step; what remains starts twice.
+4. Grams with more than ``HOT`` different contexts never meet in one task: each of their windows
+   is dealt by its own hash.
+
+Hot groups: a task settles what its own chunk holds twice before any shuffle and sends on one row
+of it, so a group has at most one row a chunk.  Texts move only where they must: those with a
+context still open, and those of which a part stays.  Strings are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,16 +34,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import inverse_power, mixed, persisted, powers, times_seed, utf8
+from .common import SEED, SENT_IDS, inverse_power, kept, mixed, powers, times_seed, utf8
 
 LENGTH = 200
 GRAM = 64
+REACH = LENGTH - GRAM
 FIRST = 50
-#: Occurrences beyond which an anchor's group is split by its neighbours' bytes.
+#: Different contexts of a gram beyond which its windows are dealt one by one.
 HOT = 5000
-#: Bytes of surroundings that are refined together.
+#: Bytes of contexts that are refined together.
 BATCH_BYTES = 2 << 20
-_PLACE_BITS = 28
+#: Anchors that a task gathers before it settles what it holds twice.
+CHUNK_ANCHORS = 400_000
+#: Bytes of a text that are looked at together (longer texts in overlapping parts).
+PART_BYTES = 4 << 20
+_PLACE_BITS = 24
+
+
+def prefix_sums(raw: np.ndarray) -> np.ndarray:
+    value = raw.astype(np.uint64) + np.uint64(1)
+    value *= powers(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    return total
 
 
 def gram_hashes(raw: np.ndarray, q: int) -> np.ndarray:
@@ -43,34 +64,61 @@ def gram_hashes(raw: np.ndarray, q: int) -> np.ndarray:
     n = len(raw)
     if n < q:
         return np.zeros(0, np.uint64)
-    value = raw.astype(np.uint64) + np.uint64(1)
-    value *= powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(value, out=total[1:])
+    return _gram_hashes(prefix_sums(raw), q)
+
+
+def _gram_hashes(total: np.ndarray, q: int) -> np.ndarray:
+    n = len(total) - 1
     out = total[q:] - total[:-q]
     out *= powers(n + 1)[q : n + 1][::-1]
     out *= inverse_power(n)
     return mixed(out)
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are the least (leftmost on ties) of some window."""
-    n, w = len(raw), length - gram + 1
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = gram_hashes(raw, gram)
+def range_hashes(total: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of the bytes lo to hi of each range, wherever they stand."""
+    n = len(total) - 1
+    out = (total[hi] - total[lo]) * powers(n + 1)[n - lo] * inverse_power(n)
+    return mixed(out ^ ((hi - lo).astype(np.uint64) * SEED))
+
+
+def least_grams(h: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """For each window of ``length`` bytes, the place of its gram of least hash (leftmost on ties)."""
+    w = length - gram + 1
+    count = len(h) - w + 1
+    if count < 1:
+        return np.zeros(0, np.int64)
     low = np.uint64((1 << _PLACE_BITS) - 1)
     ranked = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    size = -(-len(h) // w) * w
-    padded = np.full(size, np.uint64(0xFFFFFFFFFFFFFFFF))
+    padded = np.full(-(-len(h) // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
     padded[: len(h)] = ranked
     grid = padded.reshape(-1, w)
     before = np.minimum.accumulate(grid, axis=1).reshape(-1)
     after = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    least = np.minimum(after[: n - length + 1], before[w - 1 : w - 1 + n - length + 1])
-    at = (least[np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))] & low).astype(np.int64)
-    at = np.unique(at)
-    return at, h[at]
+    return (np.minimum(after[:count], before[w - 1 : w - 1 + count]) & low).astype(np.int64)
+
+
+def anchors(data: bytes, part_bytes: int = PART_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the grams that are the least of some window, their hashes, and their contexts'."""
+    n = len(data)
+    at, key, context = [], [], []
+    for first in range(0, n - LENGTH + 1, part_bytes):
+        # The windows that start in [first, first + part_bytes), and the contexts of their grams.
+        base = max(0, first - REACH)
+        stop = min(n, first + part_bytes + LENGTH - 1)
+        raw = np.frombuffer(data, np.uint8, min(n, stop + LENGTH) - base, base)
+        total = prefix_sums(raw)
+        h = _gram_hashes(total, GRAM)
+        least = least_grams(h[first - base : stop - base - GRAM + 1]) + (first - base)
+        here = np.unique(least)
+        lo, hi = np.maximum(here - REACH, 0), np.minimum(here + LENGTH, len(raw))
+        at.append(here + base)
+        key.append(h[here])
+        context.append(mixed(range_hashes(total, lo, hi) ^ ((here - lo).astype(np.uint64) * times_seed(3))))
+    if not at:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    place, once = np.unique(np.concatenate(at), return_index=True)
+    return place, np.concatenate(key)[once], np.concatenate(context)[once]
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,64 +175,87 @@ def merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(x, y) for x, y in out]
 
 
-def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """key, salt, w, t, pos, n: anchors met once in a batch; of the others, one row for all that
-    counts them, and each with a salt of its own (it is known to be repeated)."""
+#: What a row says of its place: met once in its chunk; its context is settled; its gram has
+#: several contexts in the chunk; that a chunk holds such a gram (a row for each, no place).
+PLAIN, SETTLED, OPEN, MARK = range(4)
+_ANCHOR = "key long, c long, flag byte, salt int, w long, t int, pos int, right short, n byte"
+
+
+def _anchor_chunk(key: np.ndarray, c: np.ndarray, w: np.ndarray, t: np.ndarray, pos: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+    order = np.lexsort((c, key))
+    key, c, w, t, pos, right = (x[order] for x in (key, c, w, t, pos, right))
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    new = new_key | np.concatenate([[True], c[1:] != c[:-1]])
+    n = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1]
+    contexts = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_key))
+    several = (contexts > 1)[np.cumsum(new_key) - 1]
+    flag = np.where(new, np.where(several, OPEN, PLAIN), SETTLED).astype(np.int8)
+    spread = (mixed(w.view(np.uint64) ^ (pos.astype(np.uint64) * times_seed(1))) >> np.uint64(33)).astype(np.int32) | 1
+    rows = pd.DataFrame({"key": key.view(np.int64), "c": c.view(np.int64), "flag": flag, "salt": np.where(flag == PLAIN, 0, spread).astype(np.int32),
+                         "w": w, "t": t, "pos": pos.astype(np.int32), "right": right.astype(np.int16), "n": np.minimum(n, 2).astype(np.int8)})
+    marks = rows[new_key & several].assign(flag=np.int8(MARK), salt=np.int32(0), n=np.int8(2), w=0, t=np.int32(0), pos=np.int32(-1), c=0)
+    return pd.concat([rows, marks]) if len(marks) else rows
+
+
+def _anchor_rows(batches: Iterator[pd.DataFrame], chunk: int, part_bytes: int) -> Iterator[pd.DataFrame]:
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for pdf in batches:
+        for text, w, t in zip(pdf["text"], pdf["w"], pdf["t"], strict=True):
+            data = utf8(text)
+            at, key, c = anchors(data, part_bytes)
+            held.append((key, c, np.full(len(at), w, np.int64), np.full(len(at), t, np.int32), at, np.minimum(len(data) - at, LENGTH)))
+            size += len(at)
+            if size >= chunk:
+                yield _anchor_chunk(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [], 0
+    if size:
+        yield _anchor_chunk(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """key, text (the bytes of a context), w, t, lo for each open place of a text."""
     for pdf in batches:
-        for lo in range(0, len(pdf), 500):
-            part = pdf.iloc[lo : lo + 500]
-            found = [anchors(np.frombuffer(utf8(t), np.uint8)) for t in part["text"]]
-            many = np.array([len(x) for x, _ in found])
-            if not many.sum():
-                continue
-            pos, key = np.concatenate([x for x, _ in found]), np.concatenate([h for _, h in found])
-            w, t = np.repeat(part["w"].to_numpy(), many), np.repeat(part["t"].to_numpy(), many)
-            inverse, counts = _grouped(key)
-            n = counts[inverse]
-            salt = np.where(n > 1, mixed(w.view(np.uint64) ^ (pos.astype(np.uint64) * times_seed(1))).view(np.int64) | 1, 0)
-            one = np.unique(inverse, return_index=True)[1][counts > 1]
-            key = key.view(np.int64)
-            rows = pd.DataFrame({"key": key, "salt": salt, "w": w, "t": t, "pos": pos, "n": n})
-            marks = pd.DataFrame({"key": key[one], "salt": 0, "w": 0, "t": 0, "pos": -1, "n": n[one]})
-            yield pd.concat([rows, marks])
-
-
-_CONTEXT = "key long, salt long, text binary, n int, w long, t long, lo int, a int, b int"
-_NAMES = ["key", "salt", "text", "n", "w", "t", "lo", "a", "b"]
-
-
-def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What a window with the anchor can reach, in two groups (by the bytes to the left and to
-    the right) if the anchor is hot.  Surroundings that a batch holds twice are settled at once
-    (ranges a to b, salted); one of them goes on, counted."""
-    reach = LENGTH - GRAM
-    for pdf in (whole.iloc[k : k + 2000] for whole in batches for k in range(0, len(whole), 2000)):
-        groups: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+        rows = []
         for text, w, t, spots in zip(pdf["text"], pdf["w"], pdf["t"], pdf["spots"], strict=True):
             data = utf8(text)
             for s in spots:
-                pos, key = s["pos"], s["key"]
-                lo, hi = max(0, pos - reach), min(len(data), pos + LENGTH)
-                around = data[lo:hi]
-                if s["hot"]:
-                    left, right = data[max(0, pos - reach // 2) : pos], data[pos + GRAM : pos + GRAM + reach // 2]
-                    for side, near in ((1, left), (2, right)):
-                        if len(near) == reach // 2:
-                            groups.setdefault((_subkey(key, side, near), around), []).append((w, t, lo))
-                else:
-                    groups.setdefault((key, around), []).append((w, t, lo))
-        rows = []
-        for (key, around), members in groups.items():
-            w, t, lo = members[0]
-            if len(members) > 1:
-                for w, t, lo in members:
-                    rows.append((key, (w ^ lo) | 1, None, 0, w, t, lo, lo, lo + len(around)))
-            rows.append((key, 0, around, min(len(members), 2), w, t, lo, 0, 0))
-        yield pd.DataFrame(rows, columns=_NAMES)
-
+                lo = max(0, s["pos"] - REACH)
+                rows.append((s["key"], data[lo : s["pos"] + LENGTH], w, t, lo))
+                if len(rows) >= 20_000:
+                    yield pd.DataFrame(rows, columns=["key", "text", "w", "t", "lo"])
+                    rows = []
+        yield pd.DataFrame(rows, columns=["key", "text", "w", "t", "lo"])
+
+
+def _windows(batches: Iterator[pd.DataFrame], chunk: int) -> Iterator[pd.DataFrame]:
+    """h, salt, w, t, start, n: the windows of each open place whose anchor it is; those that a
+    chunk holds twice are salted (and settled), but for one of them."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def flush() -> pd.DataFrame:
+        h, w, t, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, one, inverse, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        first = np.zeros(len(h), bool)
+        first[one] = True
+        spread = (mixed(w.view(np.uint64) ^ (start.astype(np.uint64) * times_seed(1))) >> np.uint64(33)).astype(np.int32) | 1
+        return pd.DataFrame({"h": h.view(np.int64), "salt": np.where(first, 0, spread), "w": w, "t": t, "start": start, "n": np.minimum(counts[inverse], 2)})
 
-def _subkey(key: int, side: int, near: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(near, digest_size=8, key=f"{key}:{side}".encode()).digest(), "little", signed=True)
+    for pdf in batches:
+        for text, w, t, spots in zip(pdf["text"], pdf["w"], pdf["t"], pdf["spots"], strict=True):
+            data = utf8(text)
+            for s in spots:
+                lo = max(0, s["pos"] - REACH)
+                total = prefix_sums(np.frombuffer(data[lo : s["pos"] + LENGTH], np.uint8))
+                start = np.flatnonzero(least_grams(_gram_hashes(total, GRAM)) == s["pos"] - lo)
+                held.append((range_hashes(total, start, start + LENGTH), np.full(len(start), w, np.int64), np.full(len(start), t, np.int32), start + lo))
+                size += len(start)
+                if size >= chunk:
+                    yield flush()
+                    held, size = [], 0
+    if size:
+        yield flush()
 
 
 def stretches(parts: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:
@@ -207,110 +278,124 @@ def stretches(parts: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int,
     return out
 
 
-def _ranges(batches: Iterator[pd.DataFrame], batch_bytes: int) -> Iterator[pd.DataFrame]:
-    """w, t, a, b from surroundings sorted by key and bytes.
-
-    Equal surroundings of a key stand together and are settled as they pass; the different ones
-    of whole keys are refined in batches.
-    """
-    out: list[tuple[int, int, int, int]] = []
+def _refined(batches: Iterator[pd.DataFrame], batch_bytes: int) -> Iterator[pd.DataFrame]:
+    """w, t, a, b from contexts sorted by key: those of whole keys are refined in batches."""
     parts: list[tuple[int, int, int, bytes]] = []
-    held, last_key, last, settled = 0, None, None, False
+    held, last_key = 0, None
 
-    def flush() -> None:
-        nonlocal parts, held
+    def flush() -> pd.DataFrame:
         whole = stretches(parts)
-        for (w, t, lo, _), positions in zip(whole, refine([x[3] for x in whole]), strict=True):
-            out.extend((w, t, lo + a, lo + b) for a, b in covered(positions))
-        parts, held = [], 0
+        out = [(w, t, lo + a, lo + b) for (w, t, lo, _), at in zip(whole, refine([x[3] for x in whole]), strict=True) for a, b in covered(at)]
+        return pd.DataFrame(out, columns=["w", "t", "a", "b"])
 
     for pdf in batches:
-        for key, salt, text, n, w, t, lo, a, b in zip(*(pdf[c] for c in _NAMES), strict=True):
-            if salt:
-                out.append((w, t, a, b))
-                continue
-            if key == last_key and text == last[3]:
-                if not settled:
-                    out.append((*last[:3], last[2] + len(text)))
-                    settled = True
-                out.append((w, t, lo, lo + len(text)))
-                continue
+        for key, text, w, t, lo in zip(*(pdf[c] for c in ("key", "text", "w", "t", "lo")), strict=True):
             if key != last_key and held >= batch_bytes:
-                flush()
-            last_key, last, settled = key, (w, t, lo, text), n > 1
-            parts.append(last)
+                yield flush()
+                parts, held = [], 0
+            last_key = key
+            parts.append((w, t, lo, text))
             held += len(text)
-        if len(out) > 10_000:
-            yield pd.DataFrame(out, columns=["w", "t", "a", "b"])
-            out = []
     if parts:
-        flush()
-    yield pd.DataFrame(out, columns=["w", "t", "a", "b"])
+        yield flush()
 
 
-def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for text, ranges in zip(pdf["text"], pdf["ranges"], strict=True):
-            data = utf8(text)
-            runs = merged(np.array([r["a"] for r in ranges]), np.array([r["b"] for r in ranges]))
-            at, parts = 0, []
-            for a, b in runs:
-                parts.append(data[at:a])
+        found = [merged(np.array([r["a"] for r in x]), np.array([r["b"] for r in x])) for x in pdf["ranges"]]
+        yield pd.DataFrame({"w": pdf["w"], "t": pdf["t"], "n_removed": [sum(b - a for a, b in x) for x in found], "n_spans": [len(x) for x in found],
+                            "runs": [[y for r in x for y in r] for x in found]})
+
+
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for text, runs in zip(pdf["text"], pdf["runs"], strict=True):
+            data, at, digest = utf8(text), 0, hashlib.sha256()
+            for a, b in zip(runs[::2], runs[1::2], strict=True):
+                digest.update(data[at:a])
                 at = b
-            parts.append(data[at:])
-            rows.append((sum(b - a for a, b in runs), len(runs), hashlib.sha256(b"".join(parts)).hexdigest(), [x for r in runs for x in r]))
-        out = pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256", "runs"])
-        yield out.assign(w=pdf["w"].to_numpy(), t=pdf["t"].to_numpy())
+            digest.update(data[at:])
+            out.append(digest.hexdigest())
+        yield pd.DataFrame({"w": pdf["w"], "t": pdf["t"], "kept_sha256": out})
 
 
-def repeated_ranges(rows: DataFrame, groups: DataFrame, hot: int, batch_bytes: int) -> DataFrame:
-    """w, t, a, b: byte ranges of texts without a copy that repeated strings cover.
+def _with_texts(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """``other`` (w, t, ...; a row a text) joined with the texts.  A list of few enough names goes
+    to the scan, so that other texts do not move; a longer one meets them in a shuffle."""
+    texts = rows.select("w", "t", "text")
+    names = other.select("w", "t")
+    if names.count() <= SENT_IDS:
+        texts = texts.join(F.broadcast(names), ["w", "t"], "left_semi")
+    return texts.join(other, ["w", "t"])
 
-    ``rows``: w, t (two hashes that name a row's text), text.  ``groups``: t, sha, c, w (of one
-    row of each distinct text).  Anchors met more than ``hot`` times are split, and
-    whole groups are refined together up to ``batch_bytes``.
+
+def repeated_ranges(rows: DataFrame, hot: int, batch_bytes: int, chunk: int, part_bytes: int) -> DataFrame:
+    """w, t, a, b: byte ranges of texts that repeated strings cover.
+
+    ``rows``: w, t (two hashes that name a row's id and text), text.
     """
+    spark = rows.sparkSession
     long = rows.where(F.octet_length("text") >= LENGTH)
-    found = long.mapInPandas(_anchor_rows, "key long, salt long, w long, t long, pos int, n int")
-    # At most a row of each batch for a key: members of a batch's groups have salts of their own.
-    total = F.sum("n").over(Window.partitionBy("key", "salt")).alias("total")
-    counted = found.select("*", total)
-    # A salted row knows its batch's count only, the mark of that batch the whole corpus's.  At
-    # most one key in ``hot`` anchors is listed; all columns are named, so that both readers of
-    # ``counted`` share its shuffle.
-    split = counted.where(f"total > {hot} AND pos < 0 AND w = 0 AND t = 0").select("key", F.lit(True).alias("listed")).distinct()
-    repeated = counted.where("total > 1 AND pos >= 0").join(F.broadcast(split), "key", "left")
-    repeated = repeated.select("key", "w", "t", "pos", (F.col("listed").isNotNull() | (F.col("total") > hot)).alias("hot"))
-    reps = groups.select("w", "t")
-    spots = repeated.join(reps, ["w", "t"], "left_semi").groupBy("w", "t").agg(F.collect_list(F.struct("pos", "key", "hot")).alias("spots"))
-    around = long.join(spots, ["w", "t"]).mapInPandas(_surroundings, _CONTEXT)
-    ordered = around.repartition("key", "salt").sortWithinPartitions("key", "salt", "text")
-    return ordered.mapInPandas(partial(_ranges, batch_bytes=batch_bytes), "w long, t long, a int, b int")
-
-
-def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    found = long.mapInPandas(partial(_anchor_rows, chunk=chunk, part_bytes=part_bytes), _ANCHOR)
+    # Grams: a chunk has one row of a gram at most without a salt.
+    gram = Window.partitionBy("key", "salt")
+    several = (F.max("flag").over(gram) == MARK) | (F.min("c").over(gram) != F.max("c").over(gram))
+    met = found.select("*", F.sum("n").over(gram).alias("total"), several.alias("several")).where(f"pos >= 0 AND (total > 1 OR flag IN ({SETTLED}, {OPEN}))")
+    met = met.select("key", "c", F.when(F.col("flag") == SETTLED, F.col("salt")).otherwise(0).alias("salt"), "w", "t", "pos", "right", "n", F.when(F.col("flag") == OPEN, True).otherwise(F.col("several")).alias("several"))
+    # Contexts: again one row a chunk; the first place stands for the others.
+    context = Window.partitionBy("key", "c", "salt")
+    first = F.row_number().over(context.orderBy("w", "t", "pos")) == 1
+    places = met.select("key", "w", "t", "pos", "right", ((F.col("salt") != 0) | (F.sum("n").over(context) > 1)).alias("settled"),
+                        ((F.col("salt") == 0) & F.col("several") & first).alias("open"))
+    places, drop_places = kept(places, "places")
+    opened = places.where("open").select("key", "w", "t", "pos")
+    # Written first: its size is known, so Spark broadcasts it while it is small and splits hot keys beyond.
+    hot_keys, drop_keys = kept(opened.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("key", F.lit(True).alias("hot")), "hot")
+    spots, drop_spots = kept(opened.join(hot_keys, "key", "left").select("key", "w", "t", "pos", F.coalesce("hot", F.lit(False)).alias("hot")), "spots")
+
+    def by_text(part: DataFrame) -> DataFrame:
+        return _with_texts(long, part.groupBy("w", "t").agg(F.collect_list(F.struct("pos", "key")).alias("spots")))
+
+    around = by_text(spots.where("NOT hot")).mapInPandas(_contexts, "key long, text binary, w long, t int, lo int")
+    ranges = around.repartition("key").sortWithinPartitions("key").mapInPandas(partial(_refined, batch_bytes=batch_bytes), "w long, t int, a int, b int")
+    if not spots.where("hot").isEmpty():
+        windows = by_text(spots.where("hot")).mapInPandas(partial(_windows, chunk=chunk), "h long, salt int, w long, t int, start int, n int")
+        counted = windows.select("*", F.sum("n").over(Window.partitionBy("h", "salt")).alias("total")).where("salt <> 0 OR total > 1")
+        ranges = ranges.union(counted.select("w", "t", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b")))
+    ranges = ranges.union(places.where("settled").select("w", "t", F.greatest(F.col("pos") - REACH, F.lit(0)).alias("a"), (F.col("pos") + F.col("right")).cast("int").alias("b")))
+    listed = ranges.groupBy("w", "t").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    runs, _ = kept(listed.mapInPandas(_runs, "w long, t int, n_removed long, n_spans long, runs array<int>"), "runs")
+    for drop in (drop_spots, drop_keys, drop_places):
+        drop()
+    return runs
+
+
+def remove_repeated(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, batch_bytes: int = BATCH_BYTES, chunk: int = CHUNK_ANCHORS, part_bytes: int = PART_BYTES,
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``runs`` (start, end, start, ... of
-    the removed bytes; null if all are removed) for each row of ``docs``.
-
-    A null text is empty and a text of fewer than 200 bytes keeps all.  Repeated rows are copies
-    of each other.  Other columns are ignored.  ``hot`` (``HOT`` if not given) and
-    ``batch_bytes`` change how the work is dealt, not the result.
-    """
+    the removed bytes; null if none are) for each row of ``docs``.
+
+    A null text is empty and a text of fewer than 200 bytes keeps all.  Repeated rows, of one id
+    or several, are copies of each other and lose all their bytes if they have 200.  Ties (equal
+    strings) have no order: every one goes.  Very long texts are read in overlapping parts of
+    ``part_bytes``.  A null id is an id like others.  Other columns are ignored, and an empty
+    table gives no rows.  ``hot``, ``batch_bytes``, ``chunk`` and ``part_bytes`` change how the
+    work is dealt, not the result.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("w"), F.xxhash64("text").alias("t"), "text")
-    facts = persisted(rows.select("doc_id", "w", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "facts")
-    groups = persisted(facts.where(F.col("n_bytes") >= LENGTH).groupBy("sha", "t").agg(F.count("*").alias("c"), F.min("w").alias("w")), "texts")
-    ranges = persisted(repeated_ranges(rows.drop("doc_id"), groups, HOT if hot is None else hot, batch_bytes), "ranges")
-    single = ranges.join(groups.where("c = 1").select("w", "t"), ["w", "t"], "left_semi")
-    listed = single.groupBy("w", "t").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    cut = rows.drop("doc_id").join(listed, ["w", "t"]).mapInPandas(_kept, "n_removed long, n_spans long, kept_sha256 string, runs array<int>, w long, t long")
-    copies = groups.where("c > 1").select("sha", "c")
-    out = facts.join(cut, ["w", "t"], "left").join(copies, "sha", "left")
-    whole, zero = F.col("c").isNotNull(), F.lit(0).cast("long")
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("w"), F.hash("text").alias("t"), "text")
+    runs = repeated_ranges(rows.drop("doc_id"), hot, batch_bytes, chunk, part_bytes)
+    facts, _ = kept(rows.select("doc_id", "w", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "facts")
+    parts = runs.join(facts.select("w", "t", "n_bytes").distinct(), ["w", "t"]).where("n_removed < n_bytes").select("w", "t", "runs")
+    # Rows of one id and text are copies: nothing of them stays, so a row of ``parts`` has one text.
+    cut = _with_texts(rows, parts).mapInPandas(_hashed, "w long, t int, kept_sha256 string")
+    out = facts.join(runs.join(cut, ["w", "t"], "left"), ["w", "t"], "left")
+    zero = F.lit(0).cast("long")
     return out.select(
-        "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
-        F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), F.when(~whole, F.col("runs")).alias("runs"),
+        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
+        F.when(F.col("n_removed").isNull(), F.col("sha")).when(F.col("n_removed") == F.col("n_bytes"), F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        "runs",
     )
