@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import shared_path
 from .tokens import encoder
@@ -132,10 +133,20 @@ class TokenFile:
         return value
 
     def ends(self) -> np.ndarray:
-        """All boundaries at once."""
-        place = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
-        out = (place - np.arange(self.n)) << self.low
-        if self.low and self.n:
+        """All boundaries, found from the select samples: each gives the place of its set bit,
+        and those up to the next sample lie between the two."""
+        size = len(self.high) * 8
+        places = []
+        for k, at in enumerate(self.select.tolist()):
+            stop = int(self.select[k + 1]) if k + 1 < len(self.select) else size
+            bits = np.unpackbits(np.frombuffer(self.high[at // 8 : -(-stop // 8)], np.uint8), bitorder="little")
+            places.append(np.flatnonzero(bits[at % 8 : stop - at // 8 * 8]) + at)
+            if len(places[-1]) != min(SELECT_STEP, self.n - k * SELECT_STEP):
+                raise ValueError("a token file's select samples do not fit its boundaries")
+        if not places:
+            return np.zeros(0, np.int64)
+        out = (np.concatenate(places) - np.arange(self.n)) << self.low
+        if self.low:
             bits = np.unpackbits(np.frombuffer(self.low_bits, np.uint8), count=self.n * self.low, bitorder="little")
             out = out | (bits.reshape(self.n, self.low).astype(np.int64) << np.arange(self.low)).sum(1)
         return out
@@ -153,6 +164,20 @@ class TokenFile:
         return self.ids()[self.offset(i) : self.offset(i + 1)]
 
 
+def store_uri(spark: SparkSession, path: str) -> str:
+    """``path`` as Spark resolves it (a folder without a scheme is the default file system's), in
+    the form that pyarrow's file systems take."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    scheme, rest = uri.split(":", 1)
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    uri = ("s3" if scheme in ("s3a", "s3n") else scheme) + ":" + rest
+    if scheme not in ("hdfs", "viewfs", "s3", "s3a", "s3n", "gs", "abfs", "abfss"):
+        raise ValueError(f"token files cannot be written to {scheme}: folders")
+    return uri
+
+
 def write_token_files(
     docs: DataFrame, path: str, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, width: int = 2,
 ) -> DataFrame:
@@ -164,18 +189,21 @@ def write_token_files(
     """
     from pyarrow import fs
 
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"token files are in the order of integer ids; {id_col} is {kind.simpleString()}")
     if width == 2:
         from tokenizers import Tokenizer
 
         if max(Tokenizer.from_file(vocabulary).get_vocab_size(), end_id + 1) > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit in two bytes")
-    store = path if "://" in path else fs.FileSystem.from_uri(path)[1] if path.startswith("file:") else path
+    store = store_uri(docs.sparkSession, path)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         enc, end = encoder(vocabulary), struct.pack("<I", end_id)
-        out, folder = fs.FileSystem.from_uri(store) if ":" in store else (fs.LocalFileSystem(), store)
+        out, folder = fs.FileSystem.from_uri(store)
         out.create_dir(folder, recursive=True)
         part, file = TaskContext.get().partitionId(), 0
         names, lengths, ids, size = [], [], [], 0
@@ -242,9 +270,11 @@ def token_boundaries(
 ) -> DataFrame:
     """Writes the files of ``docs`` below ``path`` and reads each document's place from them.
 
-    A null or empty text is a document of its end id alone.  Rows without an id are left out
-    (they have no place in the order); repeated ids are documents of their own, next to each
-    other in the order of their texts.  An empty table has no files and no rows.
+    A null or empty text is a document of its end id alone.  Ids are integers (else a TypeError);
+    rows without an id are left out (they have no place in the order); repeated ids are documents
+    of their own, next to each other in the order of their texts, and repeated rows have equal
+    entries.  A text of any length is one document of one file.  Other columns are ignored.  An
+    empty table has no files and no rows.
     """
     spark = docs.sparkSession
     path = path or shared_path(spark, "tokens")

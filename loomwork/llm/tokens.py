@@ -1,7 +1,8 @@
 """Whole-text encoding with a public tokenizer, run once per distinct piece of text.
 
 A tokenizer cuts a text into pre-tokens and encodes each on its own, so a text's ids are those
-of its pieces put end to end, for every cutting that only cuts between pre-tokens.  A worker
+of its pieces put end to end, for every cutting that only cuts between pre-tokens.  A text that
+may hold the string of an added token goes to the library whole (it has ids of its own).  A worker
 keeps the ids of the pieces it has met, in a table of bounded size, and asks the library for
 the others, many at a time.
 """
@@ -34,19 +35,21 @@ _ODD_SPACE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 
 
 class PieceEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, without special tokens."""
+    """Encodes texts to little-endian unsigned 32-bit ids, as the library does with
+    ``add_special_tokens=False``."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.entries = entries
         self.known: dict[str, bytes] = {}
         rules = json.loads(self.tokenizer.to_str())
+        #: How the strings of added tokens begin.
+        self.added = sorted({t["content"][:2] for t in rules["added_tokens"]})
         steps = json.dumps([rules["normalizer"], rules["pre_tokenizer"]])
         if rules["normalizer"] is None and rules["pre_tokenizer"].get("use_regex"):
             self.pieces, self.lower, self.between = _SPACED, False, "\n"
@@ -81,6 +84,9 @@ class PieceEncoder:
         return out
 
     def _cut(self, text: str) -> list[str] | None:
+        """Pieces that the library encodes each on its own; None: encode the text whole."""
+        if any(a in text for a in self.added):
+            return None
         if self.pieces and _SIMPLE.match(text):
             return self.pieces.findall(text.lower() if self.lower else text)
         return None if _ODD_SPACE.search(text) else _CHUNK.findall(text)
