@@ -108,38 +108,110 @@ def _better(a: Bin, b: Bin, capacity: int) -> tuple[Bin, Bin] | None:
     return tuple(sorted(ca.elements(), reverse=True)), tuple(sorted(cb.elements(), reverse=True))
 
 
-def local_search(bins: Counter[Bin], capacity: int, rounds: int = 200) -> Counter[Bin]:
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: by total length, and by pieces too long to share one."""
+    n, total = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
+    for length, c in counts.items():
+        n[length] += c
+        total[length] += c * length
+    n, total = np.cumsum(n), np.cumsum(total)
+    best, half = -(-int(total[-1]) // capacity), capacity // 2
+    for k in range(1, half + 1):  # pieces of k or more; those over capacity - k stand alone
+        alone, large = int(n[-1] - n[capacity - k]), int(n[capacity - k] - n[half])
+        room = large * capacity - int(total[capacity - k] - total[half])
+        best = max(best, alone + large + max(0, -(-(int(total[half] - total[k - 1]) - room) // capacity)))
+    return best
+
+
+def _split(give: Bin, other: Bin) -> tuple[Bin, Bin] | None:
+    """A piece of ``give`` for two of ``other`` of the same length together, longest first."""
+    held = Counter(other)
+    for x in give:
+        for y in held:
+            z = x - y
+            if 0 < z <= y and held[z] > (y == z):
+                left = Counter(give)
+                left.subtract([x])
+                left.update([y, z])
+                held.subtract([y, z])
+                held.update([x])
+                return tuple(sorted(left.elements(), reverse=True)), tuple(sorted(held.elements(), reverse=True))
+    return None
+
+
+def local_search(bins: Counter[Bin], capacity: int, tries: int = 300_000) -> Counter[Bin]:
     """Exchanges between underfull sequences while squared fill grows.
 
-    The emptiest kind of sequence gives to the fullest others; a sequence that has given all
-    is gone.  Each exchange is made for as many equal pairs as there are.  It ends when the
-    number of sequences is the least possible, nothing improves, or after ``rounds`` sweeps.
+    The emptiest sequence gives to the fullest others; one that has given all is gone.  Where no
+    exchange raises squared fill any more, the emptiest sequence gets two shorter pieces for one
+    of its own (from a full sequence too; fills stay as they are), which then fit into more gaps.
+    Each exchange is made for as many equal pairs as there are.  It ends at the lower bound, when
+    neither kind of step is left, or after ``tries`` looked-at pairs (some seconds); a packing is
+    whole at any time.
     """
     bins = Counter({c: m for c, m in bins.items() if c and m})
-    total = sum(sum(c) * m for c, m in bins.items())
-    least = -(-total // capacity)
-    for _ in range(rounds):
-        if sum(bins.values()) <= least:
-            break
-        under = sorted((c for c in bins if sum(c) < capacity), key=lambda c: (sum(c), c))
-        changed = False
-        for give in under[:64]:
-            for take in sorted((c for c in bins if sum(c) < capacity), key=lambda c: (-sum(c), c)):
-                if bins[give] <= 0:
-                    break
-                same = give == take
-                many = bins[give] // 2 if same else min(bins[give], bins[take])
-                if many <= 0 or not (new := _better(take, give, capacity)):
+    counts: Counter[int] = Counter()
+    for c, m in bins.items():
+        for length in c:
+            counts[length] += m
+    least = lower_bound(counts, capacity)
+    failed: set[tuple[Bin, Bin]] = set()
+
+    def swap(old: tuple[Bin, Bin], new: tuple[Bin, Bin], many: int) -> None:
+        for c in old:
+            bins[c] -= many
+            if not bins[c]:
+                del bins[c]
+        for c in new:
+            if c:
+                bins[tuple(sorted(c, reverse=True))] += many
+
+    def spend(give: Bin) -> bool:
+        """Gives away what ``give`` holds, as far as squared fill grows."""
+        nonlocal tries
+        moved = False
+        while give and bins[give]:
+            for take in sorted((c for c in bins if sum(c) < capacity and (c, give) not in failed), key=lambda c: (-sum(c), c)):
+                many = bins[give] // 2 if give == take else min(bins[give], bins[take])
+                if not many or tries <= 0:
                     continue
-                for old in (give, take):
-                    bins[old] -= many
-                    if not bins[old]:
-                        del bins[old]
-                for c in new:
-                    if c:
-                        bins[tuple(sorted(c, reverse=True))] += many
-                changed = True
-        if not changed:
+                tries -= 1
+                if not (new := _better(take, give, capacity)):
+                    failed.add((take, give))
+                    continue
+                swap((give, take), new, many)
+                give = min((tuple(sorted(c, reverse=True)) for c in new), key=lambda c: (sum(c), c))
+                moved = True
+                break
+            else:
+                break
+        return moved
+
+    def emptiest() -> list[Bin]:
+        return sorted((c for c in bins if sum(c) < capacity), key=lambda c: (sum(c), c))
+
+    while sum(bins.values()) > least and tries > 0:
+        if any([spend(give) for give in emptiest() if bins[give]]):
+            continue
+        before = sum(bins.values())
+        for give in emptiest():
+            if not bins[give]:
+                continue
+            while give and bins[give] and tries > 0:
+                new = other = None
+                for other in sorted(bins):
+                    tries -= 1
+                    if other != give and (new := _split(give, other)):
+                        break
+                if not new:
+                    break
+                swap((give, other), new, 1)
+                give = new[0]
+                spend(give)
+                give = next(iter(emptiest()), ()) if not bins[give] else give
+            if sum(bins.values()) < before:
+                break
+        if sum(bins.values()) == before:
             break
     return +bins
 
@@ -199,9 +271,10 @@ def pack_sequences(
     """A row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ``ids``,
     unsigned 32-bit little-endian, if asked for).
 
-    A null or empty text is its end id alone.  Repeated rows are packed each on its own; a null
-    id stays null.  Pieces of full length have a sequence to themselves.  An empty table gives
-    no rows.
+    A null or empty text is its end id alone; a text of any length is cut from its end, so only
+    its first piece is short.  Repeated rows and pieces of equal length (ties) are packed each on
+    its own; a null id stays null.  Pieces of full length have a sequence to themselves.  Other
+    columns are ignored.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = persisted(encode_pieces(docs, vocabulary, id_col=id_col, text_col=text_col, end_id=end_id, capacity=capacity, with_ids=with_ids), "pieces")

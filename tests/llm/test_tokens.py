@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from loomwork.llm.packing import best_fit, local_search, pack_sequences, slots
 from loomwork.llm.token_files import TokenFile, elias_fano, to_bytes, token_boundaries, write_token_files
@@ -17,19 +18,37 @@ NAMES = ("word_bpe_49k.json", "byte_bpe_50k.json")
 ROWS = [(3, "Hello wörld"), (1, None), (2, ""), (5, "x" * 5000 + " y"), (4, "Hello wörld"), (4, "again"), (-7, "neg"), (9, "<|endoftext|> it's\n\n  ok")]
 
 
+def library(name, texts):
+    """Ids by a tokenizer of its own, one text at a time."""
+    own = Tokenizer.from_file(vocabulary_path(name))
+    return [np.array(own.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_pieces_equal_the_library(spark, name):
-    e = encoder(vocabulary_path(name))
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    assert e.encode(texts) == e.whole(texts)
+    assert encoder(vocabulary_path(name)).encode(texts) == library(name, texts)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_added_tokens_have_their_ids(name):
+    texts = ["a <|endoftext|> b", "a<|startoftext|>b it's", "<|ENDOFTEXT|> x <| y |>", "<|endoftext|>" * 3 + "z", "< |endoftext|>", "plain a < | b"]
+    found = encoder(vocabulary_path(name)).encode(texts)
+    assert found == library(name, texts)
+    assert (49407 if "word" in name else 50256) in np.frombuffer(found[0], "<u4")
+
+
+def test_ids_are_integers(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    with pytest.raises(TypeError):
+        token_boundaries(df, vocabulary_path("word_bpe_49k.json"), path=str(tmp_path / "s"))
 
 
 @pytest.mark.parametrize("name", NAMES)
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet="ab Z|'s\n\t\r9é.\x1c\x85 　日́İ½ªS", max_size=30), max_size=5))
+@given(st.lists(st.text(alphabet="ab Z<|>'s\n\t\r9é.\x1c\x85 　日́İ½ªS", max_size=30), max_size=5))
 def test_odd_texts_equal_the_library(name, texts):
-    e = encoder(vocabulary_path(name))
-    assert e.encode(texts) == e.whole(texts)
+    assert encoder(vocabulary_path(name)).encode(texts) == library(name, texts)
 
 
 @given(st.lists(st.integers(0, 900), max_size=700), st.integers(0, 3))
@@ -57,7 +76,7 @@ def test_token_boundaries(spark, tmp_path):
     df = spark.createDataFrame([(*r, 0) for r in [*ROWS, (None, "no id")]], "doc_id bigint, text string, start int").repartition(3)
     got = sorted(token_boundaries(df, path, path=str(tmp_path / "t")).collect(), key=lambda r: r.start)
     want = sorted(ROWS, key=lambda r: (r[0], r[1] or ""))
-    ids = [x + struct.pack("<I", 2) for x in encoder(path).whole([t or "" for _, t in want])]
+    ids = [x + struct.pack("<I", 2) for x in library("word_bpe_49k.json", [t for _, t in want])]
     assert [r.doc_id for r in got] == [d for d, _ in want] and [r.n_tokens for r in got] == [len(x) // 4 for x in ids]
     assert [r.start for r in got] == np.cumsum([0, *[len(x) // 4 for x in ids]])[:-1].tolist() and [r.ids_crc32 for r in got] == [zlib.crc32(x) for x in ids]
     assert token_boundaries(df.where("false"), path).count() == 0
@@ -113,7 +132,7 @@ def test_pack(spark):
             assert r.offset == at
             at += r.length
         assert at <= 1024
-    whole = encoder(path).whole(["word " * 4000])[0] + struct.pack("<I", 2)
+    whole = library("byte_bpe_50k.json", ["word " * 4000])[0] + struct.pack("<I", 2)
     pieces = sorted(by[11], key=lambda r: r.piece)
     assert b"".join(bytes(r.ids) for r in pieces) == whole and all(r.length == 1024 for r in pieces[1:]) and [r.start for r in pieces][0] == 0
     assert len(by[4]) == 2 and len(by[1]) == 1 and by[1][0].length == 1 and len(by[None]) == 1
