@@ -1,11 +1,14 @@
 """op9: the main text of web pages by the distribution of text over lines.
 
-Markup is stripped to one line per block element.  Text lengths are summed over a sliding
-window of lines; where the sums rise over a threshold is a surge point, where they fall below
-it again a dive point, and the text between the two is kept.  Elements that never hold article
-text (menus, forms, scripts, comment lists, ...) give no line at all unless they hold the article
-or the greater part of the page, link text counts as no length, and on a page with an article element only its lines have length, so that the surge
-and the dive fall on its edges.
+Markup is stripped to one line per block element, and each line has a weight: its length without
+link text.  On a page with an article element, lines in it weigh ``ARTICLE_CHARS`` more, and
+others only what they have beyond ``OUTSIDE_CHARS``.  Weights are summed over a sliding window of
+lines; where the sums rise over a threshold is a surge point, where they fall below it again a
+dive point, and the text between the two is kept.
+
+Elements that never hold article text (menus, forms, scripts, ...) and those that their class,
+id or role names as something beside it give no line, unless they hold the article or the
+greater part of the page.
 """
 
 from __future__ import annotations
@@ -18,15 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines summed, and the sum a surge needs on a page without an article element.
+#: Lines summed, and the sum that a surge needs.
 WINDOW_LINES = 3
 SURGE_CHARS = 120
+#: Weight of being in an article element, and the length outside one that weighs nothing.
+ARTICLE_CHARS = 60
+OUTSIDE_CHARS = 300
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</?\Z"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]{0,5000}\"|'[^']{0,5000}')*+)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*)(?:>|\Z)",
-    re.S,
-)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)|</?\Z", re.S)
+_TAG_STOP = re.compile(r">|=\s*+([\"'])")
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -59,7 +62,7 @@ def _beside(name: str, attributes: str, inside_article: bool) -> bool:
         return False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and not _BESIDE.isdisjoint(value.split()):
+        if key in ("class", "id") and not _BESIDE.isdisjoint({*value.split()} - ({"header"} if inside_article else set())):
             return True
         if key == "role" and value in _ROLES or key == "aria-hidden" and value == "true":
             return True
@@ -68,26 +71,46 @@ def _beside(name: str, attributes: str, inside_article: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
 
 
+def _tag_end(page: str, at: int, unclosed: set[str]) -> int:
+    """Where the tag that is open at ``at`` has its ``>``; the page's end if it has none.
+
+    ``unclosed`` keeps the quotes that stand nowhere further on, so that none is sought twice."""
+    while m := _TAG_STOP.search(page, at):
+        quote = m.group(1)
+        if quote is None:
+            return m.start()
+        at = m.end()
+        if quote not in unclosed:
+            close = page.find(quote, at)
+            if close < 0:
+                unclosed.add(quote)  # as in a page that is cut off: the quote means nothing
+            else:
+                at = close + 1
+    return len(page)
+
+
 def _tokens(page: str) -> tuple[list[tuple[str, str, bool, str]], str]:
     """(text before, name, whether an end tag, attributes) of each tag, and the text after the last.
 
     Elements whose content is no markup are left out whole."""
     out: list[tuple[str, str, bool, str]] = []
     parts: list[str] = []
+    unclosed: set[str] = set()
     at, size = 0, len(page)
     while at < size:
-        m = _TOKEN.search(page, at)
+        m = _MARKUP.search(page, at)
         parts.append(page[at : m.start()] if m else page[at:])
         if not m:
             break
         at = m.end()
-        name = (m.group(2) or m.group(5) or "").lower()
+        name = (m.group(2) or "").lower()
         if not name:
             continue
-        ending, attributes = bool(m.group(1) or m.group(4)), m.group(3) or m.group(6) or ""
+        end = _tag_end(page, at, unclosed)
+        ending, attributes, at = bool(m.group(1)), page[at:end], min(size, end + 1)
         if not ending and name in _RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{name}(?![A-Za-z0-9:-])[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else size
+            close = re.compile(rf"</{name}(?![A-Za-z0-9:-])[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = close.end() if close else size
             continue
         out.append(("".join(parts), name, ending, attributes))
         parts = []
@@ -255,26 +278,26 @@ def regions(lengths: list[int], window: int, threshold: int) -> list[tuple[int,
 
 
 def main_text(page: str | None, *, window: int = WINDOW_LINES, surge: int = SURGE_CHARS) -> str:
-    """Blocks of the article, two line breaks between them; empty for null or no text."""
+    """Blocks between surge and dive points, two line breaks between them; empty for null or no text."""
     if not page:
         return ""
     lines, marked = blocks(page)
+    weights = [n for _, n, _ in lines]
     if marked:
-        # In an article every line counts, links too; elsewhere none does.
-        lengths = [len(t) if inside else 0 for t, _, inside in lines]
-        kept = [(t, inside) for a, b in regions(lengths, window, 1) for t, _, inside in lines[a:b]]
-        return "\n\n".join(t for t, inside in kept if inside)
-    found = regions([n for _, n, _ in lines], window, surge)
-    if not found and lines:  # too short to surge: the lines with text of their own
-        return "\n\n".join(t for t, n, _ in lines if 2 * n > len(t))
-    return "\n\n".join(t for a, b in found for t, n, _ in lines[a:b])
+        weights = [len(t) + ARTICLE_CHARS if inside else max(0, n - OUTSIDE_CHARS) for t, n, inside in lines]
+    found = regions(weights, window, surge)
+    if not found:  # too short to surge: the article, or the lines with text of their own
+        return "\n\n".join(t for t, n, inside in lines if (inside if marked else 2 * n > len(t)))
+    # Beside an article, a line without weight is none of it; elsewhere a list of links may stand in the text.
+    return "\n\n".join(lines[k][0] for a, b in found for k in range(a, b) if weights[k] or not marked)
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each row of ``pages``.
 
     A null or empty page has an empty text.  Repeated rows are read each on its own, a page cut
-    off in a tag or an element is read up to there, and other columns are ignored.
+    off in a tag or an element is read up to there, and other columns are ignored.  Pages of any
+    length are read whole, in time linear in it.  Equal sums (ties) at the threshold surge.
     """
 
     @F.pandas_udf("string")

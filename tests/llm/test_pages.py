@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+from hypothesis import given
+from hypothesis import strategies as st
+
 from loomwork.llm.html_text import extract_main_text, main_text, regions
 
 PAGE = (
@@ -47,6 +50,45 @@ def test_optional_end_tags_end_what_is_left_out():
     assert main_text("<article><p>b</p></article><p class='notice'>x") == "b"
 
 
+def test_headers_in_an_article_are_its_text():
+    for head in ('<header class="entry-header"><h1>Title</h1></header>', '<div class="article-header"><h1>Title</h1></div>', '<header class="header"><h1>Title</h1></header>'):
+        assert main_text(f"<header>Site</header><article>{head}<p>The text.</p></article>") == "Title\n\nThe text.", head
+
+
+def test_long_attributes():
+    for n in (4_990, 5_010, 60_000):
+        for q in "\"'":
+            assert main_text(f"<article><p title={q}{'a>' * n}{q}>text</p></article>") == "text"
+    assert main_text('<article><p title = "a>b" it\'s>one</p><p data-x=">two</p></article>') .startswith("one")
+
+
+def test_the_distribution_decides():
+    # text beside a short teaser article surges on its own; short lines beside an article do not
+    long = "words that make a long text of a page. " * 30
+    page = f"<article><p>teaser</p></article><div>{long}</div><div>a short line</div>"
+    assert long.strip() in main_text(page) and "a short line" not in main_text(page)
+    text = "words of the text " * 12
+    page = f"<div>one</div><div>two</div><div>three</div><p>{text}</p><p>{text}</p><div>a</div><div>b</div><div>c</div><div>d</div><p>{text}</p><div>x</div><div>y</div><div>z</div>"
+    assert main_text(page, window=1) == "\n\n".join([text.strip()] * 3)
+
+
+@given(st.lists(st.sampled_from([0, 0, 1, 20, 50, 70, 130]), max_size=30), st.integers(1, 4), st.integers(1, 150))
+def test_regions_equal_brute_force(weights, window, surge):
+    high = {k for a in range(len(weights)) if sum(weights[a : a + window]) >= surge for k in range(a, min(a + window, len(weights)))}
+    want = []
+    for k in sorted(high):
+        if k - 1 in high:
+            want[-1].append(k)
+        else:
+            want.append([k])
+    cut = []
+    for run in want:
+        own = [k for k in run if weights[k]]
+        if own:
+            cut.append((own[0], own[-1] + 1))
+    assert regions(weights, window, surge) == cut
+
+
 def test_regions():
     assert regions([0, 50, 0, 90, 0, 0, 0, 5], 3, 120) == [(1, 4)]
     assert regions([], 3, 1) == [] and regions([0, 0], 3, 1) == []
