@@ -13,11 +13,12 @@ Only the connected components are wanted, so a hot group of copies never becomes
    prefixes share are counted over all tiles: with too few, what follows the prefixes cannot
    make up the overlap.  Hashed bitmaps of the sets (bits that only one of them has) then bound
    the overlap from above, and what passes is settled by intersecting sorted hash arrays.
-5. Large tiles never become pairs.  Entities that they connect are cut into blocks by size
-   band, and two blocks of neighbouring bands are one task's work: bitmaps first, then exact
-   overlaps, and only the links that join components leave the task.
+5. Large tiles never become pairs.  Each is cut into blocks by size band and component, and two
+   blocks of neighbouring bands are one task's work, unless all in both are of one component:
+   bitmaps first, then exact overlaps, and only the links that join components leave the task.
 
-Equality of shingles is that of 64-bit hashes.
+Equality of shingles is that of 64-bit hashes, equality of sets that of two such hashes of the
+set and its size.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEED, mixed, persisted, shingle_hashes, space_table, times_seed, utf8, word_hashes
+from .common import SEED, SENT_IDS, mixed, persisted, shingle_hashes, space_table, times_seed, utf8, word_hashes
 from .graph import components
 
 SHINGLE_WORDS = 5
@@ -46,8 +47,6 @@ COMMON_LISTED = 500_000
 #: Entities in a tile beyond which it is worked through in blocks, and the size of a block.
 LARGE_TILE = 128
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 400_000
-#: Ids up to this number (16 MB) are sent to the scan of the texts; more are joined by shuffle.
-SENT_IDS = 500_000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -55,9 +54,9 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(utf8(text).lower(), space_table()), SHINGLE_WORDS))
 
 
-def fingerprint(shingles: np.ndarray) -> int:
-    """One number for a set, as a signed 64-bit value."""
-    total = np.add.reduce(mixed(shingles ^ SEED), keepdims=True) + times_seed(len(shingles))
+def fingerprint(shingles: np.ndarray, seed: int = 1) -> int:
+    """One number for a set, as a signed 64-bit value; each ``seed`` gives another."""
+    total = np.add.reduce(mixed(shingles ^ times_seed(seed)), keepdims=True) + times_seed(len(shingles))
     return int(mixed(total).view(np.int64)[0])
 
 
@@ -111,7 +110,7 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """doc_id, r (names the row), n, e (the set's fingerprint), keys (min-hashes), bits, prefix."""
+    """doc_id, r (names the row), n, e and f (the set's fingerprints), keys (min-hashes), bits, prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
     salts = mixed(np.arange(1, MIN_HASHES + 1, dtype=np.uint64) * SEED)
 
@@ -125,7 +124,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
             for text in pdf["text"]:
                 s = shingle_set(text)
                 if not len(s):
-                    rows.append((0, 0, None, None, None))
+                    rows.append((0, 0, 0, None, None, None))
                     continue
                 length = prefix_length(len(s), percent)
                 first = s
@@ -137,8 +136,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
                         late = np.lexsort((s[hot], often[k[hot]]))
                         first = np.concatenate([s[~hot], s[hot][late]])
                 keys = [int(((s ^ x) * SEED).min().view(np.int64)) for x in salts]
-                rows.append((len(s), fingerprint(s), keys, bitmap(s), first[:length].view(np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "e", "keys", "bits", "prefix"])
+                rows.append((len(s), fingerprint(s), fingerprint(s, 2), keys, bitmap(s), first[:length].view(np.int64)))
+            out = pd.DataFrame(rows, columns=["n", "e", "f", "keys", "bits", "prefix"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             out.insert(1, "r", np.arange(row, row + len(out)))
             row += len(out)
@@ -146,27 +145,45 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(sketch, f"doc_id {kind}, r long, n int, e long, keys array<long>, bits binary, prefix array<long>")
+    return rows.mapInPandas(sketch, f"doc_id {kind}, r long, n int, e long, f long, keys array<long>, bits binary, prefix array<long>")
 
 
 def set_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = [shingle_set(t) for t in pdf["text"]]
-        yield pd.DataFrame({"e": [fingerprint(s) for s in found], "s": [s.tobytes() for s in found]})
+        yield pd.DataFrame({"e": [fingerprint(s) for s in found], "f": [fingerprint(s, 2) for s in found], "n": [len(s) for s in found], "s": [s.tobytes() for s in found]})
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def told_apart(rows: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """``rows`` with another ``e`` where different sets have one (``clashes``: e, f, n, name)."""
+    if clashes is None:
+        return rows
+    named = rows.join(F.broadcast(clashes) if clashes.count() <= SENT_IDS else clashes, ["e", "f", "n"], "left")
+    return named.select(*[F.coalesce("name", "e").alias("e") if c == "e" else c for c in rows.columns])
+
+
+def set_clashes(rows: DataFrame) -> DataFrame | None:
+    """e, f, n, name of the sets whose first fingerprint another set has too, but for one of them;
+    None if there are none (one is expected among some 10 ** 10 documents)."""
+    groups = rows.select("e", "f", "n").distinct()
+    first = groups.groupBy("e").agg(F.min(F.struct("f", "n")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    found = groups.join(first, "e").where("f <> first.f OR n <> first.n").select("e", "f", "n", F.xxhash64("e", "f", "n").alias("name"))
+    found = persisted(found, "clashes")
+    return None if found.isEmpty() else found
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, clashes: DataFrame | None) -> DataFrame:
     """e, s: the sets of the documents named in ``ids`` (id), as sorted 64-bit hashes.
 
-    A repeated id may have several texts; the fingerprint tells their sets apart.
+    A repeated id may have several texts; the fingerprints tell their sets apart.
     """
     wanted = ids.distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    return texts.mapInPandas(set_rows, "e long, s binary")
+    return told_apart(texts.mapInPandas(set_rows, "e long, f long, n int, s binary"), clashes).select("e", "s")
 
 
-def verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, clashes: DataFrame | None) -> DataFrame:
     """The pairs (a, b) that are linked: bitmap bound first, then exact intersection."""
 
     @F.pandas_udf("boolean")
@@ -184,7 +201,7 @@ def verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, id_col: str
     side = lambda c: entities.select(F.col("e").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}"), F.col("doc_id").alias(f"doc_{c}"))
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("bits_a", "bits_b", "n_a", "n_b"))
     close = persisted(close.select("a", "b", "doc_a", "doc_b"), "candidates")
-    sets = sets_of(docs, close.select(F.col("doc_a").alias("id")).union(close.select("doc_b")), id_col, text_col)
+    sets = sets_of(docs, close.select(F.col("doc_a").alias("id")).union(close.select("doc_b")), id_col, text_col, clashes)
     sets = persisted(sets.dropDuplicates(["e"]), "sets")
     both = close.join(sets.select(F.col("e").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("e").alias("b"), F.col("s").alias("s_b")), "b")
     return both.where(links("s_a", "s_b")).select("a", "b")
@@ -285,26 +302,33 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, comps: l
     return out
 
 
-def large_tile_links(rows: DataFrame, entities: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Links (a, b) among entities that meet in large tiles, block by block of size bands."""
-    stars = rows.join(rows.groupBy("h").agg(F.min("e").alias("a")), "h").where("a <> e").select("a", F.col("e").alias("b")).distinct()
-    groups = components(stars)
-    members = rows.select("e", "comp", "n").distinct().join(groups.select(F.col("v").alias("e"), F.col("comp").alias("g")), "e")
+def large_tile_links(
+    rows: DataFrame, entities: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, clashes: DataFrame | None, block_sets: int,
+) -> DataFrame:
+    """Links (a, b) among entities of a large tile, by pairs of its blocks.
+
+    A block holds entities of one size band of one tile: a part of a component, if that fills
+    more than one, or several whole components.  Two blocks of one component are no pair.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    members = members.withColumn("band", band)
-    cuts = members.groupBy("g", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
-    up = cuts.select("g", (F.col("band") - 1).alias("band"), F.col("k").alias("k_up"))
-    down = cuts.select("g", (F.col("band") + 1).alias("band"), F.col("k").alias("k_down"))
-    cuts = cuts.join(up, ["g", "band"], "left").join(down, ["g", "band"], "left")
-    placed = members.join(cuts, ["g", "band"]).withColumn("i", F.pmod(F.xxhash64("e"), F.col("k")).cast("int"))
-    # A task's work is named by its two blocks: (band, i) and (band or the next, j).
-    here = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.col("band").alias("b1"), F.least("i", j).alias("i1"), F.col("band").alias("b2"), F.greatest("i", j).alias("i2")))
-    above = F.when(F.col("k_up") > 0, F.transform(F.sequence(F.lit(0), F.col("k_up") - 1), lambda j: F.struct(F.col("band").alias("b1"), F.col("i").alias("i1"), (F.col("band") + 1).alias("b2"), j.alias("i2"))))
-    below = F.when(F.col("k_down") > 0, F.transform(F.sequence(F.lit(0), F.col("k_down") - 1), lambda j: F.struct((F.col("band") - 1).alias("b1"), j.alias("i1"), F.col("band").alias("b2"), F.col("i").alias("i2"))))
-    none = F.array().cast("array<struct<b1:int,i1:int,b2:int,i2:int>>")
+    rows = rows.withColumn("band", band)
+    parts = F.greatest(F.ceil(F.sum("c") / block_sets), F.ceil(F.sum("s") / BLOCK_SHINGLES)).cast("int")
+    by_comp = rows.groupBy("h", "band", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    own = by_comp.groupBy("h", "band", "comp").agg(parts.alias("k_own")).where("k_own > 1")
+    mixed_parts = by_comp.join(own, ["h", "band", "comp"], "left_anti").groupBy("h", "band").agg(parts.alias("k"))
+    placed = rows.join(own, ["h", "band", "comp"], "left").join(mixed_parts, ["h", "band"], "left")
+    block = F.when(F.col("k_own").isNotNull(), F.xxhash64("comp", F.pmod(F.xxhash64("e"), F.col("k_own")))).otherwise(F.pmod(F.xxhash64("comp"), F.col("k")))
+    placed = persisted(placed.select("h", "e", "comp", "band", block.alias("i")), "blocks")
+    blocks = placed.groupBy("h", "band", "i").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    x = blocks.select("h", F.col("band").alias("b1"), F.col("i").alias("i1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.explode(F.array("band", F.col("band") + 1)).alias("b2"))
+    y = blocks.select("h", F.col("band").alias("b2"), F.col("i").alias("i2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = x.join(y, ["h", "b2"]).where("(b1 < b2 OR i1 <= i2) AND least(lo1, lo2) <> greatest(hi1, hi2)").select("h", "b1", "i1", "b2", "i2")
+    pairs = persisted(pairs, "block-pairs")
+    left = placed.join(pairs.withColumnsRenamed({"b1": "band", "i1": "i"}).select("h", "band", "i", F.col("band").alias("b1"), F.col("i").alias("i1"), "b2", "i2"), ["h", "band", "i"])
+    right = placed.join(pairs.where("b1 <> b2 OR i1 <> i2").select("h", F.col("b2").alias("band"), F.col("i2").alias("i"), "b1", "i1", "b2", "i2"), ["h", "band", "i"])
     ids = entities.select("e", F.col("doc_id").alias("id")).join(placed.select("e"), "e", "left_semi")
-    sets = sets_of(docs, ids.select("id"), id_col, text_col).dropDuplicates(["e"])
-    work = placed.join(sets, "e").select("g", "e", "comp", "band", "i", "s", F.explode(F.concat(here, F.coalesce(above, none), F.coalesce(below, none))).alias("w")).select("g", "e", "comp", "band", "i", "s", "w.*")
+    sets = sets_of(docs, ids.select("id"), id_col, text_col, clashes).dropDuplicates(["e"])
+    work = left.unionByName(right).join(sets, "e").select("h", "e", "comp", "band", "i", "s", "b1", "i1", "b2", "i2")
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         first = (pdf["band"] == pdf["b1"]) & (pdf["i"] == pdf["i1"])
@@ -316,43 +340,55 @@ def large_tile_links(rows: DataFrame, entities: DataFrame, docs: DataFrame, id_c
         e = pdf["e"].to_numpy()
         return pd.DataFrame({"a": [int(e[i]) for i, _ in found], "b": [int(e[j]) for _, j in found]}, dtype="int64")
 
-    return work.groupBy("g", "b1", "i1", "b2", "i2").applyInPandas(settle, "a long, b long")
+    return work.groupBy("h", "b1", "i1", "b2", "i2").applyInPandas(settle, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, large_tile: int = LARGE_TILE, block_sets: int = BLOCK_SETS,
+) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links) for each row.
 
     A text without words, null included, has an empty set and is its own component.  Rows with
     equal sets are linked, repeated rows too (an id with several texts counts for each).  Rows
-    without an id keep a null component and link nothing.  Other columns are ignored.
+    without an id keep a null component and link nothing.  Texts of any length have one set.
+    Other columns are ignored, and an empty table gives no rows.  ``large_tile`` and
+    ``block_sets`` change how the work is dealt, not the result.
     """
     all_rows = persisted(sketches(docs, id_col, text_col, percent), "sketches")
     usable = all_rows.where("n > 0 AND doc_id IS NOT NULL")
+    clashes = set_clashes(usable)
+    usable = told_apart(usable, clashes)
     names = usable.groupBy("e").agg(F.min(F.struct("doc_id", "r")).alias("first")).select("e", "first.doc_id", "first.r")
     names = persisted(names, "names")
     entities = usable.join(names.select("r"), "r", "left_semi")
 
-    near = persisted(verified(leader_pairs(entities, percent), entities, docs, id_col, text_col, percent), "links")
+    near = persisted(verified(leader_pairs(entities, percent), entities, docs, id_col, text_col, percent, clashes), "links")
     first = components(near)
     met = persisted(tiles(entities, first), "tiles")
-    small, large = met.where(F.col("size") <= LARGE_TILE).drop("size"), met.where(F.col("size") > LARGE_TILE).drop("size")
-    more = verified(tile_pairs(small, percent), entities, docs, id_col, text_col, percent)
+    small, large = met.where(F.col("size") <= large_tile).drop("size"), met.where(F.col("size") > large_tile).drop("size")
+    more = verified(tile_pairs(small, percent), entities, docs, id_col, text_col, percent, clashes)
     if not large.isEmpty():
-        more = more.union(large_tile_links(large, entities, docs, id_col, text_col, percent))
+        more = more.union(large_tile_links(large, entities, docs, id_col, text_col, percent, clashes, block_sets))
     more = persisted(more, "links")
     if not more.isEmpty():
         first = components(near.union(more))
 
     classes = names.join(first.withColumnRenamed("v", "e"), "e", "left").select("e", "doc_id", F.coalesce("comp", "e").alias("comp"))
-    least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    least = persisted(classes.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "classes")
     classes = classes.join(least, "comp").select("e", "component_id")
-    rows = all_rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("e")).alias("e"))
+    rows = told_apart(all_rows, clashes).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("e")).alias("e"))
     linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.join(classes, "e", "left").select("doc_id", "n_shingles", linked.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, and those without an id."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent)
+    """The rows of ``docs`` whose id is the smallest of their component, and those without an id.
+
+    Of rows that repeat an id and its text one stays; different texts of one id all stay."""
+    found = persisted(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    left = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    again = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").select(id_col)
+    if again.isEmpty():
+        return left
+    return left.join(again, id_col, "left_anti").unionByName(left.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col])).select(docs.columns)

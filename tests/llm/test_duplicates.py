@@ -1,13 +1,15 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomwork.llm.graph import components
-from loomwork.llm.near_duplicates import bitmap, keep_one, near_duplicates, overlap_bound, shingle_set
+from loomwork.llm.near_duplicates import bitmap, block_links, keep_one, near_duplicates, overlap_bound, set_clashes, shingle_set, told_apart
 from loomwork.llm.substrings import LENGTH, anchors, merged, refine, remove_repeated
 
 
@@ -53,8 +55,46 @@ def test_components_equal_brute_force(spark):
     for seed in (3, 4):
         rows = corpus(seed)
         df = spark.createDataFrame([(d, t, "s", 1) for d, t in rows], "doc_id bigint, text string, e string, n int").repartition(5)
-        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect())
-        assert got == brute([(d, t) for d, t in rows])
+        want = brute([(d, t) for d, t in rows])
+        # tiles of three are large: worked through in blocks of two, of twenty, or all at once
+        for dealt in ({}, {"large_tile": 3, "block_sets": 2}, {"large_tile": 2, "block_sets": 20}):
+            got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, **dealt).collect())
+            assert got == want, dealt
+
+
+def test_blocks_equal_brute_force():
+    rng = np.random.default_rng(2)
+    for percent in (50, 75, 100):
+        base = [np.unique(rng.integers(0, 2**60, 40, dtype=np.uint64)) for _ in range(4)]
+        every = [np.unique(np.concatenate([b[: 40 - k], rng.integers(0, 2**60, k, dtype=np.uint64)])) for b in base for k in (0, 1, 3, 8, 20)]
+        comps = [i // 2 for i in range(len(every))]
+        want = {(i, j) for i, x in enumerate(every) for j, y in enumerate(every) if i < j and comps[i] != comps[j] and 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))}
+
+        def joined(pairs):
+            root = {}
+
+            def find(v):
+                while root.get(v, v) != v:
+                    v = root[v]
+                return v
+
+            for i, j in pairs:
+                p, q = sorted((find(comps[i]), find(comps[j])))
+                root[q] = p
+            return [find(c) for c in comps]
+
+        for k in (len(every), 7):
+            left, right = every[:k], every[k:] if k < len(every) else None
+            found = set(block_links(left, right, comps, percent))
+            allowed = want if right is None else {(i, j) for i, j in want if i < k <= j}
+            assert found <= allowed and joined(found) == joined(allowed)
+
+
+def test_sets_with_one_fingerprint_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 5, 9, "a"), (1, 6, 9, "b"), (1, 5, 8, "c"), (2, 5, 9, "d"), (1, 5, 9, "e")], "e long, f long, n int, x string")
+    assert set_clashes(rows.where("x IN ('a', 'd', 'e')")) is None
+    got = {r.x: r.e for r in told_apart(rows, set_clashes(rows)).collect()}
+    assert got["a"] == got["e"] and len({got["a"], got["b"], got["c"], got["d"]}) == 4 and got["d"] == 2
 
 
 def test_threshold_is_exact(spark):
@@ -70,7 +110,7 @@ def test_repeated_and_missing_ids(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect()), key=str)
     assert got == sorted([(5, 3, 5), (5, 3, 5), (5, 2, 5), (7, 3, 5), (None, 3, None), (8, 0, 8)], key=str)
     kept = keep_one(df)
-    assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([5, 5, 5, None, 8], key=str)
+    assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([5, 5, None, 8], key=str)
     assert near_duplicates(df.where("false")).count() == 0
 
 
@@ -102,7 +142,8 @@ def removed(texts):
     return flags
 
 
-def test_repeated_substrings_equal_brute_force(spark):
+@pytest.mark.parametrize("dealt", [{}, {"hot": 3, "chunk": 40, "batch_bytes": 1}, {"hot": 1, "chunk": 1}, {"part_bytes": 100}])
+def test_repeated_substrings_equal_brute_force(spark, dealt):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7)))
     para = [" ".join(word() for _ in range(60)) for _ in range(6)]
@@ -114,8 +155,7 @@ def test_repeated_substrings_equal_brute_force(spark):
     texts += [texts[0], texts[0], para[0] + "z" + para[0], "a" * 450, "ab" * 260, "x" * 199, "x" * 200, "", None, "short", para[1][:200], para[1][:200] + "q", "\0" * 230]
     df = spark.createDataFrame([(k, t, 9) for k, t in enumerate(texts)], "doc_id bigint, text string, n_bytes int").repartition(7)
     flags = removed([(t or "").encode() for t in texts])
-    got = {r.doc_id: r for r in remove_repeated(df).collect()}
-    import hashlib
+    got = {r.doc_id: r for r in remove_repeated(df, **dealt).collect()}
 
     for k, t in enumerate(texts):
         data, f, r = (t or "").encode(), flags[k], got[k]
@@ -124,13 +164,6 @@ def test_repeated_substrings_equal_brute_force(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(data), sum(f), spans, hashlib.sha256(kept).hexdigest()), (k, t)
 
 
-def test_hot_anchors(spark, monkeypatch):
-    from loomwork.llm import substrings
-
-    monkeypatch.setattr(substrings, "HOT", 3)  # in the driver; workers read the module's own
-    test_repeated_substrings_equal_brute_force(spark)
-
-
 def test_hot_anchor_once_and_twice_in_a_part(spark):
     rng = random.Random(8)
     fill = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
@@ -139,7 +172,7 @@ def test_hot_anchor_once_and_twice_in_a_part(spark):
     parts = [
         # each passage stands once in a part with no other occurrence of the line, and once in a part with more
         *([fill(300) + around[k] + fill(300)] for k in range(5)),
-        *([fill(250) + around[k] + fill(90), fill(280) + line + fill(280), *(fill(240) for _ in range(k * 200))] for k in range(5)),
+        *([fill(250) + around[k] + fill(90), fill(280) + line + fill(280), *(fill(240) for _ in range(k * 9))] for k in range(5)),
         *([fill(300) + line + fill(300)] for _ in range(4)),
     ]
     texts = [t for part in parts for t in part]
@@ -153,7 +186,7 @@ def test_hot_anchor_once_and_twice_in_a_part(spark):
     assert sum(x > 0 for x in want) == 10
     for hot in (3, 18, 5000):
         # a batch of one byte: no group is refined together with another
-        got = {r.doc_id: r.n_removed for r in remove_repeated(df, hot=hot, batch_bytes=1).collect()}
+        got = {r.doc_id: r.n_removed for r in remove_repeated(df, hot=hot, batch_bytes=1, chunk=60).collect()}
         assert [got[k] for k in range(len(texts))] == want, hot
 
 
@@ -168,14 +201,15 @@ def test_repeated_rows_and_null_ids(spark):
 @given(st.binary(min_size=0, max_size=700), st.integers(0, 400))
 @settings(max_examples=60, deadline=None)
 def test_every_window_has_an_anchor(data, cut):
-    raw = np.frombuffer(data, np.uint8)
-    at, _ = anchors(raw)
-    for s in range(len(raw) - LENGTH + 1):
+    at = anchors(data)[0]
+    assert all((x == y).all() for x, y in zip(anchors(data), anchors(data, 37), strict=True))
+    for s in range(len(data) - LENGTH + 1):
         assert ((at >= s) & (at <= s + LENGTH - 64)).any()
     # chosen by content alone: the same window elsewhere has the same anchors inside
     if len(data) >= LENGTH + cut:
-        part = anchors(raw[cut:])[0] + cut
-        assert set(part) <= set(range(len(raw))) and (len(part) > 0)
+        part = anchors(data[cut:])[0] + cut
+        inner = part[(part >= cut + LENGTH) & (part < len(data) - LENGTH)]
+        assert len(part) and set(inner) <= set(at)
 
 
 def test_refine_and_merge():
