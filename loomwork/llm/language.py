@@ -2,9 +2,9 @@
 
 Bytes are embedded, filters of several widths slide over fixed-length windows, each filter's
 largest response in the window is kept, and a softmax layer names the language.  Training is
-plain numpy (Adam) over a bounded sample of labelled rows; prediction runs over every window
-of every whole text, many windows to a batch, and adds the log-probabilities of a text's
-windows.
+plain numpy (Adam) over a few windows, spread over the whole text, of a bounded sample of
+labelled rows; prediction runs over every window of every whole text, many windows to a batch,
+and adds the log-probabilities of a text's windows.
 """
 
 from __future__ import annotations
@@ -17,9 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, utf8
+from .common import fold, persisted, utf8
 
 UNKNOWN = "und"
+WINDOW, WIDTHS = 128, (2, 3, 4)
+#: Windows of a sample text that are learned from.
+PER_TEXT = 4
+#: Windows that are predicted together.
+BATCH_WINDOWS = 1 << 14
 
 
 @dataclass
@@ -71,23 +76,25 @@ def cut(data: bytes, window: int, taps: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(raw, window)[::step]
 
 
+def spread(text: str | None, window: int = WINDOW, taps: int = max(WIDTHS), many: int = PER_TEXT) -> np.ndarray:
+    """At most ``many`` evenly spaced windows of a text."""
+    w = cut(utf8(text), window, taps)
+    return w[np.unique(np.linspace(0, len(w) - 1, min(many, len(w))).astype(int))]
+
+
 def train(
-    texts: list[str], labels: list[str], *, window: int = 128, widths: tuple[int, ...] = (2, 3, 4), per_width: int = 16,
-    embed: int = 8, epochs: int = 4, steps: int = 300, batch: int = 128, rate: float = 0.01, per_text: int = 4, seed: int = 7,
+    windows: list[np.ndarray], labels: list[str], *, widths: tuple[int, ...] = WIDTHS, per_width: int = 16,
+    embed: int = 8, epochs: int = 4, steps: int = 300, batch: int = 128, rate: float = 0.01, seed: int = 7,
 ) -> ByteConvNet:
-    """Fits the network on at most ``per_text`` evenly spaced windows of each sample text.
+    """Fits the network on windows (a two-dimensional array for each sample text).
 
     Small samples are gone through more often, to make ``steps`` steps."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
-    taps, f = max(widths), per_width * len(widths)
-    xs, ys = [], []
-    for text, label in zip(texts, labels, strict=True):
-        w = cut(utf8(text), window, taps)
-        pick = np.unique(np.linspace(0, len(w) - 1, min(per_text, len(w))).astype(int))
-        xs.append(w[pick])
-        ys += [names.index(label)] * len(pick)
-    x, y = np.concatenate(xs), np.array(ys)
+    taps, f, window = max(widths), per_width * len(widths), windows[0].shape[1]
+    number = {name: k for k, name in enumerate(names)}
+    x = np.concatenate(windows)
+    y = np.repeat([number[label] for label in labels], [len(w) for w in windows])
     mask = np.zeros((taps, embed, f), np.float32)
     for k, w in enumerate(widths):
         mask[:w, :, k * per_width : (k + 1) * per_width] = 1
@@ -133,71 +140,84 @@ def train(
     return net
 
 
-def training_sample(docs: DataFrame, *, id_col: str, text_col: str, label_col: str, held_out: int, per_label: int, max_labels: int, chars: int) -> list:
-    """At most ``per_label`` rows of each of the ``max_labels`` most frequent labels, by hash.
+def training_sample(docs: DataFrame, *, id_col: str, text_col: str, label_col: str, held_out: int, per_label: int) -> list:
+    """label and windows of at most ``per_label`` rows of each label, those of the least hash.
 
-    Rows are ranked by label and hash alone (first within each task, so a task sends on at most
-    ``per_label`` of a label); only the picked rows' texts, a bounded number, are fetched.
+    The labels' counts give a hash threshold that about twice as many rows of a label pass; only
+    those are ranked, whatever the label's share of the corpus, and only windows of the picked
+    texts leave the tasks.
     """
     rows = docs.select(
-        F.col(label_col).alias("label"), F.substring(F.col(text_col), 1, chars).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), fold(F.col(id_col), 3).alias("k"),
-        F.col(text_col).rlike(r"\p{L}").alias("letters"),
-    ).where(F.col("label").isNotNull() & (F.col("k") != held_out) & F.col("letters"))
-    names = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).select("label")
-    w = Window.partitionBy("label").orderBy("h")
-    ranked = rows.select("label", "h").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_label)
-    picked = ranked.join(F.broadcast(names), "label").select("label", "h").distinct()
-    found = rows.select("label", "h", "text").join(F.broadcast(picked), ["label", "h"]).dropDuplicates(["label", "h"])
-    return found.orderBy("label", "h").select("label", "text").collect()
+        F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), fold(F.col(id_col), 3).alias("k"),
+    ).where(F.col("label").isNotNull() & (F.col("k") != held_out) & F.col("text").rlike(r"\p{L}"))
+    counts = persisted(rows.groupBy("label").agg(F.count("*").alias("c")), "labels")
+    share = (2 * per_label + 50) / F.col("c")
+    near = rows.join(counts, "label").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= per_label)
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"label": pdf["label"], "h": pdf["h"], "windows": [spread(t).tobytes() for t in pdf["text"]]})
+
+    found = ranked.select("label", "h", "text").mapInPandas(windows, "label string, h long, windows binary")
+    return found.orderBy("label", "h", "windows").collect()
 
 
 def identify_languages(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", held_out: int = 1,
-    per_label: int = 500, max_labels: int = 200, sample_chars: int = 4000, net: ByteConvNet | None = None,
+    per_label: int = 500, net: ByteConvNet | None = None,
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs``, learned from ``label_col``.
 
-    The network learns from at most ``per_label`` rows a label (``max_labels`` labels), never
-    from rows of fold ``held_out``; a null label is not learned.  Every byte of every text is
-    predicted on.  A text that is null, empty or without a letter is ``und`` with score 0, and
-    so is every text if there is nothing to learn from.  Repeated rows are predicted each on
-    its own; other columns are ignored.
+    The network learns every label, each from at most ``per_label`` rows of it (the documented
+    bound of the sample) and four windows of each, spread over the text; never from rows of fold
+    ``held_out``, and a null label is not learned.  Every byte of every text is predicted on,
+    whatever its length.  Equally likely languages go to the first by name.  A text that is null,
+    empty or without a letter is ``und`` with score 0, and so is every text if there is nothing to
+    learn from.  Repeated rows are predicted each on its own; other columns are ignored; an empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     if net is None:
-        sample = training_sample(docs, id_col=id_col, text_col=text_col, label_col=label_col, held_out=held_out, per_label=per_label, max_labels=max_labels, chars=sample_chars)
-        net = train([r.text for r in sample], [r.label for r in sample]) if sample else None
+        sample = training_sample(docs, id_col=id_col, text_col=text_col, label_col=label_col, held_out=held_out, per_label=per_label)
+        net = train([np.frombuffer(r.windows, np.uint8).reshape(-1, WINDOW) for r in sample], [r.label for r in sample]) if sample else None
     model = spark.sparkContext.broadcast(net)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = model.value
         for pdf in batches:
-            labels, scores = [], []
-            for lo in range(0, len(pdf), 256):
-                part = pdf["text"].iloc[lo : lo + 256]
-                usable = [net is not None and t is not None and any(map(str.isalpha, t)) for t in part]
-                windows = [cut(utf8(t), net.window, net.taps) for t, u in zip(part, usable, strict=True) if u]
-                if not windows:
-                    labels += [UNKNOWN] * len(part)
-                    scores += [0.0] * len(part)
+            usable = [net is not None and t is not None and any(map(str.isalpha, t)) for t in pdf["text"]]
+            total = np.zeros((len(pdf), len(net.labels) if net else 1))
+            count = np.zeros(len(pdf), np.int64)
+            held: list[np.ndarray] = []
+            owner: list[int] = []
+
+            def flush(total=total, held=held, owner=owner) -> None:
+                rows = np.repeat(owner, [len(w) for w in held])
+                np.add.at(total, rows, net.log_probabilities(np.concatenate(held)))
+                held.clear()
+                owner.clear()
+
+            size = 0
+            for k, text in enumerate(pdf["text"]):
+                if not usable[k]:
                     continue
-                starts = np.cumsum([0, *map(len, windows)])[:-1]
-                total = np.zeros((len(windows), len(net.labels)))
-                flat = np.concatenate(windows)
-                step = 1 << 16
-                for k in range(0, len(flat), step):
-                    lp = net.log_probabilities(flat[k : k + step])
-                    owner = np.searchsorted(starts, np.arange(k, k + len(lp)), "right") - 1
-                    np.add.at(total, owner, lp)
-                mean = total / np.array([len(w) for w in windows])[:, None]
-                p = np.exp(mean - mean.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                found = iter(zip(p.argmax(1), p.max(1), strict=True))
-                for u in usable:
-                    k, s = next(found) if u else (-1, 0.0)
-                    labels.append(net.labels[k] if u else UNKNOWN)
-                    scores.append(float(s))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": labels, "score": scores})
+                windows = cut(utf8(text), net.window, net.taps)
+                count[k] = len(windows)
+                for lo in range(0, len(windows), BATCH_WINDOWS):
+                    held.append(windows[lo : lo + BATCH_WINDOWS])
+                    owner.append(k)
+                    size += len(held[-1])
+                    if size >= BATCH_WINDOWS:
+                        flush()
+                        size = 0
+            if held:
+                flush()
+            mean = total / np.maximum(count, 1)[:, None]
+            p = np.exp(mean - mean.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            labels = [net.labels[k] if u else UNKNOWN for k, u in zip(p.argmax(1), usable, strict=True)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": labels, "score": np.where(usable, p.max(1), 0.0)})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col), 3) == held_out).alias("held_out"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()

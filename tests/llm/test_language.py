@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from loomwork.llm.language import cut, identify_languages, train
+from loomwork.llm.language import cut, identify_languages, spread, train, training_sample
 from tests.conftest import DATA
 
 
@@ -55,7 +55,7 @@ def test_held_out_rows_are_not_learned(spark):
 
 
 def test_training_is_seeded():
-    a, b = (train(["aaa bbb"] * 4 + ["ccc ddd"] * 4, ["a"] * 4 + ["c"] * 4) for _ in range(2))
+    a, b = (train([spread(t) for t in ["aaa bbb"] * 4 + ["ccc ddd"] * 4], ["a"] * 4 + ["c"] * 4) for _ in range(2))
     assert np.array_equal(a.filters, b.filters) and a.labels == ["a", "c"]
 
 
@@ -63,3 +63,17 @@ def test_held_out_accuracy(spark):
     d = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     r = identify_languages(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").selectExpr("avg(cast(lang = lang_pred AS int)) AS a").first()
     assert r.a == pytest.approx(1, abs=0.03)
+
+
+def test_the_sample_is_bounded_and_has_every_label(spark):
+    names = [f"l{k:03d}" for k in range(230)]
+    df = docs(spark, [(k, f"text of {names[k % 230]} number {k} " * (400 if k < 230 else 1), names[k % 230]) for k in range(2300)])
+    sample = training_sample(df, id_col="doc_id", text_col="text", label_col="lang", held_out=1, per_label=3)
+    assert [r.label for r in sample] == sorted(r.label for r in sample) and {r.label for r in sample} == set(names)
+    assert all(sum(r.label == n for r in sample) <= 3 for n in names) and {len(r.windows) for r in sample} <= {128, 256, 384, 512}
+
+
+def test_long_texts_are_read_to_the_end(spark):
+    en, de = "the quick brown fox thinks that this is what they want ", "der schnelle braune fuchs denkt dass sie das nicht wollen "
+    df = corpus(spark).union(docs(spark, [(500, en * 100 + de * 60_000, None)]))
+    assert identify_languages(df, per_label=50).where("doc_id = 500").first().lang_pred == "de"
