@@ -6,8 +6,10 @@ that a containment of 1 needs).  Documents are joined on those tokens; the place
 gives where the window would begin and end, which must lie inside the document; what remains
 is compared word by word.
 
-The benchmark is worked through in blocks of bounded size, each sent to every task, whatever
-its number of items; documents are never shuffled.
+All words of the benchmark are counted in one pass over the corpus.  Matching takes one pass for
+each block of items, whose index (a few numbers a word) goes to every task; a benchmark of one
+block needs one.  Between blocks the hits are written, so no task holds more than one index.
+Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -21,27 +23,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_table, utf8, word_hashes, word_spans
+from .common import SENT_IDS, alnum_table, persisted, utf8, word_hashes, word_spans
 
 #: Text of the benchmark in one block (about; a single longer item is a block of its own).
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
+#: Candidates of one document that are looked at together.
+CANDIDATES = 1 << 20
 _FILTER_BITS = 20
 
 
-def item_words(text: str | None) -> list[bytes]:
-    data = utf8(text).lower()
-    _, starts, ends = word_spans(data, alnum_table())
-    return [data[a:b] for a, b in zip(starts, ends, strict=True)]
-
-
-def windows(words: list, size: int) -> list[tuple]:
-    """Runs of ``size`` words; the whole of a shorter, but not empty, item."""
-    if not words:
-        return []
-    width = min(size, len(words))
-    return list(dict.fromkeys(tuple(words[k : k + width]) for k in range(len(words) - width + 1)))
-
-
 class Seen:
     """Membership of word hashes in a set: a bit table first, then a binary search."""
 
@@ -60,76 +50,125 @@ class Seen:
 
 
 class Index:
-    """Windows of one block by their rarest word."""
-
-    def __init__(self, items: list[tuple[object, list[bytes]]], rarity: dict[bytes, int], size: int):
-        every: dict[tuple, set] = {}
-        for name, words in items:
-            for w in windows(words, size):
-                every.setdefault(w, set()).add(name)
-        self.windows = list(every)
-        self.items = [sorted(every[w], key=str) for w in self.windows]
-        prefix = [min(range(len(w)), key=lambda j: (rarity.get(w[j], 0), w[j], j)) for w in self.windows]
-        hashed = hashes_of(sorted({w[j] for w, j in zip(self.windows, prefix, strict=True)}))
-        self.seen = Seen(np.array(list(hashed.values()), np.uint64))
-        by_key: dict[int, list[tuple[int, int]]] = {}
-        for k, (w, j) in enumerate(zip(self.windows, prefix, strict=True)):
-            by_key.setdefault(int(hashed[w[j]]), []).append((k, j))
-        self.postings = [by_key[int(k)] for k in self.seen.keys]
-        self.rows = [np.array(list(hashes_of(list(w)).values()) if len(set(w)) == len(w) else [hashes_of([x])[x] for x in w], np.uint64) for w in self.windows]
-
-    def hits(self, data: bytes, hashes: np.ndarray) -> tuple[list[tuple[int, int]], set]:
+    """Windows of one block by their rarest word, as arrays over the words of its items."""
+
+    def __init__(self, items: list[tuple[object, str | None]], rarity: tuple[np.ndarray, np.ndarray], size: int):
+        keep = alnum_table()
+        texts = [utf8(t).lower() for _, t in items]
+        self.data = b" ".join(texts)
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        _, self.starts, self.ends = word_spans(self.data, keep)
+        self.words = word_hashes(self.data, keep)
+        owner = np.searchsorted(bounds, self.starts, "right") - 1
+        self.names = [str(name) for name, _ in items]
+        n = len(self.words)
+        counts = np.zeros(n, np.int64)
+        if len(rarity[0]) and n:
+            k = np.minimum(np.searchsorted(rarity[0], self.words), len(rarity[0]) - 1)
+            counts = np.where(rarity[0][k] == self.words, rarity[1][k], 0)
+        # Each word begins a window, if its item goes on for long enough or is shorter in all.
+        first = np.searchsorted(owner, np.arange(len(items)))
+        many = np.bincount(owner, minlength=len(items)) if n else np.zeros(len(items), np.int64)
+        width = np.minimum(many, size)[owner] if n else np.zeros(0, np.int64)
+        start = np.flatnonzero(np.arange(n) + width <= (first + many)[owner]) if n else np.zeros(0, np.int64)
+        width = width[start]
+        best = start.copy()
+        for j in range(1, size):  # the place of the least count in each window, the first on ties
+            at = start + np.minimum(j, width - 1)
+            best = np.where(counts[at] < counts[best], at, best)
+        order = np.argsort(self.words[best], kind="stable")
+        small = lambda x: x.astype(np.int32)
+        self.starts, self.ends = small(self.starts), small(self.ends)
+        self.start, self.width, self.place, self.owner = (small(x[order]) for x in (start, width, best - start, owner[start]))
+        keys = self.words[best[order]]
+        self.seen = Seen(keys)
+        self.cuts = np.append(np.searchsorted(keys, self.seen.keys), len(keys))
+
+    def hits(self, data: bytes, hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
         """Word ranges of ``data`` that are windows, and the items they are of."""
         at, key = self.seen.find(hashes)
-        ranges, items, spans, n = [], set(), None, len(hashes)
-        for p, k in zip(at.tolist(), key.tolist(), strict=True):
-            for w, j in self.postings[k]:
-                a, b = p - j, p - j + len(self.rows[w])
-                if a < 0 or b > n or not np.array_equal(hashes[a:b], self.rows[w]):
+        ranges: set[tuple[int, int]] = set()
+        items: set[str] = set()
+        spans = None
+        many = self.cuts[key + 1] - self.cuts[key]
+        total = np.concatenate([[0], np.cumsum(many)])
+        lo = 0
+        while lo < len(at):
+            # As many tokens together as have a bounded number of windows (one token at least).
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + CANDIDATES, "right")) - 1)
+            m = many[lo:hi]
+            window = np.repeat(self.cuts[key[lo:hi]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            a = np.repeat(at[lo:hi], m) - self.place[window]
+            b = a + self.width[window]
+            good = (a >= 0) & (b <= len(hashes))
+            a, b, window = a[good], b[good], window[good]
+            good = (hashes[a] == self.words[self.start[window]]) & (hashes[b - 1] == self.words[self.start[window] + self.width[window] - 1])
+            for x, y, w in zip(a[good].tolist(), b[good].tolist(), window[good].tolist(), strict=True):
+                s = int(self.start[w])
+                if not np.array_equal(hashes[x:y], self.words[s : s + y - x]):
                     continue
                 if spans is None:
                     spans = word_spans(data, alnum_table())
-                if tuple(data[x:y] for x, y in zip(spans[1][a:b], spans[2][a:b], strict=True)) == self.windows[w]:
-                    ranges.append((a, b))
-                    items.update(self.items[w])
-        return ranges, items
-
+                if all(data[spans[1][x + i] : spans[2][x + i]] == self.data[self.starts[s + i] : self.ends[s + i]] for i in range(y - x)):
+                    ranges.add((x, y))
+                    items.add(self.names[self.owner[w]])
+            lo = hi
+        return sorted(ranges), items
 
-def hashes_of(words: list[bytes]) -> dict[bytes, np.uint64]:
-    if not words:
-        return {}
-    return dict(zip(words, word_hashes(b" ".join(words), alnum_table()), strict=True))
 
+def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
 
-def word_counts(docs: DataFrame, text_col: str, words: list[bytes]) -> dict[bytes, int]:
-    """How often each of ``words`` stands in the corpus; a task sends one row a word at most."""
-    hashed = hashes_of(words)
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(sorted(map(int, hashed.values())), np.uint64))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, keep = Seen(shared.value), alnum_table()
+def _counted(batches: Iterator[pd.DataFrame], wanted: np.ndarray | None) -> Iterator[pd.DataFrame]:
+    """h, c: how often words stand in a task's texts (those ``wanted``, else all)."""
+    keep = alnum_table()
+    if wanted is not None:
+        seen = Seen(wanted)
         total = np.zeros(len(seen.keys), np.int64)
         for pdf in batches:
             for text in pdf["text"]:
-                h = word_hashes(utf8(text).lower(), keep)
-                total += np.bincount(seen.find(h)[1], minlength=len(total))
+                total += np.bincount(seen.find(word_hashes(utf8(text).lower(), keep))[1], minlength=len(total))
         some = np.flatnonzero(total)
         yield pd.DataFrame({"h": seen.keys[some].view(np.int64), "c": total[some]})
-
-    found = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).collect()
-    by_hash = {r.h: r.c for r in found}
-    return {w: by_hash.get(int(np.uint64(h).view(np.int64)), 0) for w, h in hashed.items()}
-
-
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """Items with words, a bounded part of them at a time."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+        return
+    for pdf in batches:
+        found = [word_hashes(utf8(t).lower(), keep) for t in pdf["text"]]
+        h, c = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        yield pd.DataFrame({"h": h.view(np.int64), "c": c})
+
+
+def word_counts(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame:
+    """h, c: how often each word of the benchmark stands in the corpus, in one pass over it.
+
+    Up to ``SENT_IDS`` different words go to the tasks, which count those alone; with more, tasks
+    count all their words and the benchmark's are picked in a join."""
+    own = persisted(items.mapInPandas(lambda batches: _counted(batches, None), "h long, c long").select("h").distinct(), "words")
+    texts = docs.select(F.col(text_col).alias("text"))
+    if own.count() <= SENT_IDS:
+        shared = docs.sparkSession.sparkContext.broadcast(np.array([r.h for r in own.collect()], np.int64).view(np.uint64))
+        found = texts.mapInPandas(lambda batches: _counted(batches, shared.value), "h long, c long")
+        return persisted(found.groupBy("h").agg(F.sum("c").alias("c")), "counts")
+    found = texts.mapInPandas(lambda batches: _counted(batches, None), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return persisted(found.join(own, "h"), "counts")
+
+
+def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, block_chars: int) -> Iterator[Index]:
+    """An index of each block of items: bounded parts of the benchmark, one at a time."""
+    items = benchmark_items(benchmark, item_col, item_text_col)
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    if not chars:
+        return
+    items = persisted(items, "items")
+    counts = word_counts(docs, items, text_col)
     n = -(-chars // block_chars)
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
-        if block := [(r.item, w) for r in part if (w := item_words(r.text))]:
-            yield block
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+        words = part.mapInPandas(lambda batches: _counted(batches, None), "h long, c long").select("h").distinct()
+        known = sorted((r.h & 0xFFFFFFFFFFFFFFFF, r.c) for r in counts.join(words, "h").collect())
+        index = Index([(r.item, r.text) for r in part.collect()], (np.array([h for h, _ in known], np.uint64), np.array([c for _, c in known], np.int64)), window)
+        if len(index.start):
+            yield index
 
 
 def find_contamination(
@@ -140,53 +179,70 @@ def find_contamination(
     strings, sorted) of each row of ``docs``.
 
     Null or empty texts and items have no words and no hits; null item ids are left out; of
-    repeated item ids every text counts.  Repeated documents are judged each on its own; other
-    columns are ignored.
+    repeated item ids every text counts, and items with the same window (ties) are all named.
+    Repeated documents are judged each on its own, texts of any length whole; other columns are
+    ignored.  An empty benchmark hits nothing, and an empty table gives no rows.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    state = f"doc_id {kind}, text string, a array<int>, b array<int>, items array<string>"
-    found = rows.select("doc_id", "text", *[F.array().cast(f"array<{t}>").alias(c) for c, t in (("a", "int"), ("b", "int"), ("items", "string"))])
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_chars):
-        rarity = word_counts(docs, text_col, sorted({w for _, words in block for w in words}))
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, rarity, window))
+    hit = "ranges array<int>, items array<string>"
+
+    def matched(index: Broadcast | None) -> DataFrame:
+        """Every row with its number of words and its hits; ``index``: a broadcast or None."""
 
-        def match(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+        def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keep = alnum_table()
             for pdf in batches:
-                a, b, items = pdf["a"].tolist(), pdf["b"].tolist(), pdf["items"].tolist()
-                for k, text in enumerate(pdf["text"]):
+                out = []
+                for doc_id, text, w, t in zip(pdf["doc_id"], pdf["text"], pdf["w"], pdf["t"], strict=True):
                     data = utf8(text).lower()
-                    ranges, names = index.value.hits(data, word_hashes(data, keep))
-                    if ranges:
-                        a[k] = [*a[k], *(x for x, _ in ranges)]
-                        b[k] = [*b[k], *(y for _, y in ranges)]
-                        items[k] = sorted({*items[k], *map(str, names)})
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": pdf["text"], "a": a, "b": b, "items": items})
-
-        found = found.mapInPandas(match, state)
+                    hashes = word_hashes(data, keep)
+                    ranges, names = index.value.hits(data, hashes) if index else ([], set())
+                    out.append((doc_id, w, t, len(hashes), [x for r in ranges for x in r], sorted(names)))
+                yield pd.DataFrame(out, columns=["doc_id", "w", "t", "n_words", "ranges", "items"]).astype({"doc_id": pdf["doc_id"].dtype})
+
+        named = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("w"), F.hash("text").alias("t"))
+        return named.mapInPandas(match, f"doc_id {kind}, w long, t int, n_words long, {hit}")
+
+    parts: list[Broadcast] = []
+    hits: DataFrame | None = None
+    found: DataFrame | None = None
+    for index in indexes(docs, benchmark, text_col, item_col, item_text_col, window, block_chars):
+        if found is not None:  # a second block: hits are written, block by block
+            part = persisted(found.where("size(ranges) > 0").select("w", "t", "ranges", "items").dropDuplicates(["w", "t"]), "hits")
+            hits = part if hits is None else hits.union(part)
+            parts.pop().unpersist()
+        parts.append(spark.sparkContext.broadcast(index))
+        found = matched(parts[-1])
+    if found is None:
+        found = matched(None)
+    if hits is not None:
+        last = persisted(found, "hits")
+        hits = hits.union(last.where("size(ranges) > 0").select("w", "t", "ranges", "items").dropDuplicates(["w", "t"]))
+        hits = hits.groupBy("w", "t").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
+        found = last.drop("ranges", "items").join(hits, ["w", "t"], "left").select("doc_id", "n_words", none("ranges", "int"), none("items", "string"))
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep = alnum_table()
         for pdf in batches:
-            n_words, n_hit, sha = [], [], []
-            for text, a, b, items in zip(pdf["text"], pdf["a"], pdf["b"], pdf["items"], strict=True):
-                n = len(word_spans(utf8(text).lower(), keep)[1])
-                hit = np.zeros(n + 1, np.int64)
-                np.add.at(hit, np.asarray(a, np.int64), 1)
-                np.add.at(hit, np.asarray(b, np.int64), -1)
-                n_words.append(n)
-                n_hit.append(int((np.cumsum(hit) > 0).sum()))
-                sha.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
-            out = pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": n_words, "n_hit": n_hit, "n_items": [len(i) for i in pdf["items"]], "items_sha256": sha})
-            out["contaminated"] = out["n_hit"] > 0
-            yield out.assign(items=pdf["items"])
-
-    return found.mapInPandas(digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+            n_hit, sha, listed = [], [], []
+            for n, ranges, items in zip(pdf["n_words"], pdf["ranges"], pdf["items"], strict=True):
+                edge = np.zeros(n + 1, np.int64)
+                np.add.at(edge, np.asarray(ranges[::2], np.int64), 1)
+                np.add.at(edge, np.asarray(ranges[1::2], np.int64), -1)
+                n_hit.append(int((np.cumsum(edge) > 0).sum()))
+                listed.append(sorted(items))
+                sha.append(hashlib.sha256(",".join(listed[-1]).encode()).hexdigest())
+            out = pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": pdf["n_words"], "n_hit": n_hit, "n_items": list(map(len, listed)), "items_sha256": sha})
+            yield out.assign(contaminated=out["n_hit"] > 0, items=listed)
+
+    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+    return found.select("doc_id", "n_words", "ranges", "items").mapInPandas(digest, schema)
 
 
 def free_of(index: Broadcast):
-    """A function of texts: true where no window of the index occurs."""
+    """A function of texts: true where no window of the (broadcast) index occurs."""
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
@@ -201,10 +257,11 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs, with their own columns."""
-    kept = docs
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_chars):
-        rarity = word_counts(docs, text_col, sorted({w for _, words in block for w in words}))
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, rarity, window))
-        kept = kept.where(free_of(index)(F.col(text_col)))
-    return kept
+    """The rows of ``docs`` in which no window of the benchmark occurs, with their own columns.
+
+    Between blocks of the benchmark what is left is written."""
+    left = docs
+    for k, index in enumerate(indexes(docs, benchmark, text_col, item_col, item_text_col, window, block_chars)):
+        left = persisted(left, "clean") if k else left
+        left = left.where(free_of(docs.sparkSession.sparkContext.broadcast(index))(F.col(text_col)))
+    return left
