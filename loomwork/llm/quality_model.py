@@ -2,7 +2,8 @@
 
 Random Fourier features approximate a Gaussian kernel over the statistics.  Each task sums its
 rows' part of the normal equations, the sums are added up, and the driver solves one small
-ridge system.  Isotonic regression on a fold of its own then turns scores into probabilities.
+ridge system.  Isotonic regression on a fold of its own then turns scores into probabilities,
+between the centres of its blocks in proportion, so that scores of one block keep their order.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .common import fold, persisted, space_table, utf8, word_hashes
 STATISTICS = (
     "words", "symbols", "shouts", "upper", "digits", "word_length", "distinct_words", "repeated_neighbours", "distinct_lines", "beyond_ascii", "line_words", "stops",
 )
+#: Part of the score that is the raw score (squashed), not its calibration.
+RAW_SHARE = 0.02
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -63,24 +66,26 @@ class KernelRidge:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         raw = self.raw(x)
-        return np.interp(raw, *self.knots) if self.knots else np.clip(raw, 0, 1)
+        if not self.knots:
+            return np.clip(raw, 0, 1)
+        # Beyond the first and last centre, and along equal blocks, a little of the raw score decides.
+        return (1 - RAW_SHARE) * np.interp(raw, *self.knots) + RAW_SHARE / (1 + np.exp(1 - 2 * raw))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots of a non-decreasing fit of ``y``; ``x`` ascending."""
-    blocks: list[list[float]] = []  # weight, weighted y, first x, last x
+    """Pool adjacent violators: centres and values of the blocks of a non-decreasing fit of
+    ``y``; ``x`` ascending."""
+    blocks: list[list[float]] = []  # weight, weighted y, weighted x
     for a, b, w in zip(x, y, weight, strict=True):
-        blocks.append([w, w * b, a, a])
+        blocks.append([w, w * b, w * a])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
             last = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
-    xs = [v for b in blocks for v in ((b[2], b[3]) if b[3] > b[2] else (b[2],))]
-    ys = [b[1] / b[0] for b in blocks for _ in range(2 if b[3] > b[2] else 1)]
-    return np.array(xs), np.array(ys)
+            blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
+    return np.array([b[2] / b[0] for b in blocks]), np.array([b[1] / b[0] for b in blocks])
 
 
-def summed(rows: DataFrame, model: KernelRidge, groups: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Z'Z and Z'y over ``rows`` (x, y): a sum for each task, then for each of ``groups``."""
+def summed(rows: DataFrame, model: KernelRidge, fan_in: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Z'Z and Z'y over ``rows`` (x, y): a sum for each task, then twice of ``fan_in`` sums at most."""
     d = len(model.phases) + 1
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,19 +95,19 @@ def summed(rows: DataFrame, model: KernelRidge, groups: int = 8) -> tuple[np.nda
         for pdf in batches:
             z = model.features(np.stack(pdf["x"]))
             total += z.T @ np.column_stack([z, pdf["y"]])
-        yield pd.DataFrame({"g": [TaskContext.get().partitionId() % groups], "s": [total.tobytes()]})
+        yield pd.DataFrame({"g": [TaskContext.get().partitionId()], "s": [total.tobytes()]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, any_row = np.zeros((d, d + 1)), False
+        totals: dict[int, np.ndarray] = {}
         for pdf in batches:
-            for s in pdf["s"]:
-                total += np.frombuffer(s).reshape(d, d + 1)
-                any_row = True
-        if any_row:
-            yield pd.DataFrame({"s": [total.tobytes()]})
-
-    sums = rows.mapInPandas(part, "g int, s binary").repartition(groups, "g").mapInPandas(add, "s binary").collect()
-    total = sum((np.frombuffer(r.s).reshape(d, d + 1) for r in sums), np.zeros((d, d + 1)))
+            for g, s in zip(pdf["g"], pdf["s"], strict=True):
+                totals[g] = totals.get(g, 0) + np.frombuffer(s).reshape(d, d + 1)
+        yield pd.DataFrame({"g": list(totals), "s": [t.tobytes() for t in totals.values()]}).astype({"g": "int32"})
+
+    sums = rows.mapInPandas(part, "g int, s binary")
+    for _ in range(2):
+        sums = sums.select(F.floor(F.col("g") / fan_in).cast("int").alias("g"), "s").repartition("g").mapInPandas(add, "g int, s binary")
+    total = sum((np.frombuffer(r.s).reshape(d, d + 1) for r in sums.collect()), np.zeros((d, d + 1)))
     return total[:, :-1], total[:, -1]
 
 
@@ -138,7 +143,9 @@ def score_quality(
     Learns from all labels outside fold ``held_out`` (crc32 of the id modulo 5); fold 1 is for
     calibration.  Null labels and labels without a document are left out; of several labels of
     a document the mean is learned.  A text without words has all statistics 0 and is scored
-    like any other; without labels every score is 0.5.  Other columns are ignored.
+    like any other; without labels every score is 0.5.  Texts of any length are read whole,
+    repeated rows are scored each on its own, and equal statistics (ties) have equal scores.
+    Other columns are ignored; an empty table gives no rows.
     """
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
