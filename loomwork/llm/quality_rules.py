@@ -1,20 +1,23 @@
 """op7: document quality rules as a short-circuit cascade, in Spark's own functions only.
 
 Each rule is a condition that rejects a document.  Which documents pass does not depend on the
-order of the rules, but the work does: on a sample, each rule's time and share of rejections
-are measured, and rules with the most rejections per second go first.  A ``CASE`` then leaves
-a document at its first rejection, so costly rules see few documents.
+order of the rules, but the work does: on a sample, each rule's time a row and the rows it
+rejects are measured, and the rule with the most rejections per second goes first, then the one
+with the most among what that leaves, and so on.  Filters (or a ``CASE``) in that order leave a
+document at its first rejection, so costly rules see few documents.
 """
 
 from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from math import log2
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
+
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -34,10 +37,6 @@ def symbols(text: Column) -> Column:
     return F.coalesce(F.length(text) - F.length(F.translate(text, SYMBOLS, "")), F.lit(0)).cast("long")
 
 
-def marks(text: Column, chars: str) -> Column:
-    return F.coalesce(F.length(text) - F.length(F.translate(text, chars, "")), F.lit(0)).cast("long")
-
-
 def lines(text: Column) -> Column:
     """Lines that have a word."""
     parts = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
@@ -85,6 +84,16 @@ OWN = (
     Rule("repeated_lines", ("n_lines", "n_dup_lines"), "n_lines >= 4 AND 2 * n_dup_lines > n_lines"),
 )
 RULES = (*BASE, *OWN)
+#: Signals that no report shows, as SQL over ``text``: computed where a rule asks, not before.
+LAZY = {"n_shouts": "coalesce(length(text) - length(translate(text, '!', '')), 0)"}
+
+
+def rejects(rule: Rule) -> Column:
+    """The rule's condition over the other signals and ``text``."""
+    sql = rule.rejects
+    for name, value in LAZY.items():
+        sql = sql.replace(name, f"({value})")
+    return F.expr(sql)
 
 
 def sealed(df: DataFrame) -> DataFrame:
@@ -97,7 +106,7 @@ def sealed(df: DataFrame) -> DataFrame:
 
 
 def with_signals(df: DataFrame, text_col: str, needed: set[str]) -> DataFrame:
-    """Adds the signals asked for, as long columns."""
+    """Adds the signals asked for, as long columns (lazy ones are left to the rules)."""
     text = F.col(text_col)
     if needed & {"n_words", "n_repeat_words"}:
         df = df.withColumn("_words", words(text)).withColumn("n_words", F.size("_words").cast("long"))
@@ -106,73 +115,93 @@ def with_signals(df: DataFrame, text_col: str, needed: set[str]) -> DataFrame:
     if needed & {"n_lines", "n_dup_lines"}:
         df = df.withColumn("_lines", lines(text)).withColumn("n_lines", F.size("_lines").cast("long"))
         df = df.withColumn("n_dup_lines", F.col("n_lines") - F.size(F.array_distinct("_lines")))
-    simple = {"word_chars": letters_in_words(text), "n_symbols": symbols(text), "n_shouts": marks(text, "!")}
+    simple = {"word_chars": letters_in_words(text), "n_symbols": symbols(text)}
     df = df.withColumns({k: v for k, v in simple.items() if k in needed})
     return sealed(df.drop("_words", "_lines"))
 
 
-def measure(docs: DataFrame, text_col: str, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> list[dict]:
-    """Seconds and rejections of each rule on at most ``sample_rows`` documents.
+def measure(docs: DataFrame, text_col: str, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, repeats: int = 2) -> dict:
+    """``seconds`` a row of each rule, and ``verdicts``: how many rows each set of rules rejects.
 
-    The sample is spread by hash over the tasks that Spark reads first; it only sets the order
-    of the rules, which no verdict depends on.
+    The sample, about ``sample_rows`` rows, is drawn over the whole table.  A rule is timed after
+    a run that compiles it, less the time of a job that computes nothing; times are rounded to
+    powers of two, so that chance seldom changes the order (and never a verdict).
     """
-    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).limit(sample_rows)
-    some = some.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = some.count()
-        out = []
-        for rule in rules:
-            began = time.perf_counter()
-            bad = with_signals(some, "text", set(rule.needs)).agg(F.count_if(F.expr(rule.rejects))).first()[0]
-            out.append({"rule": rule.name, "seconds": time.perf_counter() - began, "rejected": bad, "rows": n})
-        return out
-    finally:
-        some.unpersist()
+    total = docs.count()
+    some = docs.select(F.col(text_col).alias("text")).sample(min(1.0, sample_rows / max(total, 1)), seed=7)
+    some, drop = kept(some, "sample")
 
-
-def cascade(measured: list[dict], rules: tuple[Rule, ...] = RULES) -> list[Rule]:
-    """Rules by rejections per second, highest first; ties and rules that reject nothing by time."""
-    by_name = {m["rule"]: m for m in measured}
-    rate = lambda r: (m := by_name[r.name])["rejected"] / max(m["seconds"], 1e-9)
-    return sorted(rules, key=lambda r: (-rate(r), by_name[r.name]["seconds"], r.name))
+    def seconds(job: DataFrame) -> float:
+        took = []
+        for _ in range(1 + repeats):
+            began = time.perf_counter()
+            job.collect()
+            took.append(time.perf_counter() - began)
+        return min(took[1:])
+
+    n = some.count()
+    idle = seconds(some.agg(F.count("text")))
+    cost = {}
+    for rule in rules:
+        spent = seconds(with_signals(some, "text", set(rule.needs)).agg(F.count_if(rejects(rule)))) - idle
+        cost[rule.name] = 2.0 ** round(log2(max(spent, 1e-3) / max(n, 1)))
+    every = with_signals(some, "text", {x for r in rules for x in r.needs})
+    bad = every.select(F.array_compact(F.array(*[F.when(rejects(r), r.name) for r in rules])).alias("bad")).groupBy("bad").count().collect()
+    drop()
+    return {"seconds": cost, "verdicts": {frozenset(r["bad"]): r["count"] for r in bad}}
+
+
+def cascade(measured: dict, rules: tuple[Rule, ...] = RULES) -> list[Rule]:
+    """Rules by rejections per second among the rows that those before them leave; ties, and
+    rules that reject nothing more, by time."""
+    cost, left = measured["seconds"], dict(measured["verdicts"])
+    waiting, out = list(rules), []
+    while waiting:
+        rejected = {r.name: sum(c for bad, c in left.items() if r.name in bad) for r in waiting}
+        best = min(waiting, key=lambda r: (-rejected[r.name] / cost[r.name], cost[r.name], r.name))
+        out.append(best)
+        waiting.remove(best)
+        left = {bad: c for bad, c in left.items() if best.name not in bad}
+    return out
 
 
 def first_failure(ordered: list[Rule]) -> Column:
     """The first rule of the cascade that rejects, or null."""
     out = None
     for rule in ordered:
-        out = F.when(F.expr(rule.rejects), rule.name) if out is None else out.when(F.expr(rule.rejects), rule.name)
+        out = F.when(rejects(rule), rule.name) if out is None else out.when(rejects(rule), rule.name)
     return out if out is not None else F.lit(None).cast("string")
 
 
-def keep_good(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES, measured: list[dict] | None = None) -> DataFrame:
+def keep_good(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES, measured: dict | None = None) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their own columns.
 
     One filter after another in the cascade's order, each computing only its own signals on
-    what is left.  A null or empty text has no words and is rejected as too short.  Names that
-    the signals use are kept apart from the table's own columns.
+    what is left.  A null or empty text has no words and is rejected as too short.  Repeated rows
+    are judged each on its own, texts of any length whole, and ids are not looked at.  Names that
+    the signals use are kept apart from the table's own columns.  An empty table stays empty.
     """
     ordered = cascade(measured or measure(docs, text_col, rules), rules)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
     for rule in ordered:
-        rows = with_signals(rows, "text", set(rule.needs)).where(~F.expr(rule.rejects)).select("row", "text")
+        rows = with_signals(rows, "text", set(rule.needs)).where(~rejects(rule)).select("row", "text")
     return rows.select("row.*")
 
 
-def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", measured: list[dict] | None = None) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
-    failed_rule (one that rejects; which one depends on the measured order).
+def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", measured: dict | None = None) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
-    All signals are reported for every document; the cascade decides ``kept``.  A null or empty
-    text has no words and fails; repeated rows are judged each on its own.
+    These signals are reported for every document; others are computed only for documents that
+    reach their rule in the cascade, which decides ``kept``.  A null or empty text has no words
+    and fails; repeated rows are judged each on its own; a null id stays null; texts of any length
+    are read whole; other columns are ignored; an empty table gives no rows.
     """
     ordered = cascade(measured or measure(docs, text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = with_signals(rows, "text", {x for r in RULES for x in r.needs} | {"n_dup_lines"}).drop("text")
+    rows = with_signals(rows, "text", {x for r in RULES for x in r.needs} | {"n_dup_lines"})
     base = F.lit(False)
     for rule in BASE:
-        base = base | F.expr(rule.rejects)
+        base = base | rejects(rule)
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         first_failure(ordered).isNull().alias("kept"),

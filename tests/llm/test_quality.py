@@ -40,13 +40,28 @@ def test_filter_agrees_with_report_in_any_order(spark):
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(TEXTS)], "doc_id bigint, text string, n_words string")
     kept = {r.doc_id for r in q.quality_report(df).where("kept").collect()}
     for flip in (1, -1):
-        fake = [{"rule": r.name, "seconds": 1.0 + flip * i / 10, "rejected": 1, "rows": 9} for i, r in enumerate(q.RULES)]
+        fake = {"seconds": {r.name: 1.0 + flip * i / 10 for i, r in enumerate(q.RULES)}, "verdicts": {frozenset(r.name for r in q.RULES): 1}}
         out = q.keep_good(df, measured=fake)
         assert out.columns == df.columns and {r.doc_id for r in out.collect()} == kept
-    assert q.cascade([{"rule": r.name, "seconds": 1.0, "rejected": i, "rows": 9} for i, r in enumerate(q.RULES)])[0].name == q.RULES[-1].name
+        assert {r.doc_id for r in q.quality_report(df, measured=fake).where("kept").collect()} == kept
     assert q.keep_good(df.where("false")).count() == 0 and q.quality_report(df.where("false")).count() == 0
 
 
+def test_order_is_by_what_a_rule_adds():
+    cost = {"too_short": 1.0, "repeated_windows": 8.0, "symbols": 2.0, "shouting": 1.0, "word_length": 1.0, "repeated_lines": 4.0}
+    verdicts = {frozenset(): 50, frozenset(["too_short", "word_length"]): 30, frozenset(["repeated_windows"]): 16, frozenset(["symbols"]): 8, frozenset(["word_length"]): 1}
+    # word_length rejects most, but after it too_short rejects nothing more
+    assert [r.name for r in q.cascade({"seconds": cost, "verdicts": verdicts})] == ["word_length", "symbols", "repeated_windows", "shouting", "too_short", "repeated_lines"]
+
+
+def test_measured_over_the_whole_table(spark):
+    df = spark.createDataFrame([(k, "one two three" if k % 2 else " ".join(f"w{k}{i}" for i in range(40))) for k in range(3000)], "doc_id bigint, text string").repartition(6)
+    m = q.measure(df, "text", sample_rows=600)
+    n = sum(m["verdicts"].values())
+    assert 400 < n < 800 and set(m["seconds"]) == {r.name for r in q.RULES} and all(s > 0 for s in m["seconds"].values())
+    assert abs(sum(c for bad, c in m["verdicts"].items() if "too_short" in bad) / n - 0.5) < 0.1
+
+
 def test_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/sf0.001/documents.parquet'")
