@@ -3,9 +3,10 @@
 The base kinds are found by their patterns.  Disguises are undone by transducers that write a
 normalised text and keep, for each of its characters, the source span it came from:
 
-1. homoglyphs and full-width forms become ASCII characters of the same look,
-2. spelled digits ("four one five") become digits, and runs of them join,
-3. "at" and "dot" in brackets, or in words between host labels, become ``@`` and ``.``.
+1. homoglyphs, full-width forms and the decimal digits of every script become ASCII characters,
+2. spelled digits ("four one five", "double one"; English, German, French, Spanish) become
+   digits, and runs of them join,
+3. "at" and "dot" in brackets, spaced out, or in words between host labels become ``@`` and ``.``.
 
 Identifiers are found in the normalised text by the same rules and mapped back; those that no
 single base span covers whole are added.
@@ -17,6 +18,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -80,59 +82,128 @@ def order(span: Span) -> tuple[int, int, int]:
     return span[0], KINDS.index(span[2]), span[1]
 
 
-# Letters of other scripts that look like an ASCII letter (a choice of this module).
-_LOOKS = {
-    "а": "a", "с": "c", "е": "e", "о": "o", "р": "p", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ո": "n", "ԛ": "q", "ԝ": "w",
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y",
-    "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N",
-    "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ı": "i", "ɑ": "a", "ɡ": "g", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "․": ".", "。": ".", " ": " ",
-}
+# Letters of other scripts, each before the ASCII letter that it looks like (a choice of this module).
+_PAIRS = (
+    # Cyrillic
+    "аa сc еe оo рp хx уy іi јj ѕs һh ԁd ԛq ԝw ѵv ӏl кk ԍg АA ВB СC ЕE НH ІI ЈJ КK МM ОO РP ЅS ТT ХX УY ҮY ԚQ ԜW ӀI ԌG ѴV З3 б6 "
+    # Greek
+    "αa οo ρp νv ιi κk υu γy ηn ωw χx ϲc ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ "
+    # Armenian
+    "օo ոn սu հh ցg զq յj ՕO ՍU ՏS ԼL "
+    # Cherokee
+    "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎥI ᎫJ ᏦK ᏞL ᎷM ᏢP ᏒR ᏚS ᎢT ᏙV ᎳW ᏃZ "
+    # Latin
+    "ıi ɑa ɡg ɩi ʏY ɴN ʜH ʟL ʙB ɪI ʀR ꜱS ᴀA ᴄC ᴅD ᴇE ᴊJ ᴋK ᴍM ᴏO ᴘP ᴛT ᴜU ᴠV ᴡW ᴢZ "
+    # Marks
+    "‐- ‑- ‒- –- −- ․. 。."
+)
+_LOOKS = {p[0]: p[1] for p in _PAIRS.split(" ")} | {"\u00a0": " ", "\u2007": " ", "\u202f": " "}
 _NOTHING = frozenset("\u200b\u200c\u200d\u2060\ufeff\u00ad")
+#: Superscripts stand in plain prose (m\u00b2) and are no disguise.
+_RAISED = frozenset("\u00b9\u00b2\u00b3\u2070\u2074\u2075\u2076\u2077\u2078\u2079\u00aa\u00ba")
 
 
+@lru_cache(maxsize=1 << 16)
 def look(ch: str) -> str:
-    """The ASCII character that ``ch`` passes for; itself if none."""
+    """The ASCII character that ``ch`` passes for (by the table, as a decimal digit, or by its
+    compatibility form); itself if none."""
+    if ch < "\x80" or ch in _RAISED:
+        return ch
     if ch in _NOTHING:
         return ""
     if (plain := _LOOKS.get(ch)) is not None:
         return plain
-    code = ord(ch)
-    if 0xFF01 <= code <= 0xFF5E:
-        return chr(code - 0xFEE0)
     if (digit := unicodedata.decimal(ch, None)) is not None:
         return str(digit)
-    if 0x1D400 <= code <= 0x1D7FF or 0x24B6 <= code <= 0x24E9:
-        plain = unicodedata.normalize("NFKC", ch)
-        return plain if plain.isascii() else ch
-    return ch
-
-
-_DISGUISED = re.compile("[" + "".join(map(re.escape, _LOOKS)) + "".join(sorted(_NOTHING)) + "\uff01-\uff5e\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\U0001d400-\U0001d7ff\u24b6-\u24e9]")
-
-_SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_NAME = "zero|one|two|three|four|five|six|seven|eight|nine"
-#: Three spelled digits or more in a row, other digits between them; "oh" counts inside a run.
-_SPOKEN = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus[ ,-]{{1,2}})?(?:(?:{_NAME}|[0-9]{{1,4}})(?:[ ,.-]{{1,2}}(?:dot |point )?(?=(?:{_NAME}|oh|[0-9])(?![A-Za-z])))(?:oh[ ,.-]{{1,2}})*){{2,}}(?:{_NAME}|oh|[0-9]{{1,4}})(?![A-Za-z0-9])")
-_SPOKEN_HINT = re.compile(rf"(?i)\b(?:{_NAME})\b")
-_SPOKEN_PART = re.compile(rf"(?i)(plus)|({_NAME}|oh)|([0-9]+)|(dot|point)|[ ,.-]+")
-
-#: at and dot in brackets, or spaced with "at"/"dot" spelled and a well-known last label.
-_AT = r"\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}"
-_DOT = r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.|punkt|punto|point)\s{0,3}[\])}>]\s{0,3}"
-_LABEL = r"[A-Za-z0-9-]{1,63}"
-_TOP = r"(?:com|org|net|edu|gov|mil|int|info|biz|io|dev|app|example|invalid|test|co\.uk)"
-_BRACKETED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{{1,64}}+)(?:({_AT})|(\s{{0,3}}@\s{{0,3}})|(\s{{1,3}}at\s{{1,3}}))({_LABEL}(?:(?:{_DOT}|\.|\s{{1,3}}dot\s{{1,3}}){_LABEL}){{1,5}})")
-#: Country endings, which count after a spelled dot only.
-_COUNTRY = (
+    plain = unicodedata.normalize("NFKC", ch)
+    return plain if len(plain) == 1 and "!" <= plain <= "~" else ch
+
+
+# Digit names of the corpus's languages; those of the second row are words of other meaning too
+# and count inside a run only.
+_SPELLED = {
+    **{w: str(k) for row in (
+        "zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun",
+        "zéro - deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    ) for k, w in enumerate(row.split())},
+    "zwo": "2", "fuenf": "5",
+}
+_INSIDE = {"oh": "0", "o": "0", "ein": "1", "un": "1", "une": "1"}
+_TIMES = {"double": 2, "doble": 2, "doppel": 2, "triple": 3}
+_PLUS, _POINT = frozenset(["plus", "más", "mas"]), frozenset(["dot", "point", "punkt", "punto", "punkto"])
+_SPOKEN_HINT = re.compile(r"(?i)\b(?:" + "|".join(sorted(set(_SPELLED) - {"-"})) + r")\b")
+_SPOKEN_PART = re.compile(r"([^\W\d_]++)|([0-9]++)|([\s,.()/:-]++)|.", re.S)
+
+
+def spoken(text: str) -> list[tuple[int, int, str]]:
+    """Edits that write runs of spelled digits as digits.
+
+    A run has three items or more, two of them names; between items stand white space and marks,
+    where a full stop, spelled or not, stays one."""
+    edits: list[tuple[int, int, str]] = []
+    parts: list[str] = []  # what is written
+    start = end = items = names = 0
+    times, gap, lead = 1, "", None  # lead: where a "plus" or a "double" before the run begins
+
+    def close() -> None:
+        nonlocal parts, items, names, times, gap, lead
+        if items >= 3 and names >= 2:
+            edits.append((start, end, "".join(parts)))
+        parts, items, names, times, gap, lead = [], 0, 0, 1, "", None
+
+    def add(m: re.Match, digits: str, named: bool) -> None:
+        nonlocal start, end, items, names, times, gap, lead
+        if not items:
+            start = m.start() if lead is None else lead
+        parts.append((gap if items else "") + digits * times)
+        end, items, names = m.end(), items + 1, names + named
+        times, gap, lead = 1, "", None
+
+    for m in _SPOKEN_PART.finditer(text):
+        word, digits, mark = m.groups()
+        if mark:
+            if "." in mark:
+                gap = "."
+        elif digits:
+            add(m, digits, False)
+        elif word and ((w := word.lower()) in _SPELLED or w in _INSIDE and items):
+            add(m, _SPELLED.get(w) or _INSIDE[w], True)
+        elif word and w in _POINT and items:
+            gap = "."
+        elif word and w in _TIMES:
+            times, lead = _TIMES[w], m.start() if not items and lead is None else lead
+        elif word and w in _PLUS:
+            close()
+            parts, lead = ["+"], m.start()
+        else:
+            close()
+    close()
+    return edits
+
+
+#: at and dot in brackets, or spelled, or spaced out.  Every repetition is possessive and starts
+#: at a word's beginning, so reading is linear and no length is bounded.
+_AT = r"\s*+[\[({<]\s*+(?:at|@)\s*+[\])}>]\s*+"
+_DOT = r"\s*+[\[({<]\s*+(?:dot|\.|punkt|punto|point)\s*+[\])}>]\s*+"
+_SPELLED_DOT = r"\s++(?:dot|punkt|punto|point)\s++"
+_SPACED_DOT = r"\s++\.\s++"
+_LABEL = r"[A-Za-z0-9-]++"
+_LOCAL_RUN = r"[A-Za-z0-9._%+-]++"
+_ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])({_LOCAL_RUN})(?:({_AT})|(\s*+@\s*+)|(\s++at\s++))({_LABEL}(?:(?:{_DOT}|\.|{_SPELLED_DOT}|{_SPACED_DOT}){_LABEL})++)")
+_HOST_PART = re.compile(rf"(?i)({_LABEL})|({_DOT})|({_SPELLED_DOT})|({_SPACED_DOT})|(\.)")
+#: Last labels that need no further sign: general ones, and after a spelled or spaced dot the countries'.
+_TOP = frozenset("com org net edu gov mil int info biz io dev app example invalid test".split())
+_COUNTRY = re.compile(
     "a[cdefgilmoqrstuwxz]|b[abdefghijlmnoqrstvwyz]|c[acdfghiklmnoruvwxyz]|d[ejkmoz]|e[cegrstu]|f[ijkmor]|g[abdefghilmnpqrstuwy]|h[kmnrtu]|i[delmnoqrst]|j[emop]|k[eghimnprwyz]|"
     "l[abcikrstuvy]|m[acdeghklmnopqrstuvwxyz]|n[acefgilopruz]|om|p[aefghklmnrstwy]|qa|r[eosuw]|s[abcdeghijklmnorstuvxyz]|t[cdfghjklmnortvwz]|u[agksyz]|v[aceginu]|w[fs]|y[et]|z[amw]"
 )
-_SPACED_END = re.compile(rf"(?i)(?:(?:\s+dot\s+|{_DOT}|\.){_TOP}|(?:\s+dot\s+|{_DOT})(?:{_COUNTRY}))$")
-#: "look at the dot in it": no host is named by an article.
-_NO_HOST = re.compile(r"(?i)(?:the|an?|this|that|each|every)\s+dot\s")
-_HOST_PART = re.compile(rf"(?i)({_LABEL})|({_DOT}|\s{{1,3}}dot\s{{1,3}}|\.)")
-_LOCAL_DOTS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}})+(?=(?:{_AT}|\s{{0,3}}@))")
-_AT_HINT = re.compile(r"(?i)[\[({<]\s{0,3}(?:at|@)|\s@|@\s|\bdot\b|[\[({<]\s{0,3}(?:dot|\.|punkt|punto|point)\s{0,3}[\])}>]")
+#: No host begins with an article ("look at the dot in it").
+_ARTICLES = frozenset("the a an this that each every".split())
+#: Words before an address, after which any last label counts.
+_INTRODUCED = re.compile(r"(?i)\b(?:e-?mail|mail|courriel|correo|contact|contacto|kontakt|write|address|adresse|reach)\b[^\n@]{0,20}$")
+_LOCAL_DOTS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:{_DOT}[A-Za-z0-9_%+-]++)++(?={_AT}|\s*+@)")
+_BRACKET_DOT = re.compile(rf"(?i){_DOT}")
+_AT_HINT = re.compile(r"(?i)[\[({<]\s*+(?:at|@)|\s@|@\s|\s(?:dot|punkt|punto|point)\s|[\[({<]\s*+(?:dot|\.|punkt|punto|point)\s*+[\])}>]")
 
 
 class Tape:
@@ -161,47 +232,49 @@ class Tape:
         return (self.start[a], self.end[b - 1]) if self.start is not None else (a, b)
 
 
-def _spoken(m: re.Match) -> tuple[int, int, str]:
-    out = []
-    for p in _SPOKEN_PART.finditer(m.group()):
-        plus, name, digits, dot = p.groups()
-        if plus:
-            out.append("+")
-        elif name:
-            out.append(_SPELLED[name.lower()])
-        elif digits:
-            out.append(digits)
-        elif dot or "." in p.group():
-            out.append(".")
-    return m.start(), m.end(), re.sub(r"\.+", ".", "".join(out))
-
-
 def _address(m: re.Match) -> tuple[int, int, str] | None:
+    """The address that a match writes, if its parts are signs enough that it is one."""
     local, bracket, sign, word, host = m.groups()
-    if word and (not _SPACED_END.search(host) or _NO_HOST.match(host)):
-        return None  # "at" as a word: only with a last label that no sentence ends in
-    if sign and sign == "@" and not re.search(r"[\[({<]|\s", host):
+    labels, seps = [], []  # how each label is divided from the one before
+    for p in _HOST_PART.finditer(host):
+        if p.group(1):
+            labels.append(p.group(1))
+        else:
+            seps.append("bracket" if p.group(2) else "spelled" if p.group(3) else "spaced" if p.group(4) else "plain")
+    if sign == "@" and not {"bracket", "spelled", "spaced"} & {*seps}:
         return None  # plain
-    if re.search(r"(?i)\s+dot\s+", host) and not _SPACED_END.search(host):
+    if bracket or "bracket" in seps:
+        return m.start(), m.end(), local + "@" + ".".join(labels)
+    if labels[0].lower() in _ARTICLES:
         return None
-    labels = [p.group(1) for p in _HOST_PART.finditer(host) if p.group(1)]
-    return m.start(), m.end(), local + "@" + ".".join(labels)
+    # The longest part of the host whose last label is a known ending, then any ending if the address looks like one.
+    before = m.string[max(0, m.start() - 40) : m.start()]
+    marked = bool(sign) or re.search(r"[0-9._%+-]", local) or word and word.strip() == "AT" or _INTRODUCED.search(before)
+    stops = [p.end() for p in _HOST_PART.finditer(host) if p.group(1)]
+    for k in range(len(labels) - 1, 0, -1):
+        last, how = labels[k].lower(), seps[k - 1]
+        known = last in _TOP or how != "plain" and _COUNTRY.fullmatch(last)
+        loose = how == "spelled" and marked and len(last) >= 2 and last.isalpha() and last not in _ARTICLES
+        if known or loose:
+            return m.start(), m.start(5) + stops[k], local + "@" + ".".join(labels[: k + 1])
+    return None
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans of disguised identifiers, in source positions, that no base span covers whole."""
-    disguised, spoken, at = _DISGUISED.search(text), _SPOKEN_HINT.search(text), _AT_HINT.search(text)
-    if not (disguised or spoken or at):
+    disguised = [] if text.isascii() else [c for c in {*text} if look(c) != c]
+    named, at = _SPOKEN_HINT.search(text), _AT_HINT.search(text)
+    if not (disguised or named or at):
         return []
     tape = Tape(text)
     if disguised:
-        tape.rewrite([(m.start(), m.end(), look(m.group())) for m in _DISGUISED.finditer(text)])
-    if spoken or disguised:
-        tape.rewrite([_spoken(m) for m in _SPOKEN.finditer(tape.text)])
-    if at or disguised:
-        tape.rewrite([(m.start(), m.end(), re.sub(rf"(?i){_DOT}", ".", m.group())) for m in _LOCAL_DOTS.finditer(tape.text)])
-        found = (_address(m) for m in _BRACKETED.finditer(tape.text))
-        tape.rewrite([e for e in found if e])
+        tape.rewrite([(m.start(), m.end(), look(m.group())) for m in re.finditer("[" + re.escape("".join(disguised)) + "]", text)])
+        named, at = _SPOKEN_HINT.search(tape.text), _AT_HINT.search(tape.text)
+    if named:
+        tape.rewrite(spoken(tape.text))
+    if at:
+        tape.rewrite([(m.start(), m.end(), _BRACKET_DOT.sub(".", m.group())) for m in _LOCAL_DOTS.finditer(tape.text)])
+        tape.rewrite([e for e in map(_address, _ADDRESS.finditer(tape.text)) if e])
     if tape.start is None:
         return []
     # Only what a rewriting touched can be new.
@@ -243,7 +316,9 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
     Counts and ``base_sha256`` are of the base patterns alone, ``spans`` has all.  A null or
-    empty text has none; repeated rows are read each on its own; other columns are ignored.
+    empty text has none; a null id stays null; repeated rows are read each on its own; texts and
+    identifiers may have any length; spans that start together (ties) stand in the order of
+    ``KINDS``.  Other columns are ignored; an empty table gives no rows.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
