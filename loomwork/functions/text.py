@@ -71,6 +71,35 @@ def sanitize_full(x: Column, limit: int) -> Column:
     return F.struct(cut_at_space(whole, limit).alias("text"), F.when(F.length(whole) > limit, whole).alias("full"))
 
 
+def sanitize_light(x: Column, limit: int = 10_000) -> Column:
+    """NUL removed, normal form C, cut hard."""
+    return F.substring(nfc(F.translate(x, "\x00", "")), 1, limit)
+
+
+def catalog_line(hub_id: Column, path: Column, name: Column, description: Column | None = None, limit: int = 200) -> Column:
+    """``[id] path | name: description``; long descriptions are cut and marked."""
+    head = F.concat(F.lit("["), hub_id, F.lit("] "), path, F.lit(" | "), name)
+    if description is None:
+        return head
+    short = F.when(F.length(description) > limit, F.concat(F.substring(description, 1, limit), F.lit("..."))).otherwise(description)
+    return F.concat(head, F.coalesce(F.concat(F.lit(": "), F.nullif(short, F.lit(""))), F.lit("")))
+
+
+def instructed(text: Column, instruction: str | None) -> Column:
+    """The text after an encoder's instruction, if it has one."""
+    return F.concat(F.lit(instruction), text) if instruction else text
+
+
+def linked_text(text: Column) -> Column:
+    """What follows the first colon, trimmed; ``(none)`` without one."""
+    return F.when(F.contains(text, F.lit(":")), F.trim(F.substring(text, F.instr(text, ":") + 1, F.length(text)))).otherwise("(none)")
+
+
+def day(x: Column) -> Column:
+    """The day of an ISO date or time as text; ``unknown`` for what is none."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(x), "yyyy-MM-dd"), F.lit("unknown"))
+
+
 def slug(x: Column, limit: int = 80) -> Column:
     """a-z, 0-9 and single hyphens; null if nothing is left."""
     out = F.substring(F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, limit)
@@ -127,16 +156,20 @@ def mentioned_ids(x: Column, pattern: str = r"\d+-\d+") -> Column:
     return F.array_distinct(F.when(F.size(parsed) > 0, parsed).otherwise(F.regexp_extract_all(x, F.lit(f"({pattern})"), 1)))
 
 
+# Shapes of credentials, home folders and contact data.
 SECRET_PATTERNS = {
-    # Well-known shapes of credentials and contact data.
+    "sk_token": r"sk-[a-zA-Z0-9]{20,}",
+    "hf_token": r"hf_[a-zA-Z0-9]{20,}",
+    "wandb_token": r"wandb_[a-zA-Z0-9]{10,}",
     "aws_key": r"AKIA[0-9A-Z]{16}",
+    "home_folder": r"/(?:home|Users)/[A-Za-z][A-Za-z0-9_]*",
+    "pass_entry": r"^pass\s+\w+/\w+",
+    "email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
+    "named_token": r"[A-Z][A-Z0-9]*_(?:TOKEN|API_KEY)\s*=",
+    # Beyond those, more of the same kind.
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "sk_token": r"sk-[A-Za-z0-9]{20,}",
     "github_token": r"gh[pousr]_[A-Za-z0-9]{36}",
-    "hf_token": r"hf_[A-Za-z0-9]{30,}",
     "password": r"(?i)password\s*[=:]\s*\S+",
-    "token": r"(?i)token\s*[=:]\s*\S+",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
 }
 
 SLUG = re.compile(r"^[a-z][a-z0-9_]{1,49}$")

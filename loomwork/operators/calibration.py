@@ -5,9 +5,12 @@ from __future__ import annotations
 from math import ceil
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import least_from_here, running
+
 
 def nll(probabilities: DataFrame, valid: DataFrame) -> DataFrame:
     """Mean negative log of the probability on an item's valid hubs."""
@@ -18,29 +21,35 @@ def nll(probabilities: DataFrame, valid: DataFrame) -> DataFrame:
 def fit_temperature(sims: DataFrame, valid: DataFrame, grid: list[float]) -> DataFrame:
     """t, nll of the temperature with the least multi-label NLL; the first of equals.
 
-    The grid is an array in each row, so the similarities are read once and one shuffle by item
-    serves every temperature.
+    Similarities are read and shuffled by item once; each then meets every temperature in place.
     """
-    marked = sims.join(valid.withColumn("v", F.lit(1)), ["item_id", "hub_id"], "left")
-    w = Window.partitionBy("item_id")
-    marked = marked.withColumn("d", F.col("sim") - F.max("sim").over(w)).select("item_id", "d", "v")
-    sums = marked.groupBy("item_id").agg(*[x for i, t in enumerate(grid) for x in (F.sum(F.exp(F.col("d") / t)).alias(f"a{i}"), F.sum(F.when(F.col("v") == 1, F.exp(F.col("d") / t))).alias(f"v{i}"))])
-    losses = sums.agg(*[F.avg(-F.log(F.col(f"v{i}") / F.col(f"a{i}") + 1e-10)).alias(f"l{i}") for i in range(len(grid))])
-    long = losses.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("t"), F.col(f"l{i}").alias("nll")) for i, t in enumerate(grid)])).alias("g")).select("g.*")
-    return long.agg(F.min_by("t", F.struct("nll", "i")).alias("t"), F.min("nll").alias("nll")).select(F.round("t", 6).alias("t"), F.round("nll", 6).alias("nll"))
+    per = _grid_sums(sims, valid, grid)
+    losses = per.groupBy("i", "t").agg(F.avg(-F.log(F.col("v") / F.col("a") + 1e-10)).alias("nll"))
+    return losses.agg(F.min_by("t", F.struct("nll", "i")).alias("t"), F.min("nll").alias("nll")).select(F.round("t", 6).alias("t"), F.round("nll", 6).alias("nll"))
+
+
+def _at_grid(rows: DataFrame, grid: list[float]) -> DataFrame:
+    """Each row once a point of the grid: i, its place, and t."""
+    return rows.select("*", F.posexplode(F.array(*[F.lit(float(t)) for t in grid])).alias("i", "t"))
+
+
+def _grid_sums(sims: DataFrame, valid: DataFrame, grid: list[float]) -> DataFrame:
+    """For each item and temperature, the sums of exponentials over all (a) and valid (v) hubs."""
+    marked = sims.join(valid.withColumn("ok", F.lit(True)), ["item_id", "hub_id"], "left")
+    marked = marked.withColumn("d", F.col("sim") - F.max("sim").over(Window.partitionBy("item_id"))).select("item_id", "d", "ok")
+    e = _at_grid(marked, grid).withColumn("e", F.exp(F.col("d") / F.col("t")))
+    return e.groupBy("item_id", "i", "t").agg(F.sum("e").alias("a"), F.sum(F.when(F.col("ok"), F.col("e"))).alias("v"))
 
 
 def global_threshold(probabilities: DataFrame, valid: DataFrame, grid: list[float]) -> DataFrame:
     """The threshold of the best F1 over (item, hub): hits and false hits are pairs at or over
     it, misses are items without a valid hit; the first of equals."""
-    marked = probabilities.join(valid.withColumn("v", F.lit(1)), ["item_id", "hub_id"], "left").select("item_id", "p", F.coalesce("v", F.lit(0)).alias("v"))
-    per = marked.groupBy("item_id").agg(
-        *[F.count_if((F.col("p") >= t) & (F.col("v") == 1)).alias(f"tp{i}") for i, t in enumerate(grid)], *[F.count_if((F.col("p") >= t) & (F.col("v") == 0)).alias(f"fp{i}") for i, t in enumerate(grid)]
-    )
-    total = per.agg(*[x for i in range(len(grid)) for x in (F.sum(f"tp{i}").alias(f"tp{i}"), F.sum(f"fp{i}").alias(f"fp{i}"), F.count_if(F.col(f"tp{i}") == 0).alias(f"fn{i}"))])
-    f1 = lambda i: F.coalesce(2 * F.col(f"tp{i}") / F.nullif(2 * F.col(f"tp{i}") + F.col(f"fp{i}") + F.col(f"fn{i}"), F.lit(0)), F.lit(0.0))
-    long = total.select(F.explode(F.array(*[F.struct(f1(i).alias("f1"), F.lit(-i).alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate(grid)])).alias("g")).select("g.*")
-    return long.agg(F.max_by("t", F.struct("f1", "i")).alias("threshold"), F.round(F.max("f1"), 6).alias("f1"))
+    marked = probabilities.join(valid.withColumn("v", F.lit(True)), ["item_id", "hub_id"], "left").select("item_id", "p", F.coalesce("v", F.lit(False)).alias("v"))
+    over = F.col("p") >= F.col("t")
+    per = _at_grid(marked, grid).groupBy("item_id", "i", "t").agg(F.count_if(over & F.col("v")).alias("tp"), F.count_if(over & ~F.col("v")).alias("fp"))
+    total = per.groupBy("i", "t").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.count_if(F.col("tp") == 0).alias("fn"))
+    f1 = F.coalesce(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), F.lit(0.0))
+    return total.withColumn("f1", f1).agg(F.max_by("t", F.struct("f1", -F.col("i"))).alias("threshold"), F.round(F.max("f1"), 6).alias("f1"))
 
 
 def conformal_quantile(probabilities: DataFrame, valid: DataFrame, alpha: float) -> DataFrame:
@@ -82,21 +91,79 @@ def calibration_error(rows: DataFrame, bins: int = 5) -> DataFrame:
 def ks_statistic(a: DataFrame, b: DataFrame) -> DataFrame:
     """Largest gap of two empirical distributions of ``x``.
 
-    Values are counted before they are ordered, so one row a distinct value meets the window.
+    Values are counted before they are ordered; ranges of the order are summed up on their own.
     """
     per = a.select("x", F.lit(1).alias("s")).union(b.select("x", F.lit(0).alias("s"))).groupBy("x").agg(F.sum("s").alias("na"), F.sum(1 - F.col("s")).alias("nb"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    total = per.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    run = per.select(F.sum("na").over(w).alias("ca"), F.sum("nb").over(w).alias("cb")).crossJoin(F.broadcast(total))
+    total = per.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))  # one row
+    run = running(per, [F.col("x")], {"ca": F.col("na"), "cb": F.col("nb")}).crossJoin(F.broadcast(total))
     return run.agg(F.round(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))), 6).alias("ks"), F.max("ta").alias("n_a"), F.max("tb").alias("n_b"))
 
 
+def ks_p_value(ks: float, n_a: int, n_b: int) -> float:
+    """The asymptotic two-sided p-value of a two-sample statistic."""
+    root = (n_a * n_b / (n_a + n_b)) ** 0.5
+    x = (root + 0.12 + 0.11 / root) * ks
+    if x < 0.2:
+        return 1.0
+    return float(min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * np.exp(-2 * k * k * x * x) for k in range(1, 101)))))
+
+
 def benjamini_hochberg(tests: DataFrame) -> DataFrame:
     """Adjusted p-values (test_id, p): reverse running minimum of p * m / rank, at most 1."""
-    order = Window.orderBy("p", "test_id")
-    ranked = tests.withColumn("rank", F.row_number().over(order)).withColumn("m", F.count("*").over(Window.partitionBy()))
-    back = Window.orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
-    return ranked.select("test_id", "p", "rank", F.round(F.least(F.lit(1.0), F.min(F.col("p") * F.col("m") / F.col("rank")).over(back)), 6).alias("p_adjusted"))
+    m = tests.count()
+    order = [F.col("p"), F.col("test_id")]
+    ranked = running(tests, order, {}, rank="rank").withColumn("rank", F.col("rank").cast("int"))
+    out = least_from_here(ranked, [F.col("rank")], F.col("p") * m / F.col("rank"), "_q")
+    return out.select("test_id", "p", "rank", F.round(F.least(F.lit(1.0), "_q"), 6).alias("p_adjusted"))
+
+
+def pooled_temperature(sims: DataFrame, valid: DataFrame, folds: DataFrame, grid: list[float]) -> DataFrame:
+    """t, nll: the temperature of the least weighted multi-label NLL over folds (item_id, fold).
+
+    A fold weighs the square root of its size, shared evenly by its items.
+    """
+    per_fold = folds.groupBy("fold").agg(F.count("*").alias("n"))
+    weight = folds.join(per_fold, "fold").select("item_id", (1 / F.sqrt(F.col("n").cast("double"))).alias("w"))
+    rows = _grid_sums(sims, valid, grid).join(weight, "item_id")
+    losses = rows.groupBy("i", "t").agg((F.sum(-F.log(F.col("v") / F.col("a") + 1e-10) * F.col("w")) / F.sum("w")).alias("nll"))
+    return losses.agg(F.min_by("t", F.struct("nll", "i")).alias("t"), F.min("nll").alias("nll")).select(F.round("t", 6).alias("t"), F.round("nll", 6).alias("nll"))
+
+
+def bootstrap_calibration_error(rows: DataFrame, replicates: int, seed: int, bins: int = 5, tasks: int = 8) -> DataFrame:
+    """ece, lo, hi: the calibration error of (confidence, correct) and a percentile interval.
+
+    Rows that share their numbers are counted first; a replicate draws counts, so its cost is the
+    number of different rows (checked), not of rows.
+    """
+    counted = rows.groupBy(F.col("confidence").cast("double").alias("c"), F.col("correct").cast("double").alias("a")).agg(F.count("*").alias("n")).orderBy("c", "a").limit(1_000_001).collect()
+    if len(counted) > 1_000_000:
+        raise ValueError("bootstrap is for at most a million different rows")
+    if not counted:
+        return rows.sparkSession.createDataFrame([], "ece double, lo double, hi double, n long")
+    c, a, n = (np.array([r[k] for r in counted], float) for k in ("c", "a", "n"))
+    edges = np.array([i / bins for i in range(1, bins)])
+    shared = rows.sparkSession.sparkContext.broadcast((c, a, n, np.searchsorted(edges, c, "right")))
+
+    def error(n, c, a, k) -> float:
+        size = np.bincount(k, n, minlength=bins)
+        gap = np.abs(np.bincount(k, n * a, minlength=bins) - np.bincount(k, n * c, minlength=bins))
+        return float(gap.sum() / size.sum())
+
+    def draw(batches):
+        c, a, n, k = shared.value
+        total = int(n.sum())
+        for pdf in batches:
+            yield pd.DataFrame({"m": [error(np.random.default_rng([seed, int(i)]).multinomial(total, n / total).astype(float), c, a, k) for i in pdf["id"]]})
+
+    drawn = rows.sparkSession.range(0, replicates, 1, tasks).mapInPandas(draw, "m double")
+    whole = error(n, c, a, np.searchsorted(edges, c, "right"))
+    return drawn.agg(F.round(F.lit(whole), 6).alias("ece"), F.round(F.percentile("m", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("hi"), F.lit(int(n.sum())).cast("long").alias("n"))
+
+
+def ood_gate(max_sims: DataFrame, threshold: float, least: float = 0.9) -> DataFrame:
+    """Share of known out-of-distribution texts below the threshold, and whether it is enough."""
+    share = F.avg((F.col("max_sim") < threshold).cast("int"))
+    return max_sims.agg(F.round(share, 6).alias("share"), (share >= least).alias("passed"))
 
 
 def log_grid(lo: float, hi: float, n: int) -> list[float]:

@@ -53,10 +53,29 @@ def related_siblings(scope: DataFrame, hubs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.parent_id").alias("parent_id"), F.col("a.hub_id").alias("hub_a"), F.col("b.hub_id").alias("hub_b"), F.array_join("a.fws", ",").alias("fws_a"), F.array_join("b.fws", ",").alias("fws_b"))
 
 
+def related_counts(scope: DataFrame, hubs: DataFrame) -> DataFrame:
+    """parent_id, n_hubs, n_pairs: how many of ``related_siblings``'s pairs each parent has.
+
+    Of all pairs under a parent, those of two hubs with the same one framework are no pairs, so
+    counts by framework set are enough."""
+    per = scope.groupBy("hub_id").agg(F.array_sort(F.collect_set("framework_id")).alias("fws"))
+    placed = per.join(hubs.where("parent_id IS NOT NULL").select(F.col("id").alias("hub_id"), "parent_id"), "hub_id")
+    sets = placed.groupBy("parent_id", "fws").agg(F.count("*").alias("m"))
+    pairs = lambda n: n * (n - 1) / 2
+    same = F.sum(F.when(F.size("fws") == 1, pairs(F.col("m"))).otherwise(0))
+    out = sets.groupBy("parent_id").agg(F.sum("m").alias("n_hubs"), same.alias("_same"))
+    return out.select("parent_id", "n_hubs", (pairs(F.col("n_hubs")) - F.col("_same")).cast("long").alias("n_pairs"))
+
+
 def gap_controls(scope: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Controls in scope that share no hub, nor a sibling pair, with another framework."""
-    shared = scope.groupBy("hub_id").agg(F.countDistinct("framework_id").alias("n")).where("n >= 2").select("hub_id")
-    related = related_siblings(scope, hubs)
-    reached = shared.union(related.select("hub_a")).union(related.select("hub_b")).distinct()
+    """Controls in scope that share no hub, nor a sibling pair, with another framework.
+
+    A hub of one framework is in a sibling pair if its parent has hubs of different framework
+    sets; a hub of several is shared anyway.  So sets are counted and no pair is made.
+    """
+    per = scope.groupBy("hub_id").agg(F.array_sort(F.collect_set("framework_id")).alias("fws"))
+    placed = per.join(hubs.where("parent_id IS NOT NULL").select(F.col("id").alias("hub_id"), "parent_id"), "hub_id")
+    varied = placed.groupBy("parent_id").agg((F.min("fws") != F.max("fws")).alias("v")).where("v").select("parent_id")
+    reached = per.where(F.size("fws") >= 2).select("hub_id").union(placed.join(varied, "parent_id", "left_semi").select("hub_id")).distinct()
     matched = scope.join(reached, "hub_id", "left_semi").select("control_id").distinct()
     return scope.select("framework_id", "control_id").distinct().join(matched, "control_id", "left_anti").select("framework_id", "control_id")

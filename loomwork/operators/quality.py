@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SECRET_PATTERNS, ascii_letter_ratio, nfc
+from ..session import durable
 
 
 def control_rules(limits: dict[str, int] | None = None) -> list[tuple[str, str, Column]]:
@@ -66,14 +70,48 @@ def scan_secrets(texts: DataFrame, patterns: dict[str, str] | None = None) -> Da
     return found.select("id", "line_no", "c.kind", "c.match")
 
 
+#: Characters of needles in one block.
+NEEDLE_CHARS = 4_000_000
+
+
 def leaked_items(items: DataFrame, texts: DataFrame, least: int = 5) -> DataFrame:
-    """(item_id, id): evaluation texts of ``least`` characters or more contained in other texts.
+    """(item_id, id): evaluation texts of ``least`` characters or more contained in other texts,
+    case apart.
 
-    A stated set of items is compared with every text, case apart.
+    The items are a stated set: blocks of bounded size go to every task as a matching automaton,
+    and a text is read once a block, whatever the block's number of items.  Between blocks the
+    hits are written.
     """
-    i = items.where(F.length(F.trim("text")) >= least).select("item_id", F.lower(F.trim("text")).alias("needle"))
-    t = texts.select("id", F.lower("text").alias("hay"))
-    return t.join(i, F.contains("hay", "needle")).select("item_id", "id")
+    import ahocorasick
+
+    needles = items.where(F.length(F.trim("text")) >= least).select("item_id", F.lower(F.trim("text")).alias("needle"))
+    hay = texts.select("id", F.lower("text").alias("hay")).where("hay IS NOT NULL")
+    blocks = max(1, -(-(needles.agg(F.sum(F.length("needle"))).first()[0] or 0) // NEEDLE_CHARS))
+    schema = f"item_id {needles.schema['item_id'].dataType.simpleString()}, id {hay.schema['id'].dataType.simpleString()}"
+    out = None
+    for i in range(blocks):
+        names: dict[str, list] = {}
+        for r in needles.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == i).collect():
+            names.setdefault(r.needle, []).append(r.item_id)
+        shared = items.sparkSession.sparkContext.broadcast(names)
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            found = ahocorasick.Automaton()
+            for needle, ids in shared.value.items():
+                found.add_word(needle, ids)
+            if not len(found):
+                return
+            found.make_automaton()
+            for pdf in batches:
+                hits = [(k, x) for k, text in zip(pdf["id"], pdf["hay"], strict=True) for x in {y for _, ids in found.iter(text) for y in ids}]
+                yield pd.DataFrame(hits, columns=["id", "item_id"])[["item_id", "id"]]
+
+        got = hay.mapInPandas(search, schema)
+        if blocks > 1:
+            got = durable(got, "leaks")
+            shared.destroy()
+        out = got if out is None else out.union(got)
+    return out
 
 
 def review_issues(reviews: DataFrame, assignments: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -88,3 +126,38 @@ def review_issues(reviews: DataFrame, assignments: DataFrame, hubs: DataFrame) -
     }
     found = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]))
     return rows.select("id", F.explode(found).alias("rule"))
+
+
+def description_gaps(leaves: DataFrame, described: DataFrame) -> DataFrame:
+    """side, id: leaves without a description, and descriptions of no leaf."""
+    a = leaves.select("id").join(described.select("id"), "id", "left_anti").select(F.lit("missing").alias("side"), "id")
+    return a.union(described.select("id").join(leaves.select("id"), "id", "left_anti").select(F.lit("extra"), "id"))
+
+
+def description_report(leaves: DataFrame, described: DataFrame, low: int = 50) -> DataFrame:
+    """Counts of a set of descriptions (id, text): leaves, described, missing, extra, empty, short."""
+    both = leaves.select("id", F.lit(1).alias("l")).join(described.select("id", "text", F.lit(1).alias("d")), "id", "full_outer")
+    n = F.length(F.trim(F.coalesce("text", F.lit(""))))
+    return both.agg(
+        F.count("l").alias("leaves"), F.count("d").alias("described"), F.count_if(F.col("d").isNull()).alias("missing"), F.count_if(F.col("l").isNull()).alias("extra"),
+        F.count_if(F.col("d").isNotNull() & (n == 0)).alias("empty"), F.count_if(F.col("d").isNotNull() & (n > 0) & (n < low)).alias("short"),
+    )
+
+
+def batch_issues(controls: DataFrame, expected: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """framework_id, rule, n of whole documents: count beyond ``tolerance`` of what is expected
+    (framework_id, n), empty descriptions and repeated ids."""
+    per = controls.groupBy("framework_id").agg(F.count("*").alias("c"), F.count_if(F.trim(F.coalesce("description", F.lit(""))) == "").alias("empty"), (F.count("*") - F.countDistinct("control_id")).alias("again"))
+    rows = per.join(expected.withColumnRenamed("n", "want"), "framework_id", "full_outer")
+    off = F.coalesce("c", F.lit(0)).cast("double").between(F.floor(F.col("want") * (1 - tolerance)), F.ceil(F.col("want") * (1 + tolerance)))
+    rules = [("count", F.col("want").isNotNull() & ~off, F.coalesce("c", F.lit(0))), ("empty_description", F.col("empty") > 0, F.col("empty")), ("repeated_id", F.col("again") > 0, F.col("again"))]
+    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), n.cast("long").alias("n"))) for r, c, n in rules]))
+    return rows.select("framework_id", F.explode(found).alias("i")).select("framework_id", "i.rule", "i.n")
+
+
+def publication_issues(reviews: DataFrame, bridges: DataFrame, related: DataFrame) -> DataFrame:
+    """rule, id of what stands against publishing: pending rows, and accepted bridges (hub_a, hub_b)
+    that the hierarchy's relation does not have; no row means go."""
+    pending = reviews.where("status = 'pending'").select(F.lit("pending").alias("rule"), F.col("id").cast("string").alias("id"))
+    lost = bridges.join(related, ["hub_a", "hub_b"], "left_anti").select(F.lit("missing_bridge"), F.concat_ws("|", "hub_a", "hub_b"))
+    return pending.union(lost)

@@ -64,7 +64,7 @@ def calibration_items(rows: DataFrame, easy: int, hard: int, middle: int, seed:
     top = rows.orderBy(F.desc("confidence"), *key).limit(easy).withColumn("kind", F.lit(1))
     low = rows.orderBy("confidence", *key).limit(hard).withColumn("kind", F.lit(2))
     ends = top.select("control_id", "hub_id").union(low.select("control_id", "hub_id"))
-    rest = rows.join(ends, ["control_id", "hub_id"], "left_anti").withColumn("_h", F.xxhash64(F.lit(seed), *key))
+    rest = rows.join(ends, ["control_id", "hub_id"], "left_anti").withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), *key)))
     mid = rest.orderBy("_h", *key).limit(middle).drop("_h").withColumn("kind", F.lit(3))
     every = top.unionByName(low).unionByName(mid)
     w = Window.orderBy("kind", F.desc("confidence"), *key)
@@ -76,3 +76,27 @@ def canary_accuracy(reviews: DataFrame, valid: DataFrame) -> DataFrame:
     seen = reviews.where(~F.col("status").isin("pending", "rejected"))
     ok = valid.select("item_id", "hub_id").distinct().withColumn("ok", F.lit(1))
     return seen.join(ok, ["item_id", "hub_id"], "left").agg(F.round(F.avg(F.coalesce("ok", F.lit(0))), 6).alias("accuracy"), F.count("*").alias("n"))
+
+
+def uncovered_inserts(assignments: DataFrame, predictions: DataFrame, controls: DataFrame, frameworks: list[str]) -> DataFrame:
+    """The best prediction of each control of the named frameworks, pending, for pairs of control
+    and hub that the table does not have."""
+    own = controls.where(F.col("framework_id").isin(frameworks)).select(F.col("id").alias("control_id"))
+    top = predictions.where("rank = 1").join(own, "control_id", "left_semi")
+    new = top.join(assignments.select("control_id", "hub_id"), ["control_id", "hub_id"], "left_anti")
+    return new.select("control_id", "hub_id", "confidence", "is_ood", F.lit("model_prediction").alias("provenance"), F.lit("pending").alias("review_status"))
+
+
+def round_assignments(items: DataFrame) -> DataFrame:
+    """Assignments of a reviewed round (control_id, status, hub_id, predictions: array of hub_id and
+    confidence): a chosen hub has its predicted confidence, if it was predicted."""
+    ok = items.where(F.col("status").isin("accepted", "corrected") & F.col("hub_id").isNotNull())
+    mine = F.get(F.filter("predictions", lambda p: p["hub_id"] == F.col("hub_id")), 0)["confidence"]
+    return ok.select("control_id", "hub_id", mine.alias("confidence"), F.lit("active_round").alias("provenance"), F.lit("accepted").alias("review_status"), F.substring_index("control_id", ":", -1).alias("section_id"))
+
+
+def appended(assignments: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows that a table does not have yet, by control and hub, once each, added to it; other
+    columns of theirs are null."""
+    once = new.dropDuplicates(["control_id", "hub_id"]).join(assignments.select("control_id", "hub_id"), ["control_id", "hub_id"], "left_anti")
+    return assignments.unionByName(once, allowMissingColumns=True).select(assignments.columns)

@@ -1,14 +1,14 @@
 """Similarity between items and hubs: top-k, negatives, thresholds, neighbours.
 
-Two ways give the same rows.  ``similarities`` is the plain plan: a join with the hubs (a set of
-bounded, checked size is broadcast) and a dot product.  ``top_hubs`` keeps only k rows an item
-and multiplies Arrow batches with one matrix of hubs, in blocks, so the long table of all
-pairs never exists.
+``similarities`` is the long table of all pairs of items and a small set of hubs.  The others
+never make it: one side is a block of bounded size, sent to every task as a matrix, and Arrow
+batches of the other side are multiplied with it.  With several blocks, what each block finds is
+written before the next, so the driver and a task hold one block at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from ..session import durable
 
-#: Hubs in one broadcast matrix; more are worked through in blocks.
+#: Rows of the side that is sent, in one block.
 HUB_BLOCK = 20_000
-#: Items multiplied with a block at once.
+#: Rows of the other side that are multiplied with a block at once.
 ROWS = 256
 
+Block = tuple[np.ndarray, np.ndarray]
+
 
 def similarities(items: DataFrame, hubs: DataFrame) -> DataFrame:
     """item_id, hub_id, sim (and both sides' other columns) for every pair."""
@@ -40,72 +43,118 @@ def bottom_1(sims: DataFrame, *, item: str = "item_id", other: str = "hub_id") -
     return sims.groupBy(item).agg(F.min_by(other, F.struct("sim", other)).alias(other), F.min("sim").alias("sim"))
 
 
-def top_hubs(items: DataFrame, hubs: DataFrame, k: int) -> DataFrame:
-    """item_id, hub_id, sim, rank: the k most similar hubs of each item, block by block of hubs."""
-    spark = items.sparkSession
-    n = hubs.count()
+def by_blocks(sent: DataFrame, name: str, rows: DataFrame, found: Callable[[pd.DataFrame, Block], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``found`` makes of each batch of ``rows`` and each block of ``sent`` (name, embedding)."""
+    spark = rows.sparkSession
+    n = sent.count()
     blocks = max(1, -(-n // HUB_BLOCK))
-    found = None
+    out = None
     for i in range(blocks):
-        part = hubs.where(F.pmod(F.xxhash64("hub_id"), F.lit(blocks)) == i).select("hub_id", "embedding").toPandas().sort_values("hub_id")
-        shared = spark.sparkContext.broadcast((part["hub_id"].to_numpy(), np.stack(part["embedding"]).astype(np.float64) if len(part) else np.zeros((0, 0))))
+        part = sent.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == i).select(name, "embedding").toPandas().sort_values(name)
+        shared = spark.sparkContext.broadcast((part[name].to_numpy(), np.stack(part["embedding"]).astype(np.float64) if len(part) else np.zeros((0, 0))))
+
+        def batch(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            if not len(shared.value[0]):
+                return
+            for pdf in batches:
+                for k in range(0, len(pdf), ROWS):
+                    yield found(pdf.iloc[k : k + ROWS], shared.value)
+
+        got = rows.mapInPandas(batch, schema)
+        if blocks > 1:
+            got = durable(got, "block")
+            shared.destroy()
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _kind(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
 
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, matrix = shared.value
-            for pdf in (whole.iloc[k : k + ROWS] for whole in batches for k in range(0, len(whole), ROWS)):
-                if not len(names):
-                    continue
-                sims = np.stack(pdf["embedding"]).astype(np.float64) @ matrix.T
-                order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(pdf)), order.shape[1])
-                yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[rows], "hub_id": names[order.ravel()], "sim": np.take_along_axis(sims, order, 1).ravel()})
+def top_hubs(items: DataFrame, hubs: DataFrame, k: int) -> DataFrame:
+    """item_id, hub_id, sim, rank: the k most similar hubs of each item."""
+
+    def best(pdf: pd.DataFrame, block: Block) -> pd.DataFrame:
+        names, matrix = block
+        sims = np.stack(pdf["embedding"]).astype(np.float64) @ matrix.T
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(pdf)), order.shape[1])
+        return pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[rows], "hub_id": names[order.ravel()], "sim": np.take_along_axis(sims, order, 1).ravel()})
 
-        out = items.select("item_id", "embedding").mapInPandas(best, f"item_id {items.schema['item_id'].dataType.simpleString()}, hub_id {hubs.schema['hub_id'].dataType.simpleString()}, sim double")
-        found = out if found is None else found.unionByName(out)
-    return top_k(found, k)
+    schema = f"item_id {_kind(items, 'item_id')}, hub_id {_kind(hubs, 'hub_id')}, sim double"
+    return top_k(by_blocks(hubs, "hub_id", items.select("item_id", "embedding"), best, schema), k)
 
 
-def similar_pairs(items: DataFrame, threshold: float, duplicate: float) -> DataFrame:
-    """Unordered pairs at or over ``threshold``, in two tiers.
+def nearest(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """item_id, neighbour_id, sim, rank: the k nearest of all ``rows`` to each asked row, itself left
+    out; asked rows go out in blocks, and a batch sends on its k best for each."""
 
-    Every pair of a stated small set is compared, in the plain plan; ``similar_to`` compares a
-    part of a table with all of it.
-    """
-    a, b = items.select(F.col("item_id").alias("id_a"), F.col("embedding").alias("ea")), items.select(F.col("item_id").alias("id_b"), F.col("embedding").alias("eb"))
-    pairs = a.join(b, F.col("id_a") < F.col("id_b")).withColumn("sim", dot(F.col("ea"), F.col("eb"))).where(F.col("sim") >= threshold)
-    return pairs.select("id_a", "id_b", F.round("sim", 6).alias("sim"), F.when(F.col("sim") >= duplicate, "duplicate").otherwise("similar").alias("tier"))
+    def best(pdf: pd.DataFrame, block: Block) -> pd.DataFrame:
+        names, matrix = block
+        others = pdf["item_id"].to_numpy()
+        sims = matrix @ np.stack(pdf["embedding"]).astype(np.float64).T
+        sims[names[:, None] == others[None, :]] = -np.inf
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        top = np.take_along_axis(sims, order, 1).ravel()
+        out = pd.DataFrame({"item_id": np.repeat(names, order.shape[1]), "neighbour_id": others[order.ravel()], "sim": top})
+        return out[np.isfinite(top)]
+
+    kind = _kind(rows, "item_id")
+    found = by_blocks(asked, "item_id", rows.select("item_id", "embedding"), best, f"item_id {kind}, neighbour_id {kind}, sim double")
+    return top_k(found, k, other="neighbour_id")
 
 
 def similar_to(items: DataFrame, threshold: float, duplicate: float) -> DataFrame:
-    """As ``similar_pairs``, of the rows that are ``asked`` with all rows (item_id, embedding,
-    asked), block by block of asked rows."""
-    spark = items.sparkSession
-    asked = items.where("asked").select("item_id", "embedding")
-    blocks = max(1, -(-asked.count() // HUB_BLOCK))
-    kind = items.schema["item_id"].dataType.simpleString()
-    found = None
-    for i in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).toPandas()
-        shared = spark.sparkContext.broadcast((part["item_id"].to_numpy(), np.stack(part["embedding"]).astype(np.float64) if len(part) else np.zeros((0, 0))))
-
-        def near(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, matrix = shared.value
-            for pdf in (whole.iloc[k : k + ROWS] for whole in batches for k in range(0, len(whole), ROWS)):
-                if not len(names):
-                    continue
-                sims = np.stack(pdf["embedding"]).astype(np.float64) @ matrix.T
-                row, col = np.nonzero(sims >= threshold)
-                mine, other = pdf["item_id"].to_numpy()[row], names[col]
-                # Two asked rows meet twice: the pair counts once.
-                keep = np.where(pdf["asked"].to_numpy()[row].astype(bool), other < mine, True)
-                yield pd.DataFrame({"x": other[keep], "y": mine[keep], "sim": sims[row, col][keep]})
-
-        out = items.select("item_id", "embedding", "asked").mapInPandas(near, f"x {kind}, y {kind}, sim double")
-        found = out if found is None else found.unionByName(out)
+    """Unordered pairs at or over ``threshold``, in two tiers, of the rows that are ``asked`` with
+    all rows (item_id, embedding, asked)."""
+
+    def near(pdf: pd.DataFrame, block: Block) -> pd.DataFrame:
+        names, matrix = block
+        sims = np.stack(pdf["embedding"]).astype(np.float64) @ matrix.T
+        row, col = np.nonzero(sims >= threshold)
+        mine, other = pdf["item_id"].to_numpy()[row], names[col]
+        # Two asked rows meet twice: the pair counts once.
+        keep = np.where(pdf["asked"].to_numpy()[row].astype(bool), other < mine, True)
+        return pd.DataFrame({"x": other[keep], "y": mine[keep], "sim": sims[row, col][keep]})
+
+    kind = _kind(items, "item_id")
+    found = by_blocks(items.where("asked"), "item_id", items.select("item_id", "embedding", "asked"), near, f"x {kind}, y {kind}, sim double")
     tier = F.when(F.col("sim") >= duplicate, "duplicate").otherwise("similar").alias("tier")
     return found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.round("sim", 6).alias("sim"), tier)
 
 
+def scored_top(items: DataFrame, hubs: DataFrame, k: int, temperature: float) -> DataFrame:
+    """item_id, hub_id, sim, p, max_sim, rank: the k best hubs of each item with their softmax
+    probability over all hubs.
+
+    Each block gives its best k with the maximum and the sum of exponentials of all its hubs;
+    those of all blocks make the whole sum, so no row a pair is ever written."""
+
+    def best(pdf: pd.DataFrame, block: Block) -> pd.DataFrame:
+        names, matrix = block
+        sims = np.stack(pdf["embedding"]).astype(np.float64) @ matrix.T
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(pdf)), order.shape[1])
+        top = sims.max(1)
+        total = np.exp((sims - top[:, None]) / temperature).sum(1)
+        first = np.zeros(order.shape, bool)
+        first[:, 0] = True
+        return pd.DataFrame({
+            "item_id": pdf["item_id"].to_numpy()[rows], "hub_id": names[order.ravel()], "sim": np.take_along_axis(sims, order, 1).ravel(),
+            "m": np.where(first.ravel(), top[rows], np.nan), "z": np.where(first.ravel(), total[rows], np.nan),
+        })
+
+    schema = f"item_id {_kind(items, 'item_id')}, hub_id {_kind(hubs, 'hub_id')}, sim double, m double, z double"
+    found = by_blocks(hubs, "hub_id", items.select("item_id", "embedding"), best, schema)
+    w = Window.partitionBy("item_id")
+    found = found.withColumns({"m": F.nanvl("m", F.lit(None)), "z": F.nanvl("z", F.lit(None))})
+    found = found.withColumn("max_sim", F.max("m").over(w))
+    found = found.withColumn("_z", F.sum(F.col("z") * F.exp((F.col("m") - F.col("max_sim")) / temperature)).over(w))
+    found = found.withColumn("p", F.exp((F.col("sim") - F.col("max_sim")) / temperature) / F.col("_z"))
+    return top_k(found, k).select("item_id", "hub_id", "sim", "p", "max_sim", "rank")
+
+
 def knn_vote(sims: DataFrame, neighbours: int, keep: int) -> DataFrame:
     """Votes of an item's nearest labelled neighbours: sums of positive similarity by hub."""
     near = top_k(sims, neighbours, other="neighbour_id")

@@ -30,10 +30,12 @@ def content_hash(rows: DataFrame, by: str, cols: list[str]) -> DataFrame:
 
 
 def build_snapshot(controls: DataFrame, exported: DataFrame) -> DataFrame:
-    """One row a framework: its controls and ranked mappings as nested arrays."""
-    c = controls.groupBy("framework_id").agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("control_id"), "title"))).alias("controls"))
-    m = ranked_mappings(exported).groupBy("framework_id").agg(F.array_sort(F.collect_list(F.struct("control_id", "rank", "hub_id", "confidence"))).alias("mappings"))
-    return c.join(m, "framework_id", "left")
+    """A row a control of each framework with its title and ranked mappings; one that has no
+    mapping keeps an empty array.  Rows, not one document, so a framework of any size fits."""
+    m = F.array_sort(F.collect_list(F.struct("rank", "hub_id", "confidence")))
+    per = ranked_mappings(exported).groupBy("framework_id", "control_id").agg(m.alias("mappings"))
+    rows = controls.select("framework_id", F.col("id").alias("control_id"), "title").join(per, ["framework_id", "control_id"], "left")
+    return rows.withColumn("mappings", F.coalesce("mappings", F.array().cast("array<struct<rank:int,hub_id:string,confidence:double>>")))
 
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -72,3 +74,21 @@ def staleness(ours: DataFrame, upstream: DataFrame) -> DataFrame:
     """Ids that only one side has."""
     a = ours.join(upstream, "id", "left_anti").select(F.lit("only_ours").alias("side"), "id")
     return a.union(upstream.join(ours, "id", "left_anti").select(F.lit("only_upstream"), "id"))
+
+
+def changeset(controls_before: DataFrame, controls_after: DataFrame, mappings_before: DataFrame, mappings_after: DataFrame) -> DataFrame:
+    """operation, entity_kind, key and values (as JSON) of every change, controls (framework_id,
+    control_id, title) and mappings (framework_id, control_id, hub_id, confidence)."""
+
+    def ops(kind: str, a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+        d = diff(a, b, keys, values)
+        return d.select("framework_id", "operation", F.lit(kind).alias("entity_kind"), F.concat_ws("|", *keys[1:]).alias("key"), F.to_json("before").alias("before"), F.to_json("after").alias("after"))
+
+    return ops("control", controls_before, controls_after, ["framework_id", "control_id"], ["title"]).unionByName(
+        ops("mapping", mappings_before, mappings_after, ["framework_id", "control_id", "hub_id"], ["confidence"])
+    )
+
+
+def table_hash(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """One hash of a whole table's rows, whatever their order."""
+    return content_hash(rows.withColumn("_all", F.lit("all")), "_all", cols).drop("_all")

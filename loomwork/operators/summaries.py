@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import GROUND_TRUTH
 from .filters import floor_of
+from .ordering import running
 
 
 def framework_metadata(frameworks: DataFrame, controls: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -100,12 +101,11 @@ def similarity_stats(sims: DataFrame, col: str = "sim") -> DataFrame:
 def long_tail(rows: DataFrame, key: str, share: float = 0.8) -> DataFrame:
     """Counts of each key from the largest, their running share, and whether ``share`` is reached.
 
-    Keys are ranked after counting: one row a key meets the global order.
+    Keys are counted first; ranges of the order are summed up each on its own.
     """
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("n"), key)
-    total = counts.agg(F.sum("n").alias("total"))
-    out = counts.crossJoin(F.broadcast(total)).withColumn("rank", F.row_number().over(w)).withColumn("running", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    out = running(counts, [F.desc("n"), F.col(key)], {"running": F.col("n")}, rank="rank").crossJoin(F.broadcast(total))
     return out.select(key, "n", F.col("rank").cast("long").alias("rank"), F.round(F.col("running") / F.col("total"), 6).alias("share"), (F.col("running") >= share * F.col("total")).alias("reached"))
 
 
@@ -120,9 +120,87 @@ def hub_sections(links: DataFrame, exclude: str | None = None) -> DataFrame:
 
 
 def affected_hubs(before: DataFrame, after: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Hubs whose sections changed and whose share of AI sections is over ``threshold``."""
+    """Hubs whose sections changed and whose share of AI sections, of distinct ones, is over ``threshold``."""
+    key = ["hub_id", "framework_id", "section_name"]
     pair = F.concat_ws("|", "framework_id", "section_name")
     a = before.groupBy("hub_id").agg(F.array_sort(F.collect_set(pair)).alias("old"))
-    b = after.groupBy("hub_id").agg(F.array_sort(F.collect_set(pair)).alias("new"), F.avg(F.col("is_ai").cast("int")).alias("ai_share"))
+    once = after.groupBy(*key).agg(F.max(F.col("is_ai").cast("int")).alias("ai"))
+    b = once.groupBy("hub_id").agg(F.array_sort(F.collect_set(pair)).alias("new"), F.avg("ai").alias("ai_share"))
     both = b.join(a, "hub_id", "full_outer")
     return both.where((~F.col("old").eqNullSafe(F.col("new"))) & (F.col("ai_share") > threshold)).select("hub_id", F.round("ai_share", 6).alias("ai_share"))
+
+
+def links_per_hub(links: DataFrame) -> DataFrame:
+    """Least, largest, mean and median number of links of a hub."""
+    n = links.groupBy("hub_id").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("hubs"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 3).alias("mean"), F.round(F.percentile("n", F.lit(0.5)), 3).alias("median"))
+
+
+def hub_usability(links: DataFrame) -> DataFrame:
+    """Hubs by whether all, some or none of their links are usable."""
+    per = links.groupBy("hub_id").agg(F.bool_and("usable").alias("every"), F.bool_or("usable").alias("some"))
+    return per.groupBy(F.when(F.col("every"), "all_good").when(F.col("some"), "mixed").otherwise("all_bad").alias("kind")).agg(F.count("*").alias("n"))
+
+
+def multi_hub_texts(links: DataFrame) -> DataFrame:
+    """Texts, those that map to several hubs, and the largest and mean number of hubs of a text."""
+    per = links.groupBy(F.lower(F.trim("text")).alias("key")).agg(F.countDistinct("hub_id").alias("n"))
+    return per.agg(F.count("*").alias("texts"), F.count_if(F.col("n") > 1).alias("several"), F.max("n").alias("most"), F.round(F.avg("n"), 3).alias("mean"))
+
+
+def root_pivot(flows: DataFrame, roots: list[str]) -> DataFrame:
+    """framework_id and a column of counts for each of the named roots (root_id, framework_id, n)."""
+    return flows.groupBy("framework_id").agg(*[F.coalesce(F.sum(F.when(F.col("root_id") == r, F.col("n"))), F.lit(0)).alias(r) for r in roots])
+
+
+def confusions(pairs: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent wrong answers (true_id, predicted_id, n)."""
+    wrong = pairs.where("true_id <> predicted_id").groupBy("true_id", "predicted_id").agg(F.count("*").alias("n"))
+    return wrong.orderBy(F.desc("n"), "true_id", "predicted_id").limit(k)
+
+
+def dominance(rows: DataFrame, key: str, limit: float = 0.5) -> DataFrame:
+    """The largest share that one key has of all rows, and whether it is over ``limit``."""
+    n = rows.groupBy(key).agg(F.count("*").alias("n"))
+    out = n.agg(F.max_by(key, F.struct("n", key)).alias(key), F.max("n").alias("n"), F.sum("n").alias("total"))
+    return out.select(key, F.round(F.col("n") / F.col("total"), 6).alias("share"), (F.col("n") > limit * F.col("total")).alias("warn"))
+
+
+def round_status(reviews: DataFrame) -> DataFrame:
+    """Counts of a review round, its acceptance rate (accepted or corrected of reviewed) and hubs."""
+    good = F.col("status").isin("accepted", "corrected")
+    seen = F.col("status") != "pending"
+    out = reviews.agg(F.count("*").alias("total"), F.count_if(seen).alias("reviewed"), F.count_if(good).alias("good"), F.countDistinct(F.when(good, F.col("hub_id"))).alias("hubs"))
+    return out.select("total", "reviewed", "good", F.round(F.col("good") / F.nullif("reviewed", F.lit(0)), 6).alias("rate"), "hubs")
+
+
+def ingest_summary(predictions: DataFrame, duplicates: DataFrame, *, high: float = 0.5) -> DataFrame:
+    """Counts and means of an ingest: predictions (item_id, confidence, max_sim, is_ood), one row
+    an item, and duplicates (item_id, tier)."""
+    tier = duplicates.groupBy("item_id").agg(F.bool_or(F.col("tier") == "duplicate").alias("dup"), F.bool_or(F.col("tier") == "similar").alias("near"))
+    rows = predictions.join(tier, "item_id", "left")
+    return rows.agg(
+        F.count("*").alias("controls"), F.count_if("is_ood").alias("ood"), F.count_if("dup").alias("duplicates"), F.count_if("near").alias("similar"),
+        F.count_if(F.col("confidence") >= high).alias("high"), F.count_if(F.col("confidence") < high).alias("low"),
+        F.round(F.avg("confidence"), 3).alias("mean_confidence"), F.round(F.avg("max_sim"), 3).alias("mean_max_sim"),
+    )
+
+
+def import_round(rounds: DataFrame) -> DataFrame:
+    """The number of the next import."""
+    return rounds.agg((F.coalesce(F.max("round"), F.lit(0)) + 1).alias("next_round"))
+
+
+def review_document(assignments: DataFrame) -> DataFrame:
+    """section, name, value: the numbers of a review in one long table."""
+    real = assignments.where("id >= 0")
+    m = review_metrics(assignments)
+    parts = [m.select(F.lit("coverage").alias("section"), F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in m.columns]), F.array(*[F.col(c).cast("double") for c in m.columns]))).alias("name", "value"))]
+    s = confidence_strata(real)
+    parts.append(s.select(F.lit("confidence").alias("section"), F.col("stratum").alias("name"), F.col("rate").cast("double").alias("value")))
+    q = assignments.where("id < 0").agg(F.count("*").cast("double").alias("value"))
+    parts.append(q.select(F.lit("calibration").alias("section"), F.lit("items").alias("name"), "value"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -36,11 +36,11 @@ def _floor_sql(col: str = "framework_id") -> str:
 
 
 _SCOPE = """, scope AS (SELECT a.*, c.framework_id, c.title FROM assignments a JOIN controls c ON a.control_id = c.id
-  WHERE a.review_status IN ('accepted', 'ground_truth') AND a.confidence >= 0.9 AND c.framework_id IN ('Brand#1', 'Brand#2', 'Brand#3'))"""
+  WHERE a.review_status IN ('accepted', 'ground_truth'))"""
 
 
 def _scope(v: Views) -> DataFrame:
-    return compare.in_scope(v.assignments().where(F.col("confidence") >= F.lit(0.9)), v.controls(), ["Brand#1", "Brand#2", "Brand#3"])
+    return compare.in_scope(v.assignments(), v.controls())
 
 
 # --- comparison of frameworks ---------------------------------------------------------------
@@ -60,21 +60,32 @@ def d5_pair_overlap(v):
     return compare.pair_overlap(_scope(v))
 
 
+# Orders as hubs below their customers (some below none), their lines as controls of the part's brand.
+_ORDER_SCOPE = """, scope AS (SELECT concat('O', l_orderkey) AS hub_id, p_brand AS framework_id, concat('L', l_orderkey * 10 + l_linenumber) AS control_id FROM lineitem JOIN part ON p_partkey = l_partkey),
+tree AS (SELECT concat('O', o_orderkey) AS id, CASE WHEN o_custkey % 5 <> 0 THEN concat('C', o_custkey) END AS parent_id FROM orders)"""
 _REL = """, per AS (SELECT hub_id, string_agg(DISTINCT framework_id, ',' ORDER BY framework_id) AS fws, count(DISTINCT framework_id) AS n FROM scope GROUP BY 1),
-placed AS (SELECT per.*, h.parent_id FROM per JOIN hubs h ON h.id = hub_id WHERE h.parent_id IS NOT NULL),
-related AS (SELECT a.parent_id, a.hub_id AS hub_a, b.hub_id AS hub_b, a.fws AS fws_a, b.fws AS fws_b FROM placed a JOIN placed b ON a.parent_id = b.parent_id AND a.hub_id < b.hub_id
+placed AS (SELECT per.*, h.parent_id FROM per JOIN tree h ON h.id = hub_id WHERE h.parent_id IS NOT NULL),
+related AS (SELECT a.parent_id, a.hub_id AS hub_a, b.hub_id AS hub_b FROM placed a JOIN placed b ON a.parent_id = b.parent_id AND a.hub_id < b.hub_id
   WHERE a.fws <> b.fws OR a.n >= 2)"""
 
 
-@query(_SCOPE + _REL + " SELECT * FROM related")
+def _order_scope(v: Views) -> tuple[DataFrame, DataFrame]:
+    at = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    lines = v.table("lineitem").join(v.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("framework_id")), "l_partkey")
+    scope = lines.select(at("O", F.col("l_orderkey")).alias("hub_id"), "framework_id", at("L", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("control_id"))
+    tree = v.table("orders").select(at("O", F.col("o_orderkey")).alias("id"), F.when(F.col("o_custkey") % 5 != 0, at("C", F.col("o_custkey"))).alias("parent_id"))
+    return scope, tree
+
+
+@query(_ORDER_SCOPE + _REL + """, c AS (SELECT parent_id, count(*) AS n_pairs FROM related GROUP BY 1) SELECT p.parent_id, count(*) AS n_hubs, coalesce(max(c.n_pairs), 0) AS n_pairs FROM placed p LEFT JOIN c ON c.parent_id = p.parent_id GROUP BY 1""")
 def d6_related_siblings(v):
-    return compare.related_siblings(_scope(v), v.hubs())
+    return compare.related_counts(*_order_scope(v))
 
 
-@query(_SCOPE + _REL + """, reached AS (SELECT hub_id FROM per WHERE n >= 2 UNION SELECT hub_a FROM related UNION SELECT hub_b FROM related)
+@query(_ORDER_SCOPE + _REL + """, reached AS (SELECT hub_id FROM per WHERE n >= 2 UNION SELECT hub_a FROM related UNION SELECT hub_b FROM related)
 SELECT DISTINCT framework_id, control_id FROM scope WHERE control_id NOT IN (SELECT control_id FROM scope WHERE hub_id IN (SELECT hub_id FROM reached))""")
 def d7_gap_controls(v):
-    return compare.gap_controls(_scope(v), v.hubs())
+    return compare.gap_controls(*_order_scope(v))
 
 
 # --- filters and classes ---------------------------------------------------------------------
@@ -217,7 +228,7 @@ def d15_corrections(v):
 
 @query("""SELECT b.item_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(trim(b.text))) WHERE length(trim(b.text)) >= 5""", plain=True)
 def d13_leaked_items(v):
-    return quality.leaked_items(F.broadcast(v.table("benchmark")) if v.table("benchmark").count() < 10_000 else v.table("benchmark"), v.table("documents").withColumnRenamed("doc_id", "id"))
+    return quality.leaked_items(v.table("benchmark"), v.table("documents").withColumnRenamed("doc_id", "id"))
 
 
 # --- aggregates -------------------------------------------------------------------------------
@@ -314,7 +325,8 @@ def e24_hub_sections(v):
 
 
 @query(_LINKS7 + """, o AS (SELECT hub_id, list_sort(list(DISTINCT concat(framework_id, '|', section_name))) AS s FROM links WHERE id % 3 <> 0 GROUP BY 1),
-n AS (SELECT hub_id, list_sort(list(DISTINCT concat(framework_id, '|', section_name))) AS s, avg(CAST(is_ai AS INTEGER)) AS a FROM links WHERE id % 2 = 0 GROUP BY 1)
+d AS (SELECT hub_id, framework_id, section_name, max(CAST(is_ai AS INTEGER)) AS ai FROM links WHERE id % 2 = 0 GROUP BY 1, 2, 3),
+n AS (SELECT hub_id, list_sort(list(DISTINCT concat(framework_id, '|', section_name))) AS s, avg(ai) AS a FROM d GROUP BY 1)
 SELECT n.hub_id, round(n.a, 6) AS ai_share FROM n LEFT JOIN o USING (hub_id) WHERE n.s IS DISTINCT FROM o.s AND n.a > 0.2""")
 def e25_affected_hubs(v):
     links = _links(v)
@@ -336,21 +348,22 @@ def f4_negatives(v):
     return similarity.bottom_1(v.sims()).select("item_id", "hub_id", F.round("sim", 6).alias("sim"))
 
 
-@query(""", n AS (SELECT a.item_id, b.item_id AS neighbour_id, concat('L', b.label) AS hub_id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM items a JOIN items b ON a.item_id <> b.item_id
-  WHERE a.item_id LIKE 'V2%'), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, neighbour_id) AS r FROM n), s AS (SELECT item_id, hub_id, sum(greatest(sim, 0)) AS vote FROM k WHERE r <= 10 GROUP BY 1, 2),
+@query(""", every AS (SELECT concat('V', vec_id) AS item_id, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+n AS (SELECT a.item_id, b.item_id AS neighbour_id, concat('L', b.label) AS hub_id, list_dot_product(a.e, b.e) AS sim FROM every a JOIN every b ON a.item_id <> b.item_id WHERE a.vec_id % 100 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, neighbour_id) AS r FROM n), s AS (SELECT item_id, hub_id, sum(greatest(sim, 0)) AS vote FROM k WHERE r <= 10 GROUP BY 1, 2),
 t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY vote DESC, hub_id) AS rank FROM s) SELECT item_id, hub_id, round(vote, 6) AS vote, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 3""")
 def f11_knn_vote(v):
-    near = v.items().select(F.col("item_id").alias("hub_id"), "embedding")
-    queries = v.items().where(F.col("item_id").startswith("V2"))
-    top = similarity.top_hubs(queries, near, 11).where("item_id <> hub_id").withColumnRenamed("hub_id", "neighbour_id").drop("rank")
-    labels = v.items().select(F.col("item_id").alias("neighbour_id"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("hub_id"))
-    return similarity.knn_vote(top.join(labels, "neighbour_id"), 10, 3).select("item_id", "hub_id", F.round("vote", 6).alias("vote"), "rank")
+    every = v.table("embeddings").select(F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("item_id"), "embedding", "vec_id", F.concat(F.lit("L"), F.col("label").cast("string")).alias("hub_id"))
+    top = similarity.nearest(every.where("vec_id % 100 = 0"), every, 10).drop("rank")
+    return similarity.knn_vote(top.join(every.select(F.col("item_id").alias("neighbour_id"), "hub_id"), "neighbour_id"), 10, 3).select("item_id", "hub_id", F.round("vote", 6).alias("vote"), "rank")
 
 
-@query("""SELECT a.hub_id AS id_a, b.hub_id AS id_b, round(s, 6) AS sim, CASE WHEN s >= 0.15 THEN 'duplicate' ELSE 'similar' END AS tier FROM (SELECT a.hub_id, b.hub_id AS hub_b,
-  list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM vhubs a JOIN vhubs b ON a.hub_id < b.hub_id) x JOIN vhubs a ON a.hub_id = x.hub_id JOIN vhubs b ON b.hub_id = x.hub_b WHERE s >= 0.05""")
+@query("""SELECT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b, round(max(list_dot_product(x.e, y.e)), 6) AS sim, CASE WHEN max(list_dot_product(x.e, y.e)) >= 0.15 THEN 'duplicate' ELSE 'similar' END AS tier
+FROM (SELECT concat('V', vec_id) AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0) x JOIN (SELECT concat('V', vec_id) AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) y ON x.id <> y.id
+WHERE list_dot_product(x.e, y.e) >= 0.05 GROUP BY 1, 2""", plain=True)
 def d12_similar_pairs(v):
-    return similarity.similar_pairs(v.vector_hubs().withColumnRenamed("hub_id", "item_id"), 0.05, 0.15)
+    rows = v.table("embeddings").select(F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("item_id"), "embedding", (F.col("vec_id") % 100 == 0).alias("asked"))
+    return similarity.similar_to(rows, 0.05, 0.15)
 
 
 _P = ", e AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY item_id)) / 0.1) AS e FROM sims), probs AS (SELECT item_id, hub_id, sim, e / sum(e) OVER (PARTITION BY item_id) AS p FROM e)"
@@ -370,7 +383,7 @@ def k1_nll(v):
     return cal.nll(_probs(v), v.valid())
 
 
-_GRID = [0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0]
+_GRID = cal.log_grid(0.01, 5.0, 200)
 
 
 @query(f""", g AS (SELECT CAST(unnest({_GRID}) AS DOUBLE) AS t), x AS (SELECT t, s.item_id, exp((sim - max(sim) OVER (PARTITION BY t, s.item_id)) / t) AS e, v.hub_id IS NOT NULL AS ok FROM g, sims s LEFT JOIN valid v ON v.item_id = s.item_id AND v.hub_id = s.hub_id),
@@ -380,7 +393,7 @@ def k2_temperature(v):
     return cal.fit_temperature(v.sims(), v.valid(), _GRID)
 
 
-_THR = [0.02, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3]
+_THR = cal.linear_grid(0.001, 0.999, 200)
 
 
 @query(_P + f""", g AS (SELECT CAST(unnest({_THR}) AS DOUBLE) AS t), x AS (SELECT t, p.item_id, count(*) FILTER (p.p >= t AND v.hub_id IS NOT NULL) AS tp, count(*) FILTER (p.p >= t AND v.hub_id IS NULL) AS fp
@@ -446,9 +459,9 @@ def k14_ranking_metrics(v):
     return evaluation.ranking_metrics(_ranks(v), "label")
 
 
-@query(_RANKS + f" SELECT item_id IN (SELECT item_id FROM valid WHERE hub_id IN ('H0', 'H1', 'H2', 'H3', 'H4')) AS covered, {_METRICS} FROM ranks GROUP BY 1")
+@query(_RANKS + f" SELECT item_id IN (SELECT item_id FROM valid WHERE hub_id IN ('H0', 'H25', 'H50', 'H75', 'H100')) AS covered, {_METRICS} FROM ranks GROUP BY 1")
 def k16_covered_split(v):
-    trained = v.vector_hubs().where(F.col("hub_id").isin("H0", "H1", "H2", "H3", "H4")).select("hub_id")
+    trained = v.vector_hubs().where(F.col("hub_id").isin("H0", "H25", "H50", "H75", "H100")).select("hub_id")
     return evaluation.covered_split(_ranks(v), v.valid(), trained)
 
 
@@ -483,9 +496,22 @@ def l1_tree(v):
     return hierarchy.build_tree(*v.nodes())
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS rule, CAST(NULL AS VARCHAR) AS id WHERE false", plain=True)
+_BROKEN = """, broken AS (SELECT id, CASE WHEN id = 'R1' THEN 'N3' WHEN id = 'N3' THEN 'S1' WHEN id = 'S1' THEN 'N3' WHEN id LIKE 'S%7' THEN 'N999' ELSE parent_id END AS parent_id, CASE WHEN id LIKE 'S%4' THEN 3 WHEN id = 'R2' THEN 1 ELSE depth END AS depth FROM hubs),
+good AS (SELECT id FROM broken WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM broken) UNION ALL SELECT b.id FROM broken b JOIN good g ON b.parent_id = g.id),
+rel AS (SELECT concat('S', n_nationkey % 7) AS hub_a, concat('S', n_nationkey % 5) AS hub_b FROM nation GROUP BY 1, 2)"""
+
+
+@query(_BROKEN + """ SELECT 'unknown_parent' AS rule, id FROM broken WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM broken)
+UNION ALL SELECT 'depth', b.id FROM broken b JOIN broken p ON p.id = b.parent_id WHERE b.depth <> p.depth + 1 UNION ALL SELECT 'root_depth', id FROM broken WHERE parent_id IS NULL AND depth <> 0
+UNION ALL SELECT 'unreachable', id FROM broken WHERE id NOT IN (SELECT id FROM good)
+UNION ALL SELECT 'unknown_related', hub_a FROM rel WHERE hub_b NOT IN (SELECT id FROM broken)
+UNION ALL SELECT 'one_way', hub_a FROM rel r WHERE NOT EXISTS (SELECT 1 FROM rel q WHERE q.hub_a = r.hub_b AND q.hub_b = r.hub_a)""")
 def l2_integrity(v):
-    return hierarchy.integrity_issues(v.hubs())
+    i = F.col("id")
+    parent = F.when(i == "R1", "N3").when(i == "N3", "S1").when(i == "S1", "N3").when(i.rlike("^S.*7$"), "N999").otherwise(F.col("parent_id"))
+    broken = v.hubs().select("id", parent.alias("parent_id"), F.when(i.rlike("^S.*4$"), 3).when(i == "R2", 1).otherwise(F.col("depth")).alias("depth"))
+    at = lambda k: F.concat(F.lit("S"), (F.col("n_nationkey") % k).cast("string"))
+    return hierarchy.integrity_issues(broken, v.table("nation").select(at(7).alias("hub_a"), at(5).alias("hub_b")).distinct())
 
 
 @query(""", walk AS (SELECT id AS ancestor_id, id, 0 AS distance FROM hubs UNION ALL SELECT w.ancestor_id, h.id, w.distance + 1 FROM walk w JOIN hubs h ON h.parent_id = w.id)
@@ -494,7 +520,7 @@ def l3_descendants(v):
     return hierarchy.descendants(v.hubs())
 
 
-@query("SELECT a.id, b.id AS sibling_id FROM hubs a JOIN hubs b ON a.parent_id = b.parent_id AND a.id <> b.id")
+@query("SELECT a.id, a.parent_id, count(b.id) AS n_siblings FROM hubs a LEFT JOIN hubs b ON a.parent_id = b.parent_id AND a.id <> b.id WHERE a.parent_id IS NOT NULL GROUP BY 1, 2")
 def l3_siblings(v):
     return hierarchy.siblings(v.hubs())
 
@@ -516,9 +542,9 @@ def l6_error_classes(v):
     return hierarchy.error_class(pairs, v.hubs()).groupBy("error_class").agg(F.count("*").alias("n"))
 
 
-@query(_LINKS7 + " SELECT h.id AS hub_id, CASE WHEN bool_or(framework_id = 'Brand#1') AND bool_or(framework_id <> 'Brand#1') THEN 'both' WHEN bool_or(framework_id = 'Brand#1') THEN 'ai_only' WHEN bool_or(framework_id <> 'Brand#1') THEN 'traditional_only' ELSE 'unlinked' END AS class FROM hubs h LEFT JOIN (SELECT * FROM links WHERE id % 41 = 0) l ON l.hub_id = h.id GROUP BY 1")
+@query(_LINKS7 + " SELECT h.id AS hub_id, CASE WHEN bool_or(framework_id = 'Brand#1') AND bool_or(framework_id <> 'Brand#1') THEN 'both' WHEN bool_or(framework_id = 'Brand#1') THEN 'ai_only' WHEN bool_or(framework_id <> 'Brand#1') THEN 'traditional_only' ELSE 'unlinked' END AS class FROM hubs h LEFT JOIN links l ON l.hub_id = h.id GROUP BY 1")
 def h1_hub_classes(v):
-    links = _links(v).where("id % 41 = 0").withColumn("is_ai", F.col("framework_id") == "Brand#1")
+    links = _links(v).withColumn("is_ai", F.col("framework_id") == "Brand#1")
     return proposals.classify_hubs(links, v.hubs())
 
 
@@ -547,11 +573,18 @@ def d4_snapshot_diff(v):
     return _ops(v).select("operation", "control_id", "hub_id", F.col("before.confidence").alias("old_confidence"), F.col("after.confidence").alias("new_confidence"))
 
 
-@query(_DIFF + """ SELECT 0::BIGINT AS control_add, 0::BIGINT AS control_delete, 0::BIGINT AS control_update, count(*) FILTER (operation = 'add') AS mapping_add, count(*) FILTER (operation = 'delete') AS mapping_delete,
-  count(*) FILTER (operation = 'update') AS mapping_update, count(*) AS n, CASE WHEN count(*) > 50 THEN 'major' WHEN count(*) >= 10 OR count(*) FILTER (operation = 'delete') > 0 THEN 'moderate' ELSE 'minor' END AS scope FROM ops""")
+_CDIFF = """, cops AS (SELECT CASE WHEN o.id IS NULL THEN 'add' WHEN n.id IS NULL THEN 'delete' ELSE 'update' END AS operation FROM (SELECT id, title FROM controls WHERE CAST(substr(id, 2) AS BIGINT) % 7 <> 0) o
+  FULL JOIN (SELECT id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 5 = 0 THEN upper(title) ELSE title END AS title FROM controls WHERE CAST(substr(id, 2) AS BIGINT) % 11 <> 0) n ON o.id = n.id WHERE o.title IS DISTINCT FROM n.title)"""
+
+
+@query(_DIFF + _CDIFF + """, t AS (SELECT (SELECT count(*) FILTER (operation = 'add') FROM cops) AS control_add, (SELECT count(*) FILTER (operation = 'delete') FROM cops) AS control_delete, (SELECT count(*) FILTER (operation = 'update') FROM cops) AS control_update,
+  count(*) FILTER (operation = 'add') AS mapping_add, count(*) FILTER (operation = 'delete') AS mapping_delete, count(*) FILTER (operation = 'update') AS mapping_update FROM ops)
+SELECT *, control_add + control_delete + control_update + mapping_add + mapping_delete + mapping_update AS n,
+  CASE WHEN control_add + control_delete + control_update + mapping_add + mapping_delete + mapping_update > 50 OR control_delete > 0 THEN 'major' ELSE 'moderate' END AS scope FROM t""")
 def n3_change_summary(v):
-    ops = _ops(v)
-    return snapshots.change_summary(ops.where(F.lit(False)), ops)
+    c, k = v.controls().select("id", "title"), F.substring("id", 2, 20).cast("long")
+    after = c.where(k % 11 != 0).select("id", F.when(k % 5 == 0, F.upper("title")).otherwise(F.col("title")).alias("title"))
+    return snapshots.change_summary(snapshots.diff(c.where(k % 7 != 0), after, ["id"], ["title"]), _ops(v))
 
 
 @query(_DIFF + " SELECT a.hub_id, count(DISTINCT a.control_id) AS n_controls, count(DISTINCT c.framework_id) AS n_frameworks FROM assignments a JOIN controls c ON c.id = a.control_id WHERE a.hub_id IN (SELECT hub_id FROM ops WHERE operation = 'delete') GROUP BY 1")
@@ -559,7 +592,11 @@ def n4_impact(v):
     return snapshots.impact(_ops(v).where("operation = 'delete'"), v.assignments(), v.controls())
 
 
-@query()
+_HASH4 = ", ".join(f"CAST(sum(CAST(concat('0x', substr(h, {k}, 8)) AS BIGINT)) AS VARCHAR)" for k in (1, 9, 17, 25))
+
+
+@query(_EXPORTED + f""", h AS (SELECT framework_id, sha256(concat_ws(chr(31), control_id, hub_id, CAST(confidence AS VARCHAR))) AS h FROM exported)
+SELECT framework_id, sha256(concat_ws(',', {_HASH4}, CAST(count(*) AS VARCHAR))) AS content_hash, count(*) AS n_rows FROM h GROUP BY 1""")
 def i13_content_hash(v):
     return snapshots.content_hash(_exported(v), "framework_id", ["control_id", "hub_id", "confidence"])
 
@@ -576,11 +613,11 @@ def h2_staleness(v):
     return snapshots.staleness(n.where("n_nationkey % 3 = 0").select("id"), n.where("n_nationkey % 2 = 0").select("id"))
 
 
-_DEC = ", one AS (SELECT * FROM assignments WHERE id % 10 = 3), dec AS (SELECT DISTINCT id, CASE id % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN 'reassigned' ELSE 'pending' END AS status, CASE WHEN id % 4 = 2 THEN 'S1' END AS h FROM one)"
+_DEC = ", one AS (SELECT * FROM assignments), dec AS (SELECT DISTINCT id, CASE id % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN 'reassigned' ELSE 'pending' END AS status, CASE WHEN id % 4 = 2 THEN 'S1' END AS h FROM one)"
 
 
 def _decisions(v: Views) -> tuple[DataFrame, DataFrame]:
-    one = v.assignments().where("id % 10 = 3").withColumn("reviewer_notes", F.lit(None).cast("string"))
+    one = v.assignments().withColumn("reviewer_notes", F.lit(None).cast("string"))
     m = F.col("id") % 4
     d = one.select("id").distinct().select("id", F.when(m == 0, "accepted").when(m == 1, "rejected").when(m == 2, "reassigned").otherwise("pending").alias("status"), F.when(m == 2, "S1").alias("reviewer_hub_id"), F.lit("").alias("notes"))
     return one, d
@@ -611,22 +648,38 @@ def o4_import_truth(v):
 # --- quality, text, proposals ------------------------------------------------------------------------
 
 
-@query(r""", r AS (SELECT lang, doc_id, text, CASE WHEN length(trim(text)) < 10 THEN 'empty_description' WHEN length(trim(text)) < 50 THEN 'short_description' END AS a,
-  CASE WHEN length(text) > 2000 THEN 'long_description_no_full_text' END AS b, CASE WHEN length(regexp_replace(text, '[^\p{L}]', '', 'g')) > 10 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(regexp_replace(text, '[^\p{L}]', '', 'g')) < 0.7
-  THEN 'non_english_text' END AS c FROM documents), u AS (SELECT lang, unnest([a, b, c]) AS rule FROM r)
-SELECT lang AS framework_id, rule, CASE WHEN rule = 'empty_description' THEN 'error' ELSE 'warning' END AS severity, count(*) AS n FROM u WHERE rule IS NOT NULL GROUP BY 1, 2, 3""")
+# Documents as controls: ids meet every third time, every fourth has its text's start as title, some a
+# full text, some a reference instead of a text.
+_CONTROLS = r""", src AS (SELECT lang, doc_id, CASE WHEN doc_id % 50 = 7 THEN concat('See section ', doc_id) WHEN doc_id % 50 = 8 THEN concat(text, chr(10), 'e', chr(769)) WHEN doc_id % 50 = 9 THEN '' ELSE text END AS d,
+  concat(CASE WHEN doc_id % 10 = 3 THEN 'D:' ELSE 'D' END, doc_id - doc_id % 3) AS control_id, CASE WHEN doc_id % 4 = 0 THEN concat('  ', text) ELSE concat('Title ', doc_id) END AS title, CASE WHEN doc_id % 6 = 1 THEN text END AS f FROM documents)"""
+
+
+def _as_controls(v: Views) -> DataFrame:
+    k, text = F.col("doc_id"), F.col("text")
+    d = F.when(k % 50 == 7, F.concat(F.lit("See section "), k.cast("string"))).when(k % 50 == 8, F.concat(text, F.lit("\ne\u0301"))).when(k % 50 == 9, "").otherwise(text)
+    return v.table("documents").select(
+        F.col("lang").alias("framework_id"), F.concat(F.when(k % 10 == 3, "D:").otherwise("D"), (k - k % 3).cast("string")).alias("control_id"), F.when(k % 4 == 0, F.concat(F.lit("  "), text)).otherwise(F.concat(F.lit("Title "), k.cast("string"))).alias("title"),
+        d.alias("description"), F.when(k % 6 == 1, text).alias("full_text"), k.alias("pos"),
+    )
+
+
+@query(_CONTROLS + r""", r AS (SELECT lang, [CASE WHEN row_number() OVER (PARTITION BY lang, control_id ORDER BY doc_id) > 1 THEN 'error duplicate_control_id' END,
+  CASE WHEN length(trim(d, ' ')) < 10 THEN 'error empty_description' WHEN length(trim(d, ' ')) < 50 THEN 'warning short_description' END, CASE WHEN length(d) > 2000 AND f IS NULL THEN 'warning long_description_no_full_text' END,
+  CASE WHEN regexp_matches(control_id, '[:\s]') THEN 'warning problematic_control_id_chars' END, CASE WHEN length(d) < 100 AND regexp_matches(d, '(?i)^\s*(see|refer to|cf\.?)\s+\S+') THEN 'warning reference_only_description' END,
+  CASE WHEN title <> '' AND lower(trim(title, ' ')) = lower(trim(d, ' ')) THEN 'warning title_description_redundancy' END,
+  CASE WHEN length(regexp_replace(d, '[^\p{L}]', '', 'g')) > 10 AND length(regexp_replace(d, '[^A-Za-z]', '', 'g')) / length(regexp_replace(d, '[^\p{L}]', '', 'g')) < 0.7 THEN 'warning non_english_text' END,
+  CASE WHEN nfc_normalize(concat_ws(' ', title, d, f)) <> concat_ws(' ', title, d, f) THEN 'warning non_nfc_unicode' END] AS rules FROM src), u AS (SELECT lang, unnest(rules) AS rule FROM r)
+SELECT lang AS framework_id, split_part(rule, ' ', 2) AS rule, split_part(rule, ' ', 1) AS severity, count(*) AS n FROM u WHERE rule IS NOT NULL GROUP BY 1, 2, 3""".replace("\\\\", "\\"))
 def q1_control_rules(v):
-    d = v.table("documents")
-    rows = d.select(F.col("lang").alias("framework_id"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("control_id"), F.lit("").alias("title"), F.col("text").alias("description"), F.lit(None).cast("string").alias("full_text"), F.col("doc_id").alias("pos"))
-    return quality.validate_controls(rows, unicode_rule=False).groupBy("framework_id", "rule", "severity").agg(F.count("*").alias("n"))
+    return quality.validate_controls(_as_controls(v)).groupBy("framework_id", "rule", "severity").agg(F.count("*").alias("n"))
 
 
-@query(r""", l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
-SELECT doc_id AS id, CAST(line_no AS INTEGER) AS line_no, 'email' AS kind, substr(regexp_extract(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), 1, 50) AS match FROM l WHERE regexp_matches(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')
-UNION ALL SELECT doc_id, CAST(line_no AS INTEGER), 'aws_key', substr(regexp_extract(line, 'AKIA[0-9A-Z]{16}'), 1, 50) FROM l WHERE regexp_matches(line, 'AKIA[0-9A-Z]{16}')""")
+_SECRETS = " UNION ALL ".join(f"SELECT doc_id AS id, CAST(line_no AS INTEGER) AS line_no, '{k}' AS kind, substr(regexp_extract(line, '{p}'), 1, 50) AS match FROM l WHERE regexp_matches(line, '{p}')" for k, p in T.SECRET_PATTERNS.items())
+
+
+@query(f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents) {_SECRETS}", plain=True)
 def q3_secret_scan(v):
-    pick = {k: T.SECRET_PATTERNS[k] for k in ("email", "aws_key")}
-    return quality.scan_secrets(v.table("documents").withColumnRenamed("doc_id", "id"), pick)
+    return quality.scan_secrets(v.table("documents").withColumnRenamed("doc_id", "id"))
 
 
 @query(r"SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS bare FROM customer", plain=True)
@@ -647,7 +700,8 @@ def i11_hub_text(v):
     return rows.select("id", T.hub_text(F.concat_ws(" > ", "up", "name"), F.col("name")).alias("hub_text"))
 
 
-@query()
+@query("""WITH r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY md5(concat('42:', doc_id)), doc_id) AS r FROM documents)
+SELECT doc_id, lang, CASE WHEN r <= 100 THEN 'calibration' WHEN r <= 120 THEN 'canary' ELSE 'train' END AS part FROM r""", plain=True)
 def p1_hashed_split(v):
     return evaluation.hashed_split(v.table("documents").select("doc_id", "lang"), "doc_id", {"calibration": 100, "canary": 20}, "train", 42)
 
@@ -657,75 +711,15 @@ def p3_folds(v):
     return evaluation.folds(v.controls(), ["Brand#1", "Brand#2"]).groupBy("fold", "role").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(""", m AS (SELECT label % 50 AS cluster_id, item_id, substr(item_id, length(item_id), 1) AS fw, CAST(embedding AS DOUBLE[]) AS e FROM items),
+p AS (SELECT cluster_id, i, avg(e[i]) AS v FROM m, unnest(range(1, 65)) AS u(i) GROUP BY 1, 2), c0 AS (SELECT cluster_id, list(v ORDER BY i) AS c FROM p GROUP BY 1),
+c AS (SELECT c0.cluster_id, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c, n, f FROM c0 JOIN (SELECT cluster_id, count(DISTINCT item_id) AS n, count(DISTINCT fw) AS f FROM m GROUP BY 1) s USING (cluster_id)),
+s AS (SELECT cluster_id, hub_id, list_dot_product(c, CAST(embedding AS DOUBLE[])) AS sim FROM c, vhubs), b AS (SELECT cluster_id, arg_max(hub_id, sim) AS hub, max(sim) AS sim FROM s GROUP BY 1),
+near AS (SELECT a.cluster_id FROM c a JOIN c z ON a.cluster_id <> z.cluster_id AND list_dot_product(a.c, z.c) >= 0.7),
+r AS (SELECT c.cluster_id, n AS n_controls, f AS n_frameworks, n * f AS evidence, hub AS parent_hub_id, b.sim, CASE WHEN n < 3 OR f < 2 THEN 'evidence' WHEN c.cluster_id IN (SELECT cluster_id FROM near) THEN 'separation' END AS failed FROM c JOIN b USING (cluster_id))
+SELECT cluster_id, n_controls, n_frameworks, evidence, parent_hub_id, round(sim, 6) AS parent_sim, sim < 0.2 AS uncertain,
+  CASE WHEN failed IS NULL AND row_number() OVER (PARTITION BY failed ORDER BY evidence DESC, cluster_id) > 5 THEN 'budget' ELSE failed END AS failed FROM r""")
 def r4_guardrails(v):
     items = v.items()
     members = items.select((F.col("label") % 50).alias("cluster_id"), "item_id", (F.substring("item_id", -1, 1)).alias("framework_id"), "embedding")
     return proposals.guardrails(proposals.centroids(members), v.vector_hubs().select("hub_id", "embedding"), budget=5)
-
-
-# --- the same questions over whole tables ------------------------------------------------------------
-# Those above ask them over parts, as their SQL does; these have no SQL, and tests hold them against brute force.
-
-
-def _whole_scope(v: Views) -> DataFrame:
-    return compare.in_scope(v.assignments(), v.controls())
-
-
-@query()
-def e7_equivalences_whole(v):
-    return compare.equivalences(_whole_scope(v), v.hubs())
-
-
-@query()
-def d5_pair_overlap_whole(v):
-    return compare.pair_overlap(_whole_scope(v))
-
-
-@query()
-def d6_related_siblings_whole(v):
-    return compare.related_siblings(_whole_scope(v), v.hubs())
-
-
-@query()
-def d7_gap_controls_whole(v):
-    return compare.gap_controls(_whole_scope(v), v.hubs())
-
-
-@query()
-def f11_knn_vote_whole(v):
-    near = v.items().select(F.col("item_id").alias("hub_id"), "embedding")
-    top = similarity.top_hubs(v.items(), near, 11).where("item_id <> hub_id").withColumnRenamed("hub_id", "neighbour_id").drop("rank")
-    labels = v.items().select(F.col("item_id").alias("neighbour_id"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("hub_id"))
-    return similarity.knn_vote(top.join(labels, "neighbour_id"), 10, 3).select("item_id", "hub_id", F.round("vote", 6).alias("vote"), "rank")
-
-
-@query()
-def d12_similar_pairs_whole(v):
-    rows = v.table("embeddings").select(F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("item_id"), "embedding", (F.col("vec_id") % 100 == 0).alias("asked"))
-    return similarity.similar_to(rows, 0.05, 0.15)
-
-
-@query()
-def h1_hub_classes_whole(v):
-    return proposals.classify_hubs(_links(v).withColumn("is_ai", F.col("framework_id") == "Brand#1"), v.hubs())
-
-
-def _every(v: Views) -> DataFrame:
-    return v.assignments().withColumn("reviewer_notes", F.lit(None).cast("string"))
-
-
-@query()
-def o3_apply_decisions_whole(v):
-    return review.apply_decisions(_every(v), _decisions(v)[1]).select("id", "control_id", "hub_id", "confidence", "review_status", "original_hub_id", "reviewer_notes")
-
-
-@query()
-def o2_update_status_whole(v):
-    up = _decisions(v)[1].where("status = 'reassigned'").select("id", F.lit("corrected").alias("status"), F.col("reviewer_hub_id").alias("corrected_hub_id"))
-    return review.update_status(_every(v), up).select("id", "hub_id", "confidence", "provenance", "review_status")
-
-
-@query()
-def q3_secret_scan_whole(v):
-    return quality.scan_secrets(v.table("documents").withColumnRenamed("doc_id", "id"))

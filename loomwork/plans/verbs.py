@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sanitize
+from ..functions.text import join_present, sanitize
 from ..operators import calibration, compare, filters, hierarchy, proposals, quality, review, similarity, snapshots, summaries
 
 
@@ -60,7 +61,7 @@ class Crosswalk:
         h = self.hubs
         return {
             "hub": h.where(F.col("id") == hub_id), "children": h.where(F.col("parent_id") == hub_id),
-            "siblings": hierarchy.siblings(h).where(F.col("id") == hub_id), "controls": self.assignments.where(F.col("hub_id") == hub_id),
+            "siblings": hierarchy.siblings_of(h, h.where(F.col("id") == hub_id)), "controls": self.assignments.where(F.col("hub_id") == hub_id),
         }
 
 
@@ -77,15 +78,36 @@ def prepare(rows: DataFrame, framework_id: str, *, description_chars: int = 2000
 def assign(items: DataFrame, hubs: DataFrame, *, temperature: float, quantile: float, ood_threshold: float, k: int = 5) -> DataFrame:
     """item_id, hub_id, rank, sim, confidence, in_conformal_set, is_ood: the k best hubs of each item.
 
-    The softmax runs over all hubs, so all similarities of an item meet before the top k are kept.
+    The softmax runs over all hubs, and only the k best of an item become rows.
     """
-    sims = similarity.similarities(items.select("item_id", "embedding"), F.broadcast(hubs.select("hub_id", "embedding")) if hubs.count() <= similarity.HUB_BLOCK else hubs.select("hub_id", "embedding"))
-    probs = similarity.softmax(sims, temperature)
-    best = sims.groupBy("item_id").agg(F.max("sim").alias("max_sim"))
-    top = similarity.top_k(probs, k, by="p").join(best, "item_id")
+    top = similarity.scored_top(items, hubs, k, temperature)
     return top.select("item_id", "hub_id", "rank", "sim", F.col("p").alias("confidence"), (F.col("p") >= 1 - quantile).alias("in_conformal_set"), (F.col("max_sim") < ood_threshold).alias("is_ood"))
 
 
+def ingest(rows: DataFrame, framework_id: str, known: DataFrame, hubs: DataFrame, embed: Callable[[DataFrame], DataFrame], *, temperature: float, quantile: float, ood_threshold: float,
+           similar: float = 0.85, duplicate: float = 0.95, k: int = 5) -> dict[str, DataFrame]:
+    """A new framework's read rows, cleaned, checked, assigned and compared with ``known`` vectors
+    (item_id, embedding).  ``embed`` makes vectors (item_id, embedding) of texts (item_id, text).
+
+    Rows that break a rule of severity "error" stop the ingest.
+    """
+    ready = prepare(rows, framework_id)
+    bad = ready["issues"].where("severity = 'error'")
+    if not bad.isEmpty():
+        raise ValueError(f"{framework_id} has errors: {[(r.control_id, r.rule) for r in bad.limit(5).collect()]}")
+    item = F.concat_ws(":", "framework_id", "control_id")
+    texts = ready["controls"].select(item.alias("item_id"), join_present(F.col("title"), F.col("description"), F.col("full_text")).alias("text"))
+    vectors = embed(texts)
+    top = assign(vectors, hubs, temperature=temperature, quantile=quantile, ood_threshold=ood_threshold, k=k)
+    both = vectors.select("item_id", "embedding", F.lit(True).alias("asked")).unionByName(known.select("item_id", "embedding", F.lit(False).alias("asked")))
+    own = vectors.select("item_id")
+    near = similarity.similar_to(both, similar, duplicate)
+    near = near.select(F.explode(F.array(F.struct(F.col("id_a").alias("item_id"), F.col("id_b").alias("other_id")), F.struct(F.col("id_b").alias("item_id"), F.col("id_a").alias("other_id")))).alias("x"), "sim", "tier")
+    near = near.select("x.item_id", "x.other_id", "sim", "tier").join(own, "item_id", "left_semi").join(own.select(F.col("item_id").alias("other_id")), "other_id", "left_anti")
+    best = top.where("rank = 1").select("item_id", "confidence", F.col("sim").alias("max_sim"), "is_ood")
+    return {**ready, "assignments": top, "duplicates": near, "summary": summaries.ingest_summary(best, near)}
+
+
 def calibrate(sims: DataFrame, valid: DataFrame, *, alpha: float = 0.1, grid: list[float] | None = None) -> dict[str, float]:
     """Temperature, conformal quantile and out-of-distribution threshold of labelled similarities."""
     t = calibration.fit_temperature(sims, valid, grid or calibration.log_grid(0.01, 5.0, 200)).first().t

@@ -25,8 +25,8 @@ assignments AS (
          CASE WHEN l_linestatus = 'F' THEN 'AutomaticallyLinkedTo' ELSE 'LinkedTo' END AS source_link_id,
          CASE WHEN l_linenumber = 5 THEN concat('S', l_linenumber) END AS original_hub_id, l_shipdate AS created_at
   FROM lineitem),
-items AS (SELECT concat('V', vec_id) AS item_id, embedding, label FROM embeddings WHERE vec_id >= 20),
-vhubs AS (SELECT concat('H', vec_id) AS hub_id, embedding, label FROM embeddings WHERE vec_id < 20),
+items AS (SELECT concat('V', vec_id) AS item_id, embedding, label FROM embeddings WHERE vec_id % 25 <> 0),
+vhubs AS (SELECT concat('H', vec_id) AS hub_id, embedding, label FROM embeddings WHERE vec_id % 25 = 0),
 valid AS (SELECT item_id, hub_id FROM items JOIN vhubs ON items.label = vhubs.label),
 sims AS (SELECT item_id, hub_id, list_dot_product(CAST(items.embedding AS DOUBLE[]), CAST(vhubs.embedding AS DOUBLE[])) AS sim FROM items, vhubs)
 """
@@ -82,11 +82,11 @@ class Views:
         return self.table("embeddings").select(F.concat(F.lit(prefix), F.col("vec_id").cast("string")).alias(name), "embedding", "label", "vec_id")
 
     def items(self) -> DataFrame:
-        return self._vectors("V", "item_id").where("vec_id >= 20").drop("vec_id")
+        return self._vectors("V", "item_id").where("vec_id % 25 <> 0").drop("vec_id")
 
     def vector_hubs(self) -> DataFrame:
-        """Twenty of the vectors, whatever the size of the table."""
-        return self._vectors("H", "hub_id").where("vec_id < 20").drop("vec_id")
+        """Every 25th vector stands for a hub; the others are items."""
+        return self._vectors("H", "hub_id").where("vec_id % 25 = 0").drop("vec_id")
 
     def valid(self) -> DataFrame:
         return self.items().select("item_id", "label").join(F.broadcast(self.vector_hubs().select("hub_id", "label")), "label").select("item_id", "hub_id")

@@ -22,13 +22,17 @@ def get_session(app: str = "loomwork", **conf: str) -> SparkSession:
 def durable(df, what: str = "step"):
     """``df`` written to a folder that the driver and all executors reach, and read back.
 
-    Cuts lineage for loops; survives lost executors.  The folder is ``spark.checkpoint.dir``
-    where the cluster names one, else the warehouse.
+    Cuts lineage for loops; survives lost executors.  The folder is ``spark.checkpoint.dir``; in
+    local mode, where that may be unset, the warehouse.
     """
     import uuid
 
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/loomwork-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,29 +4,29 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import link_type, slug
-from ..schemas import FRAMEWORK_DOCUMENT, HUB_LINKS, TAXONOMY_DUMP, conform
+from ..functions.text import bare_key, link_type, slug
+from ..schemas import FRAMEWORK_DOCUMENT, HUB_LINKS, TAXONOMY_DUMP, conform, struct
 
-# Header names that stand for each column, in order of preference.
+# Header names that stand for each column; in a file, the first such column counts.
 ALIASES = {
-    "control_id": ("control_id", "id", "section_id", "identifier", "ref"),
-    "title": ("title", "name", "section_name"),
-    "description": ("description", "text", "body", "requirement"),
-    "full_text": ("full_text", "details"),
+    "control_id": ("control_id", "id", "control id", "section_id", "section id"),
+    "title": ("title", "name", "control_name", "control name", "section_name"),
+    "description": ("description", "desc", "text", "body", "specification"),
+    "full_text": ("full_text", "fulltext", "full text"),
 }
 ROW_SCHEMA = "file string, pos long, control_id string, title string, description string, full_text string"
 
 
 def _first_of(columns: list[str], wanted: tuple[str, ...], override: str | None = None) -> str | None:
-    by_name = {c.strip().lstrip("\ufeff").lower(): c for c in reversed(columns)}
-    if override:
-        return by_name.get(override.lower())
-    return next((by_name[w] for w in wanted if w in by_name), None)
+    names = [(c.strip().lstrip("\ufeff").lower(), c) for c in columns]
+    wanted = (override.lower(),) if override else wanted
+    return next((c for name, c in names if name in wanted), None)
 
 
 def present(c: Column) -> Column:
@@ -61,6 +61,7 @@ def read_json_controls(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
     text = F.trim("value")
+    # A framework document is such an object already: its controls have the names that are sought.
     body = F.when(text.startswith("["), text).otherwise(F.coalesce(*[F.get_json_object(text, f"$.{k}") for k in ("controls", "items", "data")]))
     rows = files.select("file", F.posexplode(F.from_json(body, "array<string>")).alias("pos", "item"))
     entry = F.from_json("item", "map<string,string>")
@@ -72,7 +73,12 @@ def read_json_controls(spark: SparkSession, path: str) -> DataFrame:
 
 
 # Ids at the start of a heading, tried in order.
-HEADING_IDS = (r"^([A-Z]{2,}[A-Z0-9]*[-.]?\d+(?:[.\-]\d+)*)[:\s]+(.*)$", r"^(\d+(?:\.\d+)+)[:.\s]+(.*)$", r"^(\d+)[:.)\s]+(.*)$", r"^([A-Z]\d+)[:.\s]+(.*)$")
+HEADING_IDS = (
+    r"^([A-Za-z]{2,10}\d+(?:\.\d+)*)\s*[:\-–—]\s*(.+)$",
+    r"^([A-Za-z]+-\d+(?:\.\d+)*)\s*[:\-–—]\s*(.+)$",
+    r"^(\d+(?:\.\d+)+)\s+(.+)$",
+    r"^(\d+\.\d+)\s+(.+)$",
+)
 
 
 def sections(text: str, level: int | None = None) -> Iterator[tuple[str | None, str, str]]:
@@ -221,3 +227,145 @@ def audit_verdicts(audit: DataFrame, old_id: str = "hub_id", pattern: str = r"\d
     none = F.lower("notes").rlike(r"no (suitable |good |matching )?hub|none fits")
     wrong = F.lower("verdict") == "wrong"
     return audit.withColumn("new_hub_id", F.when(wrong, new)).withColumn("action", F.when(wrong & new.isNotNull(), "correct").when(wrong | none, "exclude").otherwise("keep"))
+
+
+def read_nested(spark: SparkSession, path: str, schema: str, levels: list[str], fields: dict[str, str]) -> DataFrame:
+    """Controls of JSON documents that nest them: ``levels`` are the arrays to open, one inside the
+    other (``"domains"``, ``"domains.controls"``, ...), and ``fields`` SQL over their names."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.col("_metadata.file_name").alias("file"), "*")
+    for at, level in enumerate(levels):
+        rows = rows.select("*", F.posexplode(level).alias(f"pos{at}", f"l{at}"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy(*[f"pos{k}" for k in range(len(levels))])) - 1
+    return rows.select("file", place.cast("long").alias("pos"), *[F.expr(v).alias(k) for k, v in fields.items()])
+
+
+_ACTIVITY = "struct<id:string,description:string,category:string,evidence_types:array<string>>"
+
+
+def read_activities(spark: SparkSession, path: str) -> DataFrame:
+    """Activities of a standard of domains, controls and activities; a control's title is theirs."""
+    schema = f"domains array<struct<name:string,controls:array<struct<id:string,title:string,activities:array<{_ACTIVITY}>>>>>"
+    fields = {
+        "control_id": "l2.id", "title": "l1.title", "description": "l2.description", "full_text": "CAST(NULL AS STRING)", "hierarchy_level": "'activity'", "parent_id": "l1.id",
+        "parent_name": "l1.title", "metadata": "map('category', coalesce(l2.category, ''), 'domain', l0.name, 'evidence_types', to_json(coalesce(l2.evidence_types, array())))",
+    }
+    return read_nested(spark, path, schema, ["domains", "l0.controls", "l1.activities"], fields)
+
+
+def read_techniques(spark: SparkSession, path: str) -> DataFrame:
+    """Techniques, their sub-techniques (with their parent) and mitigations of the first matrix."""
+    item = "id:string,name:string,description:string"
+    schema = f"matrices array<struct<techniques:array<struct<{item},subtechniques:array<struct<{item}>>>>,mitigations:array<struct<{item}>>>>"
+    m = spark.read.schema(schema).option("multiLine", True).json(path).select(F.col("_metadata.file_name").alias("file"), F.get("matrices", 0).alias("m"))
+    row = lambda c, level, up=None: F.struct(
+        c["id"].alias("control_id"), c["name"].alias("title"), c["description"].alias("description"), F.lit(level).alias("hierarchy_level"),
+        (up["id"] if up is not None else F.lit(None).cast("string")).alias("parent_id"), (up["name"] if up is not None else F.lit(None).cast("string")).alias("parent_name"),
+    )
+    none = F.array().cast("array<struct<control_id:string,title:string,description:string,hierarchy_level:string,parent_id:string,parent_name:string>>")
+    with_subs = F.transform("m.techniques", lambda t: F.concat(F.array(row(t, "technique")), F.coalesce(F.transform(t["subtechniques"], lambda s: row(s, "sub-technique", t)), none)))
+    every = F.concat(F.coalesce(F.flatten(with_subs), none), F.coalesce(F.transform("m.mitigations", lambda x: row(x, "mitigation")), none))
+    return m.select("file", F.posexplode(every).alias("pos", "c")).select("file", F.col("pos").cast("long").alias("pos"), "c.*")
+
+
+class _Sections(HTMLParser):
+    """Elements with an id that a pattern matches: their id, first heading and text."""
+
+    def __init__(self, pattern: str):
+        super().__init__(convert_charrefs=True)
+        self.pattern, self.found, self.stack = re.compile(pattern), [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "img", "hr", "input", "meta", "link"):
+            return
+        name = dict(attrs).get("id") or ""
+        here = {"tag": tag, "id": name, "text": [], "title": [], "own": bool(self.pattern.fullmatch(name))}
+        if here["own"]:
+            self.found.append(here)
+        self.stack.append(here)
+
+    def handle_endtag(self, tag):
+        if any(e["tag"] == tag for e in self.stack):
+            while self.stack.pop()["tag"] != tag:
+                pass
+
+    def handle_data(self, data):
+        owner = next((e for e in reversed(self.stack) if e["own"]), None)
+        if owner is not None:
+            heading = any(re.fullmatch("h[1-6]", e["tag"]) for e in self.stack) or any(e["tag"] == "title" for e in self.stack)
+            owner["title" if heading else "text"].append(data)
+
+
+def read_html_sections(spark: SparkSession, path: str, *, pattern: str, description_chars: int = 2000, least: int = 0) -> DataFrame:
+    """Controls of HTML files: elements whose id matches ``pattern``, the first of each id; fewer than
+    ``least`` in a file are an error."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file, text in zip(pdf["file"], pdf["value"], strict=True):
+                p = _Sections(pattern)
+                p.feed(text)
+                rows, seen = [], set()
+                for e in p.found:
+                    body, title = (" ".join(" ".join(e[k]).split()) for k in ("text", "title"))
+                    if e["id"] not in seen and (body or title):
+                        seen.add(e["id"])
+                        rows.append((file, len(rows), e["id"], title or e["id"], (body or title)[:description_chars], body if len(body) > description_chars else None))
+                if len(rows) < least:
+                    raise ValueError(f"{file}: {len(rows)} sections, {least} are expected")
+                if rows:
+                    yield pd.DataFrame(rows, columns=["file", "pos", "control_id", "title", "description", "full_text"])
+
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return files.mapInPandas(parse, ROW_SCHEMA)
+
+
+def read_links(spark: SparkSession, path: str, schema: str = HUB_LINKS) -> DataFrame:
+    """Links of JSON lines; blank lines give no row.  ``snapshots.content_hash`` of them is their
+    version, whatever the order of lines and keys."""
+    return spark.read.schema(schema).json(path).where(F.coalesce(*[F.col(f.name).cast("string") for f in struct(schema)]).isNotNull())
+
+
+def framework_totals(frameworks: DataFrame) -> DataFrame:
+    """Frameworks and controls of merged documents."""
+    return frameworks.agg(F.count("*").alias("frameworks"), F.coalesce(F.sum(F.size("controls")), F.lit(0)).cast("long").alias("controls"))
+
+
+def parsed_texts(controls: DataFrame) -> DataFrame:
+    """framework_id, section_id, text: the full text unless blank, else the description."""
+    return controls.select("framework_id", "section_id", F.coalesce(present(F.col("full_text")), F.col("description")).alias("text"))
+
+
+def framework_names(links: DataFrame) -> DataFrame:
+    """framework_id, label, names: the shortest of a framework's standard names (the first of equals), and all."""
+    return links.groupBy("framework_id").agg(
+        F.min_by("standard_name", F.struct(F.length("standard_name"), F.col("standard_name"))).alias("label"), F.array_join(F.array_sort(F.collect_set("standard_name")), ", ").alias("names"))
+
+
+def aligned_texts(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, text for each asked id: the text that comes first (pos), the id where there is none."""
+    one = texts.groupBy("id").agg(F.min_by("text", "pos").alias("text"))
+    return ids.join(one, "id", "left").select("id", F.coalesce("text", "id").alias("text"))
+
+
+def truth_of(items: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(item_id, hub_id) of ground truth written as a JSON array; unknown hubs are left out, and
+    an item that knows none keeps a null hub for the caller to report."""
+    rows = items.select("item_id", F.explode_outer(F.from_json("truth", "array<string>")).alias("hub_id"))
+    known = rows.join(hubs.select(F.col("id").alias("hub_id")), "hub_id", "left_semi").distinct()
+    return items.select("item_id").distinct().join(known, "item_id", "left")
+
+
+def enriched_corpus(items: DataFrame, parsed: DataFrame) -> DataFrame:
+    """item_id, text, source: the parsed text of an item's section, by its id, by its normalised id,
+    else the section's own text (``items``: item_id, framework_id, section_id, section_text)."""
+    exact = parsed.groupBy("framework_id", "section_id").agg(F.min("text").alias("exact"))
+    loose = parsed.groupBy("framework_id", bare_key(F.col("section_id")).alias("key")).agg(F.min_by("text", "section_id").alias("loose"))
+    rows = items.withColumn("key", bare_key(F.col("section_id"))).join(exact, ["framework_id", "section_id"], "left").join(loose, ["framework_id", "key"], "left")
+    source = F.when(F.col("exact").isNotNull(), "exact").when(F.col("loose").isNotNull(), "normalised").otherwise("section")
+    return rows.select("item_id", F.coalesce("exact", "loose", "section_text").alias("text"), source.alias("source"))
+
+
+def embedding_slice(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """The vectors (id, embedding) whose id, with double colons as one, is among ``ids`` (id)."""
+    key = lambda c: F.replace(c, F.lit("::"), F.lit(":"))
+    return vectors.withColumn("_k", key(F.col("id"))).join(ids.select(key(F.col("id")).alias("_k")).distinct(), "_k", "left_semi").drop("_k")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
-from loomwork.operators import calibration, compare, evaluation, filters, hierarchy, linking, proposals, quality, review, similarity, snapshots, summaries
+from loomwork.operators import calibration, clustering, compare, evaluation, filters, hierarchy, linking, ordering, proposals, quality, review, similarity, snapshots, summaries
+from loomwork.session import durable
 
 A = "id bigint, control_id string, hub_id string, confidence double, is_ood boolean, provenance string, review_status string, original_hub_id string, reviewer_notes string"
 
@@ -109,7 +113,7 @@ def test_tree(spark, rows):
     assert got["o"].depth == 0 and got["o"].is_leaf and got["x"].depth == 0 and len(got) == 6  # a cycle's nodes become roots
     assert hierarchy.integrity_issues(hierarchy.build_tree(nodes, edges)).isEmpty()
     one_way = spark.createDataFrame([("a", "b")], "hub_a string, hub_b string")
-    assert rows(hierarchy.integrity_issues(hubs(spark), one_way)) == [("one_way", "a")]
+    assert rows(hierarchy.integrity_issues(hubs(spark), one_way)) == [("one_way", "a"), ("unknown_related", "a")]
 
 
 def test_bridges_are_symmetric(spark):
@@ -218,3 +222,105 @@ def test_guardrails(spark):
     h = spark.createDataFrame([("h1", one), ("h2", far)], "hub_id string, embedding array<double>")
     got = {r.cluster_id: (r.failed, r.parent_hub_id) for r in proposals.guardrails(c, h, budget=1).collect()}
     assert got == {1: (None, "h1"), 2: ("separation", "h1"), 3: ("budget", "h2"), 4: ("evidence", "h2")}
+
+
+def test_deep_trees_and_cycles(spark):
+    deep = [(f"n{k:03d}", f"N{k}") for k in range(60)]
+    nodes = spark.createDataFrame([*deep, ("x", "X"), ("y", "Y")], "id string, name string")
+    edges = spark.createDataFrame([*((f"n{k:03d}", f"n{k + 1:03d}") for k in range(59)), ("x", "y"), ("y", "x")], "parent_id string, child_id string")
+    tree = durable(hierarchy.build_tree(nodes, edges))
+    assert tree.where("id = 'n059'").first().depth == 59 and tree.where("depth = 0").count() == 3
+    assert hierarchy.integrity_issues(tree).isEmpty()
+    loop = spark.createDataFrame([("x", "y"), ("y", "x"), ("z", "x"), ("r", None)], "id string, parent_id string")
+    assert {(r.ancestor_id, r.id, r.distance) for r in hierarchy.descendants(loop).collect()} >= {("x", "y", 1), ("y", "x", 1), ("y", "z", 2), ("r", "r", 0)}
+    assert {(r.rule, r.id) for r in hierarchy.integrity_issues(loop.selectExpr("*", "0 AS depth")).collect() if r.rule == "unreachable"} == {("unreachable", c) for c in "xyz"}
+
+
+def test_first_negatives_equal_brute_force(spark):
+    rng = random.Random(4)
+    tree = [("r", None)] + [(f"p{k}", "r") for k in range(5)]
+    tree += [(f"c{k:02d}", f"p{rng.randrange(4)}") for k in range(30)]
+    up = dict(tree)
+    for n in (1, 3, 7):
+        want = set()
+        for i, p in up.items():
+            sib = sorted(x for x, q in up.items() if q == p and x != i and p is not None)
+            cousins = sorted(x for x, q in up.items() if p and up[p] and q != p and q and up.get(q) == up[p])
+            want |= {(i, x) for x in (sib + [c for c in cousins if c not in sib])[:n]}
+        got = {(r.id, r.negative_id) for r in hierarchy.hard_negatives(spark.createDataFrame(tree, "id string, parent_id string"), n).collect()}
+        assert got == want, n
+
+
+def test_running_sums_over_ranges(spark):
+    df = spark.createDataFrame([(k * 7 % 101, k) for k in range(101)], "x int, v int").repartition(5)
+    got = sorted((r.x, r.s, r.r) for r in ordering.running(df, [F.col("x")], {"s": F.col("v")}, rank="r").collect())
+    total, want = 0, []
+    for r, (x, v) in enumerate(sorted((k * 7 % 101, k) for k in range(101)), 1):
+        total += v
+        want.append((x, total, r))
+    assert got == want
+    least = {r.x: r.m for r in ordering.least_from_here(df, [F.col("x")], F.col("v"), "m").collect()}
+    values = dict(sorted((k * 7 % 101, k) for k in range(101)))
+    assert least == {x: min(v for y, v in values.items() if y >= x) for x in values}
+
+
+def test_bootstraps_equal_numpy(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f, float(v)) for f, n in (("a", 65), ("b", 45), ("c", 64), ("d", 13), ("e", 10)) for v in rng.integers(0, 2, n)]
+    got = evaluation.bootstrap(spark.createDataFrame(rows, "fold string, value double"), 2000, 3).first()
+    own = [np.mean(np.concatenate([rng.choice([v for g, v in rows if g == f], sum(g == f for g, _ in rows)) for f in "abcde"])) for _ in range(2000)]
+    assert got.n == 197 and abs(got.mean - np.mean([v for _, v in rows])) < 1e-6
+    assert abs(got.lo - np.percentile(own, 2.5)) < 0.02 and abs(got.hi - np.percentile(own, 97.5)) < 0.02
+    c = rng.random(300)
+    df = spark.createDataFrame([(float(x), bool(rng.random() < x)) for x in c], "confidence double, correct boolean")
+    e = calibration.bootstrap_calibration_error(df, 400, 5).first()
+    assert e.n == 300 and e.ece == calibration.calibration_error(df).first().ece and e.lo <= e.hi and e.lo <= e.ece + 0.05
+    a = spark.createDataFrame([("f", k, 0.0) for k in range(40)], "fold string, item_id int, value double")
+    gain = evaluation.paired_delta(a, a.withColumn("value", (F.col("item_id") % 2).cast("double")), 300, 1).first()
+    assert gain.mean == 0.5 and gain.p_positive == 0.0
+
+
+def test_greedy_separation(spark):
+    # a near b, b near c: b goes to a, so c stays
+    v = {"a": [1.0, 0.0, 0.0], "b": [0.8, 0.6, 0.0], "c": [0.2, 0.98, 0.0], "d": [0.0, 0.0, 1.0]}
+    for sizes, want in (((5, 4, 3, 3), {"b"}), ((3, 4, 5, 3), {"a", "b"}), ((4, 4, 4, 4), {"b"})):
+        df = spark.createDataFrame([(k, n, x) for (k, x), n in zip(v.items(), sizes, strict=True)], "cluster_id string, n_controls int, centroid array<double>")
+        assert {r.cluster_id for r in proposals.separated(df, 0.7).collect()} == want, sizes
+
+
+def test_blocks_give_what_one_gives(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(f"i{k:02d}", [float(x) for x in v / np.linalg.norm(v)]) for k, v in enumerate(rng.normal(size=(40, 6)))], "item_id string, embedding array<double>").repartition(3)
+    hub = df.where("item_id < 'i15'").withColumnRenamed("item_id", "hub_id")
+    plain = {(r.item_id, r.hub_id): (round(r.sim, 9), round(r.p, 9)) for r in similarity.softmax(similarity.similarities(df, hub), 0.2).collect()}
+    x = np.array([r.embedding for r in df.orderBy("item_id").collect()])
+    for block in (20_000, 4):
+        monkeypatch.setattr(similarity, "HUB_BLOCK", block)
+        got = similarity.scored_top(df, hub, 3, 0.2).collect()
+        assert len(got) == 120 and all(plain[r.item_id, r.hub_id] == (round(r.sim, 9), round(r.p, 9)) for r in got)
+        near = {(r.item_id, r["rank"]): r.neighbour_id for r in similarity.nearest(df.where("item_id < 'i07'"), df, 4).collect()}
+        assert near == {(f"i{i:02d}", k): f"i{j:02d}" for i in range(7) for k, j in enumerate([j for j in np.argsort(-(x @ x[i])) if j != i][:4], 1)}
+
+
+def test_leaks_in_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "hello world"), (2, "  ABCDE "), (3, "abc"), (4, "hello world"), (5, None), (6, "cdefg")], "item_id int, text string")
+    texts = spark.createDataFrame([(10, "x Hello World y"), (11, "zabcdefgh"), (12, None), (13, "")], "id int, text string")
+    want = [(1, 10), (2, 11), (4, 10), (6, 11)]
+    for block in (4_000_000, 6):
+        monkeypatch.setattr(quality, "NEEDLE_CHARS", block)
+        assert rows_of(quality.leaked_items(items, texts)) == want
+    assert quality.leaked_items(items.where("false"), texts).count() == 0
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_clusters_of_near_vectors(spark):
+    v = {"a": [1.0, 0.0], "b": [0.99, 0.14], "c": [0.95, 0.31], "z": [0.0, 1.0], "y": [-1.0, 0.0]}
+    df = spark.createDataFrame([(k, x, "f" + k) for k, x in v.items()], "item_id string, embedding array<double>, framework_id string")
+    got = {r.item_id: r.cluster_id for r in clustering.near_components(df, 0.95, 3).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a"}
+    hubs_ = spark.createDataFrame([("h", [0.0, -1.0])], "hub_id string, embedding array<double>")
+    out = proposals.propose_hubs(df, hubs_, ood_threshold=0.5, near=0.95).collect()
+    assert [(r.cluster_id, r.n_controls, r.failed) for r in out] == [("a", 3, None)]

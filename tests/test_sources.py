@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork.functions.vectors import normalised
 from loomwork.plans import verbs
 from loomwork.sources import readers, writers
 from loomwork.streaming import feed
@@ -72,10 +74,11 @@ def test_audit(spark):
 def test_writers(spark, tmp_path):
     scoped = assignments(spark).join(controls(spark).select(F.col("id").alias("control_id"), "framework_id", "title", "section_id"), "control_id")
     writers.write_json(scoped, str(tmp_path / "j"))
-    back = {r.framework_id: r.controls.asDict() for r in spark.read.json(str(tmp_path / "j")).collect()}
-    assert json.loads(back["f1"]["f1:c1"])[0]["hub_id"] == "h1"
-    writers.write_csv(scoped, str(tmp_path / "c"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 7
+    back = {(r.framework_id, r.control_id): r.hubs for r in spark.read.json(str(tmp_path / "j")).collect()}
+    assert back["f1", "f1:c1"][0].hub_id == "h1"
+    writers.write_csv(scoped, hubs(spark), str(tmp_path / "c"))
+    csv = spark.read.option("header", True).csv(str(tmp_path / "c"))
+    assert csv.count() == 7 and csv.columns == list(writers.CSV_COLUMNS)
     table = writers.standard_csv(scoped.where("id = 1"), hubs(spark), "Std")
     assert table.columns[0] == "CRE 0" and table.first()[0] == "h1|One"
     writers.write_by_framework(scoped, str(tmp_path / "p"))
@@ -91,7 +94,7 @@ def test_verbs(spark):
     assert cw.compare(["f1", "f2"])["equivalences"].count() == 1
     with pytest.raises(ValueError):
         cw.compare(["f1"])
-    assert cw.snapshot().count() == 2
+    assert cw.snapshot().count() == cw.controls.count() and cw.snapshot().where("size(mappings) > 0").select("framework_id").distinct().count() == 2
     d = spark.createDataFrame([(6, "accepted", None, None)], "id bigint, status string, reviewer_hub_id string, notes string")
     assert cw.review_import(d).assignments.where("id = 6").first().review_status == "accepted"
     with pytest.raises(ValueError):
@@ -123,9 +126,89 @@ def test_stream(spark, tmp_path):
     q.start().awaitTermination(120)
     write(src / "2.json", line(2, "rejected", None, "", "2026-01-03T00:00:00Z"))
     q.start().awaitTermination(120)
-    got = {r.id: r.status for r in spark.read.parquet(str(tmp_path / "out/v=1")).collect()}
+    out = str(tmp_path / "out")
+    got = {r.id: r.status for r in feed.current(spark, out).collect()}
     assert got == {1: "rejected", 2: "rejected"}
-    c = feed.windowed_counts(feed.once(feed.decisions(spark, str(src)))) if False else feed.windowed_counts(feed.decisions(spark, str(src)))
+    # a new checkpoint starts at epoch 0 again, under a run name of its own, and loses nothing; a repeated batch counts once
+    more = spark.createDataFrame([(3, "accepted", None, "", datetime(2026, 1, 4))], feed.DECISIONS)
+    for _ in range(2):
+        feed.upsert(out, "second")(more, 0)
+    feed.upsert(out, "second")(more.withColumn("id", F.lit(4).cast("long")), 7)
+    assert {r.id: r.status for r in feed.current(spark, out).collect()} == {1: "rejected", 2: "rejected", 3: "accepted", 4: "accepted"} and len(feed.versions(spark, out)) == 4
+    c = feed.windowed_counts(feed.decisions(spark, str(src)))
     s = c.writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     s.awaitTermination(120)
     assert sum(r.n for r in spark.sql("SELECT n FROM counts").collect()) == 4
+
+
+def test_more_aliases_and_heading_ids(spark, tmp_path, rows):
+    p = write(tmp_path / "a.tsv", "Control Name\tSection ID\tdesc\tfulltext\nOne\tS1\tD\tF\n")
+    assert rows(readers.read_controls(spark, p), "control_id", "title", "description", "full_text") == [("S1", "One", "D", "F")]
+    text = "## LLM01 – Injection\na\n## aml-2.1: Lower\nb\n## 3.1 Numbers\nc\n## Plain\nd\n"
+    assert rows(readers.read_controls(spark, write(tmp_path / "a.md", text)), "control_id", "title") == [("3.1", "Numbers"), ("CTRL-04", "Plain"), ("LLM01", "Injection"), ("aml-2.1", "Lower")]
+
+
+def test_nested_standards(spark, tmp_path, rows):
+    doc = {"domains": [{"name": "D", "controls": [{"id": "A1", "title": "T", "activities": [{"id": "A1.1", "description": "d1", "category": "Core", "evidence_types": ["e"]}, {"id": "A1.2", "description": "d2"}]}, {"id": "A2", "title": "U", "activities": []}]}]}
+    out = readers.read_activities(spark, write(tmp_path / "n.json", json.dumps(doc)))
+    assert rows(out, "pos", "control_id", "title", "description", "parent_id") == [(0, "A1.1", "T", "d1", "A1"), (1, "A1.2", "T", "d2", "A1")]
+    assert out.first().metadata == {"category": "Core", "domain": "D", "evidence_types": '["e"]'}
+    doc = {"matrices": [{"techniques": [{"id": "T1", "name": "a", "description": "x", "subtechniques": [{"id": "T1.1", "name": "b", "description": "y"}]}, {"id": "T2", "name": "c", "description": "z"}], "mitigations": [{"id": "M1", "name": "m", "description": "w"}]}]}
+    out = readers.read_techniques(spark, write(tmp_path / "t.json", json.dumps(doc)))
+    assert rows(out, "pos", "control_id", "hierarchy_level", "parent_id") == [(0, "T1", "technique", None), (1, "T1.1", "sub-technique", "T1"), (2, "T2", "technique", None), (3, "M1", "mitigation", None)]
+
+
+def test_html_sections(spark, tmp_path, rows):
+    page = "<body><div id='art_1'><h2>Article&nbsp;1</h2><p>Text <b>one</b><br>more</p></div><div id='x'>no</div><div id='art_2'><p>Two</p></div><div id='art_1'>again</div></body>"
+    p = write(tmp_path / "a.html", page)
+    assert rows(readers.read_html_sections(spark, p, pattern=r"art_\d+"), "control_id", "title", "description") == [("art_1", "Article 1", "Text one more"), ("art_2", "art_2", "Two")]
+    with pytest.raises(Exception, match="sections"):
+        readers.read_html_sections(spark, p, pattern=r"art_\d+", least=9).collect()
+
+
+def test_small_readers(spark, tmp_path, rows):
+    p = write(tmp_path / "l.jsonl", json.dumps({"cre_id": "1", "section_id": "s", "framework_id": "f"}) + "\n\n" + json.dumps({"cre_id": "2"}) + "\n")
+    links = readers.read_links(spark, p)
+    assert links.count() == 2
+    from loomwork.operators import snapshots
+
+    cols = ["cre_id", "section_id"]
+    assert snapshots.table_hash(links, cols).first() == snapshots.table_hash(links.orderBy("cre_id", ascending=False), cols).first()
+    items = spark.createDataFrame([("a", '["h1", "zz"]'), ("b", '["zz"]')], "item_id string, truth string")
+    assert rows(readers.truth_of(items, hubs(spark)), "item_id", "hub_id") == [("a", "h1"), ("b", None)]
+    v = spark.createDataFrame([("f::a", [1.0]), ("f:b", [2.0])], "id string, embedding array<double>")
+    assert rows(readers.embedding_slice(v, spark.createDataFrame([("f:a",)], "id string")), "id") == [("f::a",)]
+    writers.write_vectors(v, {"temperature": 0.1, "quantile": 0.9}, str(tmp_path / "art"))
+    back, params = readers_vectors(spark, str(tmp_path / "art"))
+    assert back.count() == 2 and params == {"temperature": 0.1, "quantile": 0.9}
+
+
+def readers_vectors(spark, path):
+    return writers.read_vectors(spark, path)
+
+
+def test_versions_are_verified(spark, tmp_path):
+    from loomwork.operators import snapshots
+
+    df = spark.createDataFrame([("f1", 1), ("f1", 2), ("f2", 3)], "framework_id string, x int")
+    path = writers.versioned(df, str(tmp_path / "t"), "1")
+    good = snapshots.content_hash(df, "framework_id", ["x"])
+    assert writers.load_version(spark, path, "framework_id", ["x"], good).count() == 3
+    with pytest.raises(ValueError):
+        writers.load_version(spark, path, "framework_id", ["x"], good.where("framework_id = 'f1'"))
+    stats = spark.createDataFrame([("f1", 3), ("f2", 1)], "framework_id string, n_exported bigint")
+    assert [(r.framework_id, r.expected, r.found) for r in writers.count_shortfalls(df, stats).collect()] == [("f1", 3, 2)]
+
+
+def test_ingest(spark):
+    def embed(texts):
+        return texts.select("item_id", F.transform(F.array(F.lit(1.0), F.length("text") % 7, F.length("text") % 3), lambda x: x.cast("double")).alias("embedding")).select("item_id", normalised(F.col("embedding")).alias("embedding"))
+
+    rows = spark.createDataFrame([("A1", "T one", "A description that is long enough to be kept by the rules of it.", None, 0), ("A2", "T two", "Another description which is long enough and has more words to it.", None, 1)], "control_id string, title string, description string, full_text string, pos int")
+    hub = spark.createDataFrame([("h1", [1.0, 0.0, 0.0]), ("h2", [0.0, 1.0, 0.0])], "hub_id string, embedding array<double>")
+    known = embed(spark.createDataFrame([("old:1", "f:A1 unrelated")], "item_id string, text string"))
+    out = verbs.ingest(rows, "new_fw", known, hub, embed, temperature=0.1, quantile=0.9, ood_threshold=0.1, similar=0.1, k=2)
+    s = out["summary"].first()
+    assert s.controls == 2 and s.high + s.low == 2 and out["assignments"].count() == 4 and {r.other_id for r in out["duplicates"].collect()} == {"old:1"}
+    with pytest.raises(ValueError):
+        verbs.ingest(rows.unionByName(rows), "new_fw", known, hub, embed, temperature=0.1, quantile=0.9, ood_threshold=0.1)
