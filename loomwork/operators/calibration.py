@@ -78,14 +78,21 @@ def ood_threshold(max_sims: DataFrame, q: float = 0.05) -> DataFrame:
     return max_sims.agg(F.round(F.percentile("max_sim", F.lit(q)), 6).alias("threshold"), F.count("*").alias("n"))
 
 
+def _binned(rows: DataFrame, bins: int, by: list[str]) -> DataFrame:
+    k = F.lit(0)
+    for i in range(1, bins):
+        k = F.when(F.col("confidence") >= i / bins, i).otherwise(k)
+    return rows.groupBy(*by, k.alias("bin")).agg(F.count("*").alias("n"), F.avg("confidence").alias("c"), F.avg(F.col("correct").cast("double")).alias("a"))
+
+
 def calibration_error(rows: DataFrame, bins: int = 5) -> DataFrame:
     """Expected calibration error of (confidence, correct) in equal-width bins, the last closed."""
-    edges = [i / bins for i in range(1, bins)]
-    k = F.lit(0)
-    for i, e in enumerate(edges, 1):
-        k = F.when(F.col("confidence") >= e, i).otherwise(k)
-    per = rows.groupBy(k.alias("bin")).agg(F.count("*").alias("n"), F.avg("confidence").alias("c"), F.avg(F.col("correct").cast("double")).alias("a"))
-    return per.agg(F.round(F.sum(F.col("n") * F.abs(F.col("a") - F.col("c"))) / F.sum("n"), 6).alias("ece"), F.sum("n").alias("n"))
+    return _binned(rows, bins, []).agg(F.round(F.sum(F.col("n") * F.abs(F.col("a") - F.col("c"))) / F.sum("n"), 6).alias("ece"), F.sum("n").alias("n"))
+
+
+def calibration_error_by(rows: DataFrame, by: str, bins: int = 5) -> DataFrame:
+    """The calibration error of each fold."""
+    return _binned(rows, bins, [by]).groupBy(by).agg(F.round(F.sum(F.col("n") * F.abs(F.col("a") - F.col("c"))) / F.sum("n"), 6).alias("ece"), F.sum("n").alias("n"))
 
 
 def ks_statistic(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import similarity
 from .ordering import running
 
 
@@ -168,3 +169,10 @@ def evaluation_text(section_name: Column, section_id: Column) -> Column:
     """The section's name, else its id; the id goes before a name that does not hold it."""
     name = F.coalesce(F.nullif(F.trim(section_name), F.lit("")), section_id)
     return F.when(F.contains(name, section_id), name).otherwise(F.concat(section_id, F.lit(": "), name))
+
+
+def evaluate_fold(items: DataFrame, hubs: DataFrame, valid: DataFrame, fold, k: int = 10) -> DataFrame:
+    """The measures of one fold's items (item_id, fold, embedding), ranked over all hubs."""
+    own = items.where(F.col("fold") == fold)
+    ranked = similarity.top_hubs(own, hubs, k)
+    return ranking_metrics(item_ranks(ranked, valid, own.select("item_id", "fold")), "fold")

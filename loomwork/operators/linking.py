@@ -82,3 +82,14 @@ def apply_corrections(links: DataFrame, corrections: DataFrame, exclusions: Data
     return new.select(
         *[c for c in links.columns if c != "hub_id"], F.coalesce("new_hub_id", "hub_id").alias("hub_id"), F.when(F.col("new_hub_id").isNotNull(), F.col("hub_id")).alias("original_hub_id")
     )
+
+
+def training_rows(pairs: DataFrame, negatives: DataFrame, n: int, temperature: float) -> DataFrame:
+    """Pairs with their hub's first ``n`` negatives (empty where there are fewer) and a sampling
+    weight: the rarer AI rows weigh more, by the ratio of both kinds to the power 1 / temperature."""
+    wide = negatives.groupBy(F.col("id").alias("hub_id")).agg(*[F.max(F.when(F.col("rank") == k, F.col("negative_id"))).alias(f"negative_{k}") for k in range(1, n + 1)])
+    ai = F.col("tier") == "T1-AI"
+    total = pairs.agg(F.count_if(ai).alias("_ai"), F.count_if(~ai).alias("_other"))  # one row
+    rows = pairs.join(wide, "hub_id", "left").crossJoin(F.broadcast(total))
+    weight = F.when(ai, F.pow(F.col("_other") / F.col("_ai"), F.lit(1 / temperature))).otherwise(1.0)
+    return rows.select(*pairs.columns, *[F.coalesce(f"negative_{k}", F.lit("")).alias(f"negative_{k}") for k in range(1, n + 1)], weight.alias("weight"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
+from ..functions.vectors import dot, norm
 from ..session import durable
 
 #: Rows of the side that is sent, in one block.
@@ -167,3 +167,17 @@ def softmax(sims: DataFrame, temperature: float) -> DataFrame:
     w = Window.partitionBy("item_id")
     e = sims.withColumn("_e", F.exp((F.col("sim") - F.max("sim").over(w)) / temperature))
     return e.withColumn("p", F.col("_e") / F.sum("_e").over(w)).drop("_e")
+
+
+def knn_over(labelled: DataFrame, ks: list[int]) -> DataFrame:
+    """k, item_id, hub_id: the hub that each item's nearest k neighbours vote for, for several k;
+    neighbours (item_id, hub_id, sim, rank) are ranked once."""
+    spread = labelled.select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).where(F.col("rank") <= F.col("k"))
+    votes = spread.groupBy("k", "item_id", "hub_id").agg(F.sum(F.greatest("sim", F.lit(0.0))).alias("vote"))
+    w = Window.partitionBy("k", "item_id").orderBy(F.desc("vote"), "hub_id")
+    return votes.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("k", "item_id", "hub_id")
+
+
+def health(vectors: DataFrame, size: int) -> DataFrame:
+    """Whether all vectors have the size and length one that similarities assume."""
+    return vectors.agg(F.count("*").alias("n"), ((F.min(F.size("embedding")) == size) & (F.max(F.size("embedding")) == size)).alias("right_size"), F.bool_and(F.abs(norm(F.col("embedding")) - 1) < 0.001).alias("unit"))
