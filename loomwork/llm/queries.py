@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import decontaminate, near_duplicates, quality_rules, substrings
 from .common import table
 from .decontaminate import find_contamination
 from .html_text import extract_main_text
 from .language import identify_languages
-from .near_duplicates import near_duplicates
 from .packing import pack_sequences
 from .pii import find_personal_data
 from .quality_model import score_quality
@@ -37,7 +36,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op5_jaccard_components": near_duplicates.ORACLE_SQL, "op6_repeated_substrings": substrings.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL, "op10_contamination": decontaminate.ORACLE_SQL}

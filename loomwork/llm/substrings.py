@@ -399,3 +399,18 @@ def remove_repeated(
         F.when(F.col("n_removed").isNull(), F.col("sha")).when(F.col("n_removed") == F.col("n_bytes"), F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
         "runs",
     )
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS g FROM d, unnest(range(0, n - 199)) AS u(i) WHERE n >= 200),
+hot AS (SELECT g FROM win GROUP BY 1 HAVING count(*) > 1),
+pos AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM win JOIN hot USING (g)),
+isl AS (SELECT doc_id, i, sum(CASE WHEN gap IS NULL OR gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM pos),
+runs AS (SELECT doc_id, k, min(i) AS a, max(i) + 200 AS b FROM isl GROUP BY 1, 2),
+keep AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs UNION ALL SELECT r.doc_id, max(r.b), any_value(d.n) FROM runs r JOIN d USING (doc_id) GROUP BY 1),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a))) AS s FROM keep JOIN d USING (doc_id) GROUP BY 1),
+tot AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(s, sha256(unhex(h))) AS kept_sha256
+FROM d LEFT JOIN tot ON tot.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""

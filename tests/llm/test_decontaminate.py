@@ -57,3 +57,20 @@ def test_edges(spark):
     assert kept.columns == ddf.columns and sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(d), str(t)) for (d, t) in docs if not brute([(d, t)], [(i, x) for i, x in items if i is not None])[0][5])
     assert not any(r[5] for r in rows(find_contamination(ddf, idf.where("false")))) and find_contamination(ddf.where("false"), idf).count() == 0
     assert drop_contaminated(ddf, idf.where("false")).count() == len(docs)
+
+
+def test_very_long_texts_and_common_words(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(200_000))
+    ddf = spark.createDataFrame([(1, text + " a b c d e f g h i j"), (2, "a " * 100_000)], "doc_id bigint, text string")
+    idf = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a " * 30), (3, "w4999 w0 w1 w2 w3 w4 w5 w6 w7 w8")], "item_id bigint, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in find_contamination(ddf, idf).collect()}
+    assert got == {1: (200_010, 10 + 39 * 10, ["1", "3"]), 2: (100_000, 100_000, ["2"])}
+
+
+def test_many_words_are_counted_in_a_join(spark, monkeypatch):
+    from loomwork.llm import decontaminate
+
+    docs, bench = (spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    want = rows(find_contamination(docs, bench))
+    monkeypatch.setattr(decontaminate, "SENT_IDS", 10)
+    assert rows(find_contamination(docs, bench)) == want

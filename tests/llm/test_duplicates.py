@@ -8,9 +8,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomwork.llm.graph import components
 from loomwork.llm.near_duplicates import bitmap, block_links, keep_one, near_duplicates, overlap_bound, set_clashes, shingle_set, told_apart
 from loomwork.llm.substrings import LENGTH, anchors, merged, refine, remove_repeated
+from loomwork.operators.clustering import components
 
 
 def sets(text):
@@ -216,3 +216,14 @@ def test_refine_and_merge():
     a, b = b"0" * 10 + bytes(range(200)) + b"1" * 9, bytes(range(200)) + b"zz"
     assert [x.tolist() for x in refine([a, b, b"q" * 150])] == [[10], [0], []]
     assert merged(np.array([5, 0, 8]), np.array([7, 5, 9])) == [(0, 7), (8, 9)] and merged(np.array([]), np.array([])) == []
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(11)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(150_000))
+    near = long.replace("w77 ", "v77 ")
+    df = spark.createDataFrame([(1, long), (2, near), (3, long[:400_000])], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+    got = {r.doc_id: r for r in remove_repeated(df, part_bytes=100_000).collect()}
+    assert got[3].n_removed == got[3].n_bytes == 400_000 and 0 < got[1].n_removed < got[1].n_bytes
+    assert {r.doc_id: r.n_removed for r in remove_repeated(df).collect()} == {d: r.n_removed for d, r in got.items()}
