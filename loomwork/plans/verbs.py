@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import join_present, sanitize
-from ..operators import calibration, compare, filters, hierarchy, proposals, quality, review, similarity, snapshots, summaries
+from ..operators import calibration, compare, filters, hierarchy, linking, proposals, quality, review, similarity, snapshots, summaries
+from ..schemas import GROUND_TRUTH
+from ..sources import writers
 
 
 @dataclass
@@ -57,6 +59,47 @@ class Crosswalk:
             raise ValueError(f"review has issues: {[r.asDict() for r in bad.limit(5).collect()]}")
         return Crosswalk(self.controls, self.hubs, review.apply_decisions(self.assignments, decisions), self.frameworks)
 
+    def canonical(self, before: Crosswalk | None = None, **options) -> dict[str, DataFrame]:
+        """A canonical export: the snapshot, and against a crosswalk of before the changes, their counts
+        and the hubs they touch; without one all rows are additions."""
+        rows = lambda cw: (cw.controls.select("framework_id", F.col("id").alias("control_id"), "title"), cw.export(**options).select("framework_id", "control_id", "hub_id", "confidence"))
+        c, m = rows(self)
+        c0, m0 = rows(before) if before else (c.where("false"), m.where("false"))
+        controls = snapshots.diff(c0, c, ["framework_id", "control_id"], ["title"])
+        mappings = snapshots.diff(m0, m, ["framework_id", "control_id", "hub_id"], ["confidence"])
+        return {
+            "snapshot": self.snapshot(**options), "changes": snapshots.changeset(c0, c, m0, m), "summary": snapshots.change_summary(controls, mappings),
+            "impact": snapshots.impact(mappings, self.assignments, self.controls),
+        }
+
+    def import_truth(self, links: DataFrame) -> tuple[Crosswalk, DataFrame]:
+        """Ground-truth links (link_id, framework_id, section_id, hub_id, link_type) resolved to controls
+        and added where the table does not have them; and how many each strategy resolved."""
+        found = linking.resolve_sections(links, self.controls).join(links.select("link_id", "hub_id", "link_type"), "link_id")
+        known = found.where("control_id IS NOT NULL").join(self.hubs.select(F.col("id").alias("hub_id")), "hub_id", "left_semi")
+        new = review.import_truth(self.assignments, known.select("control_id", "hub_id", "link_type"))
+        table = self.assignments.unionByName(new, allowMissingColumns=True).select(self.assignments.columns)
+        return Crosswalk(self.controls, self.hubs, table, self.frameworks), found.groupBy("strategy").agg(F.count("*").alias("n"))
+
+    def accept(self, framework_id: str, reviews: DataFrame) -> Crosswalk:
+        """A framework's assignments replaced by its reviewed ones (control_id, status,
+        corrected_hub_id, top_hub_id, top_confidence)."""
+        own = self.controls.where(F.col("framework_id") == framework_id).select(F.col("id").alias("control_id"))
+        others = self.assignments.join(own, "control_id", "left_anti")
+        new = review.accept_ingest(self.assignments.where("false"), own, reviews).join(own, "control_id", "left_semi")
+        return Crosswalk(self.controls, self.hubs, others.unionByName(new, allowMissingColumns=True).select(self.assignments.columns), self.frameworks)
+
+    def review_metrics(self) -> DataFrame:
+        return summaries.review_document(self.assignments)
+
+    def dataset(self) -> dict[str, DataFrame]:
+        """The published rows (the best provenance of each control and hub, with its type) and each framework's numbers."""
+        best = linking.best_provenance(self.assignments, [*GROUND_TRUTH, "active_round_2"])
+        kind = filters.assignment_type(F.col("provenance"), F.col("source_link_id") if "source_link_id" in best.columns else F.lit(None).cast("string"), F.col("review_status"), F.col("original_hub_id"))
+        rows = best.join(self.controls.select(F.col("id").alias("control_id"), "framework_id", "title"), "control_id").withColumn("assignment_type", kind)
+        frameworks = self.frameworks if self.frameworks is not None else self.controls.select(F.col("framework_id").alias("id")).distinct()
+        return {"crosswalk": rows, "frameworks": summaries.framework_metadata(frameworks, self.controls, self.assignments)}
+
     def inspect(self, hub_id: str) -> dict[str, DataFrame]:
         h = self.hubs
         return {
@@ -118,7 +161,11 @@ def calibrate(sims: DataFrame, valid: DataFrame, *, alpha: float = 0.1, grid: li
 
 
 def bridges(links: DataFrame, hubs: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
-    """The k nearest hubs of traditional frameworks for each hub of AI frameworks."""
-    kinds = proposals.classify_hubs(links, hubs)
-    side = lambda c: vectors.join(kinds.where(F.col("class") == c).select("hub_id"), "hub_id", "left_semi")
-    return similarity.top_hubs(side("ai_only").withColumnRenamed("hub_id", "item_id"), side("traditional_only"), k).select(F.col("item_id").alias("ai_hub_id"), F.col("hub_id").alias("trad_hub_id"), F.round("sim", 6).alias("similarity"), F.col("rank").alias("rank_for_ai_hub"))
+    """Candidates and negatives between hubs of AI frameworks and of others, with names and links."""
+    return proposals.bridge_rows(links, hubs, vectors, k)
+
+
+def propose(items: DataFrame, hub_vectors: DataFrame, hubs: DataFrame, *, ood_threshold: float, round_number: int = 1, **options) -> DataFrame:
+    """A round of named proposals of new hubs, those that passed every rule."""
+    checked = proposals.propose_hubs(items, hub_vectors, ood_threshold=ood_threshold, **options)
+    return proposals.named(writers.proposal_rows(checked, round_number), hubs)

@@ -369,3 +369,34 @@ def embedding_slice(vectors: DataFrame, ids: DataFrame) -> DataFrame:
     """The vectors (id, embedding) whose id, with double colons as one, is among ``ids`` (id)."""
     key = lambda c: F.replace(c, F.lit("::"), F.lit(":"))
     return vectors.withColumn("_k", key(F.col("id"))).join(ids.select(key(F.col("id")).alias("_k")).distinct(), "_k", "left_semi").drop("_k")
+
+
+def flat_text(value) -> str:
+    """All text of a nested value, one part a line."""
+    if isinstance(value, dict):
+        return "\n".join(filter(None, (flat_text(v) for v in value.values())))
+    if isinstance(value, (list, tuple)):
+        return "\n".join(filter(None, map(flat_text, value)))
+    return "" if value is None else str(value).strip()
+
+
+def read_yaml_controls(spark: SparkSession, path: str, *, lists: tuple[str, ...] = ("controls", "risks"), description_chars: int = 2000) -> DataFrame:
+    """Controls of YAML files: the entries of the named lists, one list after the other; a
+    description may be nested text.  Needs a YAML library in the workers."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for pdf in batches:
+            for file, text in zip(pdf["file"], pdf["value"], strict=True):
+                doc = yaml.safe_load(text) or {}
+                rows = []
+                for entry in (e for name in lists for e in doc.get(name) or [] if isinstance(e, dict) and e.get("id")):
+                    title = flat_text(entry.get("title") or entry.get("name"))
+                    body = flat_text(entry.get("description") or entry.get("shortDescription") or entry.get("longDescription")) or title
+                    rows.append((file, len(rows), str(entry["id"]), title, body[:description_chars], body if len(body) > description_chars else None))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["file", "pos", "control_id", "title", "description", "full_text"])
+
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return files.mapInPandas(parse, ROW_SCHEMA)

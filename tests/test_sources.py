@@ -212,3 +212,48 @@ def test_ingest(spark):
     assert s.controls == 2 and s.high + s.low == 2 and out["assignments"].count() == 4 and {r.other_id for r in out["duplicates"].collect()} == {"old:1"}
     with pytest.raises(ValueError):
         verbs.ingest(rows.unionByName(rows), "new_fw", known, hub, embed, temperature=0.1, quantile=0.9, ood_threshold=0.1)
+
+
+def test_functions_in_sql(spark):
+    from loomwork.functions import sql
+
+    sql.register(spark)
+    r = spark.sql("SELECT nfc('e\u0301') AS a, html_unescape('&amp;&eacute;') AS b").first()
+    assert (r.a, r.b) == ("é", "&é")
+    got = spark.sql("SELECT s.* FROM VALUES ('## AB12: One\nbody\n## Two\nmore') AS t(x), LATERAL markdown_sections(t.x) s").collect()
+    assert [(r.pos, r.control_id, r.title, r.body) for r in got] == [(0, "AB12", "One", "body"), (1, None, "Two", "more")]
+
+
+def test_canonical_import_and_accept(spark):
+    cw = verbs.Crosswalk(controls(spark), hubs(spark), assignments(spark))
+    first = cw.canonical()
+    assert first["summary"].first().control_add == cw.controls.count() and first["changes"].where("operation <> 'add'").isEmpty()
+    same = cw.canonical(cw)
+    assert same["changes"].isEmpty() and same["summary"].first().n == 0 and same["impact"].isEmpty()
+    c = cw.controls.where("section_id IS NOT NULL").first()
+    links = spark.createDataFrame([(1, c.framework_id, c.section_id, "h2", "LinkedTo"), (2, c.framework_id, "nothing", "h2", "LinkedTo")], "link_id int, framework_id string, section_id string, hub_id string, link_type string")
+    new, by = cw.import_truth(links)
+    assert {r.strategy: r.n for r in by.collect()} == {"direct": 1, "unresolved": 1}
+    assert new.import_truth(links)[0].assignments.count() == new.assignments.count() >= cw.assignments.count()
+    own = cw.controls.where("framework_id = 'f2'").select("id").collect()
+    reviews = spark.createDataFrame([(own[0].id, "corrected", "h1", "h3", 0.5), (own[1].id, "rejected", None, "h3", 0.4)], "control_id string, status string, corrected_hub_id string, top_hub_id string, top_confidence double")
+    after = cw.accept("f2", reviews).assignments.where("control_id LIKE 'f2%'").collect()
+    assert [(r.control_id, r.hub_id, r.confidence, r.review_status) for r in after] == [(own[0].id, "h1", None, "corrected")]
+    out = cw.dataset()
+    assert out["frameworks"].count() == 2 and out["crosswalk"].where("assignment_type IS NULL").isEmpty()
+    assert cw.review_metrics().where("name = 'total'").first().value == cw.assignments.count()
+    assert "| framework_id |" in writers.card("Frameworks", out["frameworks"], "framework_id")
+
+
+def test_propose(spark):
+    v = {"a": [1.0, 0.0], "b": [0.99, 0.14], "c": [0.95, 0.31], "z": [0.0, 1.0]}
+    items = spark.createDataFrame([(k, "f" + k, x) for k, x in v.items()], "item_id string, framework_id string, embedding array<double>")
+    hub = spark.createDataFrame([("h1", [0.0, -1.0])], "hub_id string, embedding array<double>")
+    out = verbs.propose(items, hub, hubs(spark), ood_threshold=0.5, near=0.95).collect()
+    assert [(r.cluster_id, r.name, r.round) for r in out] == [("a", "Cluster a (near: One)", 1)]
+
+
+def test_yaml(spark, tmp_path, rows):
+    pytest.importorskip("yaml")
+    text = "controls:\n- id: c1\n  title: One\n  description:\n  - first\n  - [second, third]\n- id: c2\n  title: Two\nrisks:\n- id: r1\n  title: Risk\n  description: danger\n"
+    assert rows(readers.read_yaml_controls(spark, write(tmp_path / "a.yaml", text)), "control_id", "title", "description") == [("c1", "One", "first\nsecond\nthird"), ("c2", "Two", "Two"), ("r1", "Risk", "danger")]
