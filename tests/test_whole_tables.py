@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import re
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -107,3 +109,20 @@ def test_secrets(spark):
             want += [(d.doc_id, k, kind, m.group()[:50]) for kind, p in SECRET_PATTERNS.items() if (m := re.search(p, line, re.ASCII))]
     got = [(r.id, r.line_no, r.kind, r.match) for r in run(spark, "q3_secret_scan")]
     assert sorted(got) == sorted(want)
+
+
+def test_sanitized_pages(spark):
+    def clean(x):
+        x = unicodedata.normalize("NFC", (x or "").replace("\0", " "))
+        x = re.sub(r"</?[a-zA-Z][^>]*>", "", html.unescape(re.sub("[\u200b\u200c\u200d\ufeff]", "", x)))
+        for old, new in (("ﬄ", "ffl"), ("ﬃ", "ffi"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl")):
+            x = x.replace(old, new)
+        return re.sub(r"\s+", " ", re.sub(r"(\w)-\n(\w)", r"\1\2", x)).strip()
+
+    pages = {r.page_id: clean(r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in run(spark, "i1_sanitized_pages"):
+        whole = pages[r.page_id]
+        cut = whole[:2000]
+        if len(whole) > 2000 and " " in cut and cut.rindex(" ") >= 1000:
+            cut = cut[: cut.rindex(" ")].rstrip()
+        assert r.text == (cut or None) and r.n_full == (len(whole) if len(whole) > 2000 else None), r.page_id
