@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame

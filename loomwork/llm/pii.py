@@ -131,7 +131,20 @@ _SPELLED = {
 _INSIDE = {"oh": "0", "o": "0", "ein": "1", "un": "1", "une": "1"}
 _TIMES = {"double": 2, "doble": 2, "doppel": 2, "triple": 3}
 _PLUS, _POINT = frozenset(["plus", "más", "mas"]), frozenset(["dot", "point", "punkt", "punto", "punkto"])
-_SPOKEN_HINT = re.compile(r"(?i)\b(?:" + "|".join(sorted(set(_SPELLED) - {"-"})) + r")\b")
+_NAMES = frozenset(_SPELLED) - {"-"}
+#: What may stand at a word beside white space.
+_AROUND = ",.;:!?()[]{}<>|/\\-–—\"'`“”„«»"
+
+
+def has_name(text: str) -> bool:
+    """Whether a digit's name stands in the text as a word."""
+    text = text.lower()
+    for c in _AROUND:
+        if c in text:
+            text = text.replace(c, " ")
+    return not _NAMES.isdisjoint(text.split())
+
+
 _SPOKEN_PART = re.compile(r"([^\W\d_]++)|([0-9]++)|([\s,.()/:-]++)|.", re.S)
 
 
@@ -206,6 +219,15 @@ _BRACKET_DOT = re.compile(rf"(?i){_DOT}")
 _AT_HINT = re.compile(r"(?i)[\[({<]\s*+(?:at|@)|\s@|@\s|\s(?:dot|punkt|punto|point)\s|[\[({<]\s*+(?:dot|\.|punkt|punto|point)\s*+[\])}>]")
 
 
+def has_sign(text: str) -> bool:
+    """Whether an "at" or "dot" in disguise may stand in the text."""
+    if not any(c in text for c in "[({<@"):
+        low = text.lower()
+        if not any(w in low for w in ("dot", "punkt", "punto", "point")):
+            return False
+    return _AT_HINT.search(text) is not None
+
+
 class Tape:
     """A text whose every character knows the source span it came from."""
 
@@ -263,13 +285,13 @@ def _address(m: re.Match) -> tuple[int, int, str] | None:
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans of disguised identifiers, in source positions, that no base span covers whole."""
     disguised = [] if text.isascii() else [c for c in {*text} if look(c) != c]
-    named, at = _SPOKEN_HINT.search(text), _AT_HINT.search(text)
+    named, at = has_name(text), has_sign(text)
     if not (disguised or named or at):
         return []
     tape = Tape(text)
     if disguised:
         tape.rewrite([(m.start(), m.end(), look(m.group())) for m in re.finditer("[" + re.escape("".join(disguised)) + "]", text)])
-        named, at = _SPOKEN_HINT.search(tape.text), _AT_HINT.search(tape.text)
+        named, at = has_name(tape.text), has_sign(tape.text)
     if named:
         tape.rewrite(spoken(tape.text))
     if at:

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomwork.llm.near_duplicates import bitmap, block_links, keep_one, near_duplicates, overlap_bound, set_clashes, shingle_set, told_apart
+from loomwork.llm.near_duplicates import bitmap, block_links, keep_one, near_duplicates, overlap_bound, set_clashes, told_apart
 from loomwork.llm.substrings import LENGTH, anchors, merged, refine, remove_repeated
 from loomwork.operators.clustering import components
 
