@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, normalised
+from ..functions.vectors import normalised
 from . import clustering, similarity
 
 
@@ -57,8 +57,8 @@ def guardrails(clusters: DataFrame, hubs: DataFrame, *, least_controls: int = 3,
     other); then those beyond ``budget`` in order of evidence.  Clusters are few (at most
     ``MOST_CLUSTERS``, checked): the order in which they remove each other is worked out on the driver.
     """
-    near = clusters.crossJoin(F.broadcast(hubs.select("hub_id", F.col("embedding").alias("h")))).withColumn("sim", dot(F.col("centroid"), F.col("h")))
-    best = near.groupBy("cluster_id").agg(F.max_by("hub_id", F.struct("sim", "hub_id")).alias("parent_hub_id"), F.max("sim").alias("parent_sim"))
+    best = similarity.top_hubs(clusters.select(F.col("cluster_id").alias("item_id"), F.col("centroid").alias("embedding")), hubs.select("hub_id", "embedding"), 1)
+    best = best.select(F.col("item_id").alias("cluster_id"), F.col("hub_id").alias("parent_hub_id"), F.col("sim").alias("parent_sim"))
     rows = clusters.join(best, "cluster_id").withColumn("evidence", F.col("n_controls") * F.col("n_frameworks"))
     weak = (F.col("n_controls") < least_controls) | (F.col("n_frameworks") < least_frameworks)
     lost = separated(rows.where(~weak), separation)

@@ -26,11 +26,16 @@ ROWS = 256
 Block = tuple[np.ndarray, np.ndarray]
 
 
+def sent(hubs: DataFrame) -> DataFrame:
+    """``hubs`` marked to be sent to every task, if they are few enough for one block."""
+    return F.broadcast(hubs) if hubs.count() <= HUB_BLOCK else hubs
+
+
 def similarities(items: DataFrame, hubs: DataFrame) -> DataFrame:
-    """item_id, hub_id, sim (and both sides' other columns) for every pair."""
+    """item_id, hub_id, sim (and both sides' other columns) for every pair of items and a taxonomy."""
     a = items.withColumnRenamed("embedding", "item_embedding")
     b = hubs.withColumnRenamed("embedding", "hub_embedding")
-    return a.crossJoin(b).withColumn("sim", dot(F.col("item_embedding"), F.col("hub_embedding"))).drop("item_embedding", "hub_embedding")
+    return a.crossJoin(sent(b)).withColumn("sim", dot(F.col("item_embedding"), F.col("hub_embedding"))).drop("item_embedding", "hub_embedding")
 
 
 def top_k(sims: DataFrame, k: int, *, by: str = "sim", item: str = "item_id", other: str = "hub_id") -> DataFrame:

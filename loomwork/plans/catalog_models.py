@@ -17,7 +17,7 @@ from .views import Views
 @query("""SELECT item_id, hub_id, round(list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(h.embedding AS DOUBLE[])) / ((sqrt(list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[]))) + 1e-10)
   * (sqrt(list_dot_product(CAST(h.embedding AS DOUBLE[]), CAST(h.embedding AS DOUBLE[]))) + 1e-10)), 6) AS cosine FROM items i, vhubs h""")
 def j2_cosine(v):
-    both = v.items().select("item_id", F.col("embedding").alias("a")).crossJoin(F.broadcast(v.vector_hubs().select("hub_id", F.col("embedding").alias("b"))))
+    both = v.items().select("item_id", F.col("embedding").alias("a")).crossJoin(similarity.sent(v.vector_hubs().select("hub_id", F.col("embedding").alias("b"))))
     return both.select("item_id", "hub_id", F.round(cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluation, filters, linking, quality, review, similarity, snapshots, summaries
 from ..sources import readers, writers
-from .catalog import _EXPORTED, _LINKS7, _P, _TOP, _exported, _links, _probs, query
+from .catalog import _EXPORTED, _LINKS7, _P, _TOP, _exported, _links, query
 from .views import FLOOR, Views
 
 

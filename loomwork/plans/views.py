@@ -89,9 +89,9 @@ class Views:
         return self._vectors("H", "hub_id").where("vec_id % 25 = 0").drop("vec_id")
 
     def valid(self) -> DataFrame:
-        return self.items().select("item_id", "label").join(F.broadcast(self.vector_hubs().select("hub_id", "label")), "label").select("item_id", "hub_id")
+        return self.items().select("item_id", "label").join(self.vector_hubs().select("hub_id", "label"), "label").select("item_id", "hub_id")
 
     def sims(self) -> DataFrame:
         from ..operators.similarity import similarities
 
-        return similarities(self.items().drop("label"), F.broadcast(self.vector_hubs().drop("label")))
+        return similarities(self.items().drop("label"), self.vector_hubs().drop("label"))

@@ -324,3 +324,18 @@ def test_clusters_of_near_vectors(spark):
     hubs_ = spark.createDataFrame([("h", [0.0, -1.0])], "hub_id string, embedding array<double>")
     out = proposals.propose_hubs(df, hubs_, ood_threshold=0.5, near=0.95).collect()
     assert [(r.cluster_id, r.n_controls, r.failed) for r in out] == [("a", 3, None)]
+
+
+def test_ks_p_values():
+    assert calibration.ks_p_value(0.0, 50, 60) == 1.0 and calibration.ks_p_value(0.9, 500, 500) < 1e-9
+    assert 5e-5 < calibration.ks_p_value(0.1, 1000, 1000) < 1.2e-4
+
+
+def test_uneven_rows_and_texts(spark):
+    df = spark.createDataFrame([(k,) for k in range(10)], "k int")
+    assert sorted(r.k for r in evaluation.evenly_spaced(df, "k", 4).collect()) == [0, 2, 5, 7]
+    with pytest.raises(ValueError):
+        evaluation.hashed_split(df, "k", {"a": 11}, "rest", 1)
+    t = spark.createDataFrame([("S-1", " "), ("S-1", "in S-1 here"), ("S-1", "Name")], "section_id string, name string")
+    assert [r.x for r in t.select(evaluation.evaluation_text(F.col("name"), F.col("section_id")).alias("x")).collect()] == ["S-1", "in S-1 here", "S-1: Name"]
+    assert evaluation.stopping(0.81, 0.5, 50) and not evaluation.stopping(0.8, 0.9, 90)
