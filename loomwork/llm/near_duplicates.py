@@ -386,8 +386,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that repeat an id and its text one stays; different texts of one id all stay."""
     found = persisted(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    left = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    gone = persisted(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    # A list of few enough ids goes to the scan, so that texts do not move for it.
+    left = docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, id_col, "left_anti").select(docs.columns)
     again = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").select(id_col)
     if again.isEmpty():
         return left
