@@ -1,31 +1,31 @@
 """op9: the main text of web pages by the distribution of text over lines.
 
-Markup is stripped to one line per block element, and each line has a weight: its length without
-link text.  On a page with an article element, lines in it weigh ``ARTICLE_CHARS`` more, and
-others only what they have beyond ``OUTSIDE_CHARS``.  Weights are summed over a sliding window of
-lines; where the sums rise over a threshold is a surge point, where they fall below it again a
+Markup is stripped to one line per block element.  A line weighs its length without link text, and
+``ARTICLE_FACTOR`` times its length inside an article element.  Weights are summed over a sliding window of lines
+that does not reach over an article's edge, and held against one threshold, which comes from the page itself: ``SURGE`` times
+the geometric mean of its line lengths.  Where the sums reach it is a surge point, where they fall below it again a
 dive point, and the text between the two is kept.
 
 Elements that never hold article text (menus, forms, scripts, ...) and those that their class,
-id or role names as something beside it give no line, unless they hold the article or the
-greater part of the page.
+id or role names as something beside it give no line, however long, unless they hold the article or
+nothing else on the page has text.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines summed, and the sum that a surge needs.
-WINDOW_LINES = 3
-SURGE_CHARS = 120
-#: Weight of being in an article element, and the length outside one that weighs nothing.
-ARTICLE_CHARS = 60
-OUTSIDE_CHARS = 300
+#: Lines summed, and the sum that a surge needs as a multiple of the page's mean line.
+WINDOW_LINES = 5
+SURGE = 4.0
+#: What text in an article element weighs more than other text.
+ARTICLE_FACTOR = 20
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)|</?\Z", re.S)
 _TAG_STOP = re.compile(r">|=\s*+([\"'])")
@@ -38,6 +38,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg math noscript".split())
 _NEVER = frozenset("nav footer aside form button select label fieldset dialog menu head object audio video canvas map datalist".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
+#: Of these, what may stand around a whole page.
+_HOLDERS = frozenset(["form", "fieldset", "dialog"])
 #: Elements that a start tag of the same set closes (end tags that HTML lets out).
 _SIBLINGS = {
     "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
@@ -50,8 +52,12 @@ _BESIDE = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager copyright "
     "legal disclaimer skip tags".split()
 )
+#: Of these, names that a page's only text may have around it too.
+_HOLDING = frozenset("widget legal overlay modal popup header disclaimer notice notices alert tags skip".split())
 _ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 
+Tokens = list[tuple[str, str, bool, str]]
+
 
 def _beside(name: str, attributes: str, inside_article: bool) -> bool:
     """Whether an element holds something beside the article."""
@@ -70,6 +76,14 @@ def _beside(name: str, attributes: str, inside_article: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
 
 
+def _holding(name: str, attributes: str) -> bool:
+    """Whether an element that is set beside the article may be the page's only text after all."""
+    if name in _HOLDERS:
+        return True
+    names = {v for key, value in _ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id") for v in value.strip("\"'").lower().split()} & _BESIDE
+    return name not in _NEVER and name != "header" and bool(names) and names <= _HOLDING
+
+
 def _tag_end(page: str, at: int, unclosed: set[str]) -> int:
     """Where the tag that is open at ``at`` has its ``>``; the page's end if it has none.
 
@@ -88,11 +102,11 @@ def _tag_end(page: str, at: int, unclosed: set[str]) -> int:
     return len(page)
 
 
-def _tokens(page: str) -> tuple[list[tuple[str, str, bool, str]], str]:
+def _tokens(page: str) -> tuple[Tokens, str]:
     """(text before, name, whether an end tag, attributes) of each tag, and the text after the last.
 
     Elements whose content is no markup are left out whole."""
-    out: list[tuple[str, str, bool, str]] = []
+    out: Tokens = []
     parts: list[str] = []
     unclosed: set[str] = set()
     at, size = 0, len(page)
@@ -116,7 +130,7 @@ def _tokens(page: str) -> tuple[list[tuple[str, str, bool, str]], str]:
     return out, "".join(parts)
 
 
-def _ends(tokens: list[tuple[str, str, bool, str]]) -> tuple[dict[int, int], set[int]]:
+def _ends(tokens: Tokens) -> tuple[dict[int, int], set[int]]:
     """For each start tag, the token where the page goes on after its element; those with an end tag.
 
     An element ends with its end tag, with a sibling that closes it, or with its parent."""
@@ -164,19 +178,62 @@ def _ends(tokens: list[tuple[str, str, bool, str]]) -> tuple[dict[int, int], set
 def blocks(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """(text, length without link text, whether in an article) of each block; if any is.
 
-    A block that is links for the most part has no length."""
+    A block that is links for the most part has no length.  On a page where all text is in elements
+    beside the article, the one with the most text of its own among those that may hold a page is read after all."""
+    tokens, rest = _tokens(page)
+    ends, owned = _ends(tokens)
+    out, marked = _lines(tokens, rest, ends, owned, frozenset())
+    if not out:
+        spared = _fullest(tokens, rest, ends)
+        if spared:
+            out, marked = _lines(tokens, rest, ends, owned, spared)
+    return out, marked
+
+
+def _fullest(tokens: Tokens, rest: str, ends: dict[int, int]) -> frozenset[int]:
+    """Of the elements beside the article that may hold a page's text, that with the most of it outside the
+    others, and those around it."""
+    own: dict[int, int] = {}
+    open_: list[tuple[int, int, bool]] = []  # where it ends, its start tag, whether it may be read
+    barred = 0
+
+    def count(text: str) -> None:
+        if open_ and not barred:
+            own[open_[-1][1]] = own.get(open_[-1][1], 0) + len(text.strip())
+
+    around: dict[int, int] = {}
+    for k, (text, name, _, attributes) in enumerate(tokens):
+        while open_ and open_[-1][0] < k:
+            barred -= not open_.pop()[2]
+        count(text)
+        while open_ and open_[-1][0] <= k:
+            barred -= not open_.pop()[2]
+        if k in ends and _beside(name, attributes, False):
+            may = _holding(name, attributes)
+            around[k] = open_[-1][1] if open_ else -1
+            open_.append((ends[k], k, may))
+            barred += not may
+    count(rest)
+    if not any(own.values()):
+        return frozenset()
+    k = max(own, key=lambda j: (own[j], -j))
+    chain = []
+    while k >= 0:
+        chain.append(k)
+        k = around[k]
+    return frozenset(chain)
+
+
+def _lines(tokens: Tokens, rest: str, ends: dict[int, int], owned: set[int], spared: frozenset[int]) -> tuple[list[tuple[str, int, bool]], bool]:
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = article = links = 0
     any_article = False
-    tokens, rest = _tokens(page)
-    ends, owned = _ends(tokens)
     n = len(tokens)
     before = [0]
     for text, *_ in tokens:
         before.append(before[-1] + len(text.strip()))
-    total = before[-1] + len(rest.strip())
-    before.append(total)
+    before.append(before[-1] + len(rest.strip()))
 
     def held(k: int) -> int:
         """Characters in an element; what stands before the tag that closes it without an end tag is in it."""
@@ -193,12 +250,8 @@ def blocks(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             k += 1
 
     def needed(k: int) -> bool:
-        """Whether an element outside the article holds it, or the greater part of the text."""
-        if 0 <= main < k < ends[main]:
-            return False
-        if held(k) >= SURGE_CHARS and 2 * held(k) > total:
-            return True
-        return k < main < ends[k] and (tokens[k][1] not in _NEVER or tokens[k][1] in ("form", "fieldset", "dialog"))
+        """Whether an element holds the article, or the only text."""
+        return k in spared or k < main < ends[k] and (tokens[k][1] not in _NEVER or tokens[k][1] in _HOLDERS)
 
     def close() -> None:
         nonlocal parts, linked
@@ -243,7 +296,7 @@ def blocks(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return out, any_article and any(x[2] for x in out)
 
 
-def regions(lengths: list[int], window: int, threshold: int) -> list[tuple[int, int]]:
+def regions(lengths: list[float], window: int, threshold: float) -> list[tuple[int, int]]:
     """Line ranges from each surge point to its dive point.
 
     A window's sum counts for each of its lines; a range is cut back to lines that have length.
@@ -276,19 +329,43 @@ def regions(lengths: list[int], window: int, threshold: int) -> list[tuple[int,
     return out
 
 
-def main_text(page: str | None, *, window: int = WINDOW_LINES, surge: int = SURGE_CHARS) -> str:
+def surge_threshold(lengths: list[int], surge: float = SURGE) -> float:
+    """``surge`` times the geometric mean of the lengths of lines that have any."""
+    logs = [math.log(x) for x in lengths if x]
+    return surge * math.exp(sum(logs) / len(logs)) if logs else 0.0
+
+
+def kept_lines(lines: list[tuple[str, int, bool]], marked: bool, *, window: int = WINDOW_LINES, surge: float = SURGE) -> list[int]:
+    """The numbers of the lines between surge and dive points."""
+    weights = [ARTICLE_FACTOR * len(t) if inside else n for t, n, inside in lines]
+    threshold = surge_threshold([len(t) if inside else n for t, n, inside in lines], surge)
+    out: list[int] = []
+    start = 0
+    for k in range(1, len(lines) + 1):
+        if k < len(lines) and lines[k][2] == lines[start][2]:
+            continue
+        for a, b in regions(weights[start:k], window, threshold):
+            a, b = a + start, b + start
+            if marked and not lines[start][2]:  # beside an article, only lines that reach it alone begin and end
+                while a < b and weights[a] < threshold:
+                    a += 1
+                while b > a and weights[b - 1] < threshold:
+                    b -= 1
+            # Beside an article, a line without weight is none of it; elsewhere a list of links may stand in the text.
+            out += [j for j in range(a, b) if weights[j] or not marked]
+        start = k
+    return out
+
+
+def main_text(page: str | None, *, window: int = WINDOW_LINES, surge: float = SURGE) -> str:
     """Blocks between surge and dive points, two line breaks between them; empty for null or no text."""
     if not page:
         return ""
     lines, marked = blocks(page)
-    weights = [n for _, n, _ in lines]
-    if marked:
-        weights = [len(t) + ARTICLE_CHARS if inside else max(0, n - OUTSIDE_CHARS) for t, n, inside in lines]
-    found = regions(weights, window, surge)
-    if not found:  # too short to surge: the article, or the lines with text of their own
-        return "\n\n".join(t for t, n, inside in lines if (inside if marked else 2 * n > len(t)))
-    # Beside an article, a line without weight is none of it; elsewhere a list of links may stand in the text.
-    return "\n\n".join(lines[k][0] for a, b in found for k in range(a, b) if weights[k] or not marked)
+    found = kept_lines(lines, marked, window=window, surge=surge)
+    if not found:  # too little to surge: the lines with text of their own
+        return "\n\n".join(t for t, n, _ in lines if 2 * n > len(t))
+    return "\n\n".join(lines[k][0] for k in found)
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
