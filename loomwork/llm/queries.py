@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_duplicates, quality_rules, substrings
+from . import decontaminate, importance, near_duplicates, quality_rules, substrings
 from .common import table
 from .decontaminate import find_contamination
 from .html_text import extract_main_text
@@ -15,8 +15,10 @@ from .packing import pack_sequences
 from .pii import find_personal_data
 from .quality_model import score_quality
 from .substrings import remove_repeated
+from .token_counts import count_tokens
 from .token_files import token_boundaries
 from .tokens import vocabulary_path
+from .whitening import whiten
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +61,18 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,10 +82,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id, op2_pii_spans, op3_token_files, op4_best_fit_packing, op5_jaccard_components, op6_repeated_substrings, op7_quality_rules,
-        op8_quality_score, op9_main_text, op10_contamination, pipeline,
+        op8_quality_score, op9_main_text, op10_contamination, op11_importance_resampling, op12_whitened_embeddings, op13_token_counts, pipeline,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_components": near_duplicates.ORACLE_SQL, "op6_repeated_substrings": substrings.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL, "op10_contamination": decontaminate.ORACLE_SQL}
+    return {"op5_jaccard_components": near_duplicates.ORACLE_SQL, "op6_repeated_substrings": substrings.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL, "op10_contamination": decontaminate.ORACLE_SQL, "op11_importance_resampling": importance.ORACLE_SQL}
