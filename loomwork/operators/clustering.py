@@ -1,7 +1,7 @@
 """Clusters of near vectors: the connected components of the relation "similarity at least near".
 
-A density clustering has no distributed equivalent; components of the near pairs are its plain
-form.  Labels move to the least among neighbours and jump to their label's label until none
+The plain form of clustering, at one threshold for all; ``density`` finds clusters of any density.
+Labels move to the least among neighbours and jump to their label's label until none
 changes, and rounds are written, so nothing is gathered.
 """
 

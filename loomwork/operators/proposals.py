@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import normalised
-from . import clustering, similarity
+from . import similarity
+from .density import density_clusters
 
 
 def classify_hubs(links: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -75,12 +76,12 @@ def named(passing: DataFrame, hubs: DataFrame) -> DataFrame:
     return passing.join(near, "parent_hub_id", "left").withColumn("name", name).drop("_near")
 
 
-def propose_hubs(items: DataFrame, hubs: DataFrame, *, ood_threshold: float, near: float = 0.8, least: int = 3, budget: int = 40) -> DataFrame:
+def propose_hubs(items: DataFrame, hubs: DataFrame, *, ood_threshold: float, least: int = 3, samples: int = 2, budget: int = 40) -> DataFrame:
     """Proposals of new hubs from items (item_id, framework_id, embedding) that fit no hub
-    (hub_id, embedding): items under the threshold are clustered, and clusters pass the guardrails."""
+    (hub_id, embedding): items under the threshold are clustered by density, and clusters pass the guardrails."""
     best = similarity.top_hubs(items, hubs, 1).where(F.col("sim") < ood_threshold).select("item_id")
     away = items.join(best, "item_id", "left_semi")
-    clusters = clustering.near_components(away, near, least).join(away, "item_id")
+    clusters = density_clusters(away, least=least, samples=samples).join(away, "item_id")
     return guardrails(centroids(clusters), hubs, budget=budget)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm, normalised
 from ..operators import calibration as cal
-from ..operators import clustering, evaluation, hierarchy, linking, proposals, similarity
+from ..operators import clustering, density, evaluation, hierarchy, linking, proposals, similarity
 from .catalog import _GRID, _LINKS7, _METRICS, _P, _RANKS, _TOP, _links, _probs, _ranks, query
 from .views import Views
 
@@ -175,6 +175,11 @@ def r1_near_components(v):
     return clustering.near_components(v.items(), 0.35, 3)
 
 
+@query()
+def r1_density_clusters(v):
+    return density.density_clusters(v.items())
+
+
 @query("SELECT p_partkey AS cluster_id, concat('Cluster ', p_partkey, ' (near: ', coalesce(h.name, concat('S', p_partkey)), ')') AS name FROM part LEFT JOIN hubs h ON h.id = concat('S', p_partkey)")
 def r6_names(v):
     rows = v.table("part").select(F.col("p_partkey").alias("cluster_id"), F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("parent_hub_id"))

@@ -322,8 +322,10 @@ def test_clusters_of_near_vectors(spark):
     got = {r.item_id: r.cluster_id for r in clustering.near_components(df, 0.95, 3).collect()}
     assert got == {"a": "a", "b": "a", "c": "a"}
     hubs_ = spark.createDataFrame([("h", [0.0, -1.0])], "hub_id string, embedding array<double>")
-    out = proposals.propose_hubs(df, hubs_, ood_threshold=0.5, near=0.95).collect()
-    assert [(r.cluster_id, r.n_controls, r.failed) for r in out] == [("a", 3, None)]
+    more = [("k", [0.0, 1.0], "x"), ("l", [0.02, 1.0], "x"), ("m", [-0.02, 1.0], "y"), ("q", [0.0, -1.0], "y"), ("r", [0.02, -1.0], "y"), ("s", [0.03, -1.0], "y")]
+    df = df.unionByName(spark.createDataFrame(more, df.schema))
+    out = sorted((r.cluster_id, r.n_controls, r.failed) for r in proposals.propose_hubs(df, hubs_, ood_threshold=0.5).collect())
+    assert out == [("a", 3, None), ("k", 4, None)]
 
 
 def test_ks_p_values():
