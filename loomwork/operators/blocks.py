@@ -72,10 +72,10 @@ def block_of(name: str, blocks: int) -> Column:
 
 
 def met(held: DataFrame, passing: DataFrame, keys: list[str], fold: Callable[[Rows], Fold], schema: str) -> DataFrame:
-    """The results of ``fold`` for the held and passing rows of each key; both tables have the same
-    columns.  A key without held rows gives nothing."""
-    names = [c for c in held.columns if c not in keys]
-    both = held.withColumn("_side", F.lit(0)).unionByName(passing.select(held.columns).withColumn("_side", F.lit(1)))
+    """The results of ``fold`` for the held and passing rows of each key.  A key without held rows
+    gives nothing."""
+    names = [[c for c in df.columns if c not in keys] for df in (held, passing)]
+    both = held.withColumn("_side", F.lit(0)).unionByName(passing.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     dealt = both.repartition(*keys).sortWithinPartitions(*keys, "_side")
     kinds = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in dealt.sparkSession.createDataFrame([], schema).schema])
 
@@ -96,12 +96,12 @@ def met(held: DataFrame, passing: DataFrame, keys: list[str], fold: Callable[[Ro
                         yield from out(work.end())
                     now, parts, work = key, [], None
                 if marks[-1][a] == 0:
-                    parts.append(Rows.of(batch.slice(a, b - a), names))
+                    parts.append(Rows.of(batch.slice(a, b - a), names[0]))
                     continue
                 if parts:
                     work, parts = fold(Rows.joined(parts)), []
                 for k in range(a, b if work is not None else a, PASSING_ROWS):
-                    yield from out(work.add(Rows.of(batch.slice(k, min(PASSING_ROWS, b - k)), names)))
+                    yield from out(work.add(Rows.of(batch.slice(k, min(PASSING_ROWS, b - k)), names[1])))
         if work is not None:
             yield from out(work.end())
 
@@ -111,7 +111,7 @@ def met(held: DataFrame, passing: DataFrame, keys: list[str], fold: Callable[[Ro
 def _arrow(kind: str) -> pa.DataType:
     if kind.startswith("array<"):
         return pa.list_(_arrow(kind[6:-1]))
-    return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[kind]
+    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "boolean": pa.bool_(), "date": pa.date32()}[kind]
 
 
 def against_all(asked: DataFrame, rows: DataFrame, id_col: str, fold: Callable[[Rows], Fold], schema: str, *, count: int | None = None) -> DataFrame:
@@ -124,4 +124,4 @@ def against_all(asked: DataFrame, rows: DataFrame, id_col: str, fold: Callable[[
     blocks = max(1, -(-(asked.count() if count is None else count) // HELD_ROWS))
     held = asked.withColumn("_block", block_of(id_col, blocks))
     passing = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return met(held, passing, ["_block"], fold, schema)
+    return met(held, passing.select(*rows.columns, "_block"), ["_block"], fold, schema)

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .ordering import least_from_here, running
+from .selection import quantiles
 
 
 def nll(probabilities: DataFrame, valid: DataFrame) -> DataFrame:
@@ -55,9 +57,10 @@ def global_threshold(probabilities: DataFrame, valid: DataFrame, grid: list[floa
 def conformal_quantile(probabilities: DataFrame, valid: DataFrame, alpha: float) -> DataFrame:
     """The (1 - alpha) quantile, corrected for size, of 1 - probability on valid hubs."""
     scores = probabilities.join(valid, ["item_id", "hub_id"], "left_semi").groupBy("item_id").agg((1 - F.sum("p")).alias("s"))
+    scores = durable(scores, "scores")
     n = scores.count()
     level = min(ceil((n + 1) * (1 - alpha)) / n, 1.0) if n else 1.0
-    return scores.agg(F.round(F.percentile("s", F.lit(level)), 6).alias("quantile"), F.count("*").alias("n"))
+    return scores.agg(F.round(F.lit(quantiles(scores, "s", [level])[0]).cast("double"), 6).alias("quantile"), F.count("*").alias("n"))
 
 
 def prediction_sets(items: DataFrame, probabilities: DataFrame, quantile: float) -> DataFrame:
@@ -75,7 +78,9 @@ def set_coverage(sets: DataFrame, valid: DataFrame) -> DataFrame:
 
 
 def ood_threshold(max_sims: DataFrame, q: float = 0.05) -> DataFrame:
-    return max_sims.agg(F.round(F.percentile("max_sim", F.lit(q)), 6).alias("threshold"), F.count("*").alias("n"))
+    """threshold, n: the similarity that a share ``q`` of the items has no hub above, selected exactly."""
+    max_sims = durable(max_sims, "max_sims")
+    return max_sims.agg(F.round(F.lit(quantiles(max_sims, "max_sim", [q])[0]).cast("double"), 6).alias("threshold"), F.count("*").alias("n"))
 
 
 def _binned(rows: DataFrame, bins: int, by: list[str]) -> DataFrame:

@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
+from .intervals import ancestors_by_doubling
 from .ordering import running
 
 
 def build_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """HUBS rows from nodes (id, name) and edges (parent_id, child_id).
 
-    Levels are joined one after another from the roots; a node keeps its least depth, and of
-    several parents at that depth the smallest.  Nodes that no root reaches (those on a cycle
-    and below one) become roots.  The loop ends with the deepest level, whatever its depth: a
-    level holds only nodes that no level before it has, so a cycle ends it too.
+    A node keeps its least depth, and of several parents at that depth the smallest.  Nodes that no
+    root reaches (those on a cycle and below one) become roots.  Where no node has two parents, depths and paths come
+    by pointer doubling, in rounds by the logarithm of the depth; else levels are joined one after another from the
+    roots, until one is empty: a level holds only nodes that no level before it has, so a cycle ends it too.
     """
     known = edges.join(nodes.select(F.col("id").alias("child_id")), "child_id", "left_semi").join(nodes.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").distinct()
     roots = nodes.join(known.select(F.col("child_id").alias("id")), "id", "left_anti")
-    start = lambda r: r.select("id", "name", F.col("name").alias("path"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.col("id").alias("branch_root_id"))
+    start = lambda r: r.select("id", "name", F.coalesce("name", F.lit("")).alias("path"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.col("id").alias("branch_root_id"))
+    if known.groupBy("child_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        tree, left, _ = ancestors_by_doubling(nodes.select("id", "name"), known.select(F.col("child_id").alias("id"), "parent_id"), path="name")
+        done = tree.join(nodes, "id").select("id", "name", F.array_join("path", " > ").alias("path"), "parent_id", F.col("depth").cast("int").alias("depth"), F.col("root_id").alias("branch_root_id"))
+        return _with_leaves(done.unionByName(start(nodes.join(left, "id", "left_semi"))), known)
     level = durable(start(roots), "level")
     done = level
     while True:
@@ -34,7 +39,10 @@ def build_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         done = done.unionByName(level)
     left = nodes.join(done.select("id"), "id", "left_anti")
-    done = done.unionByName(start(left))
+    return _with_leaves(done.unionByName(start(left)), known)
+
+
+def _with_leaves(done: DataFrame, known: DataFrame) -> DataFrame:
     parents = known.select(F.col("parent_id").alias("id")).distinct().withColumn("_has", F.lit(True))
     return done.join(parents, "id", "left").select("id", "name", "path", "parent_id", "depth", "branch_root_id", F.col("_has").isNull().alias("is_leaf"))
 
@@ -81,16 +89,20 @@ def siblings_of(hubs: DataFrame, asked: DataFrame) -> DataFrame:
 def descendants(hubs: DataFrame) -> DataFrame:
     """(ancestor_id, id, distance): each hub under its ancestors and itself (distance 0).
 
-    A pair that is reached again, over a second path or a cycle, is not followed further."""
-    edges = hubs.where("parent_id IS NOT NULL").select("id", "parent_id")
-    level = hubs.select(F.col("id").alias("ancestor_id"), "id", F.lit(0).alias("distance"))
-    out = level
-    while True:
+    Paths from the root come by pointer doubling, in rounds by the logarithm of the depth.  Nodes on a cycle, and
+    those below one, are walked level by level, and a pair that is reached again is not followed further.  To count or
+    sum what lies below, or to test for it, ``intervals`` needs no pair of nodes.
+    """
+    edges = hubs.where("parent_id IS NOT NULL").select("id", "parent_id").join(hubs.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    tree, cyclic, _ = ancestors_by_doubling(hubs.select("id"), edges, path="id")
+    out = tree.select(F.posexplode("path").alias("at", "ancestor_id"), "id", "depth").select("ancestor_id", "id", (F.col("depth") - F.col("at")).cast("int").alias("distance"))
+    edges = edges.join(cyclic, "id", "left_semi")
+    level = cyclic.select(F.col("id").alias("ancestor_id"), "id", F.lit(0).alias("distance"))
+    while not level.isEmpty():
+        out = out.unionByName(level)
         level = level.withColumnRenamed("id", "parent_id").join(edges, "parent_id").select("ancestor_id", "id", (F.col("distance") + 1).alias("distance"))
         level = durable(level.dropDuplicates(["ancestor_id", "id"]).join(out.select("ancestor_id", "id"), ["ancestor_id", "id"], "left_anti"), "level")
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+    return out
 
 
 def hard_negatives(hubs: DataFrame, n: int) -> DataFrame:

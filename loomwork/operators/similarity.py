@@ -2,8 +2,8 @@
 
 ``similarities`` is the long table of all pairs of items and a small set of hubs.  The others
 never make it: one side is a block of bounded size, sent to every task as a matrix, and Arrow
-batches of the other side are multiplied with it.  With several blocks, what each block finds is
-written before the next, so the driver and a task hold one block at a time.
+batches of the other side are multiplied with it.  With several blocks, each is held by tasks of its own
+(``blocks``), so neither side goes through the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, norm
-from ..session import durable
+from .blocks import Fold, Rows, block_of, met
 
 #: Rows of the side that is sent, in one block.
 HUB_BLOCK = 20_000
@@ -48,29 +48,46 @@ def bottom_1(sims: DataFrame, *, item: str = "item_id", other: str = "hub_id") -
     return sims.groupBy(item).agg(F.min_by(other, F.struct("sim", other)).alias(other), F.min("sim").alias("sim"))
 
 
+class _Found(Fold):
+    """A held block of named vectors, and what ``found`` makes of it and of passing rows."""
+
+    def __init__(self, held: Rows, name: str, found: Callable[[pd.DataFrame, Block], pd.DataFrame]):
+        order = np.argsort(held.columns[name], kind="stable")
+        super().__init__(held)
+        self.block, self.found = (held.columns[name][order], held.embedding[order]), found
+
+    def add(self, passing: Rows) -> dict[str, np.ndarray] | None:
+        parts = []
+        for k in range(0, len(passing), ROWS):
+            pdf = pd.DataFrame({c: list(v[k : k + ROWS]) if v.ndim > 1 else v[k : k + ROWS] for c, v in passing.columns.items()})
+            parts.append(self.found(pdf, self.block))
+        got = pd.concat(parts, ignore_index=True)
+        return {c: got[c].to_numpy() for c in got.columns}
+
+
 def by_blocks(sent: DataFrame, name: str, rows: DataFrame, found: Callable[[pd.DataFrame, Block], pd.DataFrame], schema: str) -> DataFrame:
-    """What ``found`` makes of each batch of ``rows`` and each block of ``sent`` (name, embedding)."""
+    """What ``found`` makes of each batch of ``rows`` and each block of ``sent`` (name, embedding).
+
+    One block is sent to every task; more are held in tasks of their own, which the rows pass."""
     spark = rows.sparkSession
     n = sent.count()
-    blocks = max(1, -(-n // HUB_BLOCK))
-    out = None
-    for i in range(blocks):
-        part = sent.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == i).select(name, "embedding").toPandas().sort_values(name)
-        shared = spark.sparkContext.broadcast((part[name].to_numpy(), np.stack(part["embedding"]).astype(np.float64) if len(part) else np.zeros((0, 0))))
-
-        def batch(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            if not len(shared.value[0]):
-                return
-            for pdf in batches:
-                for k in range(0, len(pdf), ROWS):
-                    yield found(pdf.iloc[k : k + ROWS], shared.value)
-
-        got = rows.mapInPandas(batch, schema)
-        if blocks > 1:
-            got = durable(got, "block")
-            shared.destroy()
-        out = got if out is None else out.unionByName(got)
-    return out
+    blocks = -(-n // HUB_BLOCK)
+    if blocks > 1:
+        chunks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+        held = sent.select(name, "embedding").withColumn("_block", block_of(name, blocks)).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        passing = rows.withColumn("_chunk", F.pmod(F.monotonically_increasing_id(), F.lit(chunks)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return met(held, passing, ["_block", "_chunk"], lambda block: _Found(block, name, found), schema)
+    part = sent.select(name, "embedding").limit(HUB_BLOCK).toPandas().sort_values(name)
+    shared = spark.sparkContext.broadcast((part[name].to_numpy(), np.stack(part["embedding"]).astype(np.float64) if len(part) else np.zeros((0, 0))))
+
+    def batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not len(shared.value[0]):
+            return
+        for pdf in batches:
+            for k in range(0, len(pdf), ROWS):
+                yield found(pdf.iloc[k : k + ROWS], shared.value)
+
+    return rows.mapInPandas(batch, schema)
 
 
 def _kind(df: DataFrame, name: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..schemas import GROUND_TRUTH
 from .filters import floor_of
 from .ordering import running
+from .selection import quantiles
 
 
 def framework_metadata(frameworks: DataFrame, controls: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -89,13 +90,13 @@ def length_histogram(rows: DataFrame, length: Column, edges: tuple[int, ...] = (
 
 
 def similarity_stats(sims: DataFrame, col: str = "sim") -> DataFrame:
-    """Mean, population deviation, extremes and exact percentiles, rounded to three places."""
+    """Mean, population deviation, extremes and exact percentiles, rounded to three places.
+
+    Percentiles are selected by ranges of values: no task holds all different values."""
     q = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-    out = sims.agg(
-        F.count("*").alias("n"), F.round(F.avg(col), 3).alias("mean"), F.round(F.stddev_pop(col), 3).alias("std"), F.round(F.min(col), 3).alias("min"), F.round(F.max(col), 3).alias("max"),
-        F.percentile(col, F.array(*[F.lit(x) for x in q])).alias("p"),
-    )
-    return out.select("n", "mean", "std", "min", "max", *[F.round(F.col("p")[i], 3).alias(f"p{int(x * 100)}") for i, x in enumerate(q)])
+    out = sims.agg(F.count("*").alias("n"), F.round(F.avg(col), 3).alias("mean"), F.round(F.stddev_pop(col), 3).alias("std"), F.round(F.min(col), 3).alias("min"), F.round(F.max(col), 3).alias("max"))
+    found = quantiles(sims, col, list(q))
+    return out.select("*", *[F.round(F.lit(v).cast("double"), 3).alias(f"p{int(x * 100)}") for x, v in zip(q, found, strict=True)])
 
 
 def long_tail(rows: DataFrame, key: str, share: float = 0.8) -> DataFrame:

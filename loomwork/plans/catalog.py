@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import calibration as cal
-from ..operators import compare, evaluation, filters, hierarchy, linking, proposals, quality, review, similarity, snapshots, summaries
+from ..operators import compare, evaluation, filters, hierarchy, intervals, linking, proposals, quality, review, similarity, snapshots, summaries
+from ..session import durable
 from .views import FLOOR, SQL, Views
 
 QUERIES: dict[str, Callable] = {}
@@ -520,6 +521,26 @@ def l3_descendants(v):
     return hierarchy.descendants(v.hubs())
 
 
+def _deep(v: Views) -> tuple[DataFrame, DataFrame]:
+    """The hubs with customers under nations and orders under customers: (id), (id, parent_id)."""
+    at = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    c, o = v.table("customer"), v.table("orders")
+    up = v.hubs().where("parent_id IS NOT NULL").select("id", "parent_id").union(c.select(at("C", "c_custkey"), at("N", "c_nationkey"))).union(o.select(at("O", "o_orderkey"), at("C", "o_custkey")))
+    nodes = v.hubs().select("id").union(c.select(at("C", "c_custkey"))).union(o.select(at("O", "o_orderkey")))
+    return nodes, up
+
+
+@query(""", up AS (SELECT id, parent_id FROM hubs UNION ALL SELECT concat('C', c_custkey), concat('N', c_nationkey) FROM customer UNION ALL SELECT concat('O', o_orderkey), concat('C', o_custkey) FROM orders),
+tree AS (SELECT id, [id] AS path FROM up WHERE parent_id IS NULL UNION ALL SELECT u.id, list_append(t.path, u.id) FROM tree t JOIN up u ON u.parent_id = t.id),
+placed AS (SELECT id, path, row_number() OVER (ORDER BY path) AS enter FROM tree), n AS (SELECT concat('O', l_orderkey) AS id, count(*) AS n FROM lineitem GROUP BY 1),
+below AS (SELECT unnest(path) AS id, 1 AS one, coalesce(n.n, 0) AS n FROM tree LEFT JOIN n USING (id)), sums AS (SELECT id, count(*) AS size, sum(n) AS n_lines FROM below GROUP BY 1)
+SELECT id, path[1] AS root_id, len(path) - 1 AS depth, size, enter, enter + size - 1 AS leave, CAST(n_lines AS BIGINT) AS n_lines FROM placed JOIN sums USING (id)""")
+def l3_intervals(v):
+    tree = durable(intervals.intervals(*_deep(v)), "intervals")
+    lines = v.table("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines")).select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("id"), "n_lines")
+    return tree.drop("parent_id").join(intervals.subtree_sums(tree, lines, "n_lines"), "id")
+
+
 @query("SELECT a.id, a.parent_id, count(b.id) AS n_siblings FROM hubs a LEFT JOIN hubs b ON a.parent_id = b.parent_id AND a.id <> b.id WHERE a.parent_id IS NOT NULL GROUP BY 1, 2")
 def l3_siblings(v):
     return hierarchy.siblings(v.hubs())

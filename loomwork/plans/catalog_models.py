@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm, normalised
 from ..operators import calibration as cal
-from ..operators import clustering, density, evaluation, hierarchy, linking, proposals, similarity
+from ..operators import clustering, density, evaluation, hierarchy, linking, proposals, sampling, similarity, vector_index
 from .catalog import _GRID, _LINKS7, _METRICS, _P, _RANKS, _TOP, _links, _probs, _ranks, query
 from .views import Views
 
@@ -175,6 +175,12 @@ def r1_near_components(v):
     return clustering.near_components(v.items(), 0.35, 3)
 
 
+@query()
+def d12_index_pairs(v):
+    every = v.table("embeddings").select(F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("item_id"), "embedding")
+    return vector_index.near_duplicates(every, similar=0.35, duplicate=0.45).withColumn("sim", F.round("sim", 6))
+
+
 @query()
 def r1_density_clusters(v):
     return density.density_clusters(v.items())
@@ -199,6 +205,20 @@ def s_training_rows(v):
     return linking.training_rows(pairs, siblings, 2, 2.0).select("text_key", "hub_id", "tier", "negative_1", "negative_2", F.round("weight", 6).alias("weight"))
 
 
+@query(_LINKS7 + """, b AS (SELECT text_key, hub_id, tier FROM (SELECT lower(trim(section_name)) AS text_key, hub_id, tier, row_number() OVER (PARTITION BY lower(trim(section_name)), hub_id ORDER BY CASE tier WHEN 'T1' THEN 1 WHEN 'T1-AI' THEN 2 WHEN 'AL' THEN 3 ELSE 99 END) AS r
+  FROM links WHERE tier IN ('T1', 'T1-AI', 'AL')) WHERE r = 1)
+SELECT hub_id, tier, count(*) AS n_rows, count(*) AS n_placed, true AS apart FROM b GROUP BY 1, 2""")
+def s_batches(v):
+    """Every training row in one batch, and no hub or text twice in one: counts of each hub and tier."""
+    links = _links(v).withColumn("text", F.col("section_name"))
+    pairs = linking.training_pairs(links, ["T1", "T1-AI", "AL"]).withColumn("is_ai", F.col("tier") == "T1-AI").withColumn("pair", F.concat_ws("|", "text_key", "hub_id"))
+    dealt = sampling.conflict_free_batches(pairs, key="pair", batch_size=32, seed=7)
+    twice = lambda c: dealt.groupBy("batch", c).agg(F.count("*").alias("n")).where("n > 1").select("batch")
+    bad = twice("hub_id").union(twice("text_key")).distinct().withColumn("_bad", F.lit(True))
+    out = dealt.join(bad, "batch", "left").groupBy("hub_id", "tier").agg(F.count("batch").alias("n_placed"), F.bool_and(F.col("_bad").isNull()).alias("apart"))
+    return out.join(pairs.groupBy("hub_id", "tier").agg(F.count("*").alias("n_rows")), ["hub_id", "tier"], "full_outer").select("hub_id", "tier", "n_rows", "n_placed", "apart")
+
+
 @query("SELECT label, count(*) AS n, round(avg(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 5) AS mean_norm FROM embeddings GROUP BY 1", plain=True)
 def j1_norms(v):
     return v.table("embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(norm(F.col("embedding"))), 5).alias("mean_norm"))
