@@ -56,15 +56,9 @@ def integrity_issues(hubs: DataFrame, related: DataFrame | None = None) -> DataF
     issues = child.where("up_depth IS NULL").select(F.lit("unknown_parent").alias("rule"), "id")
     issues = issues.union(child.where("up_depth IS NOT NULL AND depth <> up_depth + 1").select(F.lit("depth").alias("rule"), "id"))
     issues = issues.union(hubs.where("parent_id IS NULL AND depth <> 0").select(F.lit("root_depth"), "id"))
-    # Those that roots reach, level by level; hubs without a known parent are named above.
-    level = reached = durable(hubs.where("parent_id IS NULL").select("id").unionByName(child.where("up_depth IS NULL").select("id")), "reached")
-    while True:
-        down = hubs.select("id", "parent_id").join(level.select(F.col("id").alias("parent_id")), "parent_id").select("id").distinct()
-        level = durable(down.join(reached, "id", "left_anti"), "reached")
-        if level.isEmpty():
-            break
-        reached = reached.unionByName(level)
-    issues = issues.union(hubs.select("id").join(reached, "id", "left_anti").select(F.lit("unreachable").alias("rule"), "id"))
+    # A hub without a known parent is named above, and stands for a root here.
+    _, cyclic, _ = ancestors_by_doubling(hubs.select("id"), child.where("up_depth IS NOT NULL").select("id", "parent_id"))
+    issues = issues.union(cyclic.select(F.lit("unreachable").alias("rule"), "id"))
     if related is not None:
         known = hubs.select(F.col("id").alias("hub_b"))
         issues = issues.union(related.join(known, "hub_b", "left_anti").select(F.lit("unknown_related"), F.col("hub_a")))

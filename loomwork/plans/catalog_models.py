@@ -205,9 +205,7 @@ def s_training_rows(v):
     return linking.training_rows(pairs, siblings, 2, 2.0).select("text_key", "hub_id", "tier", "negative_1", "negative_2", F.round("weight", 6).alias("weight"))
 
 
-@query(_LINKS7 + """, b AS (SELECT text_key, hub_id, tier FROM (SELECT lower(trim(section_name)) AS text_key, hub_id, tier, row_number() OVER (PARTITION BY lower(trim(section_name)), hub_id ORDER BY CASE tier WHEN 'T1' THEN 1 WHEN 'T1-AI' THEN 2 WHEN 'AL' THEN 3 ELSE 99 END) AS r
-  FROM links WHERE tier IN ('T1', 'T1-AI', 'AL')) WHERE r = 1)
-SELECT hub_id, tier, count(*) AS n_rows, count(*) AS n_placed, true AS apart FROM b GROUP BY 1, 2""")
+@query(_LINKS7 + _NEG + " SELECT hub_id, tier, count(*) AS n_rows, count(*) AS n_placed, true AS apart FROM b GROUP BY 1, 2")
 def s_batches(v):
     """Every training row in one batch, and no hub or text twice in one: counts of each hub and tier."""
     links = _links(v).withColumn("text", F.col("section_name"))
