@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine, norm, normalised
 from ..operators import calibration as cal
 from ..operators import clustering, density, evaluation, hierarchy, linking, proposals, sampling, similarity, vector_index
+from . import publish
 from .catalog import _GRID, _LINKS7, _METRICS, _P, _RANKS, _TOP, _links, _probs, _ranks, query
 from .views import Views
 
@@ -217,6 +218,28 @@ def s_batches(v):
     return out.join(pairs.groupBy("hub_id", "tier").agg(F.count("*").alias("n_rows")), ["hub_id", "tier"], "full_outer").select("hub_id", "tier", "n_rows", "n_placed", "apart")
 
 
+@query(""", kept AS (SELECT control_id, hub_id, max(confidence) AS confidence FROM assignments WHERE review_status = 'accepted' AND confidence IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT c.framework_id, k.control_id, k.hub_id, coalesce(h.name, '') AS hub_name, confidence, row_number() OVER (PARTITION BY k.control_id ORDER BY confidence DESC, k.hub_id) AS rank FROM kept k JOIN controls c ON c.id = k.control_id LEFT JOIN hubs h ON h.id = k.hub_id),
+cj AS (SELECT framework_id, count(*) AS n, string_agg(concat('{"control_id":"', id, '","description":"', description, '","framework_id":"', framework_id, '","hyperlink":"https://example.org/', section_id, '","section_id":"', section_id, '","title":"', title, '"}'), ',' ORDER BY id) AS j FROM controls GROUP BY 1),
+mj AS (SELECT framework_id, count(*) AS n, string_agg(concat('{"confidence":', confidence::DOUBLE, ',"control_id":"', control_id, '","hub_id":"', hub_id, '","hub_name":"', hub_name, '","link_type":"predicted","model_version":null,"provenance":"model","rank":', rank, '}'), ',' ORDER BY control_id, rank) AS j FROM m GROUP BY 1)
+SELECT framework_id, sha256(concat('{"controls":[', cj.j, '],"framework_id":"', framework_id, '","framework_name":"Framework ', framework_id, '","mappings":[', mj.j, '],"policy":{"floor":0.3,"override":', CASE WHEN framework_id LIKE '%1' THEN '0.35' ELSE 'null' END, '},"schema_version":"1.0"}')) AS content_hash,
+  cj.n AS n_controls, coalesce(mj.n, 0) AS n_mappings FROM cj LEFT JOIN mj USING (framework_id)""")
+def i13_canonical_digest(v):
+    """The SHA-256 of each framework's snapshot as canonical JSON."""
+    return publish.snapshot_digests(*canonical_tables(v))
+
+
+def canonical_tables(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Controls, ranked mappings and headers of all frameworks, as an export takes them."""
+    kept = v.assignments().where("review_status = 'accepted' AND confidence IS NOT NULL").groupBy("control_id", "hub_id").agg(F.max("confidence").alias("confidence"))
+    named = kept.join(v.controls().select(F.col("id").alias("control_id"), "framework_id"), "control_id").join(v.hubs().select(F.col("id").alias("hub_id"), F.col("name").alias("hub_name")), "hub_id", "left")
+    named = named.withColumns({"hub_name": F.coalesce("hub_name", F.lit("")), "link_type": F.lit("predicted"), "provenance": F.lit("model"), "model_version": F.lit(None).cast("string")})
+    controls = v.controls().select(F.col("id").alias("control_id"), "framework_id", "section_id", "title", "description", F.concat(F.lit("https://example.org/"), F.col("section_id")).alias("hyperlink"))
+    policy = F.struct(F.lit(0.3).alias("floor"), F.when(F.col("id").endswith("1"), 0.35).alias("override"))
+    header = v.frameworks().select(F.col("id").alias("framework_id"), F.concat(F.lit("Framework "), F.col("id")).alias("framework_name"), policy.alias("policy"), F.lit("1.0").alias("schema_version"))
+    return controls, publish.ranked(named).select("framework_id", *publish.MAPPING), header
+
+
 @query("SELECT label, count(*) AS n, round(avg(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 5) AS mean_norm FROM embeddings GROUP BY 1", plain=True)
 def j1_norms(v):
     return v.table("embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(norm(F.col("embedding"))), 5).alias("mean_norm"))
