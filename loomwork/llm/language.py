@@ -21,7 +21,7 @@ from .common import fold, persisted, utf8
 
 UNKNOWN = "und"
 WINDOW, WIDTHS = 128, (2, 3, 4)
-#: Windows of a sample text that are learned from.
+#: Windows of a sample text that are learned from, unless ``per_text`` says otherwise.
 PER_TEXT = 4
 #: Windows that are predicted together.
 BATCH_WINDOWS = 1 << 14
@@ -76,10 +76,10 @@ def cut(data: bytes, window: int, taps: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(raw, window)[::step]
 
 
-def spread(text: str | None, window: int = WINDOW, taps: int = max(WIDTHS), many: int = PER_TEXT) -> np.ndarray:
-    """At most ``many`` evenly spaced windows of a text."""
+def spread(text: str | None, window: int = WINDOW, taps: int = max(WIDTHS), many: int | None = PER_TEXT) -> np.ndarray:
+    """At most ``many`` evenly spaced windows of a text, or all of them (None)."""
     w = cut(utf8(text), window, taps)
-    return w[np.unique(np.linspace(0, len(w) - 1, min(many, len(w))).astype(int))]
+    return w if many is None else w[np.unique(np.linspace(0, len(w) - 1, min(many, len(w))).astype(int))]
 
 
 def train(
@@ -140,7 +140,7 @@ def train(
     return net
 
 
-def training_sample(docs: DataFrame, *, id_col: str, text_col: str, label_col: str, held_out: int, per_label: int) -> list:
+def training_sample(docs: DataFrame, *, id_col: str, text_col: str, label_col: str, held_out: int, per_label: int, per_text: int | None = PER_TEXT) -> list:
     """label and windows of at most ``per_label`` rows of each label, those of the least hash.
 
     The labels' counts give a hash threshold that about twice as many rows of a label pass; only
@@ -157,7 +157,7 @@ def training_sample(docs: DataFrame, *, id_col: str, text_col: str, label_col: s
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"label": pdf["label"], "h": pdf["h"], "windows": [spread(t).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"label": pdf["label"], "h": pdf["h"], "windows": [spread(t, many=per_text).tobytes() for t in pdf["text"]]})
 
     found = ranked.select("label", "h", "text").mapInPandas(windows, "label string, h long, windows binary")
     return found.orderBy("label", "h", "windows").collect()
@@ -165,12 +165,13 @@ def training_sample(docs: DataFrame, *, id_col: str, text_col: str, label_col: s
 
 def identify_languages(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", held_out: int = 1,
-    per_label: int = 500, net: ByteConvNet | None = None,
+    per_label: int = 500, per_text: int | None = PER_TEXT, net: ByteConvNet | None = None,
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs``, learned from ``label_col``.
 
     The network learns every label, each from at most ``per_label`` rows of it (the documented
-    bound of the sample) and four windows of each, spread over the text; never from rows of fold
+    bound of the sample) and at most ``per_text`` windows of each, spread over the text (None: all of them);
+    never from rows of fold
     ``held_out``, and a null label is not learned.  Every byte of every text is predicted on,
     whatever its length.  Equally likely languages go to the first by name.  A text that is null,
     empty or without a letter is ``und`` with score 0, and so is every text if there is nothing to
@@ -179,7 +180,7 @@ def identify_languages(
     """
     spark = docs.sparkSession
     if net is None:
-        sample = training_sample(docs, id_col=id_col, text_col=text_col, label_col=label_col, held_out=held_out, per_label=per_label)
+        sample = training_sample(docs, id_col=id_col, text_col=text_col, label_col=label_col, held_out=held_out, per_label=per_label, per_text=per_text)
         net = train([np.frombuffer(r.windows, np.uint8).reshape(-1, WINDOW) for r in sample], [r.label for r in sample]) if sample else None
     model = spark.sparkContext.broadcast(net)
 

@@ -6,7 +6,8 @@ normalised text and keep, for each of its characters, the source span it came fr
 1. homoglyphs, full-width forms and the decimal digits of every script become ASCII characters,
 2. spelled digits ("four one five", "double one"; English, German, French, Spanish) become
    digits, and runs of them join,
-3. "at" and "dot" in brackets, spaced out, or in words between host labels become ``@`` and ``.``.
+3. "at" and "dot" in brackets, spaced out, joined by underscores, or in words (of the same languages) between
+   host labels become ``@`` and ``.``.  A plain "at" is one only where what stands before it can be a name.
 
 Identifiers are found in the normalised text by the same rules and mapped back; those that no
 single base span covers whole are added.
@@ -196,13 +197,15 @@ def spoken(text: str) -> list[tuple[int, int, str]]:
 
 #: at and dot in brackets, or spelled, or spaced out.  Every repetition is possessive and starts
 #: at a word's beginning, so reading is linear and no length is bounded.
-_AT = r"\s*+[\[({<]\s*+(?:at|@)\s*+[\])}>]\s*+"
+_AT_NAMES = "arroba|arobase|arobas|klammeraffe|ät"
+_AT = rf"\s*+[\[({{<]\s*+(?:at|@|{_AT_NAMES})\s*+[\])}}>]\s*+"
+_AT_LETTER = r"\s*+[\[({<]\s*+a\s*+[\])}>]\s*+"
 _DOT = r"\s*+[\[({<]\s*+(?:dot|\.|punkt|punto|point)\s*+[\])}>]\s*+"
 _SPELLED_DOT = r"\s++(?:dot|punkt|punto|point)\s++"
 _SPACED_DOT = r"\s++\.\s++"
 _LABEL = r"[A-Za-z0-9-]++"
 _LOCAL_RUN = r"[A-Za-z0-9._%+-]++"
-_ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])({_LOCAL_RUN})(?:({_AT})|(\s*+@\s*+)|(\s++at\s++))({_LABEL}(?:(?:{_DOT}|\.|{_SPELLED_DOT}|{_SPACED_DOT}){_LABEL})++)")
+_ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])({_LOCAL_RUN})(?:({_AT})|({_AT_LETTER})|(\s*+@\s*+|\s++(?:{_AT_NAMES})\s++)|(\s++(?:at|chez)\s++))({_LABEL}(?:(?:{_DOT}|\.|{_SPELLED_DOT}|{_SPACED_DOT}){_LABEL})++)")
 _HOST_PART = re.compile(rf"(?i)({_LABEL})|({_DOT})|({_SPELLED_DOT})|({_SPACED_DOT})|(\.)")
 #: Last labels that need no further sign: general ones, and after a spelled or spaced dot the countries'.
 _TOP = frozenset("com org net edu gov mil int info biz io dev app example invalid test".split())
@@ -212,18 +215,32 @@ _COUNTRY = re.compile(
 )
 #: No host begins with an article ("look at the dot in it").
 _ARTICLES = frozenset("the a an this that each every".split())
-#: Words before an address, after which any last label counts.
-_INTRODUCED = re.compile(r"(?i)\b(?:e-?mail|mail|courriel|correo|contact|contacto|kontakt|write|address|adresse|reach)\b[^\n@]{0,20}$")
+#: Words among the three before an address, after which any last label counts.
+_INTRODUCED = frozenset("email e-mail mail courriel correo contact contacto kontakt write address adresse reach".split())
+#: Words that are no name: a plain "at" after them, or after one that a subject stands before, is a place or a page.
+_SUBJECTS = frozenset("i we you he she it they who to not also just je tu il elle on nous vous ils elles ich wir er sie ihr yo ella nosotros ellos".split())
+_NOT_NAMES = _SUBJECTS | frozenset(
+    "us me them him her this that these those there here one ones more all everything anything something much many only and or but as so then now today tomorrow again "
+    "is are was were be been being am do does did done has have had will would can could may might must shall should let "
+    "look looks looked looking meet meets met meeting work works worked working live lives lived living stay stays stayed staying arrive arrives arrived stop stops stopped sit sits sat stand stands stood "
+    "see sees seen saw find finds found read reads visit visits visited shop shops buy buys bought order orders ordered start starts started stare stares stared point points pointed aim aims aimed "
+    "available online hosted published posted located based listed sold website site page pages blog store news office people team life home school shares prices employees engineer engineers manager "
+    "est suis es sommes sont va vais vas vont vient viens venu allé restez venez allez reste dîner manger travaille travaillent habite habitent achète acheté trouvé bin ist sind war waren arbeitet wohnt trabaja vive está".split()
+)
 _LOCAL_DOTS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:{_DOT}[A-Za-z0-9_%+-]++)++(?={_AT}|\s*+@)")
 _BRACKET_DOT = re.compile(rf"(?i){_DOT}")
-_AT_HINT = re.compile(r"(?i)[\[({<]\s*+(?:at|@)|\s@|@\s|\s(?:dot|punkt|punto|point)\s|[\[({<]\s*+(?:dot|\.|punkt|punto|point)\s*+[\])}>]")
+_JOINED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9.%+]++(?:[_-](?!at[_-])[A-Za-z0-9.%+]++)*+)[_-]at[_-]([A-Za-z0-9]++)((?:[_-]dot[_-][A-Za-z0-9]++)++)(?![A-Za-z0-9_-])")
+_AT_HINT = re.compile(
+    rf"(?i)[\[({{<]\s*+(?:at|a|@|{_AT_NAMES})\s*+[\])}}>]|\s(?:{_AT_NAMES})\s|[_-]at[_-]|"
+    r"\s@|@\s|\s(?:dot|punkt|punto|point)\s|[\[({<]\s*+(?:dot|\.|punkt|punto|point)\s*+[\])}>]"
+)
 
 
 def has_sign(text: str) -> bool:
     """Whether an "at" or "dot" in disguise may stand in the text."""
     if not any(c in text for c in "[({<@"):
         low = text.lower()
-        if not any(w in low for w in ("dot", "punkt", "punto", "point")):
+        if not any(w in low for w in ("dot", "punkt", "punto", "point", "arroba", "arobas", "klammeraffe", " ät ")):
             return False
     return _AT_HINT.search(text) is not None
 
@@ -254,9 +271,24 @@ class Tape:
         return (self.start[a], self.end[b - 1]) if self.start is not None else (a, b)
 
 
+def _words_before(text: str, at: int, many: int = 3) -> list[str]:
+    """The last words before a place in the same line, nearest first, in lower case and without marks."""
+    out: list[str] = []
+    while len(out) < many:
+        while at and text[at - 1] in " \t,;:()<>\"'":
+            at -= 1
+        end = at
+        while at and not text[at - 1].isspace() and text[at - 1] not in ",;:()<>\"'":
+            at -= 1
+        if at == end or text[at:end] == "@":
+            break
+        out.append(text[at:end].lower())
+    return out
+
+
 def _address(m: re.Match) -> tuple[int, int, str] | None:
     """The address that a match writes, if its parts are signs enough that it is one."""
-    local, bracket, sign, word, host = m.groups()
+    local, bracket, letter, sign, word, host = m.groups()
     labels, seps = [], []  # how each label is divided from the one before
     for p in _HOST_PART.finditer(host):
         if p.group(1):
@@ -269,19 +301,30 @@ def _address(m: re.Match) -> tuple[int, int, str] | None:
         return m.start(), m.end(), local + "@" + ".".join(labels)
     if labels[0].lower() in _ARTICLES:
         return None
+    before = _words_before(m.string, m.start())
+    marked = bool(sign) or re.search(r"[0-9._%+-]", local) or word and word.strip() == "AT" or not _INTRODUCED.isdisjoint(before)
+    if word and not re.search(r"[0-9._%+-]", local):
+        # A verb, a pronoun or a thing before "at": people meet at places, and pages are found at hosts.
+        if local.lower() in _NOT_NAMES or (before and before[0] in _SUBJECTS and _INTRODUCED.isdisjoint(before)):
+            return None
     # The longest part of the host whose last label is a known ending, then any ending if the address looks like one.
-    before = m.string[max(0, m.start() - 40) : m.start()]
-    marked = bool(sign) or re.search(r"[0-9._%+-]", local) or word and word.strip() == "AT" or _INTRODUCED.search(before)
     stops = [p.end() for p in _HOST_PART.finditer(host) if p.group(1)]
     for k in range(len(labels) - 1, 0, -1):
         last, how = labels[k].lower(), seps[k - 1]
-        known = last in _TOP or how != "plain" and _COUNTRY.fullmatch(last)
+        known = last in _TOP or how != "plain" and _COUNTRY.fullmatch(last) or (letter or sign and sign.strip() != "@") and _COUNTRY.fullmatch(last)
         loose = how == "spelled" and marked and len(last) >= 2 and last.isalpha() and last not in _ARTICLES
         if known or loose:
-            return m.start(), m.start(5) + stops[k], local + "@" + ".".join(labels[: k + 1])
+            return m.start(), m.start(6) + stops[k], local + "@" + ".".join(labels[: k + 1])
     return None
 
 
+def _joined(m: re.Match) -> tuple[int, int, str] | None:
+    """An address whose words are joined by underscores or hyphens (bob_at_host_dot_org)."""
+    labels = [m.group(2), *re.split(r"(?i)[_-]dot[_-]", m.group(3))[1:]]
+    last = labels[-1].lower()
+    return (m.start(), m.end(), m.group(1) + "@" + ".".join(labels)) if last in _TOP or _COUNTRY.fullmatch(last) else None
+
+
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans of disguised identifiers, in source positions, that no base span covers whole."""
     disguised = [] if text.isascii() else [c for c in {*text} if look(c) != c]
@@ -296,6 +339,7 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         tape.rewrite(spoken(tape.text))
     if at:
         tape.rewrite([(m.start(), m.end(), _BRACKET_DOT.sub(".", m.group())) for m in _LOCAL_DOTS.finditer(tape.text)])
+        tape.rewrite([e for e in map(_joined, _JOINED.finditer(tape.text)) if e])
         tape.rewrite([e for e in map(_address, _ADDRESS.finditer(tape.text)) if e])
     if tape.start is None:
         return []

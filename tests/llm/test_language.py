@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from loomwork.llm.language import cut, identify_languages, spread, train, training_sample
+from loomwork.llm.language import ByteConvNet, cut, identify_languages, spread, train, training_sample
 from tests.conftest import DATA
 
 
@@ -77,3 +77,67 @@ def test_long_texts_are_read_to_the_end(spark):
     en, de = "the quick brown fox thinks that this is what they want ", "der schnelle braune fuchs denkt dass sie das nicht wollen "
     df = corpus(spark).union(docs(spark, [(500, en * 100 + de * 60_000, None)]))
     assert identify_languages(df, per_label=50).where("doc_id = 500").first().lang_pred == "de"
+
+
+def by_loops(net, window):
+    """Log-probabilities of one window: every filter at every place, byte by byte."""
+    taps, embed = net.taps, net.embedding.shape[1]
+    pooled = []
+    for f in range(net.filters.shape[1]):
+        best = -np.inf
+        for place in range(len(window) - taps + 1):
+            total = 0.0
+            for t in range(taps):
+                for e in range(embed):
+                    total += float(net.embedding[window[place + t], e]) * float(net.filters[t * embed + e, f])
+            best = max(best, total)
+        pooled.append(max(best + float(net.bias[f]), 0.0))
+    z = [sum(p * float(w) for p, w in zip(pooled, net.dense[:, k], strict=True)) + float(net.dense_bias[k]) for k in range(len(net.labels))]
+    top = max(z)
+    total = top + np.log(sum(np.exp(v - top) for v in z))
+    return [v - total for v in z]
+
+
+def test_network_equals_plain_loops():
+    texts = ["der schnelle braune fuchs", "the quick brown fox", "le renard brun rapide"] * 4
+    net = train([spread(t, 24, 4) for t in texts], ["de", "en", "fr"] * 4, per_width=3, embed=2, steps=20)
+    for text in ("the fox", "fuchs und du", "", "é" * 30):
+        windows = cut(text.encode(), 24, 4)
+        got = net.log_probabilities(windows)
+        assert np.allclose(got, [by_loops(net, w) for w in windows], atol=1e-4)
+    # taps beyond a filter's width stay zero through training
+    assert not net.filters.reshape(4, 2, 9)[2:, :, :3].any() and net.filters.reshape(4, 2, 9)[:, :, 6:].any()
+
+
+def test_a_training_step_follows_the_numerical_gradient():
+    """Adam's first step goes against the sign of each gradient that is not zero: compared with differences of the loss."""
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(97, 101, (6, 10)).astype(np.uint8), ["a", "b"] * 3
+    before = train([x[k : k + 1] for k in range(6)], y, widths=(2,), per_width=2, embed=2, epochs=0, steps=0, seed=3)
+    after = train([x[k : k + 1] for k in range(6)], y, widths=(2,), per_width=2, embed=2, epochs=1, steps=0, batch=6, rate=1e-3, seed=3)
+
+    def loss(net):
+        return -np.mean([net.log_probabilities(x[k : k + 1])[0][net.labels.index(y[k])] for k in range(6)])
+
+    checked = 0
+    for name in ("embedding", "filters", "bias", "dense", "dense_bias"):
+        flat = getattr(before, name)
+        for i in np.ndindex(flat.shape):
+            old = flat[i]
+            values = []
+            for d in (1e-2, -1e-2):
+                flat[i] = old + d
+                values.append(loss(before))
+            flat[i] = old
+            slope = (values[0] - values[1]) / 2e-2
+            if abs(slope) > 1e-3:
+                checked += 1
+                assert np.sign(getattr(after, name)[i] - old) == -np.sign(slope), (name, i, slope)
+    assert checked >= 10 and isinstance(after, ByteConvNet)
+
+
+def test_all_windows_may_be_learned(spark):
+    df = docs(spark, [(k, "some words of a long text " * 100, "en") for k in range(6)])
+    kw = {"id_col": "doc_id", "text_col": "text", "label_col": "lang", "held_out": 1, "per_label": 9}
+    few, every = training_sample(df, **kw), training_sample(df, **kw, per_text=None)
+    assert {len(r.windows) for r in few} == {4 * 128} and {len(r.windows) for r in every} == {len(cut(b"some words of a long text " * 100, 128, 4)) * 128}

@@ -109,6 +109,30 @@ def test_planted_disguises_in_documents(spark):
     assert found == planted and wrong == 0
 
 
+def test_at_words_of_four_languages():
+    for text in (
+        "ana arroba ejemplo punto es", "jean arobase exemple point fr", "pierre chez exemple point fr", "bob (a) example.com", "bob_at_example_dot_com", "uwe klammeraffe beispiel punkt de", "eva [ät] beispiel punkt de",
+        "ana arroba ejemplo.es", "bob-at-example-dot-org", "mary_ann_at_mail_dot_example_dot_co", "luis (arroba) correo (punto) mx", "jo (a) host dot net",
+    ):
+        assert find(text)[1] == [(0, len(text), "email")], text
+        assert find(f"x | {text} | y")[1] == [(4, 4 + len(text), "email")], text
+
+
+PROSE = (
+    "We looked at example dot com", "They met at Paris dot Com office", "he works at google dot com", "Visit us at example dot com today", "contact us at example dot com", "it is available at shop dot example dot org",
+    "more at news dot com", "I saw her at work dot then left", "the website at example dot com is down", "nous sommes chez google point fr", "venez chez exemple point fr", "see (a) 3.2 and (b) 4.1", "options (a) this.that or (b)",
+    "she stays at hotel dot com", "wir waren at home punkt de", "look_at_this_dot_matrix", "a state-at-rest-dot-product", "ich bin at arbeit dot de", "read it at blog dot io", "people at google dot com said so",
+)
+
+
+def test_prose_is_no_address():
+    wrong = [text for text in PROSE if find(text)[1]]
+    assert not wrong, wrong
+    # an introducing word at any distance within three words, whatever its length
+    long = "w" * 5000
+    assert find(f"mail {long} joe at widgets dot technology")[1] == [(5 + len(long) + 1, len(f"mail {long} joe at widgets dot technology"), "email")]
+
+
 def test_hostile_texts_are_linear():
     for text in ("a at " * 40_000, "one " * 60_000 + "x", "a" + " " * 100_000 + "b at c", "x (at) a" + " dot a" * 50_000, "a@ " * 60_000, "[at] " * 50_000, "plus " * 50_000 + "one"):
         find(text)
