@@ -205,12 +205,13 @@ def write_token_files(
         enc, end = encoder(vocabulary), struct.pack("<I", end_id)
         out, folder = fs.FileSystem.from_uri(store)
         out.create_dir(folder, recursive=True)
-        part, file = TaskContext.get().partitionId(), 0
+        part, file, unnamed = TaskContext.get().partitionId(), 0, False
         names, lengths, ids, size = [], [], [], 0
 
         def flush():
             data = to_bytes(np.array(names, np.int64), np.array(lengths, np.int64), b"".join(ids), width)
-            final = f"{folder}/part-{part:08d}-{file:06d}.lwtok"
+            # Documents without an id come first in the order and have files of their own.
+            final = f"{folder}/part-{part:08d}-{file:06d}{'-null' if unnamed else ''}.lwtok"
             with out.open_output_stream(own := f"{folder}/_{uuid.uuid4().hex}") as sink:
                 sink.write(data)
             out.move(own, final)
@@ -219,7 +220,12 @@ def write_token_files(
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
                 found = enc.encode(pdf["text"].iloc[lo : lo + 1000].tolist())
-                for name, raw in zip(pdf["doc_id"].iloc[lo : lo + 1000], found, strict=True):
+                for name, missing, raw in zip(pdf["doc_id"].iloc[lo : lo + 1000], pdf["missing"].iloc[lo : lo + 1000], found, strict=True):
+                    if names and missing != unnamed:
+                        yield flush()
+                        names, lengths, ids, size = [], [], [], 0
+                        file += 1
+                    unnamed = missing
                     names.append(name)
                     ids += (raw, end)
                     lengths.append(len(raw) // 4 + 1)
@@ -231,8 +237,11 @@ def write_token_files(
         if names:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    key = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(key, F.lit(0)).alias("doc_id"), key.isNull().alias("missing"), F.col(text_col).alias("text"))
+    # Rows that share an id, or have none, are cut by the beginnings of their texts.
+    begins = F.substring("text", 1, 32)
+    ordered = rows.repartitionByRange(F.desc("missing"), "doc_id", begins).sortWithinPartitions(F.desc("missing"), "doc_id", "text")
     return ordered.mapInPandas(write, "part int, file int, n_docs long, n_ids long, n_bytes long")
 
 
@@ -255,8 +264,9 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> Dat
                 starts = np.concatenate([[0], ends[:-1]])
                 ids = f.ids().astype("<u4")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
-                part, file = map(int, name.removesuffix(".lwtok").split("-")[1:])
-                yield pd.DataFrame({"doc_id": f.doc_ids(), "own": starts, "n_tokens": ends - starts, "ids_crc32": crc, "part": part, "file": file, "file_name": name})
+                part, file = map(int, name.removesuffix(".lwtok").split("-")[1:3])
+                named = f.doc_ids() if not name.endswith("-null.lwtok") else pd.array([None] * f.n, "Int64")
+                yield pd.DataFrame({"doc_id": named, "own": starts, "n_tokens": ends - starts, "ids_crc32": crc, "part": part, "file": file, "file_name": name})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lwtok").load(path)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
@@ -271,10 +281,10 @@ def token_boundaries(
     """Writes the files of ``docs`` below ``path`` and reads each document's place from them.
 
     A null or empty text is a document of its end id alone.  Ids are integers (else a TypeError);
-    rows without an id are left out (they have no place in the order); repeated ids are documents
-    of their own, next to each other in the order of their texts, and repeated rows have equal
-    entries.  A text of any length is one document of one file.  Other columns are ignored.  An
-    empty table has no files and no rows.
+    rows without an id come before all others; these, and repeated ids, are documents of their
+    own in the order of their texts, and repeated rows have equal entries.  A text of any length
+    is one document of one file.  Other columns are ignored.  An empty table has no files and no
+    rows.
     """
     spark = docs.sparkSession
     path = path or shared_path(spark, "tokens")

@@ -73,9 +73,10 @@ def test_boundaries_are_small():
 
 def test_token_boundaries(spark, tmp_path):
     path = vocabulary_path("word_bpe_49k.json")
-    df = spark.createDataFrame([(*r, 0) for r in [*ROWS, (None, "no id")]], "doc_id bigint, text string, start int").repartition(3)
+    df = spark.createDataFrame([(*r, 0) for r in [*ROWS, (None, "no id"), (None, None), (None, "and none")]], "doc_id bigint, text string, start int").repartition(3)
     got = sorted(token_boundaries(df, path, path=str(tmp_path / "t")).collect(), key=lambda r: r.start)
-    want = sorted(ROWS, key=lambda r: (r[0], r[1] or ""))
+    # those without an id come first, then by id; texts decide among equals
+    want = [(None, None), (None, "and none"), (None, "no id"), *sorted(ROWS, key=lambda r: (r[0], r[1] or ""))]
     ids = [x + struct.pack("<I", 2) for x in library("word_bpe_49k.json", [t for _, t in want])]
     assert [r.doc_id for r in got] == [d for d, _ in want] and [r.n_tokens for r in got] == [len(x) // 4 for x in ids]
     assert [r.start for r in got] == np.cumsum([0, *[len(x) // 4 for x in ids]])[:-1].tolist() and [r.ids_crc32 for r in got] == [zlib.crc32(x) for x in ids]
