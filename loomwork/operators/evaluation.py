@@ -66,14 +66,18 @@ def folds(links: DataFrame, names: list[str]) -> DataFrame:
     return spread.withColumn("role", F.when(F.col("framework_id") == F.col("fold"), "eval").otherwise("train"))
 
 
+#: Replicates that are drawn at once from one random stream.
+BLOCK = 2_500
+
+
 def bootstrap(values: DataFrame, replicates: int, seed: int, tasks: int = 8) -> DataFrame:
     """mean, lo, hi, p_positive: a percentile interval of the mean, resampled within folds (fold, value),
     and the share of replicates at or under zero.
 
     Values are counted by Spark first.  A replicate draws how often each different value of a fold
     comes, which is the same as drawing rows, so its cost is the number of different values
-    (checked, at most a million) however many rows there are.  Replicates have random streams of
-    their own: the result depends on the seed alone.
+    (checked, at most a million) however many rows there are.  Blocks of replicates have random
+    streams of their own and are drawn at once: the result depends on the seed alone.
     """
     counted = values.groupBy("fold", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n")).orderBy("fold", "value").limit(1_000_001).collect()
     if len(counted) > 1_000_000:
@@ -89,13 +93,18 @@ def bootstrap(values: DataFrame, replicates: int, seed: int, tasks: int = 8) ->
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            means = []
-            for k in pdf["id"]:
-                rng = np.random.default_rng([seed, int(k)])
-                means.append(sum(float(rng.multinomial(n.sum(), n / n.sum()) @ v) for v, n in shared.value) / total)
-            yield pd.DataFrame({"m": means})
-
-    drawn = spark.range(0, replicates, 1, tasks).mapInPandas(draw, "m double")
+            # Blocks of replicates are numbered alike, however they are dealt to tasks.
+            for block in pdf["id"]:
+                rng = np.random.default_rng([seed, int(block)])
+                many = min(BLOCK, replicates - int(block) * BLOCK)
+                m = np.zeros(many)
+                for v, n in shared.value:
+                    step = max(1, 4_000_000 // len(v))
+                    m += np.concatenate([rng.multinomial(n.sum(), n / n.sum(), size=min(step, many - k)) @ v for k in range(0, many, step)])
+                yield pd.DataFrame({"m": m / total})
+
+    blocks = -(-replicates // BLOCK)
+    drawn = spark.range(0, blocks, 1, min(tasks, blocks)).mapInPandas(draw, "m double")
     mean = sum(r.value * r.n for r in counted) / total
     return drawn.agg(
         F.round(F.lit(float(mean)), 6).alias("mean"), F.round(F.percentile("m", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("hi"),

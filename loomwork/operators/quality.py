@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,55 +64,113 @@ def validate_frameworks(frameworks: DataFrame, controls: DataFrame, expected: Da
 
 
 def scan_secrets(texts: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
-    """id, line_no, kind, match: the first match of each pattern in each line, at most 50 characters."""
-    lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    checks = [F.struct(F.lit(k).alias("kind"), F.substring(F.regexp_extract("line", f"({p})", 1), 1, 50).alias("match")) for k, p in (patterns or SECRET_PATTERNS).items()]
+    """id, line_no, kind, match: the first match of each pattern in each line, at most 50 characters.
+
+    Whole texts are searched once for any of the patterns; only texts that hold one are cut into
+    lines, and only lines that hold one are searched for each."""
+    patterns = patterns or SECRET_PATTERNS
+    # Line by line a pattern sees the same as in a whole text where ^ and $ stand for line ends.
+    some = "(?m)" + "|".join(f"(?:{p})" for p in patterns.values())
+    held = texts.where(F.col("text").rlike(some))
+    lines = held.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(some))
+    checks = [F.struct(F.lit(k).alias("kind"), F.substring(F.regexp_extract("line", f"({p})", 1), 1, 50).alias("match")) for k, p in patterns.items()]
     found = lines.select("id", (F.col("pos") + 1).alias("line_no"), F.explode(F.filter(F.array(*checks), lambda c: c["match"] != "")).alias("c"))
     return found.select("id", "line_no", "c.kind", "c.match")
 
 
-#: Characters of needles in one block.
-NEEDLE_CHARS = 4_000_000
+#: Slots of the tables that count grams and mark anchors: a fixed size, whatever the texts.
+SLOTS = 1 << 20
+#: Bytes of a gram, and of text whose grams are looked at together.
+GRAM = 5
+PART_BYTES = 1 << 20
 
 
-def leaked_items(items: DataFrame, texts: DataFrame, least: int = 5) -> DataFrame:
+def _grams(data: bytes) -> np.ndarray:
+    """Every run of five bytes as a number, in order: equal runs, equal numbers."""
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    if len(raw) < GRAM:
+        return np.zeros(0, np.int64)
+    out = raw[: len(raw) - GRAM + 1].copy()
+    for k in range(1, GRAM):
+        out |= raw[k : len(raw) - GRAM + 1 + k] << (8 * k)
+    return out
+
+
+def _slots(grams: np.ndarray) -> np.ndarray:
+    return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """The grams of a text by parts that share their edges."""
+    data = text.encode("utf-8", "surrogatepass")
+    for k in range(0, max(len(data) - GRAM + 1, 0), PART_BYTES):
+        yield _grams(data[k : k + PART_BYTES + GRAM - 1])
+
+
+def leaked_items(items: DataFrame, texts: DataFrame, least: int = GRAM) -> DataFrame:
     """(item_id, id): evaluation texts of ``least`` characters or more contained in other texts,
     case apart.
 
-    The items are a stated set: blocks of bounded size go to every task as a matching automaton,
-    and a text is read once a block, whatever the block's number of items.  Between blocks the
-    hits are written.
+    A text that contains an item has all its runs of five bytes, so one of them finds it: the one
+    that is rarest in the texts, by counts in a table of fixed size. Texts are scanned for these anchors (a table
+    of marks of the same size goes to every task), joined with the items by the anchors they hold, and
+    compared whole. Neither side is gathered; an item shorter than a run is refused.
     """
-    import ahocorasick
-
+    if least < GRAM:
+        raise ValueError(f"items need {GRAM} characters or more")
+    spark = items.sparkSession
     needles = items.where(F.length(F.trim("text")) >= least).select("item_id", F.lower(F.trim("text")).alias("needle"))
     hay = texts.select("id", F.lower("text").alias("hay")).where("hay IS NOT NULL")
-    blocks = max(1, -(-(needles.agg(F.sum(F.length("needle"))).first()[0] or 0) // NEEDLE_CHARS))
-    schema = f"item_id {needles.schema['item_id'].dataType.simpleString()}, id {hay.schema['id'].dataType.simpleString()}"
-    out = None
-    for i in range(blocks):
-        names: dict[str, list] = {}
-        for r in needles.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == i).collect():
-            names.setdefault(r.needle, []).append(r.item_id)
-        shared = items.sparkSession.sparkContext.broadcast(names)
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            found = ahocorasick.Automaton()
-            for needle, ids in shared.value.items():
-                found.add_word(needle, ids)
-            if not len(found):
-                return
-            found.make_automaton()
-            for pdf in batches:
-                hits = [(k, x) for k, text in zip(pdf["id"], pdf["hay"], strict=True) for x in {y for _, ids in found.iter(text) for y in ids}]
-                yield pd.DataFrame(hits, columns=["id", "item_id"])[["item_id", "id"]]
-
-        got = hay.mapInPandas(search, schema)
-        if blocks > 1:
-            got = durable(got, "leaks")
-            shared.destroy()
-        out = got if out is None else out.union(got)
-    return out
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, np.int64)
+        for pdf in batches:
+            for text in pdf["hay"]:
+                for grams in _pieces(text):
+                    total += np.bincount(_slots(grams), minlength=SLOTS)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": some, "n": total[some]})
+
+    counts = hay.select("hay").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
+    often = np.zeros(SLOTS, np.int64)
+    often[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(often)
+
+    def anchor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for needle in pdf["needle"]:
+                grams = np.concatenate(list(_pieces(needle)))
+                found.append(int(grams[shared.value[_slots(grams)].argmin()]))
+            yield pd.DataFrame({"needle": pdf["needle"], "gram": np.array(found, np.int64)})
+
+    anchors = durable(needles.select("needle").distinct().mapInPandas(anchor, "needle string, gram long"), "anchors")
+    marks = np.zeros(SLOTS, bool)
+
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"slot": np.unique(_slots(pdf["gram"].to_numpy(np.int64)))})
+
+    marks[anchors.select("gram").mapInPandas(slots, "slot long").distinct().toPandas()["slot"].to_numpy(np.int64)] = True  # at most SLOTS rows
+    marked = spark.sparkContext.broadcast(marks)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids, found = [], []
+            for key, text in zip(pdf["id"], pdf["hay"], strict=True):
+                hit = [g[marked.value[_slots(g)]] for g in _pieces(text)]
+                grams = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
+                ids += [key] * len(grams)
+                found.append(grams)
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=pdf["id"].dtype), "gram": np.concatenate(found) if found else np.zeros(0, np.int64)})
+
+    # A text's key is its id and a hash: rows alike in both are alike, and each gives its own row at the end.
+    keyed = hay.select(F.struct("id", F.xxhash64("hay")).alias("key"), "id", "hay")
+    id_kind = hay.schema["id"].dataType.simpleString()
+    hits = keyed.select(F.col("key").alias("id"), "hay").select(F.to_json("id").alias("id"), "hay").mapInPandas(scan, "id string, gram long")
+    pairs = durable(hits.join(anchors, "gram").select("id", "needle").distinct(), "candidates")
+    checked = keyed.select(F.to_json("key").alias("_key"), "id", "hay").join(pairs.withColumnRenamed("id", "_key"), "_key").where(F.contains("hay", F.col("needle")))
+    return checked.select(F.col("id").cast(id_kind).alias("id"), "needle").join(needles, "needle").select("item_id", "id")
 
 
 def review_issues(reviews: DataFrame, assignments: DataFrame, hubs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm, normalised
 from ..operators import calibration as cal
-from ..operators import clustering, density, evaluation, hierarchy, linking, proposals, sampling, similarity, vector_index
+from ..operators import asof, clustering, density, evaluation, hierarchy, linking, proposals, sampling, similarity, vector_index
 from . import publish
 from .catalog import _GRID, _LINKS7, _METRICS, _P, _RANKS, _TOP, _links, _probs, _ranks, query
 from .views import Views
@@ -240,6 +240,15 @@ def canonical_tables(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
     return controls, publish.ranked(named).select("framework_id", *publish.MAPPING), header
 
 
+@query("""SELECT p.event_id, p.user_id, c.event_id AS click_id, c.value AS click_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts > c.ts""", plain=True)
+def a14_last_before(v):
+    """Each purchase with the user's last click before it."""
+    e = v.table("events")
+    clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"), F.col("value").alias("click_value"))
+    return asof.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, by=["user_id"], at="ts", values=["click_id", "click_value"], strict=True).drop("ts")
+
+
 @query("SELECT label, count(*) AS n, round(avg(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 5) AS mean_norm FROM embeddings GROUP BY 1", plain=True)
 def j1_norms(v):
     return v.table("embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(norm(F.col("embedding"))), 5).alias("mean_norm"))

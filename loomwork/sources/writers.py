@@ -138,7 +138,22 @@ def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, f
 
 
 def card(title: str, metrics: DataFrame, order: str) -> str:
-    """A Markdown card: a table of a small metrics table (a row a framework or fold)."""
-    rows = metrics.orderBy(order).limit(1000).collect()
-    head = f"# {title}\n\n| " + " | ".join(metrics.columns) + " |\n|" + "---|" * len(metrics.columns) + "\n"
-    return head + "".join("| " + " | ".join("" if r[c] is None else str(r[c]) for c in metrics.columns) + " |\n" for r in rows)
+    """A Markdown card: a table of all rows of a small metrics table (a row a framework or fold), in order."""
+    names = metrics.columns
+    head = f"# {title}\n\n| " + " | ".join(names) + " |\n|" + "---|" * len(names) + "\n"
+    return head + "".join("| " + " | ".join("" if r[c] is None else str(r[c]) for c in names) + " |\n" for r in metrics.orderBy(order).toLocalIterator())
+
+
+def weighted_average(metrics: DataFrame, names: list[str], weight: str = "n") -> DataFrame:
+    """One row: averages of ``names`` weighted by ``weight``, each over the rows that have it, and the sum of weights."""
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col(weight)) / F.sum(F.when(F.col(c).isNotNull(), F.col(weight))), 6).alias(c)
+    return metrics.agg(*[mean(c) for c in names], F.sum(weight).cast("long").alias(weight))
+
+
+def metrics_card(title: str, metrics: DataFrame, by: str, names: list[str], *, weight: str = "n", intro: str = "", sources: list[tuple[str, str]] = ()) -> str:
+    """A card of measures: an introduction, a row of each ``by`` in order, their weighted average, and the sources' names and licences."""
+    rows = metrics.select(F.col(by).cast("string").alias(by), *names, weight)
+    text = card(title, rows, by).replace("\n\n|", f"\n\n{intro}\n\n|" if intro else "\n\n|", 1)
+    total = weighted_average(metrics, names, weight).first()
+    text += "| **all** | " + " | ".join("" if total[c] is None else str(total[c]) for c in [*names, weight]) + " |\n"
+    return text + ("\n## Sources\n\n" + "".join(f"* {name}: {licence}\n" for name, licence in sources) if sources else "")

@@ -302,18 +302,31 @@ def test_blocks_give_what_one_gives(spark, monkeypatch):
         assert near == {(f"i{i:02d}", k): f"i{j:02d}" for i in range(7) for k, j in enumerate([j for j in np.argsort(-(x @ x[i])) if j != i][:4], 1)}
 
 
-def test_leaks_in_blocks(spark, monkeypatch):
-    items = spark.createDataFrame([(1, "hello world"), (2, "  ABCDE "), (3, "abc"), (4, "hello world"), (5, None), (6, "cdefg")], "item_id int, text string")
-    texts = spark.createDataFrame([(10, "x Hello World y"), (11, "zabcdefgh"), (12, None), (13, "")], "id int, text string")
-    want = [(1, 10), (2, 11), (4, 10), (6, 11)]
-    for block in (4_000_000, 6):
-        monkeypatch.setattr(quality, "NEEDLE_CHARS", block)
-        assert rows_of(quality.leaked_items(items, texts)) == want
+def test_leaks(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "hello world"), (2, "  ABCDE "), (3, "abc"), (4, "hello world"), (5, None), (6, "cdefg"), (7, "üßélan vital"), (8, "no such text")], "item_id int, text string")
+    texts = spark.createDataFrame([(10, "x Hello World y"), (11, "zabcdefgh"), (12, None), (13, ""), (14, "Üßélan vital!"), (11, "zabcdefgh"), (None, "hello world"), (15, "hello  world")], "id int, text string")
+    want = sorted([(1, 10), (2, 11), (4, 10), (6, 11), (7, 14), (2, 11), (6, 11), (1, None), (4, None)], key=repr)
+    for part in (1 << 20, 3):
+        monkeypatch.setattr(quality, "PART_BYTES", part)
+        assert sorted(rows_of(quality.leaked_items(items, texts)), key=repr) == want
     assert quality.leaked_items(items.where("false"), texts).count() == 0
+    assert quality.leaked_items(items, texts.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        quality.leaked_items(items, texts, least=3)
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abc é") for _ in range(rng.randint(1, 9)))
+    texts = [(k, " ".join(word() for _ in range(40))) for k in range(60)]
+    items = [(k, texts[k % 60][1][k : k + rng.randint(3, 30)]) for k in range(80)] + [(100 + k, word() + word()) for k in range(30)]
+    got = quality.leaked_items(spark.createDataFrame(items, "item_id int, text string"), spark.createDataFrame(texts, "id int, text string"))
+    want = [(i, k) for i, n in items for k, t in texts if len(n.strip(" ")) >= 5 and n.strip(" ").lower() in t.lower()]
+    assert rows_of(got) == sorted(want)
 
 
 def rows_of(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is None, x) for x in r))
 
 
 def test_clusters_of_near_vectors(spark):
