@@ -22,7 +22,7 @@ PASSING_ROWS = 2_000
 
 
 class Rows:
-    """Some rows of a batch: ``x`` as a matrix, other columns as arrays by their names."""
+    """Some rows of a batch as arrays by their names; arrays of fractions, all of one length, are a matrix."""
 
     def __init__(self, columns: dict[str, np.ndarray]):
         self.columns = columns
@@ -41,7 +41,11 @@ class Rows:
         out = {}
         for name in names:
             c = batch.column(batch.schema.get_field_index(name))
-            if pa.types.is_list(c.type):
+            if pa.types.is_list(c.type) and not pa.types.is_floating(c.type.value_type):
+                out[name] = np.empty(len(c), object)
+                for k, v in enumerate(c.to_pylist()):
+                    out[name][k] = v
+            elif pa.types.is_list(c.type):
                 flat = c.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 out[name] = flat.reshape(len(c), -1) if len(c) else flat.reshape(0, 0)
             else:

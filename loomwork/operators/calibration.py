@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..session import durable
 from .ordering import least_from_here, running
 from .selection import quantiles
+from .similarity import by_blocks
 
 
 def nll(probabilities: DataFrame, valid: DataFrame) -> DataFrame:
@@ -25,11 +26,97 @@ def fit_temperature(sims: DataFrame, valid: DataFrame, grid: list[float]) -> Dat
 
     Similarities are read and shuffled by item once; each then meets every temperature in place.
     """
-    per = _grid_sums(sims, valid, grid)
+    return _least(_grid_sums(sims, valid, grid))
+
+
+def _least(per: DataFrame) -> DataFrame:
     losses = per.groupBy("i", "t").agg(F.avg(-F.log(F.col("v") / F.col("a") + 1e-10)).alias("nll"))
     return losses.agg(F.min_by("t", F.struct("nll", "i")).alias("t"), F.min("nll").alias("nll")).select(F.round("t", 6).alias("t"), F.round("nll", 6).alias("nll"))
 
 
+def fit_temperature_of(items: DataFrame, hubs: DataFrame, valid: DataFrame, grid: list[float]) -> DataFrame:
+    """As ``fit_temperature``, from vectors: pairs of items and hubs stay inside matrix products."""
+    return _least(grid_sums(items, hubs, valid, grid))
+
+
+def _with_valid(items: DataFrame, valid: DataFrame) -> DataFrame:
+    """Items with the array of their valid hubs (empty if none)."""
+    kind = valid.schema["hub_id"].dataType.simpleString()
+    right = valid.groupBy("item_id").agg(F.collect_set("hub_id").alias("right"))
+    return items.join(right, "item_id", "left").withColumn("right", F.coalesce("right", F.array().cast(f"array<{kind}>")))
+
+
+def _is_right(pdf: pd.DataFrame, names: np.ndarray) -> np.ndarray:
+    """Items by hubs: whether a hub is valid for an item; names are sorted."""
+    out = np.zeros((len(pdf), len(names)), bool)
+    for row, right in enumerate(pdf["right"]):
+        right = np.asarray(right, dtype=names.dtype if len(right) else object)
+        at = np.searchsorted(names, right) if len(right) else np.zeros(0, int)
+        at = at[at < len(names)] if not len(right) else at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == right)]
+        out[row, at] = True
+    return out
+
+
+def grid_sums(items: DataFrame, hubs: DataFrame, valid: DataFrame, grid: list[float]) -> DataFrame:
+    """item_id, i, t, m, a, v: for each item (item_id, embedding) and temperature the sums of exponentials over all and valid
+    hubs (hub_id, embedding), under the item's greatest similarity m; v is null without a valid hub.
+
+    A block of hubs gives sums under its own greatest similarity; those of all blocks are put under one.
+    """
+    t = np.array(grid)
+
+    def sums(pdf: pd.DataFrame, block: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+        names, matrix = block
+        sims = np.stack(pdf["embedding"]).astype(np.float64) @ matrix.T
+        right = _is_right(pdf, names)
+        top = sims.max(1)
+        rows = []
+        for k in range(len(pdf)):
+            e = np.exp((sims[k] - top[k])[None, :] / t[:, None])
+            v = e[:, right[k]].sum(1) if right[k].any() else np.full(len(t), np.nan)
+            rows.append((e.sum(1), v))
+        return pd.DataFrame({"item_id": np.repeat(pdf["item_id"].to_numpy(), len(t)), "i": np.tile(np.arange(len(t)), len(pdf)), "m": np.repeat(top, len(t)), "a": np.concatenate([a for a, _ in rows]), "v": np.concatenate([v for _, v in rows])})
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    found = by_blocks(hubs.select("hub_id", "embedding"), "hub_id", _with_valid(items.select("item_id", "embedding"), valid), sums, f"item_id {kind}, i long, m double, a double, v double")
+    found = found.withColumn("v", F.nanvl("v", F.lit(None)))
+    at = F.element_at(F.array(*[F.lit(float(x)) for x in grid]), (F.col("i") + 1).cast("int"))
+    blocks = found.withColumn("t", at).groupBy("item_id", "i", "t").agg(F.max("m").alias("m"), F.collect_list(F.struct("m", "a", "v")).alias("parts"))  # one a block
+    under = lambda x, c: x[c] * F.exp((x["m"] - F.col("m")) / F.col("t"))
+    total = lambda c: F.aggregate(F.filter("parts", lambda x: x[c].isNotNull()), F.lit(0.0), lambda s, x: s + under(x, c))
+    some = F.exists("parts", lambda x: x["v"].isNotNull())
+    return blocks.select("item_id", "i", "t", "m", total("a").alias("a"), F.when(some, total("v")).alias("v"))
+
+
+def global_threshold_of(items: DataFrame, hubs: DataFrame, valid: DataFrame, temperature: float, grid: list[float]) -> DataFrame:
+    """As ``global_threshold``, from vectors: a pass for each item's sum of exponentials, and one that counts hits
+    and false hits at every threshold."""
+    steps = np.array(grid)
+    sums = grid_sums(items, hubs, valid, [temperature]).select("item_id", "m", "a")
+
+    def counts(pdf: pd.DataFrame, block: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+        names, matrix = block
+        sims = np.stack(pdf["embedding"]).astype(np.float64) @ matrix.T
+        p = np.exp((sims - pdf["m"].to_numpy()[:, None]) / temperature) / pdf["a"].to_numpy()[:, None]
+        right = _is_right(pdf, names)
+        over = lambda x: len(x) - np.searchsorted(np.sort(x), steps, "left")
+        tp = [over(p[k][right[k]]) for k in range(len(pdf))]
+        fp = [over(p[k][~right[k]]) for k in range(len(pdf))]
+        return pd.DataFrame({"item_id": np.repeat(pdf["item_id"].to_numpy(), len(steps)), "i": np.tile(np.arange(len(steps)), len(pdf)), "tp": np.concatenate(tp), "fp": np.concatenate(fp)})
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    rows = _with_valid(items.select("item_id", "embedding"), valid).join(sums, "item_id")
+    found = by_blocks(hubs.select("hub_id", "embedding"), "hub_id", rows, counts, f"item_id {kind}, i long, tp long, fp long")
+    at = F.element_at(F.array(*[F.lit(float(x)) for x in grid]), (F.col("i") + 1).cast("int"))
+    return _best_f1(found.withColumn("t", at).groupBy("item_id", "i", "t").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp")))
+
+
+def _best_f1(per: DataFrame) -> DataFrame:
+    total = per.groupBy("i", "t").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.count_if(F.col("tp") == 0).alias("fn"))
+    f1 = F.coalesce(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), F.lit(0.0))
+    return total.withColumn("f1", f1).agg(F.max_by("t", F.struct("f1", -F.col("i"))).alias("threshold"), F.round(F.max("f1"), 6).alias("f1"))
+
+
 def _at_grid(rows: DataFrame, grid: list[float]) -> DataFrame:
     """Each row once a point of the grid: i, its place, and t."""
     return rows.select("*", F.posexplode(F.array(*[F.lit(float(t)) for t in grid])).alias("i", "t"))
@@ -49,14 +136,21 @@ def global_threshold(probabilities: DataFrame, valid: DataFrame, grid: list[floa
     marked = probabilities.join(valid.withColumn("v", F.lit(True)), ["item_id", "hub_id"], "left").select("item_id", "p", F.coalesce("v", F.lit(False)).alias("v"))
     over = F.col("p") >= F.col("t")
     per = _at_grid(marked, grid).groupBy("item_id", "i", "t").agg(F.count_if(over & F.col("v")).alias("tp"), F.count_if(over & ~F.col("v")).alias("fp"))
-    total = per.groupBy("i", "t").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.count_if(F.col("tp") == 0).alias("fn"))
-    f1 = F.coalesce(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), F.lit(0.0))
-    return total.withColumn("f1", f1).agg(F.max_by("t", F.struct("f1", -F.col("i"))).alias("threshold"), F.round(F.max("f1"), 6).alias("f1"))
+    return _best_f1(per)
 
 
 def conformal_quantile(probabilities: DataFrame, valid: DataFrame, alpha: float) -> DataFrame:
     """The (1 - alpha) quantile, corrected for size, of 1 - probability on valid hubs."""
     scores = probabilities.join(valid, ["item_id", "hub_id"], "left_semi").groupBy("item_id").agg((1 - F.sum("p")).alias("s"))
+    return _conformal(scores, alpha)
+
+
+def conformal_of(sums: DataFrame, alpha: float) -> DataFrame:
+    """As ``conformal_quantile``, from ``grid_sums`` at one temperature."""
+    return _conformal(sums.where("v IS NOT NULL").select((1 - F.col("v") / F.col("a")).alias("s")), alpha)
+
+
+def _conformal(scores: DataFrame, alpha: float) -> DataFrame:
     scores = durable(scores, "scores")
     n = scores.count()
     level = min(ceil((n + 1) * (1 - alpha)) / n, 1.0) if n else 1.0
@@ -129,14 +223,14 @@ def benjamini_hochberg(tests: DataFrame) -> DataFrame:
     return out.select("test_id", "p", "rank", F.round(F.least(F.lit(1.0), "_q"), 6).alias("p_adjusted"))
 
 
-def pooled_temperature(sims: DataFrame, valid: DataFrame, folds: DataFrame, grid: list[float]) -> DataFrame:
-    """t, nll: the temperature of the least weighted multi-label NLL over folds (item_id, fold).
+def pooled_temperature(sums: DataFrame, folds: DataFrame) -> DataFrame:
+    """t, nll: the temperature of the least weighted multi-label NLL over folds (item_id, fold), from ``grid_sums``.
 
     A fold weighs the square root of its size, shared evenly by its items.
     """
     per_fold = folds.groupBy("fold").agg(F.count("*").alias("n"))
     weight = folds.join(per_fold, "fold").select("item_id", (1 / F.sqrt(F.col("n").cast("double"))).alias("w"))
-    rows = _grid_sums(sims, valid, grid).join(weight, "item_id")
+    rows = sums.join(weight, "item_id")
     losses = rows.groupBy("i", "t").agg((F.sum(-F.log(F.col("v") / F.col("a") + 1e-10) * F.col("w")) / F.sum("w")).alias("nll"))
     return losses.agg(F.min_by("t", F.struct("nll", "i")).alias("t"), F.min("nll").alias("nll")).select(F.round("t", 6).alias("t"), F.round("nll", 6).alias("nll"))
 

@@ -53,6 +53,18 @@ def related_siblings(scope: DataFrame, hubs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.parent_id").alias("parent_id"), F.col("a.hub_id").alias("hub_a"), F.col("b.hub_id").alias("hub_b"), F.array_join("a.fws", ",").alias("fws_a"), F.array_join("b.fws", ",").alias("fws_b"))
 
 
+def related_hubs(scope: DataFrame, hubs: DataFrame) -> DataFrame:
+    """hub_id, parent_id, frameworks, n_related: each hub with the number of its siblings that ``related_siblings`` pairs it with.
+
+    The pairs themselves are all siblings but those of the same one framework, so a row a hub says as much."""
+    per = scope.groupBy("hub_id").agg(F.array_sort(F.collect_set("framework_id")).alias("fws"))
+    placed = per.join(hubs.where("parent_id IS NOT NULL").select(F.col("id").alias("hub_id"), "parent_id"), "hub_id")
+    sets = placed.groupBy("parent_id", "fws").agg(F.count("*").alias("_same"))
+    whole = sets.groupBy("parent_id").agg(F.sum("_same").alias("_all"))
+    n = F.col("_all") - F.when(F.size("fws") == 1, F.col("_same")).otherwise(1)
+    return placed.join(sets, ["parent_id", "fws"]).join(whole, "parent_id").select("hub_id", "parent_id", F.array_join("fws", ",").alias("frameworks"), n.cast("long").alias("n_related"))
+
+
 def related_counts(scope: DataFrame, hubs: DataFrame) -> DataFrame:
     """parent_id, n_hubs, n_pairs: how many of ``related_siblings``'s pairs each parent has.
 

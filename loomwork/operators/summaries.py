@@ -45,6 +45,12 @@ def coverage(exported: DataFrame, controls: DataFrame) -> DataFrame:
     return out.withColumn("pct", F.round(100.0 * F.col("exported") / F.col("total"), 1))
 
 
+def missing_controls(exported: DataFrame, controls: DataFrame) -> DataFrame:
+    """framework_id, control_id of every control that no exported row has."""
+    rows = controls.select("framework_id", F.col("id").alias("control_id"))
+    return rows.join(exported.select("control_id"), "control_id", "left_anti").select("framework_id", "control_id")
+
+
 def review_metrics(assignments: DataFrame) -> DataFrame:
     """Totals and rates of a review; calibration rows (negative ids) are not part of it."""
     real = assignments.where("id >= 0")

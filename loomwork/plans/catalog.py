@@ -83,6 +83,12 @@ def d6_related_siblings(v):
     return compare.related_counts(*_order_scope(v))
 
 
+@query(_ORDER_SCOPE + _REL + """, twice AS (SELECT hub_a AS hub_id FROM related UNION ALL SELECT hub_b FROM related), n AS (SELECT hub_id, count(*) AS n FROM twice GROUP BY 1)
+SELECT p.hub_id, p.parent_id, p.fws AS frameworks, coalesce(n.n, 0) AS n_related FROM placed p LEFT JOIN n ON n.hub_id = p.hub_id""")
+def d6_related_hubs(v):
+    return compare.related_hubs(*_order_scope(v))
+
+
 @query(_ORDER_SCOPE + _REL + """, reached AS (SELECT hub_id FROM per WHERE n >= 2 UNION SELECT hub_a FROM related UNION SELECT hub_b FROM related)
 SELECT DISTINCT framework_id, control_id FROM scope WHERE control_id NOT IN (SELECT control_id FROM scope WHERE hub_id IN (SELECT hub_id FROM reached))""")
 def d7_gap_controls(v):
@@ -262,6 +268,11 @@ def e6_coverage(v):
     return summaries.coverage(_exported(v), v.controls())
 
 
+@query(_EXPORTED + """ SELECT framework_id, id AS control_id FROM controls WHERE id NOT IN (SELECT control_id FROM exported)""")
+def e6_missing_controls(v):
+    return summaries.missing_controls(_exported(v), v.controls())
+
+
 @query("""SELECT *, total - pending AS reviewed, round(100.0 * (total - pending) / total, 1) AS pct_reviewed, round(100.0 * accepted / (total - pending), 1) AS accepted_rate,
   round(100.0 * rejected / (total - pending), 1) AS rejected_rate, round(100.0 * reassigned / (total - pending), 1) AS reassigned_rate FROM (SELECT count(*) AS total, count(*) FILTER (review_status = 'pending') AS pending,
   count(*) FILTER (review_status = 'accepted') AS accepted, count(*) FILTER (review_status = 'rejected') AS rejected, count(*) FILTER (review_status = 'reassigned') AS reassigned FROM assignments)""")
@@ -391,7 +402,7 @@ _GRID = cal.log_grid(0.01, 5.0, 200)
 i AS (SELECT t, item_id, sum(e) AS a, sum(CASE WHEN ok THEN e END) AS b FROM x GROUP BY 1, 2), l AS (SELECT t, avg(-ln(b / a + 1e-10)) AS nll FROM i GROUP BY 1)
 SELECT round(arg_min(t, nll), 6) AS t, round(min(nll), 6) AS nll FROM l""")
 def k2_temperature(v):
-    return cal.fit_temperature(v.sims(), v.valid(), _GRID)
+    return cal.fit_temperature_of(v.items(), v.vector_hubs(), v.valid(), _GRID)
 
 
 _THR = cal.linear_grid(0.001, 0.999, 200)
@@ -401,7 +412,7 @@ _THR = cal.linear_grid(0.001, 0.999, 200)
   FROM g, probs p LEFT JOIN valid v ON v.item_id = p.item_id AND v.hub_id = p.hub_id GROUP BY 1, 2), f AS (SELECT t, 2 * sum(tp) / (2 * sum(tp) + sum(fp) + count(*) FILTER (tp = 0)) AS f1 FROM x GROUP BY 1)
 SELECT t AS threshold, round(f1, 6) AS f1 FROM f ORDER BY f1 DESC, t LIMIT 1""")
 def k4_threshold(v):
-    return cal.global_threshold(_probs(v), v.valid(), _THR)
+    return cal.global_threshold_of(v.items(), v.vector_hubs(), v.valid(), 0.1, _THR)
 
 
 @query(_P + """, s AS (SELECT item_id, 1 - sum(p) AS s FROM probs JOIN valid USING (item_id, hub_id) GROUP BY 1), n AS (SELECT count(*) AS n, least(ceil((count(*) + 1) * 0.9) / count(*), 1.0) * (count(*) - 1) AS pos FROM s),

@@ -112,11 +112,14 @@ def c16_publication_gate(v):
     return quality.publication_issues(v.assignments().select("id", F.col("review_status").alias("status")), bridges, related)
 
 
-@query("""SELECT round(count(*) FILTER (review_status = 'accepted') / count(*), 6) AS rate, count(DISTINCT hub_id) FILTER (review_status = 'accepted') AS hubs,
-  round(count(*) FILTER (review_status = 'accepted') / count(*), 6) > 0.80 AND 0.7 >= 0.50 AND count(DISTINCT hub_id) FILTER (review_status = 'accepted') >= 50 AS stop FROM assignments WHERE review_status <> 'pending'""")
+@query(_OWNED + """, ok AS (SELECT DISTINCT section_id AS item_id, hub_id FROM owned WHERE provenance = 'ground_truth'),
+c AS (SELECT avg(CASE WHEN ok.item_id IS NOT NULL THEN 1.0 ELSE 0.0 END) AS canary FROM owned o LEFT JOIN ok ON ok.item_id = o.section_id AND ok.hub_id = o.hub_id WHERE review_status NOT IN ('pending', 'rejected')),
+r AS (SELECT round(count(*) FILTER (review_status = 'accepted') / count(*), 6) AS rate, count(DISTINCT hub_id) FILTER (review_status = 'accepted') AS hubs FROM assignments WHERE review_status <> 'pending')
+SELECT rate, hubs, round(canary, 6) AS canary, rate > 0.80 AND canary >= 0.50 AND hubs >= 50 AS stop FROM r, c""")
 def c17_stopping(v):
     r = summaries.round_status(v.assignments().select(F.col("review_status").alias("status"), "hub_id")).select("rate", "hubs").first()
-    return v.spark.createDataFrame([(r.rate, r.hubs, evaluation.stopping(r.rate, 0.7, r.hubs))], "rate double, hubs bigint, stop boolean")
+    canary = e15_canary_accuracy(v).first().accuracy
+    return v.spark.createDataFrame([(r.rate, r.hubs, canary, evaluation.stopping(r.rate, canary, r.hubs))], "rate double, hubs bigint, canary double, stop boolean")
 
 
 @query(_OWNED + """, f AS (SELECT framework_id AS fold, round(quantile_cont(confidence, 0.25), 6) AS lo FROM owned WHERE confidence IS NOT NULL GROUP BY 1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import join_present, sanitize
 from ..operators import calibration, compare, filters, hierarchy, linking, proposals, quality, review, similarity, snapshots, summaries
 from ..schemas import GROUND_TRUTH
+from ..session import durable
 from ..sources import writers
 
 
@@ -28,7 +29,7 @@ class Crosswalk:
             raise ValueError("two frameworks or more are compared")
         scope = compare.in_scope(self.assignments, self.controls, frameworks)
         return {
-            "equivalences": compare.equivalences(scope, self.hubs), "related": compare.related_siblings(scope, self.hubs),
+            "equivalences": compare.equivalences(scope, self.hubs), "related": compare.related_hubs(scope, self.hubs),
             "gaps": compare.gap_controls(scope, self.hubs), "overlap": compare.pair_overlap(scope),
         }
 
@@ -151,12 +152,13 @@ def ingest(rows: DataFrame, framework_id: str, known: DataFrame, hubs: DataFrame
     return {**ready, "assignments": top, "duplicates": near, "summary": summaries.ingest_summary(best, near)}
 
 
-def calibrate(sims: DataFrame, valid: DataFrame, *, alpha: float = 0.1, grid: list[float] | None = None) -> dict[str, float]:
-    """Temperature, conformal quantile and out-of-distribution threshold of labelled similarities."""
-    t = calibration.fit_temperature(sims, valid, grid or calibration.log_grid(0.01, 5.0, 200)).first().t
-    probs = similarity.softmax(sims, t)
-    q = calibration.conformal_quantile(probs, valid, alpha).first().quantile
-    o = calibration.ood_threshold(sims.groupBy("item_id").agg(F.max("sim").alias("max_sim"))).first().threshold
+def calibrate(items: DataFrame, hubs: DataFrame, valid: DataFrame, *, alpha: float = 0.1, grid: list[float] | None = None) -> dict[str, float]:
+    """Temperature, conformal quantile and out-of-distribution threshold of labelled items (item_id, embedding) and
+    hubs (hub_id, embedding), with valid pairs (item_id, hub_id); no row a pair is made."""
+    t = calibration.fit_temperature_of(items, hubs, valid, grid or calibration.log_grid(0.01, 5.0, 200)).first().t
+    sums = durable(calibration.grid_sums(items, hubs, valid, [t]), "sums")
+    q = calibration.conformal_of(sums, alpha).first().quantile
+    o = calibration.ood_threshold(sums.select("item_id", F.col("m").alias("max_sim"))).first().threshold
     return {"temperature": t, "quantile": q, "ood_threshold": o}
 
 

@@ -204,3 +204,34 @@ def test_index_of_nothing(spark):
     kind = "item_id long, embedding array<float>"
     for rows in ([], [(1, None)], [(1, [1.0, 0.0])], [(1, [1.0, 0.0]), (2, [1.0, 0.0])]):
         assert vector_index.near_duplicates(spark.createDataFrame(rows, kind), similar=0.5).collect() == []
+
+
+# --- calibration without pairs --------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [20_000, 4])
+def test_sums_over_blocks_equal_those_over_pairs(spark, monkeypatch, block):
+    from loomwork.operators import calibration as cal
+    from loomwork.operators import similarity
+
+    monkeypatch.setattr(similarity, "HUB_BLOCK", block)
+    rng = np.random.default_rng(3)
+    hubs_x, items_x = rng.normal(size=(11, 4)), rng.normal(size=(30, 4))
+    hubs = spark.createDataFrame([(f"h{k}", [float(c) for c in v]) for k, v in enumerate(hubs_x)], "hub_id string, embedding array<double>")
+    items = spark.createDataFrame([(k, [float(c) for c in v], "x") for k, v in enumerate(items_x)], "item_id long, embedding array<double>, right string").drop("right")
+    right = {(k, f"h{rng.integers(11)}") for k in range(25) for _ in range(3)} | {(1, "unknown"), (99, "h1")}
+    valid = spark.createDataFrame(sorted(right), "item_id long, hub_id string")
+    grid = [0.05, 0.5, 3.0]
+    got = {(r.item_id, r.i): (r.m, r.a, r.v) for r in cal.grid_sums(items, hubs, valid, grid).collect()}
+    assert len(got) == 90
+    for k, x in enumerate(items_x):
+        s = hubs_x @ x
+        for i, t in enumerate(grid):
+            e = np.exp((s - s.max()) / t)
+            ok = [j for j in range(11) if (k, f"h{j}") in right]
+            m, a, v = got[k, i]
+            assert np.isclose(m, s.max()) and np.isclose(a, e.sum(), rtol=1e-9) and (v is None if not ok else np.isclose(v, e[ok].sum(), rtol=1e-9))
+    sims = similarity.similarities(items, hubs)
+    assert cal.fit_temperature_of(items, hubs, valid, grid).first() == cal.fit_temperature(sims, valid, grid).first()
+    steps = cal.linear_grid(0.01, 0.99, 30)
+    assert cal.global_threshold_of(items, hubs, valid, 0.5, steps).first() == cal.global_threshold(similarity.softmax(sims, 0.5), valid, steps).first()
