@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import persisted, table
+from loomwork.llm.common import kept, table
 from loomwork.llm.decontaminate import drop_contaminated
 from loomwork.llm.near_duplicates import keep_one
 from loomwork.llm.packing import pack_sequences
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, drop = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = persisted(stage(spark, docs, sf_dir), name)
+        docs, own = kept(stage(spark, docs, sf_dir), name)
+        if drop:
+            drop()  # the stage is written: what it read is used up
+        drop = own
     return STAGES[-1][1](spark, docs, sf_dir)
