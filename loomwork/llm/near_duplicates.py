@@ -23,16 +23,16 @@ set and its size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clustering import components
-from .common import SEED, SENT_IDS, mixed, persisted, shingle_hashes, space_table, times_seed, utf8, word_hashes
+from .common import SEED, SENT_IDS, mixed, kept, persisted, shingle_hashes, space_table, times_seed, utf8, word_hashes
 
 SHINGLE_WORDS = 5
 MIN_HASHES = 4
@@ -148,6 +148,17 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     return rows.mapInPandas(sketch, f"doc_id {kind}, r long, n int, e long, f long, keys array<long>, bits binary, prefix array<long>")
 
 
+def _step(df: DataFrame, what: str, used: Drops) -> DataFrame:
+    rows, drop = kept(df, what)
+    used.append(drop)
+    return rows
+
+
+def _delete(used: Drops) -> None:
+    while used:
+        used.pop()()
+
+
 def set_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = [shingle_set(t) for t in pdf["text"]]
@@ -183,8 +194,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, clashes
     return told_apart(texts.mapInPandas(set_rows, "e long, f long, n int, s binary"), clashes).select("e", "s")
 
 
-def verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, clashes: DataFrame | None) -> DataFrame:
-    """The pairs (a, b) that are linked: bitmap bound first, then exact intersection."""
+Drops = list[Callable[[], None]]
+
+
+def verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, clashes: DataFrame | None, used: Drops) -> DataFrame:
+    """The pairs (a, b) that are linked: bitmap bound first, then exact intersection.
+
+    ``used`` gets what deletes the folders in between, for when the pairs are written."""
 
     @F.pandas_udf("boolean")
     def may_link(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
@@ -200,9 +216,9 @@ def verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, id_col: str
 
     side = lambda c: entities.select(F.col("e").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}"), F.col("doc_id").alias(f"doc_{c}"))
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("bits_a", "bits_b", "n_a", "n_b"))
-    close = persisted(close.select("a", "b", "doc_a", "doc_b"), "candidates")
+    close = _step(close.select("a", "b", "doc_a", "doc_b"), "candidates", used)
     sets = sets_of(docs, close.select(F.col("doc_a").alias("id")).union(close.select("doc_b")), id_col, text_col, clashes)
-    sets = persisted(sets.dropDuplicates(["e"]), "sets")
+    sets = _step(sets.dropDuplicates(["e"]), "sets", used)
     both = close.join(sets.select(F.col("e").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("e").alias("b"), F.col("s").alias("s_b")), "b")
     return both.where(links("s_a", "s_b")).select("a", "b")
 
@@ -217,12 +233,14 @@ def leader_pairs(entities: DataFrame, percent: int) -> DataFrame:
 
 
 def tiles(entities: DataFrame, labels: DataFrame) -> DataFrame:
-    """h, e, comp, n, size: the tiles of prefix shingles that more than one component meets in."""
+    """h, e, comp, n, size: the tiles of prefix shingles that more than one component meets in.
+
+    Tiles are counted first, which combines before the shuffle; their rows meet the counts in a join, whose
+    hot keys adaptive execution splits."""
     named = entities.join(labels.select(F.col("v").alias("e"), "comp"), "e", "left").select("e", F.coalesce("comp", "e").alias("comp"), "n", "prefix")
     rows = named.select("e", "comp", "n", F.explode("prefix").alias("h"))
-    w = Window.partitionBy("h")
-    rows = rows.select("h", "e", "comp", "n", F.count("*").over(w).cast("int").alias("size"), F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"))
-    return rows.where("lo <> hi").drop("lo", "hi")
+    met = rows.groupBy("h").agg(F.count("*").cast("int").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "size")
+    return rows.join(met, "h").select("h", "e", "comp", "n", "size")
 
 
 def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -303,7 +321,7 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, comps: l
 
 
 def large_tile_links(
-    rows: DataFrame, entities: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, clashes: DataFrame | None, block_sets: int,
+    rows: DataFrame, entities: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, clashes: DataFrame | None, block_sets: int, used: Drops,
 ) -> DataFrame:
     """Links (a, b) among entities of a large tile, by pairs of its blocks.
 
@@ -318,12 +336,12 @@ def large_tile_links(
     mixed_parts = by_comp.join(own, ["h", "band", "comp"], "left_anti").groupBy("h", "band").agg(parts.alias("k"))
     placed = rows.join(own, ["h", "band", "comp"], "left").join(mixed_parts, ["h", "band"], "left")
     block = F.when(F.col("k_own").isNotNull(), F.xxhash64("comp", F.pmod(F.xxhash64("e"), F.col("k_own")))).otherwise(F.pmod(F.xxhash64("comp"), F.col("k")))
-    placed = persisted(placed.select("h", "e", "comp", "band", block.alias("i")), "blocks")
+    placed = _step(placed.select("h", "e", "comp", "band", block.alias("i")), "blocks", used)
     blocks = placed.groupBy("h", "band", "i").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     x = blocks.select("h", F.col("band").alias("b1"), F.col("i").alias("i1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.explode(F.array("band", F.col("band") + 1)).alias("b2"))
     y = blocks.select("h", F.col("band").alias("b2"), F.col("i").alias("i2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     pairs = x.join(y, ["h", "b2"]).where("(b1 < b2 OR i1 <= i2) AND least(lo1, lo2) <> greatest(hi1, hi2)").select("h", "b1", "i1", "b2", "i2")
-    pairs = persisted(pairs, "block-pairs")
+    pairs = _step(pairs, "block-pairs", used)
     left = placed.join(pairs.withColumnsRenamed({"b1": "band", "i1": "i"}).select("h", "band", "i", F.col("band").alias("b1"), F.col("i").alias("i1"), "b2", "i2"), ["h", "band", "i"])
     right = placed.join(pairs.where("b1 <> b2 OR i1 <> i2").select("h", F.col("b2").alias("band"), F.col("i2").alias("i"), "b1", "i1", "b2", "i2"), ["h", "band", "i"])
     ids = entities.select("e", F.col("doc_id").alias("id")).join(placed.select("e"), "e", "left_semi")
@@ -354,27 +372,35 @@ def near_duplicates(
     Other columns are ignored, and an empty table gives no rows.  ``large_tile`` and
     ``block_sets`` change how the work is dealt, not the result.
     """
-    all_rows = persisted(sketches(docs, id_col, text_col, percent), "sketches")
+    return _components(docs, id_col, text_col, percent, large_tile, block_sets, [])
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, large_tile: int, block_sets: int, read: Drops) -> DataFrame:
+    """``near_duplicates``; ``read`` gets what deletes the folders that its rows still read."""
+    all_rows = _step(sketches(docs, id_col, text_col, percent), "sketches", read)
     usable = all_rows.where("n > 0 AND doc_id IS NOT NULL")
     clashes = set_clashes(usable)
     usable = told_apart(usable, clashes)
     names = usable.groupBy("e").agg(F.min(F.struct("doc_id", "r")).alias("first")).select("e", "first.doc_id", "first.r")
-    names = persisted(names, "names")
+    names = _step(names, "names", read)
     entities = usable.join(names.select("r"), "r", "left_semi")
 
-    near = persisted(verified(leader_pairs(entities, percent), entities, docs, id_col, text_col, percent, clashes), "links")
+    used: Drops = []
+    near = persisted(verified(leader_pairs(entities, percent), entities, docs, id_col, text_col, percent, clashes, used), "links")
+    _delete(used)
     first = components(near)
-    met = persisted(tiles(entities, first), "tiles")
+    met = _step(tiles(entities, first), "tiles", used)
     small, large = met.where(F.col("size") <= large_tile).drop("size"), met.where(F.col("size") > large_tile).drop("size")
-    more = verified(tile_pairs(small, percent), entities, docs, id_col, text_col, percent, clashes)
+    more = verified(tile_pairs(small, percent), entities, docs, id_col, text_col, percent, clashes, used)
     if not large.isEmpty():
-        more = more.union(large_tile_links(large, entities, docs, id_col, text_col, percent, clashes, block_sets))
+        more = more.union(large_tile_links(large, entities, docs, id_col, text_col, percent, clashes, block_sets, used))
     more = persisted(more, "links")
+    _delete(used)
     if not more.isEmpty():
         first = components(near.union(more))
 
     classes = names.join(first.withColumnRenamed("v", "e"), "e", "left").select("e", "doc_id", F.coalesce("comp", "e").alias("comp"))
-    least = persisted(classes.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "classes")
+    least = _step(classes.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "classes", read)
     classes = classes.join(least, "comp").select("e", "component_id")
     rows = told_apart(all_rows, clashes).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("e")).alias("e"))
     linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -385,7 +411,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` whose id is the smallest of their component, and those without an id.
 
     Of rows that repeat an id and its text one stays; different texts of one id all stay."""
-    found = persisted(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent), "components")
+    read: Drops = []
+    found = persisted(_components(docs, id_col, text_col, percent, LARGE_TILE, BLOCK_SETS, read), "components")
+    _delete(read)
     gone = persisted(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
     # A list of few enough ids goes to the scan, so that texts do not move for it.
     left = docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, id_col, "left_anti").select(docs.columns)
