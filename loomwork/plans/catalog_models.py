@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import document_fields as fields
 from ..functions.vectors import cosine, norm, normalised
 from ..operators import calibration as cal
 from ..operators import asof, clustering, density, evaluation, hierarchy, linking, proposals, sampling, similarity, vector_index
-from . import publish
+from . import documents, publish
 from .catalog import _GRID, _LINKS7, _METRICS, _P, _RANKS, _TOP, _links, _probs, _ranks, query
 from .views import Views
 
@@ -249,6 +250,28 @@ def a14_last_before(v):
     return asof.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, by=["user_id"], at="ts", values=["click_id", "click_value"], strict=True).drop("ts")
 
 
+@query(""", tree AS (SELECT id, name, CAST(name AS VARCHAR) AS path, parent_id FROM hubs WHERE parent_id IS NULL UNION ALL SELECT h.id, h.name, concat(t.path, ' > ', h.name), h.parent_id FROM tree t JOIN hubs h ON h.parent_id = t.id)
+SELECT id AS hub_id, name, path, parent_id, id NOT IN (SELECT parent_id FROM hubs WHERE parent_id IS NOT NULL) AS is_leaf FROM tree""")
+def b9_hub_reference(v):
+    return documents.hub_reference(hierarchy.build_tree(*v.nodes()))
+
+
+@query("""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\\b([A-Z][a-z]{1,3}) [a-z]', 1))) AS refs FROM documents WHERE text IS NOT NULL""", plain=True)
+def a14_references(v):
+    d = v.table("documents").where("text IS NOT NULL")
+    return d.select("doc_id", fields.distinct_captures(F.col("text"), r"\b([A-Z][a-z]{1,3}) [a-z]").alias("refs"))
+
+
+@query(""", want AS (SELECT framework_id, CASE WHEN framework_id LIKE '%3' THEN count(*) + 9 WHEN framework_id LIKE '%4' THEN count(*) + 1 ELSE count(*) END AS n, framework_id LIKE '%4' AS exact FROM controls GROUP BY 1 UNION ALL SELECT 'none', 5, false),
+f AS (SELECT framework_id, count(*) AS found FROM controls GROUP BY 1)
+SELECT w.framework_id, coalesce(found, 0) AS found, n AS expected, CASE WHEN coalesce(found, 0) = 0 OR (exact AND found <> n) THEN 'error' WHEN abs(coalesce(found, 0) - n) > 0.1 * n THEN 'warning' ELSE 'ok' END AS level FROM want w LEFT JOIN f USING (framework_id)""")
+def a14_count_check(v):
+    c = v.controls()
+    f = F.col("framework_id")
+    want = c.groupBy("framework_id").agg(F.count("*").alias("n")).select("framework_id", (F.col("n") + F.when(f.endswith("3"), 9).when(f.endswith("4"), 1).otherwise(0)).alias("n"), f.endswith("4").alias("exact"))
+    return fields.count_check(c, want.union(v.spark.createDataFrame([("none", 5, False)], "framework_id string, n long, exact boolean")))
+
+
 @query("SELECT label, count(*) AS n, round(avg(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 5) AS mean_norm FROM embeddings GROUP BY 1", plain=True)
 def j1_norms(v):
     return v.table("embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(norm(F.col("embedding"))), 5).alias("mean_norm"))

@@ -13,6 +13,8 @@ from ..operators import calibration, compare, filters, hierarchy, linking, propo
 from ..schemas import GROUND_TRUTH
 from ..session import durable
 from ..sources import writers
+from ..sources.versions import VersionLog
+from . import documents
 
 
 @dataclass
@@ -53,6 +55,10 @@ class Crosswalk:
         level = filters.text_quality(F.col("description"))
         return rows.withColumn("text_quality", level).withColumn("priority", filters.review_priority(F.col("confidence"), level, F.col("is_ood"), threshold))
 
+    def write_review(self, path: str, threshold: float = 0.5) -> None:
+        """A folder for reviewers: the rows, the hub reference and a guide."""
+        documents.write_review_bundle(self.review_export(threshold), self.hubs, path)
+
     def review_import(self, decisions: DataFrame) -> Crosswalk:
         """A new crosswalk; refuses decisions that break a rule."""
         bad = quality.review_issues(decisions, self.assignments, self.hubs).where("rule <> 'pending'")
@@ -101,6 +107,11 @@ class Crosswalk:
         frameworks = self.frameworks if self.frameworks is not None else self.controls.select(F.col("framework_id").alias("id")).distinct()
         return {"crosswalk": rows, "frameworks": summaries.framework_metadata(frameworks, self.controls, self.assignments)}
 
+    def publish_dataset(self, log: VersionLog, title: str, key: str, *, licence: str) -> int:
+        """The data set, its frameworks and its card as one version of ``log``."""
+        found = self.dataset()
+        return documents.publish_dataset(log, found, documents.dataset_card(title, found, licence=licence), key)
+
     def inspect(self, hub_id: str) -> dict[str, DataFrame]:
         h = self.hubs
         return {
