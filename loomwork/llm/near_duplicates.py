@@ -28,7 +28,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.clustering import components
@@ -44,6 +44,8 @@ BITMAP_BITS = (64, 4096)
 COMMON_IN_BATCH = 3
 COMMON_SHARE = 1 / 20_000
 COMMON_LISTED = 500_000
+#: Prefix rows of one slot of shingles beyond which its tiles are counted before they are joined.
+SLOTS, CROWDED = 1 << 20, 1_000_000
 #: Entities in a tile beyond which it is worked through in blocks, and the size of a block.
 LARGE_TILE = 128
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 400_000
@@ -235,12 +237,27 @@ def leader_pairs(entities: DataFrame, percent: int) -> DataFrame:
 def tiles(entities: DataFrame, labels: DataFrame) -> DataFrame:
     """h, e, comp, n, size: the tiles of prefix shingles that more than one component meets in.
 
-    Tiles are counted first, which combines before the shuffle; their rows meet the counts in a join, whose
-    hot keys adaptive execution splits."""
+    Tiles are sized by a window, for which each row moves once; those whose rows would be too many for one task are
+    counted first, which combines before the shuffle, and joined with their counts, which adaptive execution
+    splits.  A count of rows by ``SLOTS`` slots of the hash tells them apart.
+    """
     named = entities.join(labels.select(F.col("v").alias("e"), "comp"), "e", "left").select("e", F.coalesce("comp", "e").alias("comp"), "n", "prefix")
     rows = named.select("e", "comp", "n", F.explode("prefix").alias("h"))
-    met = rows.groupBy("h").agg(F.count("*").cast("int").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "size")
-    return rows.join(met, "h").select("h", "e", "comp", "n", "size")
+    slot = F.pmod("h", F.lit(SLOTS)).cast("int")
+    crowded = entities.select(F.explode("prefix").alias("h")).groupBy(slot.alias("slot")).agg(F.count("*").alias("c")).where(F.col("c") >= CROWDED).select("slot")
+    crowded = persisted(crowded, "crowded")
+    hot = None
+    if not crowded.isEmpty():
+        # At most SLOTS numbers.
+        flagged = rows.withColumn("slot", slot).join(F.broadcast(crowded.withColumn("_hot", F.lit(True))), "slot", "left").drop("slot")
+        hot, rows = flagged.where("_hot").drop("_hot"), flagged.where("_hot IS NULL").drop("_hot")
+    w = Window.partitionBy("h")
+    sized = rows.select("h", "e", "comp", "n", F.count("*").over(w).cast("int").alias("size"), F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"))
+    out = sized.where("lo <> hi").drop("lo", "hi")
+    if hot is not None:
+        met = hot.groupBy("h").agg(F.count("*").cast("int").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "size")
+        out = out.unionByName(hot.join(met, "h").select("h", "e", "comp", "n", "size"))
+    return out
 
 
 def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:

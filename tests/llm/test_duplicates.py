@@ -227,3 +227,18 @@ def test_very_long_texts(spark):
     got = {r.doc_id: r for r in remove_repeated(df, part_bytes=100_000).collect()}
     assert got[3].n_removed == got[3].n_bytes == 400_000 and 0 < got[1].n_removed < got[1].n_bytes
     assert {r.doc_id: r.n_removed for r in remove_repeated(df).collect()} == {d: r.n_removed for d, r in got.items()}
+
+
+def test_crowded_tiles_are_joined(spark, monkeypatch):
+    """Tiles of crowded slots give what the window gives."""
+    from loomwork.llm import near_duplicates as nd
+
+    rng = np.random.default_rng(2)
+    shared = [f"s{k}" for k in range(30)]
+    texts = [" ".join([*shared, *(f"w{rng.integers(60)}" for _ in range(int(rng.integers(0, 12))))]) for _ in range(60)] + [" ".join(f"x{rng.integers(400)}" for _ in range(20)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    want = sorted(map(tuple, nd.near_duplicates(df).collect()))
+    for crowded in (1, 25):
+        monkeypatch.setattr(nd, "CROWDED", crowded)
+        assert sorted(map(tuple, nd.near_duplicates(df, large_tile=10).collect())) == want
+    assert len({c for _, _, c in want}) < len(want)
