@@ -9,6 +9,7 @@ from ..functions import document_fields as fields
 from ..functions.vectors import cosine, norm, normalised
 from ..operators import calibration as cal
 from ..operators import asof, clustering, density, evaluation, hierarchy, linking, proposals, sampling, similarity, vector_index
+from ..sources import readers
 from . import documents, publish
 from .catalog import _GRID, _LINKS7, _METRICS, _P, _RANKS, _TOP, _links, _probs, _ranks, query
 from .views import Views
@@ -272,6 +273,14 @@ def a14_count_check(v):
     return fields.count_check(c, want.union(v.spark.createDataFrame([("none", 5, False)], "framework_id string, n long, exact boolean")))
 
 
+@query(""", first AS (SELECT id, framework_id, title, 'parsed' AS source FROM controls WHERE CAST(substr(id, 2) AS BIGINT) % 3 <> 0),
+second AS (SELECT id, framework_id, concat(title, ' (read)') AS title, 'extracted' AS source FROM controls WHERE CAST(substr(id, 2) AS BIGINT) % 2 = 0)
+SELECT * FROM first UNION ALL SELECT * FROM second WHERE id NOT IN (SELECT id FROM first)""")
+def h5_united_sources(v):
+    c, n = v.controls().select("id", "framework_id", "title"), F.substring("id", 2, 20).cast("long")
+    return readers.united({"parsed": c.where(n % 3 != 0), "extracted": c.where(n % 2 == 0).withColumn("title", F.concat("title", F.lit(" (read)")))}, ["id"])
+
+
 @query("SELECT label, count(*) AS n, round(avg(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 5) AS mean_norm FROM embeddings GROUP BY 1", plain=True)
 def j1_norms(v):
     return v.table("embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(norm(F.col("embedding"))), 5).alias("mean_norm"))

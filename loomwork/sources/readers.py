@@ -325,6 +325,49 @@ def read_links(spark: SparkSession, path: str, schema: str = HUB_LINKS) -> DataF
     return spark.read.schema(schema).json(path).where(F.coalesce(*[F.col(f.name).cast("string") for f in struct(schema)]).isNotNull())
 
 
+def united(parts: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """Rows of several tables with one key, and the ``source`` each comes from: for each key the row of the first table
+    that has it (links and later rounds, parsed and extracted documents, controls and risks).
+
+    Columns that a table does not have are null. Rows that repeat a key within their table stay once; rows with a null in their
+    key are all kept.
+    """
+    every, names = None, list(parts)
+    for place, (name, df) in enumerate(parts.items()):
+        part = df.withColumns({"source": F.lit(name), "_place": F.lit(place)})
+        every = part if every is None else every.unionByName(part, allowMissingColumns=True)
+    if every is None:
+        raise ValueError(f"nothing to unite: {names}")
+    whole = " AND ".join(f"{k} IS NOT NULL" for k in key)
+    others = [c for c in every.columns if c not in key]
+    first = every.where(whole).groupBy(*key).agg(F.min_by(F.struct(*others), F.struct("_place", F.xxhash64(*others))).alias("_r"))
+    return first.select(*key, "_r.*").unionByName(every.where(f"NOT ({whole})")).drop("_place")
+
+
+def read_numbers(spark: SparkSession, path: str) -> DataFrame:
+    """file, name, value of every number in JSON documents, by its dotted path (measures, calibration, metadata);
+    list places count from 0. A document that is no JSON stops the reading."""
+    import json
+
+    def walk(value: object, name: str) -> Iterator[tuple[str, float]]:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                yield from walk(v, f"{name}.{k}" if name else str(k))
+        elif isinstance(value, list):
+            for k, v in enumerate(value):
+                yield from walk(v, f"{name}.{k}" if name else str(k))
+        elif isinstance(value, (int, float)) and not isinstance(value, bool):
+            yield name, float(value)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(file, name, value) for file, text in zip(pdf["file"], pdf["value"], strict=True) for name, value in walk(json.loads(text), "")]
+            yield pd.DataFrame(rows, columns=["file", "name", "value"])
+
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return files.mapInPandas(parse, "file string, name string, value double")
+
+
 def framework_totals(frameworks: DataFrame) -> DataFrame:
     """Frameworks and controls of merged documents."""
     return frameworks.agg(F.count("*").alias("frameworks"), F.coalesce(F.sum(F.size("controls")), F.lit(0)).cast("long").alias("controls"))

@@ -8,7 +8,7 @@ from loomwork.functions import document_fields as fields
 from loomwork.plans import documents
 from loomwork.plans.verbs import Crosswalk
 from loomwork.plans.views import Views
-from loomwork.sources import writers
+from loomwork.sources import readers, writers
 from loomwork.sources.versions import VersionLog
 from tests.conftest import DATA
 
@@ -75,3 +75,17 @@ def test_latest_proposals(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2)], "name string, round int")
     assert sorted(r.name for r in documents.latest_proposals(rows).collect()) == ["b", "c"]
     assert documents.latest_proposals(rows.where("false")).count() == 0
+
+
+def test_united_sources(spark):
+    a = spark.createDataFrame([("x", 1), ("x", 1), ("y", 2), (None, 3)], "id string, n int")
+    b = spark.createDataFrame([("y", 9, "b"), ("z", 8, "b"), (None, 7, "b")], "id string, n int, more string")
+    got = sorted(map(tuple, readers.united({"first": a, "second": b}, ["id"]).select("id", "n", "source", "more").collect()), key=repr)
+    assert got == sorted([("x", 1, "first", None), ("y", 2, "first", None), ("z", 8, "second", "b"), (None, 3, "first", None), (None, 7, "second", "b")], key=repr)
+
+
+def test_numbers_of_documents(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"folds": [{"name": "a", "hit1": 0.5}, {"hit1": 1}], "t": {"value": 0.07, "on": True}, "none": None}))
+    (tmp_path / "n.json").write_text("[3]")
+    got = {(r.file, r.name): r.value for r in readers.read_numbers(spark, str(tmp_path)).collect()}
+    assert got == {("m.json", "folds.0.hit1"): 0.5, ("m.json", "folds.1.hit1"): 1.0, ("m.json", "t.value"): 0.07, ("n.json", "0"): 3.0}
