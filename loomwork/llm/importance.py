@@ -31,33 +31,34 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _grams(longest: int) -> str:
-    """SQL of the n-grams that end at each word of its own: ``w`` and the words before it."""
-    before = [f"lag(word, {k}) OVER w AS b{k}" for k in range(1, longest)]
-    grams = ["SELECT k, word AS gram FROM placed WHERE own"]
-    for n in range(2, longest + 1):
-        text = " || ' ' || ".join([*[f"b{k}" for k in range(n - 1, 0, -1)], "word"])
-        grams.append(f"SELECT k, {text} FROM placed WHERE own AND b{n - 1} IS NOT NULL")
-    return f"""
-        placed AS (SELECT k, word, i > carried AS own{"".join(", " + b for b in before)} FROM words
-                   {"WINDOW w AS (PARTITION BY k, part ORDER BY i)" if before else ""}),
-        grams AS ({" UNION ALL ".join(grams)})"""
-
-
 def bucket_sql(buckets: int, longest: int) -> str:
-    """Bucket counts (k, bucket, n) of the registered ``batch`` (k, part, carried, text); bucket null counts words."""
+    """Bucket counts (k, bucket, n) of the registered ``batch`` (k, part, carried, text); bucket null counts words.
+
+    A word gives the n-grams that end at it, if it is its part's own; the words before it come by window."""
+    before = [f"lag(word, {n}) OVER w AS b{n}" for n in range(1, longest)]
+    grams = [" || ' ' || ".join([*[f"b{k}" for k in range(n, 0, -1)], "word"]) for n in range(longest)]
+    ends = "".join(f"WHEN b{n} IS NULL THEN [{', '.join(grams[:n])}] " for n in range(1, longest))
+    every = f"[{', '.join(grams)}]"
+    window = "WINDOW w AS (PARTITION BY k, part ORDER BY i)" if before else ""
     return rf"""
         WITH texts AS (SELECT k, part, carried, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS found FROM batch),
         words AS (SELECT k, part, carried, unnest(found) AS word, generate_subscripts(found, 1) AS i FROM texts),
-        {_grams(longest)}
+        placed AS (SELECT {", ".join(["k", "word", "i > carried AS own", *before])} FROM words {window}),
+        grams AS (SELECT k, unnest({f"CASE {ends}ELSE {every} END" if ends else every}) AS gram FROM placed WHERE own)
         SELECT k, CAST(crc32(encode(gram)) % {buckets} AS INTEGER) AS bucket, count(*) AS n FROM grams GROUP BY k, bucket
-        UNION ALL SELECT k, NULL, count(*) FROM placed WHERE own GROUP BY k"""
+        UNION ALL SELECT k, NULL, CAST(sum(len(found) - carried) AS BIGINT) FROM texts GROUP BY k"""
 
 
 def _crc32(values: pa.Array) -> pa.Array:
+    """zlib's CRC of each value, cut out of the array's own bytes."""
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
-    return pa.array([zlib.crc32(v) for v in values.to_pylist()], pa.uint32())
+    if values.type != pa.binary():
+        values = values.cast(pa.binary())
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1].tolist() if len(values) else [0]
+    raw, crc = data.to_pybytes() if data else b"", zlib.crc32
+    return pa.array([crc(raw[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.uint32())
 
 
 def connection():
