@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 SEED = np.uint64(0x9E3779B97F4A7C15)
 _MULT = np.uint64(0x100000001B3)
 #: Ids up to this number (16 MB) are sent to the scan of the texts; more are joined by shuffle.
@@ -42,7 +44,7 @@ def kept(df: DataFrame, what: str) -> tuple[DataFrame, Callable[[], None]]:
     function that deletes the folder, to be called when all that reads it has been written."""
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    written(df, path, compression="zstd")
 
     def drop() -> None:
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -38,10 +38,11 @@ SHINGLE_WORDS = 5
 MIN_HASHES = 4
 #: A set's bitmap has the least power of two over its size, within these bounds.
 BITMAP_BITS = (64, 4096)
-#: A shingle is common if a task's batch has it in so many documents, and all tasks together in
-#: this share of the corpus; at most so many are listed.  Which ones are listed sets the order of
-#: shingles and so the work, never the result.
-COMMON_IN_BATCH = 3
+#: A shingle is common if a task's batch has it in so many documents (or this share of them), and all tasks
+#: together in so many, however large the corpus: a share of it would let tiles, and so pairs, grow with it.
+#: The most common are listed, at most so many.  Which ones are listed sets the order of shingles and so the
+#: work, never the result.
+COMMON_IN_BATCH, COMMON_IN_ALL = 3, 8
 COMMON_SHARE = 1 / 20_000
 COMMON_LISTED = 500_000
 #: Prefix rows of one slot of shingles beyond which its tiles are counted before they are joined.
@@ -103,9 +104,8 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
             often = counts >= max(COMMON_IN_BATCH, int(len(sets) * COMMON_SHARE))
             yield pd.DataFrame({"h": values[often].view(np.int64), "c": counts[often]})
 
-    total = docs.count()
     found = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    found = found.where(F.col("c") >= max(8, int(total * COMMON_SHARE))).orderBy(F.desc("c"), "h").limit(COMMON_LISTED).toPandas()
+    found = found.where(F.col("c") >= COMMON_IN_ALL).orderBy(F.desc("c"), "h").limit(COMMON_LISTED).toPandas()
     hashes = found["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], found["c"].to_numpy(np.int64)[order]

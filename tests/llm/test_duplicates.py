@@ -242,3 +242,41 @@ def test_crowded_tiles_are_joined(spark, monkeypatch):
         monkeypatch.setattr(nd, "CROWDED", crowded)
         assert sorted(map(tuple, nd.near_duplicates(df, large_tile=10).collect())) == want
     assert len({c for _, _, c in want}) < len(want)
+
+
+def test_shuffle_files_end_with_the_write(spark):
+    """What a step shuffled is off the disk once the step is written (they used to stay until the driver collected its garbage)."""
+    import time
+    from pathlib import Path
+
+    from loomwork.llm.common import kept
+    from loomwork.session import SHUFFLES_END, durable
+
+    folders = [f.getPath() for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before, setting = files(), spark.conf.get(SHUFFLES_END, None)
+    held = []  # a reference that garbage collection cannot take
+    for write in (lambda df: kept(df, "test")[0], lambda df: durable(df, "test")):
+        df = spark.range(20_000).groupBy("id").count().repartition(3, "count")
+        out = write(df)
+        held.append((df, out))
+        assert out.count() == 20_000
+    assert spark.conf.get(SHUFFLES_END, None) == setting
+    for _ in range(50):
+        # The counts' own shuffles, of a few bytes, may still be there.
+        left = [f for f in files() - before if f.exists() and f.stat().st_size > 10_000]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+
+
+def test_common_shingles_do_not_depend_on_the_corpus(spark):
+    """A shingle that nine documents share is common in a large corpus too, else its tiles grow with the corpus."""
+    from pyspark.sql import functions as F
+
+    from loomwork.llm.near_duplicates import common_shingles, shingle_set
+
+    docs = spark.range(0, 220_000, 1, 4).select(F.when(F.col("id") < 9, "one two three four five").otherwise(F.concat(F.lit("w"), F.col("id"))).alias("text"))
+    hashes, counts = common_shingles(docs, "text")
+    assert hashes.tolist() == shingle_set("one two three four five").tolist() and counts.tolist() == [9]
