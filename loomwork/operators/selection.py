@@ -17,12 +17,19 @@ from ..session import durable
 PARTS = 1024
 
 
-def order_statistics(values: DataFrame, name: str, ranks: list[int]) -> list[float]:
+def places(n: int, shares: list[float]) -> list[tuple[int, int, float]]:
+    """For each share of ``n`` values the ranks on both sides of its place, and how far it lies between them."""
+    return [(floor((n - 1) * s), ceil((n - 1) * s), (n - 1) * s - floor((n - 1) * s)) for s in shares]
+
+
+def order_statistics(values: DataFrame, name: str, ranks: list[int], weight: str | None = None) -> list[float]:
     """The values of the given ranks (from 0, in ascending order); nulls and NaN must be left out.
+    With ``weight``, a row stands for so many.
 
     ``values`` is read once a pass: give a written table.
     """
-    ends = values.agg(F.min(name).alias("lo"), F.max(name).alias("hi"), F.count(name).alias("n")).first()
+    many = F.sum(weight) if weight else F.count(name)
+    ends = values.agg(F.min(name).alias("lo"), F.max(name).alias("hi"), many.alias("n")).first()
     if not ranks:
         return []
     if ends["n"] is None or max(ranks) >= ends["n"] or min(ranks) < 0:
@@ -35,7 +42,7 @@ def order_statistics(values: DataFrame, name: str, ranks: list[int]) -> list[flo
         for k, (lo, hi) in enumerate(open_):
             inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
             bracket, part = F.when(inside, k).otherwise(bracket), F.when(inside, _part(x, lo, hi)).otherwise(part)
-        counts = values.select(x.alias("x"), bracket.alias("b"), part.alias("p")).where("b IS NOT NULL").groupBy("b", "p").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        counts = values.select(x.alias("x"), (F.col(weight) if weight else F.lit(1)).alias("w"), bracket.alias("b"), part.alias("p")).where("b IS NOT NULL").groupBy("b", "p").agg(F.sum("w").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         found: dict[int, list] = {}
         for r in counts.collect():  # at most PARTS + 1 a bracket
             found.setdefault(r["b"], []).append((r["p"], r["n"], r["lo"], r["hi"]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluation, filters, linking, quality, review, similarity, snapshots, summaries
+from ..operators import evaluation, filters, linking, pairs, quality, review, similarity, snapshots, summaries
 from ..sources import readers, writers
 from .catalog import _EXPORTED, _LINKS7, _P, _TOP, _exported, _links, query
 from .views import FLOOR, Views
@@ -174,8 +174,7 @@ SELECT count(*) AS controls, count(*) FILTER (sim < 0.2) AS ood, count(*) FILTER
   round(avg(p), 3) AS mean_confidence, round(avg(sim), 3) AS mean_max_sim FROM t LEFT JOIN d USING (item_id)""")
 def e16_ingest_summary(v):
     top = similarity.scored_top(v.items(), v.vector_hubs(), 1, 0.1).select("item_id", F.col("p").alias("confidence"), "max_sim", (F.col("max_sim") < 0.2).alias("is_ood"))
-    near = v.sims().where("sim >= 0.2").select("item_id", F.when(F.col("sim") >= 0.3, "duplicate").otherwise("similar").alias("tier"))
-    return summaries.ingest_summary(top, near, high=0.1)
+    return summaries.ingest_summary(top, pairs.tiers(v.items(), v.vector_hubs(), 0.2, 0.3), high=0.1)
 
 
 @query(_LINKS7 + ", k AS (SELECT hub_id, count(*) AS n FROM links GROUP BY 1) SELECT count(*) AS hubs, min(n) AS least, max(n) AS most, round(avg(n), 3) AS mean, round(quantile_cont(n, 0.5), 3) AS median FROM k")
