@@ -33,6 +33,8 @@ def resolve_sections(links: DataFrame, controls: DataFrame) -> DataFrame:
 
     All lookups are one keyed table with a rank, so a link is joined once for each of its keys
     and not once for each strategy.  Of controls with one key the largest id wins.
+    Both sides are shuffled: Spark's estimate leaves out that a row is spread over its keys, so it would
+    gather millions of them in the driver to send them out.
     """
     key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("k"))
     keyed = controls.select(
@@ -53,11 +55,11 @@ def resolve_sections(links: DataFrame, controls: DataFrame) -> DataFrame:
             F.struct(F.lit(5).alias("rank"), F.lit(5).alias("kind"), bare_key(s).alias("k")),
         )).alias("e"),
     ).select("link_id", "framework_id", "e.*")
-    hits = asked.join(lookup, ["framework_id", "kind", "k"]).groupBy("link_id").agg(F.min(F.struct("rank", "control_id")).alias("h"))
+    hits = asked.hint("merge").join(lookup, ["framework_id", "kind", "k"]).groupBy("link_id").agg(F.min(F.struct("rank", "control_id")).alias("h"))
     strategy = F.lit("unresolved")
     for rank, name in enumerate(STRATEGIES, 1):
         strategy = F.when(F.col("h.rank") == rank, name).otherwise(strategy)
-    out = links.select("link_id", "framework_id", "section_id").join(hits, "link_id", "left")
+    out = links.select("link_id", "framework_id", "section_id").join(hits.hint("merge"), "link_id", "left")
     return out.select("link_id", "framework_id", "section_id", F.col("h.control_id").alias("control_id"), strategy.alias("strategy"))
 
 

@@ -354,3 +354,14 @@ def test_uneven_rows_and_texts(spark):
     t = spark.createDataFrame([("S-1", " "), ("S-1", "in S-1 here"), ("S-1", "Name")], "section_id string, name string")
     assert [r.x for r in t.select(evaluation.evaluation_text(F.col("name"), F.col("section_id")).alias("x")).collect()] == ["S-1", "in S-1 here", "S-1: Name"]
     assert evaluation.stopping(0.81, 0.5, 50) and not evaluation.stopping(0.8, 0.9, 90)
+
+
+def test_resolving_sends_no_side_whole(spark):
+    """Neither the links' keys nor the hits go through the driver, whatever Spark takes their size to be."""
+    from loomwork import registry
+    from tests.conftest import DATA
+
+    out = registry.QUERIES["d8_resolve"](spark, f"{DATA}/sf0.001")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    strategies = {r.link_id: r.strategy for r in out.collect()}
+    assert strategies["P0"] == "direct" and strategies["P1"] == "title_exact" and strategies["P3"] == "normalized" and strategies["P4"] == "unresolved"
