@@ -83,6 +83,8 @@ SLOTS = 1 << 20
 #: Bytes of a gram, and of text whose grams are looked at together.
 GRAM = 5
 PART_BYTES = 1 << 20
+#: Bytes that a longer item and a text must share from the anchor on, before both are brought together.
+WIDE = 24
 
 
 def _grams(data: bytes) -> np.ndarray:
@@ -107,14 +109,64 @@ def _pieces(text: str) -> Iterator[np.ndarray]:
         yield _grams(data[k : k + PART_BYTES + GRAM - 1])
 
 
+def _wide(data: bytes, at: np.ndarray) -> np.ndarray:
+    """A hash of the ``WIDE`` bytes from each place on."""
+    rows = np.frombuffer(data, np.uint8)[at[:, None] + np.arange(WIDE)[None, :]]
+    out = np.full(len(at), 1, np.uint64)
+    for part in np.ascontiguousarray(rows).view(np.uint64).T:
+        out = (out ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _counted(texts: Iterator[str]) -> np.ndarray:
+    """How often each slot's grams occur.  Texts are counted together: a table a text would cost more than the text."""
+    total, held, n = np.zeros(SLOTS, np.int64), [], 0
+    for text in texts:
+        for grams in _pieces(text):
+            held.append(_slots(grams))
+            n += len(grams)
+        if n >= SLOTS:
+            total += np.bincount(np.concatenate(held), minlength=SLOTS)
+            held, n = [], 0
+    return total + np.bincount(np.concatenate(held), minlength=SLOTS) if held else total
+
+
+def _anchor(needle: str, often: np.ndarray) -> tuple[int, int]:
+    """The rarest gram of an item, and the hash of the bytes from it on (0 for an item shorter than ``WIDE``)."""
+    data = needle.encode("utf-8", "surrogatepass")
+    grams = np.concatenate(list(_pieces(needle)))
+    if len(data) < WIDE:
+        return int(grams[often[_slots(grams)].argmin()]), 0
+    at = int(often[_slots(grams[: len(data) - WIDE + 1])].argmin())
+    return int(grams[at]), int(_wide(data, np.array([at]))[0])
+
+
+def _found(text: str, short: np.ndarray, long: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different anchors (gram, hash) that a text may hold, by marks of the slots of grams and hashes."""
+    data, out = text.encode("utf-8", "surrogatepass"), []
+    for k, grams in enumerate(_pieces(text)):
+        slots = _slots(grams)
+        lone = grams[short[slots]]
+        at = np.flatnonzero(long[slots])
+        at = at[at + k * PART_BYTES + WIDE <= len(data)]
+        h = _wide(data, at + k * PART_BYTES)
+        keep = wide[_slots(h)]
+        out.append(np.stack([np.concatenate([lone, grams[at[keep]]]), np.concatenate([np.zeros(len(lone), np.int64), h[keep]])]))
+    found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    gram, h = np.unique(found, axis=1) if found.shape[1] > 1 else found
+    return gram, h
+
+
 def leaked_items(items: DataFrame, texts: DataFrame, least: int = GRAM) -> DataFrame:
     """(item_id, id): evaluation texts of ``least`` characters or more contained in other texts,
     case apart.
 
     A text that contains an item has all its runs of five bytes, so one of them finds it: the one
-    that is rarest in the texts, by counts in a table of fixed size. Texts are scanned for these anchors (a table
-    of marks of the same size goes to every task), joined with the items by the anchors they hold, and
-    compared whole. Neither side is gathered; an item shorter than a run is refused.
+    that is rarest in the texts, by counts in a table of fixed size. Texts are scanned for these anchors (tables
+    of marks of the same size go to every task), joined with the items by the anchors they hold, and
+    compared whole.  Of longer items ``WIDE`` bytes from the anchor on have to be the same too: a run alone stands in
+    many texts, and so candidates would outnumber what is found. Neither side is gathered; an item shorter than a run is refused.
     """
     if least < GRAM:
         raise ValueError(f"items need {GRAM} characters or more")
@@ -123,11 +175,7 @@ def leaked_items(items: DataFrame, texts: DataFrame, least: int = GRAM) -> DataF
     hay = texts.select("id", F.lower("text").alias("hay")).where("hay IS NOT NULL")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SLOTS, np.int64)
-        for pdf in batches:
-            for text in pdf["hay"]:
-                for grams in _pieces(text):
-                    total += np.bincount(_slots(grams), minlength=SLOTS)
+        total = _counted(text for pdf in batches for text in pdf["hay"])
         some = np.flatnonzero(total)
         yield pd.DataFrame({"slot": some, "n": total[some]})
 
@@ -138,38 +186,38 @@ def leaked_items(items: DataFrame, texts: DataFrame, least: int = GRAM) -> DataF
 
     def anchor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = []
-            for needle in pdf["needle"]:
-                grams = np.concatenate(list(_pieces(needle)))
-                found.append(int(grams[shared.value[_slots(grams)].argmin()]))
-            yield pd.DataFrame({"needle": pdf["needle"], "gram": np.array(found, np.int64)})
+            found = np.array([_anchor(needle, shared.value) for needle in pdf["needle"]], np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"needle": pdf["needle"], "nid": pdf["nid"], "gram": found[:, 0], "wide": found[:, 1]})
 
-    anchors = durable(needles.select("needle").distinct().mapInPandas(anchor, "needle string, gram long"), "anchors")
-    marks = np.zeros(SLOTS, bool)
+    one = needles.select("needle").distinct().withColumn("nid", F.xxhash64("needle"))
+    anchors = durable(one.mapInPandas(anchor, "needle string, nid long, gram long, wide long"), "anchors")
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"slot": np.unique(_slots(pdf["gram"].to_numpy(np.int64)))})
-
-    marks[anchors.select("gram").mapInPandas(slots, "slot long").distinct().toPandas()["slot"].to_numpy(np.int64)] = True  # at most SLOTS rows
+            gram, wide = _slots(pdf["gram"].to_numpy(np.int64)), pdf["wide"].to_numpy(np.int64)
+            lone = wide == 0
+            of = [gram[lone], gram[~lone], _slots(wide[~lone])]
+            yield pd.DataFrame({"kind": np.repeat(range(3), [len(x) for x in of]), "slot": np.concatenate(of)}).drop_duplicates()
+
+    marks = np.zeros((3, SLOTS), bool)
+    used = anchors.select("gram", "wide").mapInPandas(slots, "kind long, slot long").distinct().toPandas()  # at most three times SLOTS rows
+    marks[used["kind"].to_numpy(np.int64), used["slot"].to_numpy(np.int64)] = True
     marked = spark.sparkContext.broadcast(marks)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, found = [], []
-            for key, text in zip(pdf["id"], pdf["hay"], strict=True):
-                hit = [g[marked.value[_slots(g)]] for g in _pieces(text)]
-                grams = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
-                ids += [key] * len(grams)
-                found.append(grams)
-            yield pd.DataFrame({"id": pd.Series(ids, dtype=pdf["id"].dtype), "gram": np.concatenate(found) if found else np.zeros(0, np.int64)})
+            found = [_found(text, *marked.value) for text in pdf["hay"]]
+            ids = pdf["id"].repeat([len(g) for g, _ in found])
+            join = lambda k: np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64)
+            yield pd.DataFrame({"id": ids.to_numpy(), "gram": join(0), "wide": join(1)})
 
     # A text's key is its id and a hash: rows alike in both are alike, and each gives its own row at the end.
     keyed = hay.select(F.struct("id", F.xxhash64("hay")).alias("key"), "id", "hay")
     id_kind = hay.schema["id"].dataType.simpleString()
-    hits = keyed.select(F.col("key").alias("id"), "hay").select(F.to_json("id").alias("id"), "hay").mapInPandas(scan, "id string, gram long")
-    pairs = durable(hits.join(anchors, "gram").select("id", "needle").distinct(), "candidates")
-    checked = keyed.select(F.to_json("key").alias("_key"), "id", "hay").join(pairs.withColumnRenamed("id", "_key"), "_key").where(F.contains("hay", F.col("needle")))
+    hits = keyed.select(F.col("key").alias("id"), "hay").select(F.to_json("id").alias("id"), "hay").mapInPandas(scan, "id string, gram long, wide long")
+    # Items go by a hash here, as their texts would be repeated; equal hashes only add candidates.
+    pairs = durable(hits.join(anchors, ["gram", "wide"]).select("id", "nid").distinct(), "candidates")
+    checked = keyed.select(F.to_json("key").alias("_key"), "id", "hay").join(pairs.withColumnRenamed("id", "_key"), "_key").join(anchors.select("nid", "needle"), "nid").where(F.contains("hay", F.col("needle")))
     return checked.select(F.col("id").cast(id_kind).alias("id"), "needle").join(needles, "needle").select("item_id", "id")
 
 

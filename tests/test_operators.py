@@ -365,3 +365,39 @@ def test_resolving_sends_no_side_whole(spark):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     strategies = {r.link_id: r.strategy for r in out.collect()}
     assert strategies["P0"] == "direct" and strategies["P1"] == "title_exact" and strategies["P3"] == "normalized" and strategies["P4"] == "unresolved"
+
+
+def test_leak_anchors(monkeypatch):
+    """Every text that contains an item shows its anchor, whatever the item's length and the parts; one that only shares the
+    rare run does not. Texts are counted together, not each by a table of its own."""
+    import random
+
+    import numpy as np
+
+    from loomwork.operators import quality as q
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab c\u00e9") for _ in range(rng.randint(0, 200))) for _ in range(150)]
+    calls, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    often = q._counted(iter(texts))
+    assert len(calls) <= 2
+    want = np.zeros(q.SLOTS, np.int64)
+    for text in texts:
+        np.add.at(want, q._slots(q._grams(text.encode())), 1)
+    assert (often == want).all()
+    for part in (q.PART_BYTES, 7):
+        monkeypatch.setattr(q, "PART_BYTES", part)
+        for n in (5, 12, 23, 24, 25, 60):
+            for text in texts:
+                if len(text) < n:
+                    continue
+                at = rng.choice([0, len(text) - n, rng.randint(0, len(text) - n)])
+                gram, wide = q._anchor(text[at : at + n], often)
+                short, long, hashes = np.zeros((3, q.SLOTS), bool)
+                (long if wide else short)[q._slots(np.array([gram]))] = True
+                hashes[q._slots(np.array([wide]))] = bool(wide)
+                assert (gram, wide) in set(zip(*(x.tolist() for x in q._found(text, short, long, hashes)), strict=True))
+                if wide:
+                    run = int(gram).to_bytes(8, "little")[:5].decode("utf-8", "ignore")
+                    assert not len(q._found("x" * 30 + run + "x" * 30, short, long, hashes)[0])
