@@ -73,3 +73,40 @@ def test_best_of_with_equals():
         row, col = similarity.best_of(sims, k)
         want = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         assert row.tolist() == np.repeat(np.arange(40), k).tolist() and col.tolist() == want.ravel().tolist()
+
+
+@pytest.mark.parametrize("block", [20_000, 6])
+def test_pairs_leave_tasks_without_ids(spark, monkeypatch, block):
+    """A row that a task sends holds a batch of pairs; numbers are rounded as SQL does, without a negative zero."""
+    monkeypatch.setattr(similarity, "HUB_BLOCK", block)
+    sent, folded = [], pairs.folded
+    monkeypatch.setattr(pairs, "folded", lambda *a, **k: sent.append(folded(*a, **k)) or sent[-1])
+    x, h = np.random.default_rng(2).normal(size=(300, 3)), np.random.default_rng(3).normal(size=(20, 3))
+    items = spark.createDataFrame([(f"V{k}", [float(c) for c in row]) for k, row in enumerate(x)] + [("zero", [0.0, 0.0, 0.0])], "item_id string, embedding array<double>")
+    hubs = spark.createDataFrame([(f"H{k}", [float(c) for c in row]) for k, row in enumerate(h)], "hub_id string, embedding array<double>")
+    got = {(r.item_id, r.hub_id): r.cosine for r in pairs.cosine_pairs(items, hubs, digits=2).collect()}
+    cosine = x @ h.T / np.outer(np.linalg.norm(x, axis=1) + 1e-10, np.linalg.norm(h, axis=1) + 1e-10)
+    assert len(got) == 301 * 20 and all(got["zero", f"H{k}"] == 0 for k in range(20))
+    assert all(abs(got[f"V{i}", f"H{j}"] - cosine[i, j]) <= 0.005 + 1e-12 and round(got[f"V{i}", f"H{j}"], 2) == got[f"V{i}", f"H{j}"] for i in range(300) for j in range(20))
+    assert all(np.copysign(1, v) > 0 for v in got.values() if v == 0)
+    assert sent[-1].count() <= 100  # 6,020 pairs
+
+
+def test_block_tasks_are_even(spark, monkeypatch):
+    """Where blocks are held by tasks, every core has some, and none has many more rows than another."""
+    monkeypatch.setattr(similarity, "HUB_BLOCK", 10)
+
+    class Passed(similarity.Fold):
+        n = 0
+
+        def add(self, passing):
+            self.n += len(passing)
+
+        def end(self):
+            return {"held": np.array([len(self.held)]), "n": np.array([self.n])}
+
+    items = spark.range(4000).selectExpr("concat('V', id) AS item_id", "array(double(id), 1.0D) AS embedding")
+    hubs = spark.range(18).selectExpr("concat('H', id) AS hub_id", "array(double(id), 1.0D) AS embedding")
+    got = similarity.folded(hubs, "hub_id", items, Passed, "held long, n long").selectExpr("held", "n", "spark_partition_id() AS task").collect()
+    assert sum(r.n * r.held for r in got) == 4000 * 18
+    assert len({r.task for r in got}) == len(got) >= 8 and max(r.n for r in got) <= 1.3 * min(r.n for r in got)
