@@ -22,7 +22,9 @@ from .blocks import Fold, Rows, arrow_schema, block_of, met, result
 #: Rows of the side that is sent, in one block.
 HUB_BLOCK = 20_000
 #: Rows of the other side that are multiplied with a block at once.
-ROWS = 256
+ROWS = 128
+#: Vectors of a block that are multiplied with these rows at once: what follows a product then finds it in a core's cache.
+TILE = 1024
 #: Tasks for each shuffle partition, about, where blocks are held by tasks: the last ones to end are then short.
 TASKS_PER_PART = 3
 
@@ -103,12 +105,43 @@ def by_blocks(sent: DataFrame, name: str, rows: DataFrame, found: Callable[[pd.D
     return folded(sent, name, rows, lambda held: _Found(held, name, found, more), schema, more)
 
 
+def tiles(x: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The products of ``x`` with even parts of a block, and which vectors a part has."""
+    n = len(matrix)
+    parts = -(-n // TILE)
+    for k in range(parts):
+        at = slice(k * n // parts, (k + 1) * n // parts)
+        yield at, x @ matrix[at].T
+
+
+class ExpSums:
+    """For each row m, its greatest number so far, and a, the sum of exponentials under it; with marks also v, the sum
+    over those that are marked."""
+
+    def __init__(self, rows: int, temperature: float):
+        self.m, self.a, self.v, self.temperature = np.full(rows, -np.inf), np.zeros(rows), np.zeros(rows), temperature
+
+    def add(self, sims: np.ndarray, marked: np.ndarray | None = None) -> None:
+        """``sims`` is overwritten."""
+        m = np.maximum(self.m, sims.max(1))
+        under = np.exp((self.m - m) / self.temperature)
+        sims -= m[:, None]
+        sims /= self.temperature
+        np.exp(sims, out=sims)
+        self.m, self.a = m, self.a * under + sims.sum(1)
+        if marked is not None:
+            sims *= marked
+            self.v = self.v * under + sims.sum(1)
+
+
 def _kind(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
 def best_of(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the ``k`` greatest of each row, from the greatest; of equals the first columns."""
+    if k == 1:
+        return np.arange(len(sims)), sims.argmax(1)
     if k < sims.shape[1] // 4:  # those at or over the k-th greatest, equals too, and only they are sorted
         row, col = np.nonzero(sims >= np.partition(sims, -k, axis=1)[:, -k][:, None])
         order = np.lexsort((col, -sims[row, col], row))
@@ -182,7 +215,7 @@ def scored_top(items: DataFrame, hubs: DataFrame, k: int, temperature: float) ->
         sims = np.stack(pdf["embedding"]).astype(np.float64) @ matrix.T
         rows, at = best_of(sims, k)
         top = sims.max(1)
-        total = np.exp((sims - top[:, None]) / temperature).sum(1)
+        total = sum(np.exp((sims[:, c : c + TILE] - top[:, None]) / temperature).sum(1) for c in range(0, sims.shape[1], TILE))
         first = np.diff(rows, prepend=-1) > 0
         return pd.DataFrame({
             "item_id": pdf["item_id"].to_numpy()[rows], "hub_id": names[at], "sim": sims[rows, at],

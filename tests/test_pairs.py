@@ -110,3 +110,17 @@ def test_block_tasks_are_even(spark, monkeypatch):
     got = similarity.folded(hubs, "hub_id", items, Passed, "held long, n long").selectExpr("held", "n", "spark_partition_id() AS task").collect()
     assert sum(r.n * r.held for r in got) == 4000 * 18
     assert len({r.task for r in got}) == len(got) >= 8 and max(r.n for r in got) <= 1.3 * min(r.n for r in got)
+
+
+@pytest.mark.parametrize("tile", [1, 3, 1024])
+def test_tiles_of_a_block(monkeypatch, tile):
+    """Sums of exponentials put together tile by tile, over numbers too far apart for one exponential."""
+    monkeypatch.setattr(similarity, "TILE", tile)
+    x, h = np.random.default_rng(5).normal(size=(9, 4)) * 30, np.random.default_rng(6).normal(size=(11, 4))
+    got, marked = similarity.ExpSums(9, 0.1), np.random.default_rng(7).random((9, 11)) < 0.4
+    for at, sims in similarity.tiles(x, h):
+        got.add(sims, marked[:, at])
+    s = x @ h.T
+    e = np.exp((s - s.max(1)[:, None]) / 0.1)
+    assert np.allclose(got.m, s.max(1)) and np.allclose(got.a, e.sum(1)) and np.allclose(got.v, (e * marked).sum(1))
+    assert sum(at.stop - at.start for at, _ in similarity.tiles(x, h)) == 11 and all(p.shape[1] <= tile for _, p in similarity.tiles(x, h))
