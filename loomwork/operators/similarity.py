@@ -121,8 +121,8 @@ class ExpSums:
     def __init__(self, rows: int, temperature: float):
         self.m, self.a, self.v, self.temperature = np.full(rows, -np.inf), np.zeros(rows), np.zeros(rows), temperature
 
-    def add(self, sims: np.ndarray, marked: np.ndarray | None = None) -> None:
-        """``sims`` is overwritten."""
+    def add(self, sims: np.ndarray, marked: np.ndarray | None = None, rows: np.ndarray | slice = slice(None)) -> None:
+        """``sims`` is overwritten by its exponentials under the new m; marks are those of ``rows``, others have none."""
         m = np.maximum(self.m, sims.max(1))
         under = np.exp((self.m - m) / self.temperature)
         sims -= m[:, None]
@@ -130,8 +130,8 @@ class ExpSums:
         np.exp(sims, out=sims)
         self.m, self.a = m, self.a * under + sims.sum(1)
         if marked is not None:
-            sims *= marked
-            self.v = self.v * under + sims.sum(1)
+            self.v *= under
+            self.v[rows] += (sims[rows] * marked).sum(1)
 
 
 def _kind(df: DataFrame, name: str) -> str:

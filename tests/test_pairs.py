@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import duckdb
 import numpy as np
 import pytest
@@ -157,3 +159,32 @@ def test_own_hubs_alone_are_multiplied(monkeypatch):
     some = np.flatnonzero(np.isfinite(sims.max(1)))
     assert got["item_id"].tolist() == some.tolist() and got["hub_id"].tolist() == held.hub_id[sims[some].argmax(1)].tolist()
     assert np.allclose(got["sim"].astype(float), sims[some].max(1)) and max(cells) == np.bincount(held.label).max()
+
+
+def _folds(spark, monkeypatch, query):
+    """The folds that ``query`` of 200 items and 3,000 hubs of 10 labels sets going, and its rows."""
+    rng, made = np.random.default_rng(17), []
+    for module in (pairs, similarity):
+        monkeypatch.setattr(module, "folded", lambda *a, _f=module.folded, **k: made.append(a[3]) or _f(*a, **k))
+    rows = lambda n, name: spark.createDataFrame([(f"{name[0]}{k:04d}", [float(c) for c in v], k % 10) for k, v in enumerate(rng.normal(size=(n, 16)))], f"{name} string, embedding array<double>, label int")
+    items, hubs = rows(200, "item_id"), rows(3000, "hub_id")
+    out = query(items, hubs)
+    held, passing = (pairs.Rows({c: np.stack(v) if c == "embedding" else v.to_numpy() for c, v in df.toPandas().items()}) for df in (hubs, items))
+    return made, held, passing, out
+
+
+def test_sums_look_at_rows_of_a_tiles_labels(spark, monkeypatch):
+    """Marks of valid hubs are made for items of a tile's labels, not for all; items and hubs may be without a label."""
+    monkeypatch.setattr(similarity, "TILE", 100)
+    (fold,), held, passing, _ = _folds(spark, monkeypatch, lambda items, hubs: pairs.softmax_sums(items, hubs, 0.5))
+    cells, add = [], similarity.ExpSums.add
+    monkeypatch.setattr(similarity.ExpSums, "add", lambda self, sims, marked, *a: cells.append(marked.size) or add(self, sims, marked, *a))
+    held.columns["label"] = np.where(np.arange(3000) % 7 == 0, np.nan, held.label)
+    passing.columns["label"] = np.array([np.nan, 77.0, *passing.label[2:]])
+    got = fold(held).add(passing)
+    assert sum(cells) < 200 * 3000 / 4
+    s = (passing.embedding @ held.embedding.T) / 0.5
+    e, right = np.exp(s - s.max(1)[:, None]), passing.label[:, None] == held.label[None, :]
+    assert np.allclose(got["m"], s.max(1) * 0.5) and np.allclose(got["a"], e.sum(1)) and np.isnan(got["v"][:2]).all() and np.allclose(got["v"][2:], (e * right).sum(1)[2:])
+    held.columns["label"] = np.full(3000, np.nan)
+    assert np.isnan(fold(held).add(passing)["v"]).all()
