@@ -214,3 +214,30 @@ def test_totals_multiply_once(spark, monkeypatch):
     for df in (out, _folds(spark, monkeypatch, lambda items, hubs: pairs.softmax_totals(items, hubs, 0.01))[3]):
         rows = df.collect()
         assert len(rows) == 200 and all(abs(r.total - 1) < 1e-9 for r in rows)
+
+
+@pytest.mark.parametrize("block", [20_000, 400])
+def test_least_of_equal_vectors(spark, monkeypatch, block):
+    """Of hubs that are one vector the first id is the least, wherever they stand in a matrix."""
+    monkeypatch.setattr(similarity, "HUB_BLOCK", block)
+    rng = np.random.default_rng(19)
+    x, h = (rng.normal(size=(n, 64)).astype(np.float32).astype(float) for n in (27, 1001))
+    x[:, 0], h[:, 0], h[[3, 333, 700, 999, 1000]] = 40.0, 0.0, np.array([-30.3, *rng.normal(size=63)])
+    items = spark.createDataFrame([(f"V{k}", [float(c) for c in row]) for k, row in enumerate(x)], "item_id string, embedding array<double>")
+    hubs = spark.createDataFrame([(f"H{k:04d}", [float(c) for c in row]) for k, row in enumerate(h)], "hub_id string, embedding array<double>")
+    got = {r.item_id: (r.hub_id, r.sim) for r in pairs.bottom_hub(items, hubs).collect()}
+    assert got == {f"V{k}": ("H0003", (row * h[3]).sum()) for k, row in enumerate(x)}
+
+
+def test_copies_are_compared_once():
+    """A block of one vector alone: what is compared exactly does not grow with its copies."""
+    h = np.tile(np.random.default_rng(23).normal(size=(1, 64)), (2000, 1))
+    held = pairs.Rows({"hub_id": np.array([f"H{k:04d}" for k in range(2000)], object), "embedding": h, "label": np.arange(2000) // 1000})
+    x = np.random.default_rng(24).normal(size=(500, 64))
+    passing = pairs.Rows({"item_id": np.arange(500), "embedding": x, "label": np.ones(500, int), "own": np.full(500, "H1000", object), "top": (x * h[:1]).sum(1)})
+    works = [pairs._Own(held), pairs._Before(held), pairs._Least(held)]
+    tracemalloc.start()
+    own, before, least = (w.add(passing) for w in works)
+    assert tracemalloc.get_traced_memory()[1] < 128 * 1024 * 64 * 8
+    tracemalloc.stop()
+    assert set(own["hub_id"]) == {"H1000"} and set(before["n"]) == {1000} and set(least["hub_id"]) == {"H0000"}
