@@ -7,8 +7,9 @@ number with which the index finds ``RECALL`` of the pairs in a sample that all-p
 the comparisons made.
 
 Equal vectors are one entry: pairs are between different vectors, named by their least item, and ``members`` tells who
-else has each.  Lists of any size are held in parts of a bounded number of rows, and a list that many ask is held
-again for each share of those that ask.
+else has each.  Lists of any size are held in parts of a bounded number of rows, several parts by one task; a vector
+passes a task once, with marks of the lists that it asks, and so many tasks hold a part as there are shares of those that pass.
+A pair is found once: where both vectors ask each other's list, by the lesser.
 """
 
 from __future__ import annotations
@@ -17,18 +18,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
 from . import blocks
 from .blocks import Fold, Rows, met
+from .similarity import TASKS_PER_PART
 
 #: Numbers in the sample that centroids are fitted on, at most about.
 SAMPLE_VALUES = 8_000_000
 MOST_LISTS = 4096
-#: Rows that pass one held part.
+#: Rows that pass one task, and that it holds, at most about.
 ASKING_ROWS = 200_000
+TASK_ROWS = 100_000
+#: Pairs that leave a task in one batch, about.
+OUT_PAIRS = 200_000
 ROUNDS = 8
 #: Rows of the sample that are compared with each other to choose ``probes``, and the share of their pairs wanted.
 TRIED_ROWS = 4_000
@@ -70,7 +76,9 @@ class VectorIndex:
         self.lists = max(1, min(MOST_LISTS, lists or round(self.n**0.5)))
         self.tried = np.zeros((0, 0))
         self.at = self._fit(distinct, seed) if self.n else np.zeros((0, 0))
-        self.entries = durable(self._nearest(distinct.select("vid", "name", "x"), 1).withColumnRenamed("_list", "list"), "lists") if self.n else distinct.select("vid", "name", "x", F.lit(0).alias("list"))
+        kind = "array<float>" if items.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"  # as they came: half as much to move
+        entries = distinct.select("vid", "name", F.col("x").cast(kind).alias("x"))
+        self.entries = durable(self._listed(entries), "lists") if self.n else entries.withColumn("list", F.lit(0))
         self.compared = 0
 
     def _fit(self, distinct: DataFrame, seed: int) -> np.ndarray:
@@ -103,67 +111,149 @@ class VectorIndex:
             return min(k, max(8, k // 4))
         return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
 
-    def _nearest(self, rows: DataFrame, probes: int) -> DataFrame:
-        """``rows`` with a row for each of their ``probes`` nearest lists (``_list``)."""
-        at, k = self.at, min(probes, len(self.at))
+    def _listed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with their nearest ``list``."""
+        at = self.at
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
+                x = np.stack(pdf["x"]).astype(np.float64) if len(pdf) else np.zeros((0, at.shape[1]))
+                pdf["list"] = np.concatenate([np.zeros(0, np.int32), *[(x[i : i + 1024] @ at.T).argmax(1).astype(np.int32) for i in range(0, len(x), 1024)]])
+                yield pdf
+
+        return rows.mapInPandas(best, f"{_kinds(rows)}, list int")
+
+    def _asking(self, rows: DataFrame, probes: int | None) -> DataFrame:
+        """``rows`` with marks (``asks``, bits) of the lists that they ask, if they do: their ``probes`` nearest; for None each asks the half of
+        all lists that comes after its own, so that each list asks the other or is asked by it."""
+        at = self.at
+        lists = len(at)
+
+        def marks(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+            if probes is None:
+                return (np.arange(lists)[None, :] - own[:, None]) % lists <= lists // 2
+            out = np.zeros((len(x), lists), bool)
+            np.put_along_axis(out, np.argpartition(-(x @ at.T), min(probes, lists) - 1, axis=1)[:, :probes], True, axis=1)
+            return out
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                bits = []
                 for i in range(0, len(pdf), 1024):
                     part = pdf.iloc[i : i + 1024]
-                    sims = np.stack(part["x"]) @ at.T
-                    near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                    out = part.loc[part.index.repeat(k)].copy()
-                    out["_list"] = near.ravel().astype(np.int32)
-                    yield out
+                    got = marks(np.stack(part["x"]).astype(np.float64), part["list"].to_numpy()) & part["asked"].to_numpy(bool)[:, None]
+                    bits += [row.tobytes() for row in np.packbits(got, axis=1)]
+                pdf["asks"] = pd.Series(bits, dtype=object, index=pdf.index)
+                yield pdf
+
+        return rows.mapInPandas(best, f"{_kinds(rows)}, asks binary")
+
+    def _asked(self, asking: DataFrame) -> np.ndarray:
+        """How many rows ask each list."""
+        lists = len(self.at)
+
+        def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n = np.zeros(lists, np.int64)
+            for pdf in batches:
+                for i in range(0, len(pdf), 1024):
+                    n += _bits(pdf["asks"].iloc[i : i + 1024], lists).sum(0)
+            yield pd.DataFrame({"list": np.arange(lists), "n": n})
 
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        return rows.mapInPandas(best, f"{kinds}, _list int")
+        got = asking.select("asks").mapInPandas(counts, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()  # a row a list
+        out = np.zeros(lists, np.int64)
+        for r in got:
+            out[r["list"]] = r["n"]
+        return out
 
     def pairs(self, threshold: float, *, probes: int | None = None, recall: float = RECALL, asked: DataFrame | None = None) -> DataFrame:
         """name_a, name_b (a before b), sim: pairs of different vectors at or over ``threshold`` that the index
         finds; with ``asked`` (item_id) those with a vector of an asked item.
 
-        With as many probes as lists every pair is found.
+        With as many probes as lists every pair is found.  Where the probes would take more comparisons than all pairs are,
+        all pairs are compared.
         """
         if not self.n:
             return self.entries.select(F.col("name").alias("name_a"), F.col("name").alias("name_b"), F.lit(0.0).alias("sim"))
-        rows = self.entries.select("vid", "x")
+        rows = self.entries.withColumn("asked", F.lit(True))
         if asked is not None:
-            names = self.members.join(asked.select("item_id"), "item_id", "left_semi").select("name").distinct()
-            rows = self.entries.join(names, "name", "left_semi").select("vid", "x")
-        probes = probes or self.probes_for(threshold, recall, asked is None)
-        asking = durable(self._nearest(rows, probes), "asking")
+            names = self.members.join(asked.select("item_id"), "item_id", "left_semi").select("name").distinct().withColumn("asked", F.lit(True))
+            rows = self.entries.join(names, "name", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        probes = min(probes or self.probes_for(threshold, recall, asked is None), len(self.at))
         held_n = {r["list"]: r["n"] for r in self.entries.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a list
-        asking_n = {r["_list"]: r["n"] for r in asking.groupBy("_list").agg(F.count("*").alias("n")).collect()}
-        self.compared = sum(n * held_n.get(k, 0) for k, n in asking_n.items())
-        cuts = [(k, max(1, -(-held_n.get(k, 0) // blocks.HELD_ROWS)), max(1, -(-asking_n.get(k, 0) // ASKING_ROWS))) for k in range(len(self.at))]
-        parts = F.broadcast(rows.sparkSession.createDataFrame(cuts, "_list int, _parts int, _shares int"))
-        salt = lambda n, k: F.pmod(F.xxhash64("vid", F.lit(k)), F.col(n)).cast("int")
-        held = self.entries.select("vid", "x", F.col("list").alias("_list")).join(parts, "_list").withColumn("_part", salt("_parts", 1)).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
-        passing = asking.join(parts, "_list").withColumn("_share", salt("_shares", 2)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        keys = ["_list", "_part", "_share"]
-        found = met(held.drop("_parts", "_shares"), passing.drop("_parts", "_shares"), keys, lambda block: _Near(block, threshold), "a long, b long, sim double")
-        found = found.groupBy("a", "b").agg(F.max("sim").alias("sim"))
-        of = lambda v, n: self.entries.select(F.col("vid").alias(v), F.col("name").alias(n))
-        both = found.join(of("a", "x_"), "a").join(of("b", "y_"), "b")
-        return both.select(F.least("x_", "y_").alias("name_a"), F.greatest("x_", "y_").alias("name_b"), "sim")
+        sizes = np.array([held_n.get(k, 0) for k in range(len(self.at))])
+        asking = durable(self._asking(rows, probes), "asking")
+        self.compared = int(self._asked(asking) @ sizes)
+        if asked is None and 2 * self.compared > 1.1 * self.n**2:
+            asking = durable(self._asking(rows, None), "asking")
+            self.compared = int(self._asked(asking) @ sizes)
+        asks = asking.where("asked")
+        # Tasks hold parts of lists, several to one; each share of the rows that ask passes all of these once.
+        tasks = TASKS_PER_PART * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        room = max(1, min(TASK_ROWS, round(self.n / tasks**0.5)))
+        cuts = [(k, max(1, -(-int(n) // min(room, blocks.HELD_ROWS)))) for k, n in enumerate(sizes)]
+        each = np.array([sizes[k] / p for k, p in cuts for _ in range(p)])
+        block = ((each.cumsum() - each / 2) // room).astype(int)
+        ends = np.cumsum([p for _, p in cuts])
+        parts = F.broadcast(rows.sparkSession.createDataFrame([(k, p, block[end - p : end].tolist()) for (k, p), end in zip(cuts, ends, strict=True)], "list int, _parts int, _blocks array<int>"))
+        n_blocks = int(block.max()) + 1
+        shares = max(-(-tasks // n_blocks), -(-(self.n if asked is None else asks.count()) // ASKING_ROWS))
+        salt = lambda n, k: F.pmod(F.xxhash64("vid", F.lit(k)), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        held = asking.join(parts, "list").withColumn("_block", F.element_at("_blocks", salt(F.col("_parts"), 1) + 1)).withColumn("_share", every(shares))
+        passing = asks.withColumn("_share", salt(F.lit(shares), 2)).withColumn("_block", every(n_blocks))
+        keys, columns = ["_block", "_share"], ["vid", "name", "x", "list", "asks"]
+        name = self.entries.schema["name"].dataType.simpleString()
+        found = met(held.select(*columns, *keys), passing.select(*columns, *keys), keys, lambda x: _Near(x, threshold), f"a {name}, b {name}, sim double", (n_blocks * shares, F.col("_block") * shares + F.col("_share")))
+        return found.select(F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b"), "sim")
+
+
+def _kinds(rows: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+
+def _bits(asks, lists: int) -> np.ndarray:
+    """Rows by lists: whether a row asks a list."""
+    return np.unpackbits(np.frombuffer(b"".join(asks), np.uint8).reshape(len(asks), -1), axis=1, count=lists).astype(bool)
 
 
 class _Near(Fold):
+    """The near pairs of passing rows and the held rows of the lists that they ask; held rows stand by list."""
+
     def __init__(self, held: Rows, threshold: float):
-        super().__init__(held)
-        self.threshold = threshold
-
-    def add(self, passing: Rows) -> dict[str, np.ndarray] | None:
-        sims = self.held.x @ passing.x.T
-        sims[self.held.vid[:, None] == passing.vid[None, :]] = -np.inf
-        # A sum in another order may differ in its last digits: near the threshold it is taken again.
-        row, col = np.nonzero(sims >= self.threshold - 1e-9)
-        exact = np.einsum("ij,ij->i", self.held.x[row], passing.x[col])
-        keep = exact >= self.threshold
-        a, b = self.held.vid[row[keep]], passing.vid[col[keep]]
-        return {"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": exact[keep]}
+        order = np.argsort(held.list, kind="stable")
+        super().__init__(Rows({c: v[order] for c, v in held.columns.items()}))
+        self.threshold, self.names = threshold, pa.array(self.held.name)
+        self.lists, first = np.unique(self.held.list, return_index=True)
+        self.ends = [*first, len(order)]
+        self.marks = np.frombuffer(b"".join(self.held.asks), np.uint8).reshape(len(order), -1)
+
+    def add(self, passing: Rows) -> Iterator[dict]:
+        asks, names = _bits(passing.asks, self.marks.shape[1] * 8)[:, self.lists], pa.array(passing.name)
+        parts, n = [], 0
+        for k, (a, b) in enumerate(zip(self.ends[:-1], self.ends[1:], strict=True)):
+            rows = np.flatnonzero(asks[:, k])
+            for c in range(a, b if len(rows) else a, blocks.HELD_ROWS):
+                held = self.held.x[c : min(c + blocks.HELD_ROWS, b)]
+                # A sum in another order may differ in its last digits: near the threshold it is taken again.
+                row, col = np.divmod(np.flatnonzero(passing.x[rows] @ held.T >= self.threshold - 1e-9), len(held))
+                row, col = rows[row], c + col
+                mine, other, own = passing.vid[row], self.held.vid[col], passing.list[row]
+                back = (self.marks[col, own >> 3] >> (7 - (own & 7))) & 1  # whether the held row asks the passing row's list
+                once = (mine < other) | ((back == 0) & (mine != other))
+                row, col = row[once], col[once]
+                sim = np.einsum("ij,ij->i", self.held.x[col], passing.x[row])
+                near = sim >= self.threshold
+                parts.append((row[near], col[near], sim[near]))
+                n += int(near.sum())
+                if n >= OUT_PAIRS:
+                    yield self._out(parts, names)
+                    parts, n = [], 0
+        if n:
+            yield self._out(parts, names)
+
+    def _out(self, parts: list[tuple[np.ndarray, ...]], names: pa.Array) -> dict:
+        row, col, sim = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return {"a": names.take(pa.array(row)), "b": self.names.take(pa.array(col)), "sim": sim}
 
 
 def near_duplicates(items: DataFrame, *, similar: float = 0.85, duplicate: float = 0.95, probes: int | None = None, lists: int | None = None, asked: DataFrame | None = None) -> DataFrame:
