@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, norm
@@ -28,6 +28,9 @@ TILE = 1024
 #: Tasks for each shuffle partition, about, where blocks are held by tasks: the last ones to end are then short.
 TASKS_PER_PART = 3
 
+#: Cores for which tasks are made at least, as a session may not know all of its cores yet.
+CORES = 16
+
 Block = tuple[np.ndarray, ...]
 
 
@@ -70,6 +73,11 @@ class _Found(Fold):
         return {c: got[c].to_numpy() for c in got.columns}
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for what is sent to each of them: as many as cores need, however many shuffle partitions there are."""
+    return TASKS_PER_PART * min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(CORES, spark.sparkContext.defaultParallelism))
+
+
 def folded(sent: DataFrame, name: str, rows: DataFrame, fold: Callable[[Rows], Fold], schema: str, more: tuple[str, ...] = ()) -> DataFrame:
     """``fold`` over each block of ``sent`` (name, embedding and ``more``) and all ``rows``.
 

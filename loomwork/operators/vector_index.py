@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import durable
 from . import blocks
 from .blocks import Fold, Rows, met
-from .similarity import TASKS_PER_PART
+from .similarity import task_count
 
 #: Numbers in the sample that centroids are fitted on, at most about.
 SAMPLE_VALUES = 8_000_000
@@ -188,7 +188,7 @@ class VectorIndex:
             self.compared = int(self._asked(asking) @ sizes)
         asks = asking.where("asked")
         # Tasks hold parts of lists, several to one; each share of the rows that ask passes all of these once.
-        tasks = TASKS_PER_PART * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = task_count(rows.sparkSession)
         room = max(1, min(TASK_ROWS, round(self.n / tasks**0.5)))
         cuts = [(k, max(1, -(-int(n) // min(room, blocks.HELD_ROWS)))) for k, n in enumerate(sizes)]
         each = np.array([sizes[k] / p for k, p in cuts for _ in range(p)])
