@@ -104,7 +104,7 @@ def near_components(items: DataFrame, near: float, least: int) -> DataFrame:
 
     def found(held: DataFrame, rows: DataFrame) -> DataFrame:
         edges = folded(held, "item_id", rows, lambda block: _Forest(block, near), f"a {kind}, b {kind}", ("comp", "turn"))
-        return components(edges)
+        return components(durable(edges, "forest"))  # it reads them twice
 
     alone = points.withColumns({"comp": F.col("item_id"), "turn": F.lit(-1)})
     few = alone.where(F.pmod(F.xxhash64("item_id"), F.lit(1 << 20)) < F.lit(share))
